@@ -122,7 +122,7 @@ def _boxed(mp, my, spp, spy, syy, n, lbox, cbox):
     ok = (c >= cbox[0]) & (c <= cbox[1]) & (lim >= lbox[0]) & (lim <= lbox[1])
     best = np.where(ok, sse(lim, c), np.inf)
     b_lim, b_c = np.where(ok, lim, 0.0), np.where(ok, c, 0.0)
-    raw = spp + n * mp * mp
+    raw = np.maximum(spp + n * mp * mp, np.finfo(float).tiny)
     edges = [(np.full_like(raw, l0), np.clip((spy + n * mp * (my - l0)) / raw, *cbox)) for l0 in lbox]
     edges += [(np.clip(my - c0 * mp, *lbox), np.full_like(raw, c0)) for c0 in cbox]
     for lim, c in edges:

@@ -12,7 +12,7 @@ from math import comb
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tailcast.functions.arrays import back, divide, finite, positions, tail
+from tailcast.functions.arrays import back, divide, finite, let, positions, tail
 from tailcast.settings import DENOM_TOL, RIDGE
 
 
@@ -84,31 +84,37 @@ def levin(ys: Column, xs: Column, order: int, variant: str, tol: float = DENOM_T
         raise ValueError(f"unknown variant {variant!r}")
     need = order + (3 if variant == "v" else 2)
 
-    def s(j):
-        return back(ys, need - j)
+    def transform(w):
+        s = [F.get(w["y"], F.lit(j)) for j in range(need)]
+        x = [F.get(w["x"], F.lit(j)) for j in range(need)]
 
-    def d(j):
-        return s(j + 1) - s(j)
+        def d(j):
+            return s[j + 1] - s[j]
 
-    def x(j):
-        return back(xs, need - j)
+        def weight(j):
+            if variant == "t":
+                return d(j)
+            if variant == "u":
+                return (x[j] + 1.0) * d(j)
+            return let(d(j + 1) - d(j), lambda dd: divide(d(j) * d(j + 1), dd, tol))
 
-    def weight(j):
-        if variant == "t":
-            return d(j)
-        if variant == "u":
-            return (x(j) + 1.0) * d(j)
-        return divide(d(j) * d(j + 1), d(j + 1) - d(j), tol)
+        def coefficient(j):
+            beta = F.lit(1.0)
+            for _ in range(order - 1):
+                beta = beta * (x[0] + (j + 1.0))
+            return let(weight(j), lambda v: divide(F.lit((-1.0) ** j * comb(order, j)) * beta, v, tol))
 
-    num, den = F.lit(0.0), F.lit(0.0)
-    for j in range(order + 1):
-        beta = F.lit(1.0)
-        for _ in range(order - 1):
-            beta = beta * (x(0) + (j + 1.0))
-        coeff = divide(F.lit((-1.0) ** j * comb(order, j)) * beta, weight(j), tol)
-        num = num + coeff * s(j)
-        den = den + coeff
-    return F.when(F.size(ys) >= need, divide(num, den, tol))
+        def ratio(c):
+            num, den = F.lit(0.0), F.lit(0.0)
+            for j in range(order + 1):
+                num = num + F.get(c, F.lit(j)) * s[j]
+                den = den + F.get(c, F.lit(j))
+            return let(den, lambda v: divide(num, v, tol))
+
+        return let(F.array(*[coefficient(j) for j in range(order + 1)]), ratio)
+
+    return F.when(F.size(ys) >= need, let(
+        F.struct(tail(ys, need).alias("y"), tail(xs, need).alias("x")), transform))
 
 
 def anderson(ys: Column, order: int, ridge: float = RIDGE) -> Column:
@@ -116,21 +122,24 @@ def anderson(ys: Column, order: int, ridge: float = RIDGE) -> Column:
     the closed form gamma = -f d / (d.d + ridge)."""
     need = order + 2
 
-    def s(j):
-        return back(ys, need - j)
-
-    def f(j):
-        return s(j + 1) - s(j)
-
-    d = [f(j + 1) - f(j) for j in range(order)]
-    norm = F.lit(ridge)
-    for dj in d:
-        norm = norm + dj * dj
-    scale = (-f(order)) / norm
-    est = s(order + 1)
-    for j in range(order):
-        est = est + scale * d[j] * (s(j + 2) - s(j + 1))
-    return F.when(F.size(ys) >= need, est)
+    def mix(s):
+        def f(j):
+            return F.get(s, F.lit(j + 1)) - F.get(s, F.lit(j))
+
+        d = [f(j + 1) - f(j) for j in range(order)]
+        norm = F.lit(ridge)
+        for dj in d:
+            norm = norm + dj * dj
+
+        def estimate(scale):
+            est = F.get(s, F.lit(order + 1))
+            for j in range(order):
+                est = est + scale * d[j] * f(j + 1)
+            return est
+
+        return let((-f(order)) / norm, estimate)
+
+    return F.when(F.size(ys) >= need, let(tail(ys, need), mix))
 
 
 def neville(ys: Column, xs: Column, degree: int, target: Column) -> Column:

@@ -46,10 +46,17 @@ def parts_per_million(level: Column) -> Column:
 # ---- windows -----------------------------------------------------------------
 def prefixes(curves: DataFrame, max_depth: int) -> DataFrame:
     """One row per curve with its first ``max_depth`` steps as an array.  The
-    filter bounds the array, whatever the length of the curve."""
+    filter bounds the array, whatever the length of the curve.  Grouping by the
+    curve alone leaves a partitioning that the join with the targets reuses.
+    The partition count is explicit: the rows are few but each costs dozens of
+    fits, so merging partitions by size would leave most cores idle; and no
+    curve has more than ``max_depth`` rows here, so none can be skewed."""
+    parts = int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (curves.filter(F.col("step") <= max_depth)
-            .groupBy(*CURVE_KEYS)
-            .agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("pts"),
+            .repartition(parts, "curve_id")
+            .groupBy("curve_id")
+            .agg(*[F.min(k).alias(k) for k in CURVE_KEYS[1:]],
+                 F.array_sort(F.collect_list(F.struct("step", "value"))).alias("pts"),
                  F.max("step").alias("seen")))
 
 
@@ -163,7 +170,8 @@ def curve_minima(curves: DataFrame, last_step: int | None = None) -> DataFrame:
     """Per curve: number of steps, first step of the minimum, minimum, value at
     the last step (not beyond ``last_step``) and the relative rise up to it."""
     end = F.col("step") if last_step is None else F.when(F.col("step") <= last_step, F.col("step"))
-    facts = curves.groupBy(*CURVE_KEYS).agg(
+    facts = curves.groupBy("curve_id").agg(
+        *[F.min(k).alias(k) for k in CURVE_KEYS[1:]],
         F.max("step").alias("n_rounds"),
         F.min(F.struct("value", "step")).alias("_m"),
         F.max(F.struct(end.alias("e"), F.col("value"))).alias("_e"))

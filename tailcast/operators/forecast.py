@@ -15,11 +15,13 @@ def forecast(windows: DataFrame, methods, keep=()) -> DataFrame:
     ``windows`` carries ``xs``, ``ys``, the window summaries and ``targets``, an
     array of structs with at least ``n_f`` and ``true_val``.  Parameters are
     computed once per window, before the targets are exploded; the whole job is
-    a chain of projections without a shuffle."""
+    a chain of projections without a shuffle.  The arrays are never empty; the
+    outer generators keep the optimizer from inferring a "not empty" filter,
+    which would be pushed below and compute every estimate twice."""
     specs = [lookup(m) for m in methods]
     fitted = windows.withColumns({
         f"_p_{s.name}": s.parameters() for s in specs if s.parameters is not None})
-    rows = fitted.select("*", F.explode("targets").alias("t")).drop("targets")
+    rows = fitted.select("*", F.explode_outer("targets").alias("t")).drop("targets")
     target = F.col("t.n_f")
     rows = rows.withColumn("ests", F.array(*[F.struct(
         F.lit(s.name).alias("method"),
@@ -29,7 +31,7 @@ def forecast(windows: DataFrame, methods, keep=()) -> DataFrame:
     drop = {"xs", "ys", "targets", *target_columns, *[f"_p_{s.name}" for s in specs]}
     base = [c for c in windows.columns if c not in drop or c in keep]
     return rows.select(*base, *[F.col(f"t.{c}").alias(c) for c in target_columns],
-                       F.inline("ests"))
+                       F.inline_outer("ests"))
 
 
 def with_step_targets(packed_windows: DataFrame) -> DataFrame:
