@@ -270,15 +270,15 @@ def _skill(e, r):
 
 def record_ctes(est: str = "est", name: str = "rec") -> dict[str, str]:
     refs = {"assumed": "L_hat", "last": "lastv", "wmean": "mean_v", "wmin": "min_v"}
-    errs = ", ".join(f"CASE WHEN {_valid(c)} THEN abs({c} - true_val) END AS e_{tag}" for tag, c in refs.items())
+    errs = ", ".join(f"CASE WHEN {_valid(c)} THEN round(abs({c} - true_val) * 1e12) / 1e12 END AS e_{tag}" for tag, c in refs.items())
     vs = ", ".join(f"{_skill('error', f'e_{tag}')} AS skill_vs_{tag}, CASE WHEN error < e_{tag} THEN 1 ELSE 0 END AS win_vs_{tag}"
                    for tag in refs)
     return {
         "dim": dimension_cte(),
         f"{name}0": f"""SELECT *, CASE WHEN {_valid('estimate_raw')} THEN 1 ELSE 0 END AS valid,
             CASE WHEN estimate_raw IS NOT NULL AND isfinite(estimate_raw) AND estimate_raw BETWEEN 0 AND 2e0 * max_v THEN 1 ELSE 0 END AS valid_strict,
-            CASE WHEN {_valid('estimate_raw')} THEN abs(estimate_raw - true_val) END AS error,
-            abs(lastv - true_val) AS curr_err, {errs} FROM {est}""",
+            CASE WHEN {_valid('estimate_raw')} THEN round(abs(estimate_raw - true_val) * 1e12) / 1e12 END AS error,
+            round(abs(lastv - true_val) * 1e12) / 1e12 AS curr_err, {errs} FROM {est}""",
         name: f"""SELECT r.*, CASE WHEN valid = 1 THEN estimate_raw END AS estimate, e_last AS E_last_, lastv AS curr_val,
             least(e_assumed, e_last, e_wmean, e_wmin) AS ref_error, {_skill('error', 'least(e_assumed, e_last, e_wmean, e_wmin)')} AS skill,
             CASE WHEN error IS NULL OR (curr_err > 1e-12 AND error > 5 * curr_err) THEN 1 ELSE 0 END AS catastrophic,

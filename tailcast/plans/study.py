@@ -5,10 +5,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailcast.operators import curves as C
+from tailcast.operators import diagnostics as D
+from tailcast.operators import panels as P
+from tailcast.operators import ranking as R
+from tailcast.operators import rules as RU
+from tailcast.operators.features import cell_features as mean_features
+from tailcast.operators.features import features
 from tailcast.operators.forecast import forecast, with_gap_targets, with_step_targets
 from tailcast.operators.methods import method_table
-from tailcast.operators.scoring import score
-from tailcast.session import stage
+from tailcast.operators.scoring import best_reference, improvement, score
+from tailcast.session import INLINE_ROWS, at_most, stage
+from tailcast.settings import FEATURES
 from tailcast.sources import tables
 
 STEP_DEPTHS = (30, 60, 90, 120, 150)
@@ -17,6 +24,7 @@ GAP_DEPTHS = (30, 60, 90)
 GAP_FRACTIONS = (0.7, 0.5, 0.1)
 NOISE = (0.0, 0.005)
 HEADLINE_G = 0.5
+RANK_DIGITS = 9
 
 SLICE_METHODS = ("linear", "log_linear", "constant_assumed", "constant_oracle",
                  "window_mean", "window_min", "last_value")
@@ -76,3 +84,96 @@ def step_records(spark, sf_dir, methods=STUDY_METHODS) -> DataFrame:
         return recs.join(low, "curve_id").withColumn(
             "post_min_target", (F.col("n_f") > F.col("argmin_round")).cast("int"))
     return stage(spark, "step-records", f"{sf_dir}|{methods}", build)
+
+
+# ---- features, diagnostics and tables shared by several queries -----------------
+DIAG_METHODS = ("richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1",
+                "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
+DIAG_POOL = ("last_value", "richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1")
+DIAG_DEPTHS = (60, 90)
+
+
+def inline(spark, sf_dir) -> bool:
+    """Whether any group of records is small enough for one task: the size of
+    the whole record table bounds every group in it."""
+    return at_most(gap_records(spark, sf_dir), INLINE_ROWS) and at_most(step_records(spark, sf_dir), INLINE_ROWS)
+
+
+def inline_curves(spark, sf_dir) -> bool:
+    """The same bound before any record exists: records per group are at most
+    the curves, and those are at most the suppliers."""
+    return at_most(tables.table(spark, sf_dir, "supplier"), INLINE_ROWS)
+
+
+def gap_features(spark, sf_dir) -> DataFrame:
+    def build():
+        w = gap_windows(spark, curves(spark, sf_dir), horizons(spark, sf_dir), true_limit=F.lit(0.0))
+        return features(w).drop("xs", "ys", "targets")
+    return stage(spark, "gap-features", sf_dir, build)
+
+
+def step_features(spark, sf_dir) -> DataFrame:
+    return stage(spark, "step-features", sf_dir, lambda: features(
+        step_windows(spark, curves(spark, sf_dir, "mean"))).drop("xs", "ys", "targets"))
+
+
+def cell_features(spark, sf_dir) -> DataFrame:
+    return stage(spark, "cell-features", sf_dir, lambda: mean_features(gap_features(spark, sf_dir)))
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    """Cells of the benchmark: the second materialised boundary, a small table."""
+    return stage(spark, "cells", sf_dir, lambda: P.cell_table(gap_records(spark, sf_dir), inline=inline(spark, sf_dir)))
+
+
+def diag_windows(spark, sf_dir) -> DataFrame:
+    return gap_windows(spark, curves(spark, sf_dir), horizons(spark, sf_dir), DIAG_DEPTHS, true_limit=F.lit(0.0))
+
+
+def diag_records(spark, sf_dir) -> DataFrame:
+    """Benchmark records of the diagnostic methods with both stability spreads."""
+    def build():
+        w = diag_windows(spark, sf_dir)
+        recs = gap_records(spark, sf_dir).filter(F.col("depth").isin(*DIAG_DEPTHS) & F.col("method").isin(*DIAG_METHODS))
+        return (recs.join(D.perturb_iqr(w, DIAG_METHODS, keys=D.GAP_KEYS), list(D.GAP_KEYS), "left")
+                .join(D.shift_iqr(w, DIAG_METHODS, keys=D.GAP_KEYS), list(D.GAP_KEYS), "left"))
+    return stage(spark, "diag-records", sf_dir, build)
+
+
+def pooled(spark, sf_dir) -> DataFrame:
+    """Pooled tables of both sets, ranked (overall and among the accelerators)."""
+    def build():
+        c = cells(spark, sf_dir)
+        t = P.pooled_table(c, ("is_holdout", "method", "target_g"))
+        r = R.assign_ranks(t, groups=("is_holdout", "target_g"), digits=RANK_DIGITS)
+        return R.rank_accelerators(r, ("is_holdout", "target_g"), digits=RANK_DIGITS).withColumn(
+            "regime_set", F.when(F.col("is_holdout") == 1, "holdout").otherwise("core"))
+    return stage(spark, "pooled", sf_dir, build)
+
+
+def recorded_summary(spark, sf_dir) -> DataFrame:
+    """One row per recorded cell: the cascade's choice and its scores."""
+    def build():
+        f = step_features(spark, sf_dir).select("curve_id", "depth", *FEATURES).withColumn("selected_method", RU.cascade())
+        recs = step_records(spark, sf_dir)
+        keys = ["curve_id", "family", "depth", "n_f"]
+
+        def of(m, col):
+            return F.max(F.when(F.col("method") == m, F.col(col)))
+        rows = recs.join(f.select("curve_id", "depth", "selected_method"), ["curve_id", "depth"])
+        chosen = F.col("method") == F.col("selected_method")
+
+        def picked(col):
+            return F.max(F.when(chosen, F.col(col)))
+        s = rows.groupBy(*keys, "selected_method", "argmin_round", "rise_from_min", "post_min_target").agg(
+            F.max("true_val").alias("true_val"), F.max("curr_err").alias("current_err"), F.max("ref_error").alias("ref_error"),
+            best_reference().alias("ref_best_method"), of("richardson_1", "error").alias("richardson_err"),
+            of("rational_fit", "error").alias("rational_err"), picked("estimate").alias("cascade_pred"),
+            picked("error").alias("cascade_err"), picked("skill").alias("cascade_skill"),
+            *[picked(f"{k}_vs_{t}").alias(f"cascade_{k}_vs_{t}") for t in P.TAGS for k in ("skill", "win")])
+        s = s.withColumn("improvement", improvement(F.col("cascade_err"), F.col("current_err")))
+        w = step_windows(spark, curves(spark, sf_dir, "mean"))
+        iqr = D.perturb_iqr(w, ("richardson_1", "rational_fit"), fewest=3).select(
+            "curve_id", "depth", "n_f", F.col("method").alias("selected_method"), "perturb_iqr")
+        return s.join(iqr, ["curve_id", "depth", "n_f", "selected_method"], "left")
+    return stage(spark, "recorded-summary", sf_dir, build)
