@@ -126,6 +126,8 @@ def groups() -> dict[str, dict[str, str]]:
     step_windows = {**P.curve_ctes("mean"), **P.step_target_ctes((30, 60, 90, 120, 150), (200, 300, 400)), **P.window_ctes((30, 60, 90, 120, 150)), **P.minima_cte()}
     from oracles import variants as V
     return {
+        "flag": {**P.curve_ctes("se"), **P.step_target_ctes((30, 60, 90, 120, 150), (200, 300, 400)), **P.window_ctes((30, 60, 90, 120, 150), limit="0e0"),
+                 **P.estimate_ctes(("linear", "log_linear", "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value"), grid=False), **P.record_ctes()},
         "none": {}, "se": P.curve_ctes("se"), "mean": {**P.curve_ctes("mean"), **P.minima_cte()},
         "semin": {**P.curve_ctes("se"), **P.minima_cte()},
         "hz": {**P.curve_ctes("se"), **P.horizon_ctes((30, 60, 90), (0.7, 0.5, 0.1))},

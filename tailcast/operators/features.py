@@ -74,7 +74,7 @@ def previous_values(curves: DataFrame) -> DataFrame:
     w = Window.partitionBy("curve_id").orderBy("step")
     d = curves.withColumn("prev", F.lag("value").over(w)).withColumn("diff", F.col("value") - F.col("prev"))
     d = d.withColumn("prev_diff", F.lag("diff").over(w))
-    return d.select("curve_id", "step", "value", "diff", F.try_divide(F.col("value"), F.greatest(F.abs("prev"), F.lit(1e-15))).alias("ratio"),
+    return d.select("curve_id", "step", "value", "diff", F.when(F.col("prev").isNotNull(), F.col("value") / F.greatest(F.abs("prev"), F.lit(1e-15))).alias("ratio"),
                     (F.col("diff") - F.col("prev_diff")).alias("second_diff"),
                     F.coalesce(F.col("diff") * F.col("prev_diff") < 0, F.lit(False)).cast("int").alias("sign_change"))
 
