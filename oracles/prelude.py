@@ -16,6 +16,9 @@ DEFAULT_METHODS = (
 
 def with_ctes(ctes: dict[str, str], final: str) -> str:
     parts = ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in ctes.items())
+    own = final.lstrip()
+    if own.startswith("WITH "):             # a final statement may bring its own CTEs
+        return f"WITH {parts},\n{own[5:]}"
     return f"WITH {parts}\n{final}"
 
 
@@ -97,13 +100,13 @@ BOXES = {"power": ((0.0, 2.0), (-5.0, 5.0)), "exponential": ((0.0, 1.0), (0.0, 2
 
 def grid_ctes(points: str, prefix: str, kinds=("power", "exponential", "rational"), keys: str = KEYS,
               boxes=None) -> dict[str, str]:
-    """Three passes of a 32-value grid per model; result table {prefix}fit(keys, kind, p, lim, c, sse)."""
+    """Four passes of a 32-value grid per model; result table {prefix}fit(keys, kind, p, lim, c, sse)."""
     out = {}
     for kind in kinds:
         lo, hi = RANGE[kind]
         box = (boxes or BOXES)[kind]
         src = f"(SELECT DISTINCT {keys}, {lo!r}::DOUBLE AS lo, {hi!r}::DOUBLE AS hi FROM {points})"
-        for i in range(3):
+        for i in range(4):
             name = f"{prefix}{kind}{i}"
             out[name] = f"""SELECT {keys}, arg_min({{'p': p, 'lim': b.lim, 'c': b.c, 'sse': b.sse}}, {{'s': b.sse, 'k': k}}) AS w,
                   any_value(lo) * pow(any_value(hi) / any_value(lo), greatest(arg_min(k, {{'s': b.sse, 'k': k}}) - 1, 0) / 31e0) AS lo,
@@ -118,7 +121,7 @@ def grid_ctes(points: str, prefix: str, kinds=("power", "exponential", "rational
                 GROUP BY {keys}"""
             src = name
     out[f"{prefix}fit"] = " UNION ALL ".join(
-        f"SELECT {keys}, '{kind}' AS kind, w.p AS p, w.lim AS lim, w.c AS c, w.sse AS sse FROM {prefix}{kind}2" for kind in kinds)
+        f"SELECT {keys}, '{kind}' AS kind, w.p AS p, w.lim AS lim, w.c AS c, w.sse AS sse FROM {prefix}{kind}3" for kind in kinds)
     return out
 
 

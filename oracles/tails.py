@@ -93,7 +93,7 @@ def feature_ctes(wins="wins", name="feat") -> dict[str, str]:
             regr_syy(y, y) AS sst FROM fp GROUP BY {k}""",
     }
     src = f"(SELECT DISTINCT {k}, 0.05::DOUBLE AS lo, 4e0 AS hi FROM fp)"
-    for i in range(3):
+    for i in range(4):
         out[f"f_{i}"] = f"""SELECT {k}, min(sse) AS sse, any_value(lo) * pow(any_value(hi) / any_value(lo), greatest(arg_min(kk, {{'s': sse, 'k': kk}}) - 1, 0) / 31e0) AS lo,
               any_value(lo) * pow(any_value(hi) / any_value(lo), least(arg_min(kk, {{'s': sse, 'k': kk}}) + 1, 31) / 31e0) AS hi
             FROM (SELECT {k}, kk, lo, hi, see - 2 * a * spe + a * a * spp AS sse FROM (
@@ -109,9 +109,9 @@ def feature_ctes(wins="wins", name="feat") -> dict[str, str]:
         CASE WHEN len(ys) >= 3 THEN list_avg(list_transform({d2}, lambda v: abs(v))) / (max_v - min_v + 1e-15) END AS curvature_idx,
         CASE WHEN len(ys) >= 3 THEN list_sum(list_transform(range(1, len(ys) - 1), lambda i: CASE WHEN (ys[i+1] - ys[i]) * (ys[i+2] - ys[i+1]) < 0 THEN 1e0 ELSE 0e0 END)) / greatest(len(ys) - 2, 1) END AS oscillation_idx,
         CASE WHEN len(ys) >= 4 THEN list_var_pop({d2}) END AS noise_var,
-        least(greatest(1e0 - f_2.sse / (sst + 1e-20), -1e1), 1e0) AS richardson_r2,
+        least(greatest(1e0 - f_3.sse / (sst + 1e-20), -1e1), 1e0) AS richardson_r2,
         CASE WHEN len(ys) >= 4 THEN list_stddev_pop({rt}) / (abs(list_avg({rt})) + 1e-15) END AS diff_ratio_cv
-        FROM fw JOIN fslope USING ({k}) JOIN f_2 USING ({k})"""
+        FROM fw JOIN fslope USING ({k}) JOIN f_3 USING ({k})"""
     return out
 
 

@@ -24,7 +24,7 @@ def _(spark, sf):
     """Forecast at fixed steps, score, aggregate to cells, pool, rank."""
     w = ST.step_windows(spark, ST.curves(spark, sf, "se"), true_limit=F.lit(0.0))
     recs = ST.records_of(spark, w, ST.SLICE_METHODS)
-    cells = P.cell_table(recs, ("family", "is_holdout", "depth", "noise", "n_f"), inline=ST.inline_curves(spark, sf))
+    cells = P.cell_table(recs, ("family", "is_holdout", "depth", "noise", "n_f"), inline=ST.inline(spark, sf))
     pooled = P.pooled_table(cells, ("method", "n_f"))
     ranked = R.assign_ranks(pooled, groups=("n_f",), digits=ST.RANK_DIGITS)
     return ranked.select(F.col("n_f").alias("target"), "method", "method_type", "n_cells", "valid_rate", "cat_rate", "med_error",

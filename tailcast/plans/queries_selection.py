@@ -233,7 +233,8 @@ def _length_windows(spark, sf):
 def _(spark, sf):
     w = _length_windows(spark, sf)
     recs = stage(spark, "length-records", sf, lambda: ST.records_of(spark, w, CONSUMERS))
-    return W.cascade_sweep(recs, W.decisions(features(w), "window_len"), "window_len", inline=ST.inline(spark, sf))
+    routed = stage(spark, "length-decisions", sf, lambda: W.decisions(features(w), "window_len"))
+    return W.cascade_sweep(recs, routed, "window_len", inline=ST.inline(spark, sf))
 
 
 @query("h16_leading_summary")

@@ -37,8 +37,16 @@ STUDY_METHODS = (
 
 
 def curves(spark: SparkSession, sf_dir: str, kind: str = "se") -> DataFrame:
-    """Derived curves as a table: every study reads them more than once."""
-    return stage(spark, f"curves-{kind}", sf_dir, lambda: tables.supplier_curves(spark, sf_dir, kind))
+    """Derived curves as a table: every study reads them more than once.  Rows
+    are sorted by step inside each file, so prefix reads (step <= depth) and
+    target reads skip row groups by their statistics."""
+    return stage(spark, f"curves-{kind}", sf_dir, lambda: tables.supplier_curves(
+        spark, sf_dir, kind, days(spark, sf_dir)).sortWithinPartitions("step", "curve_id"))
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The only pass over the transaction table: quantities per supplier and day."""
+    return stage(spark, "days", sf_dir, lambda: tables.supplier_days(spark, sf_dir))
 
 
 def step_windows(spark, curve_table: DataFrame, depths=STEP_DEPTHS, targets=STEP_TARGETS,
@@ -94,15 +102,11 @@ DIAG_DEPTHS = (60, 90)
 
 
 def inline(spark, sf_dir) -> bool:
-    """Whether any group of records is small enough for one task: the size of
-    the whole record table bounds every group in it."""
-    return at_most(gap_records(spark, sf_dir), INLINE_ROWS) and at_most(step_records(spark, sf_dir), INLINE_ROWS)
-
-
-def inline_curves(spark, sf_dir) -> bool:
-    """The same bound before any record exists: records per group are at most
-    the curves, and those are at most the suppliers."""
-    return at_most(tables.table(spark, sf_dir, "supplier"), INLINE_ROWS)
+    """Whether any group of records is small enough for one task.  A group holds
+    at most one row per curve, depth, noise level and target, and there are at
+    most as many curves as suppliers: a count of file footers decides."""
+    spread = len(STEP_DEPTHS) * len(STEP_TARGETS) * len(NOISE)
+    return at_most(tables.table(spark, sf_dir, "supplier"), INLINE_ROWS // spread)
 
 
 def gap_features(spark, sf_dir) -> DataFrame:

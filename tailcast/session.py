@@ -11,6 +11,7 @@ INLINE_ROWS = 2_000_000        # rows up to which one group may be sorted in one
 BROADCAST_ROWS = 200_000       # rows up to which a side may be broadcast
 
 _stages: dict[tuple[str, str], DataFrame] = {}
+_counts: dict[int, int] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -52,8 +53,16 @@ def stage(spark: SparkSession, name: str, key: str, build) -> DataFrame:
 
 
 def at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has no more than ``limit`` rows; reads no further."""
-    return df.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit
+    """True when ``df`` has no more than ``limit`` rows.  The count is a sum of
+    partial counts (file footers for a staged table): no rows are funnelled into
+    one task, as a LIMIT would.  Counts of staged tables are remembered."""
+    key = id(df)
+    if key not in _counts:
+        rows = df.count()
+        if not any(df is known for known in _stages.values()):
+            return rows <= limit
+        _counts[key] = rows
+    return _counts[key] <= limit
 
 
 def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

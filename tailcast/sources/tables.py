@@ -72,14 +72,14 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count(F.lit(1)).alias("n")))
 
 
-def supplier_curves(spark: SparkSession, sf_dir: str, kind: str = "se") -> DataFrame:
+def supplier_curves(spark: SparkSession, sf_dir: str, kind: str = "se", days: DataFrame | None = None) -> DataFrame:
     """One curve per supplier, one step per shipping day.
 
     ``mean``: running mean quantity (scaled by 50); ``se``: its standard error,
     which decays towards 0 like n^-1/2 and starts at step 2."""
     if kind not in ("se", "mean"):
         raise ValueError(f"unknown curve kind {kind!r}")
-    running = prefix_sums(supplier_days(spark, sf_dir), ["run"], F.year("day"), ["day"],
+    running = prefix_sums(supplier_days(spark, sf_dir) if days is None else days, ["run"], F.year("day"), ["day"],
                           ["q", "q2", "n"], ["rq", "rq2", "rn"], "step")
     mean = F.col("rq") / F.col("rn")
     if kind == "mean":
