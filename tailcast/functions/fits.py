@@ -8,14 +8,20 @@ parameter to about 1e-4 of itself).
 """
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tailcast.functions.arrays import finite, let, ols
 from tailcast.settings import DENOM_TOL, RIDGE
 
+# executors need not have this package installed: its functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRID = 32
 PASSES = 4
 CHUNK = 512
@@ -205,7 +211,7 @@ def fit_many_terms(kind: str, x: np.ndarray, y: np.ndarray):
             for j in range(k):
                 rest = (full[..., j, :] * amp).sum(axis=2) - full[..., j, j] * amp[..., j]
                 want = proj[..., j] + n * m_phi[..., j] * (my - lim) - rest
-                amp[..., j] = np.clip(want / full[..., j, j], *cbox)
+                amp[..., j] = np.clip(want / np.maximum(full[..., j, j], np.finfo(float).tiny), *cbox)
             lim = np.clip(my - (amp * m_phi).sum(axis=2), *lbox)
         sse = (((y - my) ** 2).sum(axis=1)[:, None] - 2 * (amp * proj).sum(axis=2)
                + np.einsum("rti,rtij,rtj->rt", amp, gram, amp)

@@ -135,30 +135,37 @@ def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN, inl
         return F.sum(F.when(cond, w).otherwise(0)) / F.sum(w)
 
     stats = grouped(t, keys, [
-        F.count_distinct(run).alias("n_runs"), F.sum(w).alias("n_trials"), F.sum(F.when(F.col("method").isNull(), w).otherwise(0)).alias("n_no_choice"),
+        F.sum(w).alias("n_trials"), F.sum(F.when(F.col("method").isNull(), w).otherwise(0)).alias("n_no_choice"),
         share(ok).alias("chosen_valid_rate"), share(ok & (d.isNull() | (e < d))).alias("win_vs_default"),
         share(F.coalesce(F.col("method") == DEFAULT_METHOD, F.lit(False))).alias("default_chosen"),
         share(ok & (last.isNull() | (e < last))).alias("win_vs_last"),
-        share(F.col("cat") != 0).alias("cat_rate_chosen"), share(F.col("cat_default") != 0).alias("cat_rate_default"),
-        F.count_distinct("method").alias("n_distinct_chosen")],
+        share(F.col("cat") != 0).alias("cat_rate_chosen"), share(F.col("cat_default") != 0).alias("cat_rate_default")],
         {"med_error_chosen": ("err", 0.5), "med_error_default": ("e_default", 0.5), "med_error_last": ("e_last", 0.5),
          "med_ratio_vs_default": ("_ratio", 0.5)}, inline, weight="w")
+    # one row per run in ``facts``: counting them needs no distinct
+    stats = stats.join(facts.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_runs")), list(cell))
     order = F.lit(None).cast("int")
     for m, i in REGISTRY_INDEX.items():
         order = F.when(F.col("method") == m, F.lit(i)).otherwise(order)
     per = trials.filter("method IS NOT NULL").groupBy(*keys, "method").agg(F.sum("w").alias("c"))
-    top = per.groupBy(*keys).agg(F.min_by(F.struct("method", "c"), F.struct((-F.col("c")).alias("c"), order.alias("o"))).alias("t"), F.sum("c").alias("s"))
+    top = per.groupBy(*keys).agg(F.min_by(F.struct("method", "c"), F.struct((-F.col("c")).alias("c"), order.alias("o"))).alias("t"), F.sum("c").alias("s"),
+                                  F.count(F.lit(1)).alias("n_distinct_chosen"))
     return stats.join(top, keys, "left").select(
-        *stats.columns, F.coalesce("t.method", F.lit("")).alias("top_chosen"), (F.col("t.c") / F.col("s")).alias("top_chosen_share"))
+        *stats.columns, F.coalesce("t.method", F.lit("")).alias("top_chosen"), (F.col("t.c") / F.col("s")).alias("top_chosen_share"),
+        F.coalesce("n_distinct_chosen", F.lit(0)).alias("n_distinct_chosen"))
 
 
 def selection_cells(records: DataFrame, uncapped: DataFrame, pools: DataFrame, min_valid: float = RANK_MIN_VALID,
-                    digits: int | None = None, cell=CELL, run=RUN, inline=None) -> DataFrame:
-    """Both designs, every pool and cell."""
-    rows = trial_records(records, uncapped, pools, cell, run)
-    facts = run_facts(records, uncapped, cell, run)
-    one = cell_statistics(one_pilot_trials(rows, choose_one_pilot(rows, digits, cell, run), cell, run), facts, cell, run, inline)
-    many = cell_statistics(many_pilot_trials(rows, choose_many_pilots(rows, min_valid, digits, inline, cell, run), cell, run), facts, cell, run, inline)
+                    digits: int | None = None, cell=CELL, run=RUN, inline=None, keep=lambda name, df: df) -> DataFrame:
+    """Both designs, every pool and cell.  The trial rows, the run facts and the
+    choices are each read several times; ``keep(name, df)`` may write them as
+    tables so that the records are joined to the pools once."""
+    rows = keep("rows", trial_records(records, uncapped, pools, cell, run))
+    facts = keep("facts", run_facts(records, uncapped, cell, run))
+    first = keep("one", choose_one_pilot(rows, digits, cell, run))
+    others = keep("many", choose_many_pilots(rows, min_valid, digits, inline, cell, run))
+    one = cell_statistics(one_pilot_trials(rows, first, cell, run), facts, cell, run, inline)
+    many = cell_statistics(many_pilot_trials(rows, others, cell, run), facts, cell, run, inline)
     return one.withColumn("design", F.lit("one_pilot")).unionByName(many.withColumn("design", F.lit("many_pilots")))
 
 

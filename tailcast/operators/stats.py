@@ -13,10 +13,6 @@ from tailcast.operators.scoring import skill, zero_denominator
 from tailcast.settings import FEATURES, REJECT_THRESHOLDS
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2.0))
-
-
 def spearman(df: DataFrame, keys, x: str, y: str, fewest: int = 10) -> DataFrame:
     """Rank correlation per group over complete pairs.  Ties share their average
     rank; infinities are values.  Ranks come from counted values, so no group is
@@ -40,7 +36,8 @@ def spearman(df: DataFrame, keys, x: str, y: str, fewest: int = 10) -> DataFrame
 def spearman_p(table: DataFrame) -> DataFrame:
     """Two-sided p-value of a rank correlation by the Fisher transform (normal
     approximation); one value per row of a small result table."""
-    p = F.pandas_udf(lambda s: s.map(_two_sided), "double")
+    root, erfc = math.sqrt(2.0), math.erfc
+    p = F.pandas_udf(lambda s: s.map(lambda z: erfc(abs(z) / root)), "double")
     r = F.least(F.greatest(F.col("spearman_r"), F.lit(-0.9999999999)), F.lit(0.9999999999))
     z = F.sqrt((F.col("n") - 3) / F.lit(1.06)) * F.lit(0.5) * F.ln((F.lit(1.0) + r) / (F.lit(1.0) - r))
     return table.withColumn("p_value", F.when(F.col("spearman_r").isNotNull() & (F.col("n") > 3), p(F.coalesce(z, F.lit(0.0)))))

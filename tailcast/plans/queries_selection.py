@@ -34,12 +34,15 @@ def _uncapped(spark, sf):
 
 
 def _rows(spark, sf):
-    return L.trial_records(ST.gap_records(spark, sf), _uncapped(spark, sf), _pools(spark, sf))
+    return stage(spark, "trial-rows", sf, lambda: L.trial_records(ST.gap_records(spark, sf), _uncapped(spark, sf), _pools(spark, sf)))
 
 
 def _selection(spark, sf):
+    def keep(name, df):
+        return stage(spark, f"trial-{name}", sf, lambda: df)
     return stage(spark, "selection-cells", sf, lambda: L.selection_cells(
-        L.check_flags(ST.gap_records(spark, sf)), _uncapped(spark, sf), _pools(spark, sf), digits=ST.RANK_DIGITS, inline=ST.inline(spark, sf)))
+        L.check_flags(ST.gap_records(spark, sf)), _uncapped(spark, sf), _pools(spark, sf), digits=ST.RANK_DIGITS,
+        inline=ST.inline(spark, sf), keep=keep))
 
 
 @query("l1_uncapped_cells")
