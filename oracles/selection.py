@@ -103,3 +103,20 @@ tail("f19_consumer_aggregate", "modes", f"SELECT assumed_mode, method, target_g,
 tail("f25_mode_spread", "modes", f"""SELECT method, regime_set, target_g, {R('max(med_error) - min(med_error)')} AS spread, {R('CASE WHEN min(med_error) > 0 THEN 1e2 * (max(med_error) - min(med_error)) / min(med_error) END')} AS spread_pct
     FROM ({CONS}) WHERE noise_level = 'all' GROUP BY ALL""")
 tail("w3_cascade_by_window_length", "lens", cascade_sweep("window_len"))
+
+tail("n8_input_dependence", "react", f"""SELECT a.method, count(*) AS n, count(*) FILTER (WHERE a.estimate_raw IS DISTINCT FROM b.estimate_raw) AS n_changed FROM est a JOIN p_est b
+    ON a.curve_id = b.curve_id AND a.depth = b.depth AND a.noise = b.noise AND a.target_g = b.target_g AND a.method = b.method GROUP BY a.method""")
+_sq = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in FEATURES)
+tail("e17_final_step_routing", "laststep", f"""WITH c AS (SELECT family AS centroid, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM feat GROUP BY family),
+    nn AS (SELECT curve_id, depth, arg_min(centroid, {{'d': d, 'c': centroid}}) AS nearest FROM (SELECT a.curve_id, a.depth, b.centroid, sqrt({_sq}) AS d FROM feat a CROSS JOIN c b) GROUP BY curve_id, depth),
+    ch AS (SELECT curve_id, depth, {CASCADE} AS selected_method FROM feat)
+    SELECT r.curve_id, r.depth, r.n_f, {R('true_val')} AS true_val, selected_method, {R('estimate')} AS estimate, {R('error')} AS error, {R('curr_err')} AS curr_err, nearest
+    FROM rec r JOIN ch ON ch.curve_id = r.curve_id AND ch.depth = r.depth AND ch.selected_method = r.method JOIN nn ON nn.curve_id = r.curve_id AND nn.depth = r.depth""")
+_cols = ("med_error", "win_rate_vs_last", "cat_rate", "valid_rate")
+tail("h16_leading_summary", "leadsum", f"""WITH sp AS (SELECT method, CASE WHEN min(e) > 0 THEN 1e2 * (max(e) - min(e)) / min(e) END AS spread_pct FROM (SELECT method, assumed_mode, median(error) AS e FROM mo_rec
+      WHERE capped = 0 AND is_holdout = 0 AND target_g = 0.5 AND method IN ('log_linear', 'constant_assumed', 'richardson_1', 'rational_fit') GROUP BY ALL) GROUP BY method),
+    rc AS (SELECT method, (sum(win_vs_last) FILTER (WHERE post_min_target = 0))::BIGINT AS pre_wins, count(*) FILTER (WHERE post_min_target = 0) AS pre_n, (sum(win_vs_last) FILTER (WHERE post_min_target = 1))::BIGINT AS post_wins,
+      count(*) FILTER (WHERE post_min_target = 1) AS post_n FROM st_srec GROUP BY method)
+    SELECT l.method, l.position::INTEGER AS position, {', '.join(f'{R(f"c.{x}")} AS core_{x}, {R(f"h.{x}")} AS hold_{x}' for x in _cols)}, {R('spread_pct')} AS spread_pct, pre_wins, pre_n, post_wins, post_n
+    FROM ({LEAD}) l JOIN pooled c ON c.method = l.method AND c.is_holdout = 0 AND c.target_g = 0.5 JOIN pooled h ON h.method = l.method AND h.is_holdout = 1 AND h.target_g = 0.5
+    LEFT JOIN sp ON sp.method = l.method LEFT JOIN rc ON rc.method = l.method""")

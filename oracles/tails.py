@@ -142,6 +142,8 @@ def groups() -> dict[str, dict[str, str]]:
         "diagfeat": {**gap, **V.perturb_ctes(), **V.shift_ctes(), **V.DIAG_REC, **CELLS, **feature_ctes(), **CELLFEAT},
         "recorded": {**step, **feature_ctes(), **V.recorded_ctes()},
         "poolstep": {**gap, **CELLS, **POOLED, **{k: v for k, v in V.renamed_step().items()}},
+        "react": {**gap, **V.reaction_ctes()}, "laststep": V.last_step_study(),
+        "leadsum": {**gap, **CELLS, **POOLED, **V.renamed_step(), **V.renamed_modes()},
         "modes": V.mode_study(), "lens": V.length_study(),
     }
 

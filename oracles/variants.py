@@ -30,11 +30,11 @@ def _summaries(ys="ys"):
     return f"list_min({ys}) AS min_v, list_max({ys}) AS max_v, list_avg({ys}) AS mean_v, {ys}[len({ys})] AS last_v"
 
 
-def pwins_sql(depths=(60, 90), source="wins") -> str:
+def pwins_sql(depths=(60, 90), source="wins", trials: int = 5, scale: str = "0.02") -> str:
     return f"""SELECT curve_id, family, is_holdout, run, depth, noise, trial AS window_len, trial, assumed_mode, L_true, L_hat, xs, ys, {_summaries()} FROM (
-        SELECT * EXCLUDE (ys, window_len, min_v, max_v, mean_v, last_v), list_transform(range(1, len(ys) + 1), lambda i: ys[i] * (1e0 + 0.02::DOUBLE * (2e0 *
+        SELECT * EXCLUDE (ys, window_len, min_v, max_v, mean_v, last_v), list_transform(range(1, len(ys) + 1), lambda i: ys[i] * (1e0 + {scale}::DOUBLE * (2e0 *
           (('0x' || substr(md5(curve_id || '|' || depth || '|' || CAST(round(noise * 1e6) AS BIGINT) || '|' || trial || '|' || xs[i]::INTEGER), 1, 8))::BIGINT)::DOUBLE / 4294967296e0 - 1e0))) AS ys
-        FROM {source} CROSS JOIN (SELECT unnest(range(1, 6))::INTEGER AS trial) WHERE depth IN ({', '.join(map(str, depths))}))"""
+        FROM {source} CROSS JOIN (SELECT unnest(range(1, {trials + 1}))::INTEGER AS trial) WHERE depth IN ({', '.join(map(str, depths))}))"""
 
 
 def perturb_ctes(methods=DIAG, depths=(60, 90)) -> dict[str, str]:
@@ -105,3 +105,22 @@ def length_study() -> dict[str, str]:
     from oracles.tails import feature_ctes
     return {**P.curve_ctes("se"), **P.horizon_ctes((90,), (0.7, 0.5)),
             **P.window_ctes((90,), (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80)), **P.estimate_ctes(DIAG), **P.record_ctes(), **feature_ctes()}
+
+
+def reaction_ctes() -> dict[str, str]:
+    """One perturbation of one percent beside the plain forecasts."""
+    p = pipeline("p_", "", "", DIAG, "trial")
+    p["p_wins"], p["p_tgt"] = pwins_sql((60, 90), trials=1, scale="0.01"), "SELECT * FROM tgt"
+    return p
+
+
+def last_step_study() -> dict[str, str]:
+    """Target = last step of the curve, depths 30, 60, 90."""
+    from oracles.tails import feature_ctes
+    depths = (30, 60, 90, 120, 150)
+    return {**P.curve_ctes("mean"), "tgt": "SELECT curve_id, d AS depth, max(step) AS n_f, max_by(value, step) AS true_val FROM curve CROSS JOIN (VALUES (30), (60), (90)) t(d) GROUP BY curve_id, d",
+            **P.window_ctes(depths), **P.estimate_ctes(P.DEFAULT_METHODS), **P.record_ctes(), **feature_ctes()}
+
+
+def renamed_modes() -> dict[str, str]:
+    return _isolated({k: v for k, v in mode_study().items() if not k.startswith(("f_", "fw", "fp", "fslope", "feat"))}, "mo_")

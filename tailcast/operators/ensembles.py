@@ -94,7 +94,7 @@ def selector_errors(records: DataFrame, feats: DataFrame, pool, excluded: DataFr
 
     agg = agg.withColumns({"_capped_diag_pool": capped(F.col("_m_pool")), "_capped_diag_safe": capped(F.col("_m_safe"))})
     values = [c[1:] for c in agg.columns if c.startswith("_") and not c.startswith("_m_")]
-    out = agg.join(F.broadcast(feats.withColumn("_route", cascade()).select("family", "depth", "noise", "_route")),
+    out = agg.join(feats.withColumn("_route", cascade()).select("family", "depth", "noise", "_route"),
                    ["family", "depth", "noise"], "left")
     return out.select(
         *group, "true_val", "ref_error", "curr_err", "E_last", "oracle_pool", "oracle_small",

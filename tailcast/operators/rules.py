@@ -111,7 +111,7 @@ def candidate_grid(cells: DataFrame, feats: DataFrame, candidates, digits: int |
         F.coalesce(F.min_by("method", F.when(F.col("med_error").isNotNull(), F.struct(
             F.col("med_error") if digits is None else F.round("med_error", digits), F.col("method")))),
             F.lit(candidates[0])).alias("oracle_method"))
-    return wide.join(F.broadcast(feats), list(WINDOW_CELL), "left")
+    return wide.join(feats, list(WINDOW_CELL), "left")
 
 
 def selector_choices(grid: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def screened_cascade(records: DataFrame, feats: DataFrame, run: str = "curve_id"
         return F.max(F.when(F.col("method") == m, F.col(col)))
 
     routed = F.col("chosen") == "rational_fit"
-    g = (records.join(F.broadcast(feats.withColumn("chosen", cascade()).select(*WINDOW_CELL, "chosen")), list(WINDOW_CELL))
+    g = (records.join(feats.withColumn("chosen", cascade()).select(*WINDOW_CELL, "chosen"), list(WINDOW_CELL))
          .groupBy(*keys, "chosen").agg(*[of(m, c).alias(f"{c}_{tag}") for m, tag in (
              (BASE, "p"), ("rational_fit", "r"), ("last_value", "l")) for c in ("error", "valid", "catastrophic", "perturb_iqr")]))
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).cast("double").alias("t"))

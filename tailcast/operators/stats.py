@@ -114,7 +114,7 @@ def phase_diagram(targets: DataFrame) -> DataFrame:
 def feature_correlations(targets: DataFrame, feats: DataFrame, fewest: int = 15) -> DataFrame:
     """Rank correlation of each cell feature with both targets, per family and
     over all, on cells where feature and targets are present."""
-    base = targets.filter("capped = 0").join(F.broadcast(feats), ["family", "depth", "noise"], "left")
+    base = targets.filter("capped = 0").join(feats, ["family", "depth", "noise"], "left")
     long = with_totals(base.select("family", "target_g", "R_R_med", "log_med_error_R", *FEATURES), "family").unpivot(
         ["family", "target_g", "R_R_med", "log_med_error_R"], list(FEATURES), "feature", "fvalue")
     keys = ["family", "target_g", "feature"]
@@ -162,9 +162,9 @@ def cluster_bootstrap(cells: DataFrame, families: DataFrame, draws: int = 5000)
     base = spark.range(draws).select(F.col("id").cast("int").alias("b")).crossJoin(F.broadcast(k))
     slots = base.select("b", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("slot"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
-    taken = (slots.withColumn("i", (h % F.col("k") + 1).cast("int")).join(F.broadcast(fam), "i")
+    taken = (slots.withColumn("i", (h % F.col("k") + 1).cast("int")).join(fam, "i")
              .groupBy("b", "family").agg(F.count(F.lit(1)).alias("times")))
-    rows = taken.join(F.broadcast(cells) if _few(cells) else cells, "family")
+    rows = taken.join(cells, "family")
     stats = rows.groupBy("target_g", "b").agg(
         (F.sum(F.col("times") * F.col("win")) / F.sum(F.col("times") * F.col("n"))).alias("win_rate"),
         (F.sum(F.col("times") * F.col("lower")) / F.sum("times")).alias("lower_share"),
@@ -177,6 +177,3 @@ def cluster_bootstrap(cells: DataFrame, families: DataFrame, draws: int = 5000)
         "target_g", "n_cells", *names, *[F.get(f"_{n}", F.lit(j)).alias(f"{n}_{e}") for n in names for j, e in enumerate(("lo", "hi"))])
 
 
-def _few(df: DataFrame) -> bool:
-    from tailcast.session import BROADCAST_ROWS, at_most
-    return at_most(df, BROADCAST_ROWS)

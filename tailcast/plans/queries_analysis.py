@@ -349,7 +349,7 @@ def _(spark, sf):
 
 @query("h4_features_to_cells")
 def _(spark, sf):
-    return _targets(spark, sf).join(F.broadcast(ST.cell_features(spark, sf)), ["family", "depth", "noise"], "left").select(
+    return _targets(spark, sf).join(ST.cell_features(spark, sf), ["family", "depth", "noise"], "left").select(
         "family", "depth", "noise", "target_g", "R_R_med", "log_log_slope", "richardson_r2")
 
 
@@ -361,7 +361,7 @@ def _(spark, sf):
 @query("h6_flags_to_records")
 def _(spark, sf):
     flags = RU.threshold_rule(ST.cell_features(spark, sf), "richardson_r2", "<", 0.9).select("family", "depth", "noise", "fired")
-    return ST.gap_records(spark, sf).join(F.broadcast(flags), ["family", "depth", "noise"]).groupBy("method", "fired").agg(
+    return ST.gap_records(spark, sf).join(flags, ["family", "depth", "noise"]).groupBy("method", "fired").agg(
         F.count(F.lit(1)).alias("n"), F.sum("valid").alias("n_valid"))
 
 

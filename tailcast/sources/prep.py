@@ -36,7 +36,7 @@ def stratified_split(df: DataFrame, label: str, key: Column, share: float) -> Da
     the key train, the rest validate.  No label is sorted in one task."""
     d = df.withColumn("_h", hash_position(key).cast("double"))
     cut = grouped(d, [label], [F.count(F.lit(1)).alias("_n")], {"_cut": ("_h", share)})
-    return (d.join(F.broadcast(cut.drop("_n")), label)
+    return (d.join(cut.drop("_n"), label)
             .withColumn("is_train", (F.col("_h") <= F.col("_cut")).cast("int")).drop("_h", "_cut"))
 
 
