@@ -1,6 +1,7 @@
 """SQL of the source, curve, feature, forecast and score queries."""
 from __future__ import annotations
 
+from oracles import orders
 from oracles.prelude import DEFAULT_METHODS
 from oracles.tails import DIAG_POOL, FEATURES, REC, R, inlist, tail
 
@@ -87,11 +88,16 @@ GROUPS = {
     "d2_linear": ("linear",), "d3_log_linear": ("log_linear",), "d4_geometric_differences": ("geom_avg_diff",),
     "d5_fixed_power": ("richardson_a05", "richardson_a10", "richardson_a20"), "d6_power_fit": ("richardson_1",),
     "d8_exponential_rational": ("single_exp_fit", "rational_fit"), "d9_log_fit": ("log_fit",),
-    "d11_shanks": ("shanks_1", "shanks_2"), "d12_wynn_epsilon": ("wynn_eps_2",), "d13_wynn_rho": ("wynn_rho_1",),
-    "d15_levin": ("levin_t1", "levin_t2", "levin_u1", "levin_v1"), "d16_brezinski": ("brezinski_theta2",),
-    "d17_neville": ("neville_2",), "d18_anderson": ("anderson_1", "anderson_2"),
+    "d11_shanks": ("shanks_1", "shanks_2", "shanks_3", "shanks_4"), "d12_wynn_epsilon": ("wynn_eps_1", "wynn_eps_2", "wynn_eps_3"),
+    "d13_wynn_rho": ("wynn_rho_1", "wynn_rho_2", "wynn_rho_3"),
+    "d15_levin": ("levin_t1", "levin_t2", "levin_u1", "levin_u2", "levin_v1", "levin_v2"),
+    "d16_brezinski": ("brezinski_theta1", "brezinski_theta2"), "d17_neville": ("neville_2", "neville_3", "neville_4"),
+    "d18_anderson": ("anderson_1", "anderson_2", "anderson_3"),
 }
 for _n, _m in GROUPS.items():
+    if int(_n[1:].split("_")[0]) > 10:
+        tail(_n, "orders", orders.select(_m))
+        continue
     tail(_n, "gap", f"SELECT curve_id, depth, noise, target_g, method, {R('estimate_raw')} AS estimate FROM est WHERE method IN {inlist(_m)}")
 
 _keep = inlist(("richardson_1", "rational_fit", "log_linear", "levin_t2", "last_value", "window_mean"))

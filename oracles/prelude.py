@@ -129,7 +129,7 @@ def _guard(num, den, tol="1e-14"):
     return f"(CASE WHEN abs({den}) >= {tol} THEN ({num}) / ({den}) END)"
 
 
-def sequence_ctes(wins: str = "wins") -> dict[str, str]:
+def sequence_ctes(wins: str = "wins", all_orders: bool = False) -> dict[str, str]:
     """seq: limit estimates from the tail of each window."""
     def d(j, off=0):        # difference number j of the last values s0 .. s(need-1)
         return f"(s{off + j + 1} - s{off + j})"
@@ -177,6 +177,8 @@ def sequence_ctes(wins: str = "wins") -> dict[str, str]:
     def eps(prev, a, b):
         return f"({prev} + " + _guard("1e0", f"({b} - {a})") + ")"
 
+    more = (f", {levin(2, 'u')} AS levin_u2, {levin(2, 'v')} AS levin_v2, {anderson(3)} AS anderson_3, "
+            f"{theta('y2', 'y1', 'y0')} AS brezinski_theta1") if all_orders else ""
     return {
         "tl": f"SELECT *, {names}, {aitken.format(s='ys')} AS a1 FROM {wins}",
         "tl2": f"SELECT *, {aitken.format(s='a1')} AS a2, "
@@ -188,7 +190,7 @@ def sequence_ctes(wins: str = "wins") -> dict[str, str]:
         "seq": f"""SELECT *, a1[len(a1)] AS shanks_1, a2[len(a2)] AS shanks_2, {eps('e21', 'e30', 'e31')} AS wynn_eps_2,
             y1 + {_guard('u0 - u2', '(r11 - r10)')} AS wynn_rho_1, {levin(1, 't')} AS levin_t1, {levin(2, 't')} AS levin_t2,
             {levin(1, 'u')} AS levin_u1, {levin(1, 'v')} AS levin_v1, {theta('b0', 'b1', 'b2')} AS brezinski_theta2,
-            {anderson(1)} AS anderson_1, {anderson(2)} AS anderson_2,
+            {anderson(1)} AS anderson_1, {anderson(2)} AS anderson_2{more},
             L_hat AS constant_assumed, L_true AS constant_oracle, mean_v AS window_mean, min_v AS window_min, last_v AS last_value
             FROM tl4""",
     }

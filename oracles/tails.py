@@ -124,6 +124,7 @@ def groups() -> dict[str, dict[str, str]]:
     step = P.step_study()
     gap_windows = {**P.curve_ctes("se"), **P.horizon_ctes((30, 60, 90), (0.7, 0.5, 0.1)), **P.window_ctes((30, 60, 90), (0.0, 0.005), limit="0e0")}
     step_windows = {**P.curve_ctes("mean"), **P.step_target_ctes((30, 60, 90, 120, 150), (200, 300, 400)), **P.window_ctes((30, 60, 90, 120, 150)), **P.minima_cte()}
+    from oracles import orders as O
     from oracles import variants as V
     return {
         "flag": {**P.curve_ctes("se"), **P.step_target_ctes((30, 60, 90, 120, 150), (200, 300, 400)), **P.window_ctes((30, 60, 90, 120, 150), limit="0e0"),
@@ -134,6 +135,7 @@ def groups() -> dict[str, dict[str, str]]:
         "bfive": {**P.curve_ctes("se"), **P.window_ctes((30, 60, 90, 120, 150), limit="0.01::DOUBLE", modes=("zero", "half", "oracle", "double", "winmin"))},
         "pert": {**gap_windows, "pwins": V.pwins_sql()},
         "gapwin": gap_windows, "stepwin": step_windows,
+        "orders": {**gap_windows, **O.order_ctes()},
         "gap": gap, "step": step, "cells": {**gap, **CELLS}, "pooled": {**gap, **CELLS, **POOLED},
         "feat": {**gap_windows, **feature_ctes()}, "cfeat": {**gap_windows, **feature_ctes(), **CELLFEAT},
         "stepfeat": {**step_windows, **feature_ctes()},

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tailcast.functions.arrays import finite
 from tailcast.operators import curves as C
 from tailcast.operators import features as FE
 from tailcast.operators import quality as Q
@@ -255,19 +256,23 @@ GROUPS = {
     "d2_linear": ("linear",), "d3_log_linear": ("log_linear",), "d4_geometric_differences": ("geom_avg_diff",),
     "d5_fixed_power": ("richardson_a05", "richardson_a10", "richardson_a20"), "d6_power_fit": ("richardson_1",),
     "d8_exponential_rational": ("single_exp_fit", "rational_fit"), "d9_log_fit": ("log_fit",),
-    "d11_shanks": ("shanks_1", "shanks_2"), "d12_wynn_epsilon": ("wynn_eps_2",), "d13_wynn_rho": ("wynn_rho_1",),
-    "d15_levin": ("levin_t1", "levin_t2", "levin_u1", "levin_v1"), "d16_brezinski": ("brezinski_theta2",),
-    "d17_neville": ("neville_2",), "d18_anderson": ("anderson_1", "anderson_2"),
+    "d11_shanks": ("shanks_1", "shanks_2", "shanks_3", "shanks_4"), "d12_wynn_epsilon": ("wynn_eps_1", "wynn_eps_2", "wynn_eps_3"),
+    "d13_wynn_rho": ("wynn_rho_1", "wynn_rho_2", "wynn_rho_3"),
+    "d15_levin": ("levin_t1", "levin_t2", "levin_u1", "levin_u2", "levin_v1", "levin_v2"),
+    "d16_brezinski": ("brezinski_theta1", "brezinski_theta2"), "d17_neville": ("neville_2", "neville_3", "neville_4"),
+    "d18_anderson": ("anderson_1", "anderson_2", "anderson_3"),
 }
 for _name, _methods in GROUPS.items():
     def _estimates(spark, sf, methods=_methods):
         w = ST.gap_windows(spark, ST.curves(spark, sf), ST.horizons(spark, sf), true_limit=F.lit(0.0))
-        return forecast(w, methods).select("curve_id", "depth", "noise", "target_g", "method", F.col("estimate_raw").alias("estimate"))
+        e = F.col("estimate_raw")
+        return forecast(w, methods).select("curve_id", "depth", "noise", "target_g", "method", F.when(finite(e), e).alias("estimate"))
     query(_name)(_estimates)
 
 
 def _recorded(spark, sf, methods):
-    return forecast(_plain_windows(spark, sf), methods).select("curve_id", "depth", "n_f", "method", F.col("estimate_raw").alias("estimate"))
+    e = F.col("estimate_raw")
+    return forecast(_plain_windows(spark, sf), methods).select("curve_id", "depth", "n_f", "method", F.when(finite(e), e).alias("estimate"))
 
 
 @query("d7_multi_term_power")
