@@ -8,7 +8,7 @@ DIAG = ("richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log
 
 
 def _isolated(ctes: dict[str, str], prefix: str, shared=()) -> dict[str, str]:
-    """Rename the CTEs of a pipeline so two copies can stand side by side."""
+    """Rename the CTEs of a chain so two copies can stand side by side."""
     import re
     names = [n for n in ctes if n not in shared]
     out = {}
@@ -19,7 +19,7 @@ def _isolated(ctes: dict[str, str], prefix: str, shared=()) -> dict[str, str]:
     return out
 
 
-def pipeline(prefix: str, wins_sql: str, tgt_sql: str, methods, key: str) -> dict[str, str]:
+def forecast_chain(prefix: str, wins_sql: str, tgt_sql: str, methods, key: str) -> dict[str, str]:
     """Forecast CTEs over another window table.  The variant number rides in the
     ``window_len`` key."""
     base = {"wins": wins_sql, "tgt": tgt_sql, **P.estimate_ctes(methods)}
@@ -38,7 +38,7 @@ def pwins_sql(depths=(60, 90), source="wins", trials: int = 5, scale: str = "0.0
 
 
 def perturb_ctes(methods=DIAG, depths=(60, 90)) -> dict[str, str]:
-    p = pipeline("p_", pwins_sql(depths), "SELECT * FROM tgt", methods, "trial")
+    p = forecast_chain("p_", pwins_sql(depths), "SELECT * FROM tgt", methods, "trial")
     p["p_tgt"] = "SELECT * FROM tgt"
     p["p_wins"] = pwins_sql(depths)
     v = f"CASE WHEN {P._valid('estimate_raw')} THEN estimate_raw END"
@@ -54,7 +54,7 @@ def shift_wins(depths) -> str:
 
 
 def shift_ctes(methods=DIAG, depths=(60, 90)) -> dict[str, str]:
-    p = pipeline("s_", "", "", methods, "s")
+    p = forecast_chain("s_", "", "", methods, "s")
     p["s_wins"], p["s_tgt"] = shift_wins(depths), "SELECT * FROM tgt"
     v = f"CASE WHEN {P._valid('estimate_raw')} THEN estimate_raw END"
     p["siqr"] = f"""SELECT curve_id, depth, noise, target_g, n_f, method, CASE WHEN count({v}) >= 2 THEN quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25) END AS shift_iqr
@@ -71,7 +71,7 @@ DIAG_REC = {"drec": f"""SELECT r.*, p.perturb_iqr, s.shift_iqr FROM rec r
 def recorded_ctes() -> dict[str, str]:
     """rsum: one row per recorded cell with the cascade's choice."""
     from oracles.curves import BEST_REF, CASCADE
-    p = pipeline("p_", "", "", P.DEFAULT_METHODS, "trial")
+    p = forecast_chain("p_", "", "", P.DEFAULT_METHODS, "trial")
     p["p_wins"], p["p_tgt"] = pwins_sql((30, 60, 90, 120, 150)), "SELECT * FROM tgt"
     v = f"CASE WHEN {P._valid('estimate_raw')} THEN estimate_raw END"
     p["riqr"] = f"""SELECT curve_id, depth, n_f, method, CASE WHEN count({v}) >= 3 THEN quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25) END AS perturb_iqr
@@ -109,7 +109,7 @@ def length_study() -> dict[str, str]:
 
 def reaction_ctes() -> dict[str, str]:
     """One perturbation of one percent beside the plain forecasts."""
-    p = pipeline("p_", "", "", DIAG, "trial")
+    p = forecast_chain("p_", "", "", DIAG, "trial")
     p["p_wins"], p["p_tgt"] = pwins_sql((60, 90), trials=1, scale="0.01"), "SELECT * FROM tgt"
     return p
 

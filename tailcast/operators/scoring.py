@@ -100,7 +100,7 @@ def reference_columns(rows: DataFrame, keys) -> DataFrame:
         for m, col in REFERENCE_COLUMN.items()})
 
 
-def best_reference(keys=()) -> Column:
+def best_reference() -> Column:
     """Aggregate: the reference with the smallest valid error, first in the
     reference order on ties, '' when none is valid."""
     order = F.lit(None).cast("int")

@@ -75,18 +75,21 @@ def choose_one_pilot(rows: DataFrame, digits: int | None = None, cell=CELL, run=
     return rows.groupBy("pool", *cell, run).agg(F.min_by("method", key).alias("chosen"))
 
 
-def choose_many_pilots(rows: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None, inline=None,
-                       cell=CELL, run=RUN) -> DataFrame:
+def cell_runs(facts: DataFrame, cell=CELL) -> DataFrame:
+    """Runs per cell; ``facts`` has one row per run, so a plain count is exact."""
+    return facts.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None,
+                       inline=None, cell=CELL, run=RUN) -> DataFrame:
     """Per (pool, run as final): the member with the lowest median error over the
     other runs among those valid on enough of them.  Leaving one value out moves
     a median by at most one place, so three middle order statistics per (cell,
     method) give every leave-one-out median."""
-    base = rows.select(*cell, run, "method", "err").distinct()
     half = lambda n: F.floor(n / 2)                                   # noqa: E731
-    mid = order_statistics(base, [*cell, "method"], "err", {
+    mid = order_statistics(rows, ["pool", *cell, "method"], "err", {
         "x0": lambda n: half(n) - 1, "x1": half, "x2": lambda n: half(n) + 1}, inline)
-    runs = base.groupBy(*cell).agg(F.count_distinct(run).alias("n_runs"))
-    r = rows.join(mid, [*cell, "method"], "left").join(runs, list(cell))
+    r = rows.join(mid, ["pool", *cell, "method"], "left").join(runs, list(cell))
     e, k = F.col("err"), F.floor(F.col("n") / 2)
     even = (F.col("n") % 2) == 0
     full = F.when(even, (F.col("x0") + F.col("x1")) / 2.0).otherwise(F.col("x1"))
@@ -142,8 +145,7 @@ def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN, inl
         share(F.col("cat") != 0).alias("cat_rate_chosen"), share(F.col("cat_default") != 0).alias("cat_rate_default")],
         {"med_error_chosen": ("err", 0.5), "med_error_default": ("e_default", 0.5), "med_error_last": ("e_last", 0.5),
          "med_ratio_vs_default": ("_ratio", 0.5)}, inline, weight="w")
-    # one row per run in ``facts``: counting them needs no distinct
-    stats = stats.join(facts.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_runs")), list(cell))
+    stats = stats.join(cell_runs(facts, cell), list(cell))
     order = F.lit(None).cast("int")
     for m, i in REGISTRY_INDEX.items():
         order = F.when(F.col("method") == m, F.lit(i)).otherwise(order)
@@ -163,7 +165,7 @@ def selection_cells(records: DataFrame, uncapped: DataFrame, pools: DataFrame, m
     rows = keep("rows", trial_records(records, uncapped, pools, cell, run))
     facts = keep("facts", run_facts(records, uncapped, cell, run))
     first = keep("one", choose_one_pilot(rows, digits, cell, run))
-    others = keep("many", choose_many_pilots(rows, min_valid, digits, inline, cell, run))
+    others = keep("many", choose_many_pilots(rows, cell_runs(facts, cell), min_valid, digits, inline, cell, run))
     one = cell_statistics(one_pilot_trials(rows, first, cell, run), facts, cell, run, inline)
     many = cell_statistics(many_pilot_trials(rows, others, cell, run), facts, cell, run, inline)
     return one.withColumn("design", F.lit("one_pilot")).unionByName(many.withColumn("design", F.lit("many_pilots")))

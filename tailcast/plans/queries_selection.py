@@ -62,7 +62,8 @@ def _(spark, sf):
 
 @query("l4_many_pilots")
 def _(spark, sf):
-    return L.choose_many_pilots(_rows(spark, sf), digits=ST.RANK_DIGITS, inline=ST.inline(spark, sf))
+    runs = L.cell_runs(L.run_facts(ST.gap_records(spark, sf), _uncapped(spark, sf)))
+    return L.choose_many_pilots(_rows(spark, sf), runs, digits=ST.RANK_DIGITS, inline=ST.inline(spark, sf))
 
 
 @query("l5_selection_cells")
