@@ -3,16 +3,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, sharding
+from . import mixing, quality, secrets, sharding, warc
 from .common import load
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"), 24)
 
 
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents"))
+
+
 def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_jump_sharding, op8_credential_linking)}
+QUERIES = {f.__name__: f for f in (op2_warc_transactions, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking)}
