@@ -23,7 +23,7 @@ WINDOW = 8                     # words of a window that counts as repeated
 MIN_WORDS, MAX_REPEATED = 20, 30
 GUARD_WORDS = 50               # shorter documents are not judged by distance
 GUARD_REFERENCE = 5_000        # nor are documents of a language with fewer words in the corpus
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.62
+MAX_DISTANCE, ALLOWANCE = 0.22, 1.0    # limit of both distances: MAX_DISTANCE + ALLOWANCE / sqrt(n_words), as short texts stray further by chance
 
 _INDEX = {w.encode(): i for i, w in enumerate(VOCABULARY)}
 _EDGES = b".,;:!?\"'()[]"
@@ -142,7 +142,7 @@ def judged(features: DataFrame, refs: DataFrame, lang: Column) -> DataFrame:
     base = (f("n_words") < MIN_WORDS) | (100 * f("n_repeat_words") > MAX_REPEATED * f("n_words"))
     guard = (f("n_words") >= GUARD_WORDS) & (F.coalesce(f("ref_words"), F.lit(0.0)) >= GUARD_REFERENCE)
     rows = rows.withColumns({MARK + "class_distance": F.when(guard, _distance(by_class)), MARK + "word_distance": F.when(guard, _distance(by_word)), MARK + "base_failed": base})
-    far = (f("class_distance") > MAX_CLASS_DISTANCE) | (f("word_distance") > MAX_WORD_DISTANCE)
+    far = F.greatest(f("class_distance"), f("word_distance")) > MAX_DISTANCE + ALLOWANCE / F.sqrt(words)
     return rows.withColumn(MARK + "kept", ~f("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 

@@ -2,11 +2,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, sharding, warc
+from . import mixing, quality, secrets, sharding, tokens, warc
 from .common import load
 
 
+def op1_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = tokens.plant_trees(load(spark, sf_dir, "documents"))
+    return tokens.count_edited(trees, tokens.revisions("doc_id", F.col("tree.text")))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
@@ -27,4 +33,4 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(load(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_transactions, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking)}
+QUERIES = {f.__name__: f for f in (op1_edit_aware_tokens, op2_warc_transactions, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking)}
