@@ -242,7 +242,7 @@ def count_edited(trees: DataFrame, edits: Column, key: str = "doc_id", path: str
             columns = list(zip(*rows)) or [[]] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(columns, COUNTS)]], names=["k", *names])
 
-    return trees.select(F.col(key), "tree", edits.cast(EDITS)).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return trees.select(F.col(key), "tree", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def revisions(key: str, text: Column) -> Column:
