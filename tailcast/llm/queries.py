@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, secrets, sharding, tokens, warc
+from . import chunking, jaccard, mixing, quality, secrets, sharding, tokens, warc
 from .common import load
 
 
@@ -33,8 +33,12 @@ def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(load(spark, sf_dir, "documents")))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_aware_tokens, op2_warc_transactions, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_edit_aware_tokens, op2_warc_transactions, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking, op9_chunk_dedup, op10_ngram_jaccard)}
