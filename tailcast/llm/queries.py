@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, jaccard, mixing, quality, secrets, sharding, tokens, warc
+from . import chunking, decontaminate, extract, jaccard, mixing, quality, secrets, sharding, tokens, warc
 from .common import load
 
 
@@ -17,6 +17,15 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.where("contaminated").drop("contaminated")
+
+
+def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(load(spark, sf_dir, "pages"))
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"), 24)
 
@@ -41,4 +50,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_aware_tokens, op2_warc_transactions, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking, op9_chunk_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_edit_aware_tokens, op2_warc_transactions, op3_bm25_decontamination, op4_wrapper_extraction, op5_jump_sharding, op6_poisson_mixing, op7_divergence_rules, op8_credential_linking, op9_chunk_dedup, op10_ngram_jaccard)}
