@@ -282,13 +282,14 @@ def main_text(page: str, template: list[int] | None) -> list[str]:
             node = node.parent
 
     chains = {id(n): list(above(n)) for n in {id(b[0]): b[0] for b in blocks}.values()}
-    holders = set()
+    holders: set[int] = set()
     for tag in ("article", "main"):
-        for node, _, _ in blocks:
-            chain = chains[id(node)]
+        plain, named = set(), set()
+        for chain in chains.values():
             place = max((i for i, x in enumerate(chain) if x.tag == tag), default=None)
-            if place is not None and not any(x.drop for x in chain[:place + 1] if x.tag != "#") and not any(x.tag in DROPPED for x in chain):
-                holders.add(id(chain[place]))
+            if place is not None and not any(x.tag in DROPPED for x in chain) and not any(x.drop for x in chain[:place + 1]):
+                (named if any(x.drop for x in chain) else plain).add(id(chain[place]))
+        holders = plain or named                       # a comment is an article inside something named comments
         if holders:
             break
     around = {id(x) for b in blocks for i, y in enumerate(chains[id(b[0])]) if id(y) in holders for x in chains[id(b[0])][i:]}
