@@ -2,7 +2,7 @@
 one verification per pair, and connected components of the links.
 
 How large groups of near copies stay linear: equal sets become one node first; then each token of a
-prefix proposes one partner to all its holders (the holder with the fewest rare n-grams, which is the
+prefix proposes one partner to all its holders (the holder with the fewest rare n-grams before it, which is the
 text the others were edited from); only tokens still held by several components are joined in full,
 and there the holders outside the largest component meet the others."""
 from __future__ import annotations
@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, stage, text_of
+from .common import discard, small, stage, text_of
 
 CELLS = 32                     # parts of the hash range whose counts the suffix filter compares
 HOT_HERE, HOT_CHUNK = 4, 2_000_000   # an n-gram is reported as frequent if so many of a chunk's n-grams equal it
 HOT_TABLE = 100_000            # frequent n-grams that the order knows; it decides speed, never results
 SEEN = 500_000                 # nodes a task remembers so as to emit copies once
 WORDS = 1_000_000              # word hashes a worker remembers
+RECENT = 256                   # sets a worker remembers while it compares pairs
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +96,8 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, seed: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text: str, n: int, seed: int, num: int, den: int, hot) -> DataFrame:
-    """(token, node, size, at, short, rare) for the prefix of every set: ``short`` is the prefix length as the
-    shorter partner, ``rare`` the number of n-grams that are not known as frequent."""
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), *[T.StructField(c, T.IntegerType()) for c in ("size", "at", "short", "rare")]])
+    """(token, node, size, at) for the prefix of every set, rare n-grams first; ``at`` is the place in that order."""
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("at", T.IntegerType())])
 
     def run(batches):
         grams, counts = hot.value
@@ -114,61 +114,71 @@ def _postings(docs: DataFrame, text: str, n: int, seed: int, num: int, den: int,
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(node)
-                long, short = prefix_lengths(len(g), num, den)
+                long = prefix_lengths(len(g), num, den)[0]
+                prefix = g[:long]
                 if len(grams):
                     place = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
                     frequent = grams[place] == g
-                    rare = int(len(g) - frequent.sum())
                     prefix = g[~frequent][:long]
                     if len(prefix) < long:
                         rest, often = g[frequent], counts[place[frequent]]
                         prefix = np.concatenate([prefix, rest[np.lexsort((rest, often))][:long - len(prefix)]])
-                else:
-                    rare, prefix = len(g), g[:long]
-                parts.append((prefix.view(np.int64), node, len(g), short, rare))
+                parts.append((prefix.view(np.int64), node, len(g)))
             if not parts:
                 continue
             lengths = [len(p[0]) for p in parts]
             spread = lambda i, t: np.repeat(np.array([p[i] for p in parts], t), lengths)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([p[0] for p in parts]), spread(1, np.int64), spread(2, np.int32),
-                                                                    np.concatenate([np.arange(m, dtype=np.int32) for m in lengths]), spread(3, np.int32), spread(4, np.int32))], names=schema.names)
+                                                                    np.concatenate([np.arange(m, dtype=np.int32) for m in lengths]))], names=schema.names)
 
     return docs.select(text_of(text).alias("t")).mapInArrow(run, schema)
 
 
-def _grams_of(docs: DataFrame, key: str, text: str, ids: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, grams) of the documents whose key is in ``ids``.  The ids are broadcast up to a checked
-    number; beyond it the texts are joined by shuffling."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-
+def _compare(n: int, seed: int, num: int, den: int):
+    """Batches of (a, b, text of a, text of b) to the pairs that reach the threshold.  A text whose set is not the
+    node it stands for (keys may repeat) proves nothing.  Partners come sorted, so recent sets are kept."""
     def run(batches):
-        shingler = Shingler(n, seed)
+        shingler, recent = Shingler(n, seed), {}
+
+        def grams(node: int, data: bytes):
+            known = recent.get(node)
+            if known is None:
+                g = shingler.grams(data)
+                if int.from_bytes(shingler.digest(g)[:8], "little", signed=True) != node:
+                    return None
+                if len(recent) >= RECENT:
+                    recent.clear()
+                known = recent[node] = g
+            return known
+
         for batch in batches:
-            nodes, sets = [], []
-            for data in batch.column(0).cast(pa.binary()):
-                g = shingler.grams(data.as_py())
-                if len(g):
-                    nodes.append(int.from_bytes(shingler.digest(g)[:8], "little", signed=True))
-                    sets.append(g.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
+            left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+            linked = []
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                y, x = grams(b, right[i].as_py()), grams(a, left[i].as_py())
+                if x is None or y is None:
+                    linked.append(False)
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(den * common >= num * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    texts = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).join(small(ids), "k", "left_semi").select("t")
-    return texts.mapInArrow(run, schema).dropDuplicates(["node"])
+    return run
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, n: int, seed: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the threshold.  The suffix filter comes first: sets whose counts
-    over the parts of the hash range differ by more than |x| + |y| - 2 * overlap cannot overlap enough."""
+    over the parts of the hash range differ by more than |x| + |y| - 2 * overlap cannot overlap enough.
+    The texts of what is left travel to their pairs; they are picked by a broadcast of keys up to a
+    checked number, beyond it by a shuffled join."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("cells").alias(f"cells_{s}"), F.col("k").alias(f"k_{s}"))
     need = F.ceil(F.lit(num) * (F.col("size_a") + F.col("size_b")) / F.lit(num + den))
     gap = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(gap <= F.col("size_a") + F.col("size_b") - 2 * need)
-                 .select("a", "b", "size_a", "size_b", "k_a", "k_b"), "jaccard-near")
+    near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(gap <= F.col("size_a") + F.col("size_b") - 2 * need).select("a", "b", "k_a", "k_b"), "jaccard-near")
     ids = stage(near.select(F.explode(F.array("k_a", "k_b")).alias("k")).distinct(), "jaccard-ids")
-    sets = stage(_grams_of(docs, key, text, ids, n, seed), "jaccard-sets")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.where(F.lit(den) * common >= F.lit(num) * (F.col("size_a") + F.col("size_b") - common)).select("a", "b")
+    texts = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).join(small(ids), "k", "left_semi")
+    both = near.join(texts.select(F.col("k").alias("k_a"), F.col("t").alias("t_a")), "k_a").join(texts.select(F.col("k").alias("k_b"), F.col("t").alias("t_b")), "k_b")
+    return both.select("a", "b", "t_a", "t_b").mapInArrow(_compare(n, seed, num, den), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,21 +234,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, key
     by_gram = np.argsort(grams)
     hot = spark.sparkContext.broadcast((grams[by_gram], order[by_gram]))
     postings = stage(_postings(docs.where(F.col(key).isNotNull()), text, n, seed, num, den, hot), "jaccard-postings")
-    holder = F.min(F.struct("rare", "node", "size"))
-    tokens = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), holder.alias("hub")).where("low <> high").select("token", "hub")
+    tokens = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     shared = stage(postings.join(tokens, "token").distinct(), "jaccard-shared")
+    discard(postings)
 
     fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
     verify = lambda pairs: _verified(pairs, nodes, docs, key, text, n, seed, num, den)
-    hubs = shared.where((F.col("hub.node") != F.col("node")) & fits(F.col("hub.size"), F.col("size"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    # rare n-grams come first, so the holder that has the token earliest has the fewest of its own
+    hub = shared.groupBy("token").agg(F.min(F.struct("at", "node", "size")).alias("hub"))
+    hubs = shared.join(hub, "token").where((F.col("hub.node") != F.col("node")) & fits(F.col("hub.size"), F.col("size"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
     roots = components(verify(hubs.distinct()).unionByName(same_key))
 
-    held = stage(_rooted(shared.drop("hub", "rare"), roots), "jaccard-held")
+    held = stage(_rooted(shared, roots), "jaccard-held")
+    discard(shared)
     by_token = held.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
     minor = held.join(by_token.where("roots > 1"), "token").where(F.col("root") != F.col("major")).drop("major", "roots")
-    left = minor.select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "size", "at", "short")])
-    right = held.select("token", *[F.col(c).alias(f"r_{c}") for c in ("node", "root", "size", "at", "short")])
-    shows = (((F.col("l_size") <= F.col("r_size")) & (F.col("l_at") < F.col("l_short"))) | ((F.col("r_size") <= F.col("l_size")) & (F.col("r_at") < F.col("r_short"))))
+    left = minor.select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "root", "size", "at")])
+    right = held.select("token", *[F.col(c).alias(f"r_{c}") for c in ("node", "root", "size", "at")])
+    short = lambda s: F.col(f"{s}_size") - F.ceil(F.lit(2 * num) * F.col(f"{s}_size") / F.lit(num + den)) + 1
+    shows = (((F.col("l_size") <= F.col("r_size")) & (F.col("l_at") < short("l"))) | ((F.col("r_size") <= F.col("l_size")) & (F.col("r_at") < short("r"))))
     need = F.ceil(F.lit(num) * (F.col("l_size") + F.col("r_size")) / F.lit(num + den))
     reaches = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at")) >= need
     rest = (left.join(right, "token").where((F.col("l_root") != F.col("r_root")) & fits(F.col("l_size"), F.col("r_size")) & shows & reaches)
