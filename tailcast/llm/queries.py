@@ -5,12 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunking, decontaminate, extract, jaccard, mixing, quality, secrets, sharding, tokens, warc
-from .common import load
+from .common import load, text_of
 
 
 def op1_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = tokens.plant_trees(load(spark, sf_dir, "documents"))
-    return tokens.count_edited(trees, tokens.revisions("doc_id", F.col("tree.text")))
+    return tokens.count_documents(load(spark, sf_dir, "documents"), tokens.revisions("doc_id", text_of("text")))
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,8 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(load(spark, sf_dir, "documents"))
+    judged = quality.judge(load(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import base64
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -19,6 +20,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 AHEAD = 3                      # a pre-token depends on no more characters after its end
 LEAF = 64                      # pre-tokens of a leaf
 CACHE = 400_000                # pre-tokens whose counts a worker remembers
+SLICE = 256                    # documents whose trees a worker holds at a time
 
 _counters: dict[str, "Counter"] = {}
 
@@ -76,15 +78,23 @@ class PretokenTree:
         return list(map(len, chain(*self.leaves))), list(chain(*self.numbers))
 
     def _grow(self, pieces: list[str], numbers: list[int]) -> None:
-        groups = [(pieces[i:i + LEAF], numbers[i:i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
-        self.size = 1 << max(0, (len(groups) - 1).bit_length())
-        self.leaves = [g[0] for g in groups] + [[] for _ in range(self.size - len(groups))]
-        self.numbers = [g[1] for g in groups] + [[] for _ in range(self.size - len(groups))]
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i in range(self.size):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(map(len, self.leaves[i])), sum(self.numbers[i])
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
+        n = max(1, -(-len(pieces) // LEAF))
+        self.size = 1 << (n - 1).bit_length()
+        empty = [[] for _ in range(self.size - n)]
+        self.leaves = [pieces[i * LEAF:(i + 1) * LEAF] for i in range(n)] + empty
+        self.numbers = [numbers[i * LEAF:(i + 1) * LEAF] for i in range(n)] + [[] for _ in empty]
+        self.chars, self.tokens = self._sums(np.fromiter(map(len, pieces), np.int64, len(pieces))), self._sums(np.array(numbers, np.int64))
+
+    def _sums(self, values: np.ndarray) -> list[int]:
+        """Sums of all nodes: the root is 1, the children of i are 2 * i and 2 * i + 1."""
+        level = np.zeros(self.size, np.int64)
+        if len(values):
+            found = np.add.reduceat(values, np.arange(0, len(values), LEAF))
+            level[:len(found)] = found
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
+        return [0, *chain.from_iterable(x.tolist() for x in reversed(levels))]
 
     def _sum(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -93,6 +103,10 @@ class PretokenTree:
     def n_tokens(self) -> int:
         return self.tokens[1]
 
+    @property
+    def n_pretokens(self) -> int:
+        return sum(map(len, self.leaves))
+
     @property
     def n_chars(self) -> int:
         return self.chars[1]
@@ -199,6 +213,12 @@ EDITS = "array<struct<start:int,stop:int,text:string>>"
 COUNTS = (("n_tokens", pa.int64()), ("n_pretokens", pa.int64()), ("n_edits", pa.int64()), ("n_tokens_edited", pa.int64()), ("n_chars_edited", pa.int64()), ("n_reencoded", pa.int64()))
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def plant_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY_FILE) -> DataFrame:
     """key and ``tree``: text, and length and tokens of each pre-token.  A tree grows back from
     these without splitting or encoding.  Null texts are empty; other columns are not read."""
@@ -206,13 +226,13 @@ def plant_trees(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def run(batches):
         count = counter(path)
-        for batch in batches:
+        kind = pa.struct([("text", pa.string()), ("lengths", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int32()))])
+        for batch in _slices(batches):
             trees = []
             for t in batch.column(1):
                 t = t.as_py()
                 pieces = count.split(t)
                 trees.append({"text": t, "lengths": list(map(len, pieces)), "numbers": count.counts(pieces)})
-            kind = pa.struct([("text", pa.string()), ("lengths", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int32()))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, kind)], names=["k", "tree"])
 
     return docs.select(F.col(key), text_of(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
@@ -225,24 +245,33 @@ def count_edited(trees: DataFrame, edits: Column, key: str = "doc_id", path: str
     ``edits`` is an array of (start, stop, text): characters [start, stop) of the text as it stands by then
     become ``text``; places beyond the end count as the end, a null text deletes, a null place is the
     start, a null array holds no edits.  Null or repeated keys are carried row by row."""
+    stored = lambda t: (t["text"], (t["lengths"], t["numbers"]))
+    return _edited(trees.select(F.col(key), "tree", edits.cast(EDITS).alias("edits")), key, path, stored)
+
+
+def count_documents(docs: DataFrame, edits: Column, key: str = "doc_id", text: str = "text", path: str = VOCABULARY_FILE) -> DataFrame:
+    """``plant_trees`` and ``count_edited`` in one pass, for trees that are not to be kept."""
+    return _edited(docs.select(F.col(key), text_of(text).alias("t"), edits.cast(EDITS).alias("edits")), key, path, lambda t: (t, None))
+
+
+def _edited(rows: DataFrame, key: str, path: str, read) -> DataFrame:
     names = [n for n, _ in COUNTS]
-    schema = T.StructType([T.StructField("k", trees.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in names]])
+    schema = T.StructType([T.StructField("k", rows.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches):
         count = counter(path)
-        for batch in batches:
-            rows = []
-            for stored, edits in zip(batch.column(1), batch.column(2)):
-                stored, edits = stored.as_py(), edits.as_py() or []
-                tree = PretokenTree(stored["text"], count, (stored["lengths"], stored["numbers"]))
-                before = tree.n_tokens
+        for batch in _slices(batches):
+            out = []
+            for text, edits in zip(batch.column(1), batch.column(2)):
+                text, stored = read(text.as_py())
+                tree, edits = PretokenTree(text, count, stored), edits.as_py() or []
+                planted, before, tree.encoded = tree.n_pretokens, tree.n_tokens, 0
                 for e in edits:
                     tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                rows.append((before, len(stored["lengths"]), len(edits), tree.n_tokens, tree.n_chars, tree.encoded))
-            columns = list(zip(*rows)) or [[]] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(columns, COUNTS)]], names=["k", *names])
+                out.append((before, planted, len(edits), tree.n_tokens, tree.n_chars, tree.encoded))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, (_, t) in zip(zip(*out), COUNTS)]], names=["k", *names])
 
-    return trees.select(F.col(key), "tree", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def revisions(key: str, text: Column) -> Column:

@@ -52,6 +52,8 @@ def test_edits_encode_little_of_a_long_text():
 
 def test_edited_counts(docs, texts):
     got = {r.doc_id: r for r in tokens.count_edited(tokens.plant_trees(docs), tokens.revisions("doc_id", F.col("tree.text"))).collect()}
+    once = tokens.count_documents(docs, tokens.revisions("doc_id", F.coalesce("text", F.lit(""))))
+    assert {r.doc_id: r for r in once.collect()} == got
     count = tokens.counter()
     for r in docs.select("doc_id", tokens.revisions("doc_id", F.coalesce("text", F.lit(""))).alias("edits")).collect():
         text = texts[r.doc_id]
