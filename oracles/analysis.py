@@ -353,7 +353,7 @@ tail("k9_ranking_agreement", "pooled", spearman("SELECT c.target_g, c.accel_rank
 tail("k10_cluster_bootstrap", "cells", f"""WITH c AS (SELECT target_g, family, max(win_rate_vs_last) FILTER (WHERE method = 'rational_fit') AS win, max(med_error) FILTER (WHERE method = 'rational_fit') AS e, max(med_error) FILTER (WHERE method = 'last_value') AS l
       FROM cells WHERE capped = 0 AND is_holdout = 0 GROUP BY family, depth, noise, target_g), d AS (SELECT target_g, family, win, (e < l)::INTEGER AS lower, round(e - l, 9) AS diff FROM c),
     f AS (SELECT family, row_number() OVER (ORDER BY family) AS i, count(*) OVER () AS k FROM (SELECT DISTINCT family FROM d)),
-    s AS (SELECT b, slot, ('0x' || substr(md5(b || '|' || slot), 1, 8))::BIGINT % (SELECT max(k) FROM f) + 1 AS i FROM range(2000) x(b) CROSS JOIN (SELECT unnest(range(1, (SELECT max(k) FROM f) + 1)) AS slot)),
+    s AS (SELECT b, slot, ('0x' || substr(md5(b || '|' || slot), 1, 8))::BIGINT % (SELECT max(k) FROM f) + 1 AS i FROM range(5000) x(b) CROSS JOIN (SELECT unnest(range(1, (SELECT max(k) FROM f) + 1)) AS slot)),
     q AS (SELECT target_g, b, avg(win) AS win_rate, avg(lower::DOUBLE) AS lower_share, median(diff) AS med_diff FROM s JOIN f USING (i) JOIN d USING (family) GROUP BY target_g, b),
     p AS (SELECT target_g, count(*) AS n_cells, avg(win) AS win_rate, avg(lower::DOUBLE) AS lower_share, median(diff) AS med_diff FROM d GROUP BY target_g)
     SELECT target_g, n_cells, {', '.join(f"{R('p.' + m, 5)} AS {m}, {R(f'quantile_cont(q.{m}, 0.025)', 5)} AS {m}_lo, {R(f'quantile_cont(q.{m}, 0.975)', 5)} AS {m}_hi" for m in ('win_rate', 'lower_share', 'med_diff'))}

@@ -293,7 +293,7 @@ def record_ctes(est: str = "est", name: str = "rec") -> dict[str, str]:
     }
 
 
-def horizon_ctes(depths, fractions, cap: int = 50000) -> dict[str, str]:
+def horizon_ctes(depths, fractions, cap: int = 2**31 - 1) -> dict[str, str]:
     return {
         "hz0": f"""SELECT a.curve_id, a.family, a.step AS depth, a.value AS gap_obs, g AS target_g
             FROM curve a JOIN {_values('dp(depth)', depths)} ON a.step = depth CROSS JOIN {_values('gg(g)', [f'{f!r}::DOUBLE' for f in fractions])}""",

@@ -1,10 +1,10 @@
-"""Exact quantiles per group.
+"""Exact quantiles per group, by one plan for every size.
 
-``percentile`` keeps all distinct values of a group in one aggregation buffer.
-That is right while a group is bounded.  Beyond that, ``spread_quantiles`` finds
-the same numbers from a histogram: count per (group, bucket) with map-side
-partial counts, locate the buckets that hold the wanted ranks, then look only
-at the rows of those buckets.
+A group counts its rows first.  Groups of at most ``GROUP_ROWS`` rows are finished in one
+aggregation buffer; of larger ones only the ranges that hold the wanted ranks are looked at: a histogram with
+map-side partial counts names a bucket, the bucket's own range is divided again, and
+what is left are the distinct values of one small part.  Which way a group goes is decided row by row
+inside the plan; both give the same numbers.
 """
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailcast.session import INLINE_ROWS, at_most
-
+GROUP_ROWS = 100_000           # rows of a group that one aggregation buffer may hold
+PARTS = 4096                   # equal parts of a histogram bucket
 BUCKETS_PER_OCTAVE = 64
 
 
@@ -57,10 +57,22 @@ def _spread_values(df: DataFrame, keys, value: str, ranks, weight: str | None) -
         return (F.col(start) <= rank) & (rank < F.col(start) + F.col(size))
 
     wanted = hist.filter(reduce(lambda x, y: x | y, [holds(r, "_before", "_n") for r in at.values()]))
-    picked = (rows.alias("r").join(wanted.alias("w"), same("r", "w", keys) & (F.col("r._b") == F.col("w._b")))
-              .groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._b").alias("_b"), "_v", "_before", "_total")
+    inner = (rows.alias("r").join(wanted.alias("w"), same("r", "w", keys) & (F.col("r._b") == F.col("w._b")))
+             .select(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._b").alias("_b"), "_v", "_w", "_before", "_total"))
+    # second level: equal parts of the range that the bucket really has
+    ranges = inner.groupBy(*keys, "_b").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    inner = (inner.alias("r").join(ranges.alias("w"), same("r", "w", keys) & (F.col("r._b") == F.col("w._b")))
+             .select("r.*", "w._low", "w._high"))
+    share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+    inner = inner.withColumn("_p", F.when((F.col("_high") > F.col("_low")) & (F.abs("_v") < float("inf")), F.floor(share * PARTS)).otherwise(0).cast("int"))
+    parts = inner.groupBy(*keys, "_b", "_p").agg(F.sum("_w").alias("_n"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
+    earlier = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parts = parts.filter(reduce(lambda x, y: x | y, [holds(r, "_before", "_n") for r in at.values()]))
+    picked = (inner.drop("_before", "_total").alias("r").join(parts.alias("w"), same("r", "w", keys) & (F.col("r._b") == F.col("w._b")) & (F.col("r._p") == F.col("w._p")))
+              .groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._b").alias("_b"), F.col("r._p").alias("_p"), "_v", "_before", "_total")
               .agg(F.sum("_w").alias("_c")))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = picked.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     return placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *[
         F.max(F.when(holds(r, "_at", "_c"), F.col("_v"))).alias(n) for n, r in at.items()])
@@ -68,7 +80,7 @@ def _spread_values(df: DataFrame, keys, value: str, ranks, weight: str | None) -
 
 def spread_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) of ``value`` per group; ``probs``
-    maps output name -> probability.  No task ever holds a whole group."""
+    maps output name -> probability.  Tasks hold distinct values of one part."""
     ranks = {}
     for name, p in probs.items():
         ranks[f"_lo_{name}"] = lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1))
@@ -82,44 +94,56 @@ def spread_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], w
     return found.select(*keys, *out)
 
 
-def order_statistics(df: DataFrame, keys, value: str, ranks, inline: bool | None = None) -> DataFrame:
+def _sized(df: DataFrame, keys, n: DataFrame) -> DataFrame:
+    """Rows with the size of their group; ``n`` has one row per group."""
+    if not keys:
+        return df.crossJoin(F.broadcast(n.select("_rows")))
+    return (df.alias("r").join(n.select(*keys, "_rows").alias("w"), same("r", "w", keys)).select("r.*", "w._rows"))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys, names, how: str = "left") -> DataFrame:
+    if not keys:
+        return a.crossJoin(F.broadcast(b.select(*names)))
+    return a.alias("a").join(b.alias("b"), same("a", "b", keys), how).select("a.*", *[F.col(f"b.{n}") for n in names])
+
+
+def order_statistics(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     """Values at given ranks per group plus the group size ``n``; ``ranks`` maps
     a name to a function of the group size (0-based)."""
     keys = list(keys)
-    if inline is None:
-        inline = at_most(df, INLINE_ROWS)
-    if not inline:
-        return _spread_values(df, keys, value, ranks, None).withColumnRenamed("_total", "n")
-    g = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(value)).alias("_s")).withColumn("n", F.size("_s").cast("long"))
-    return g.select(*keys, "n", *[F.get("_s", r(F.col("n")).cast("int")).alias(name) for name, r in ranks.items()])
+    rows = df.select(*keys, value).filter(F.col(value).isNotNull())
+    sized = _sized(rows, keys, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    g = sized.filter(F.col("_rows") <= GROUP_ROWS).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_s")).withColumn("n", F.size("_s").cast("long"))
+    small = g.select(*keys, "n", *[F.get("_s", r(F.col("n")).cast("int")).alias(name) for name, r in ranks.items()])
+    large = _spread_values(sized.filter(F.col("_rows") > GROUP_ROWS), keys, value, ranks, None).withColumnRenamed("_total", "n")
+    return small.unionByName(large.select(small.columns))
 
 
-def grouped(df: DataFrame, keys, aggs: list[Column], quantiles: dict[str, tuple[str, float]],
-            inline: bool | None = None, weight: str | None = None) -> DataFrame:
+def grouped(df: DataFrame, keys, aggs: list[Column], quantiles: dict[str, tuple[str, float]], weight: str | None = None) -> DataFrame:
     """``groupBy(keys)`` with plain aggregates and exact quantiles
-    (output name -> (column, probability)), rows counted ``weight`` times.  ``inline`` says that groups are
-    bounded; left open, the row count of ``df`` decides."""
+    (output name -> (column, probability)), rows counted ``weight`` times."""
     keys = list(keys)
-    if inline is None:
-        inline = at_most(df, INLINE_ROWS)
-    if inline:
-        by_column: dict[str, list[str]] = {}
-        for name, (col, _) in quantiles.items():
-            by_column.setdefault(col, []).append(name)
-        freq = [] if weight is None else [F.col(weight).cast("long")]
-        arrays = [F.percentile(col, F.array(*[F.lit(float(quantiles[n][1])) for n in names]), *freq).alias(f"_q_{i}")
-                  for i, (col, names) in enumerate(by_column.items())]
-        agg = df.groupBy(*keys).agg(*aggs, *arrays)
-        picks = {n: F.get(f"_q_{i}", F.lit(j)) for i, names in enumerate(by_column.values()) for j, n in enumerate(names)}
-        drop = [f"_q_{i}" for i in range(len(by_column))]
-        return agg.withColumns(picks).drop(*drop) if picks else agg
-    out = df.groupBy(*keys).agg(*aggs)
-    by_column = {}
+    by_column: dict[str, dict[str, float]] = {}
     for name, (col, p) in quantiles.items():
         by_column.setdefault(col, {})[name] = p
-    for i, (col, probs) in enumerate(by_column.items()):
-        q = spread_quantiles(df, keys, col, probs, weight)
-        out = (out.alias("a").join(q.alias("b"), same("a", "b", keys), "left")
-               .select("a.*", *[F.col(f"b.{n}") for n in probs]))
-    return out
+    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    if not by_column:
+        return base.drop("_rows")
+    extra = [weight] if weight and weight not in by_column else []
+    used = df.select(*[F.col(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in by_column if c not in keys], *extra)
+    sized = _sized(used, keys, base)
+    freq = [] if weight is None else [F.col(weight).cast("long")]
+    arrays = [F.percentile(col, F.array(*[F.lit(float(p)) for p in probs.values()]), *freq).alias(f"_q_{i}") for i, (col, probs) in enumerate(by_column.items())]
+    picks = [F.get(f"_q_{i}", F.lit(j)).alias(n) for i, probs in enumerate(by_column.values()) for j, n in enumerate(probs)]
+    small = sized.filter(F.col("_rows") <= GROUP_ROWS).groupBy(*keys).agg(*arrays).select(*keys, *picks)
+    # large groups: all columns go through one histogram, as rows that name their column
+    long = sized.filter(F.col("_rows") > GROUP_ROWS).select(*keys, *([F.col(weight).alias("_weight")] if weight else []), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_col"), F.col(c).alias("_value")) for i, c in enumerate(by_column)])).alias("_x")).select(*keys, *(["_weight"] if weight else []), "_x.*")
+    probs = sorted({p for wanted in by_column.values() for p in wanted.values()})
+    found = spread_quantiles(long, [*keys, "_col"], "_value", {f"_p{j}": p for j, p in enumerate(probs)}, "_weight" if weight else None)
+    large = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == i, F.col(f"_p{probs.index(p)}"))).alias(n)
+                                       for i, wanted in enumerate(by_column.values()) for n, p in wanted.items()])
+    if not keys:
+        both = small.unionByName(large.select(small.columns)).agg(*[F.max(n).alias(n) for n in quantiles])
+        return base.crossJoin(F.broadcast(both)).drop("_rows")
+    return _joined(base, small.unionByName(large.select(small.columns)), keys, list(quantiles)).drop("_rows")

@@ -41,7 +41,7 @@ def fold_note(n: int, protocol: str) -> str:
 
 def predictions(table: DataFrame, protocol: str) -> DataFrame | None:
     """Out-of-fold predictions; the driver holds the fold numbers, Spark the rows."""
-    table = folds(table, protocol).persist()
+    table = folds(table, protocol)
     numbers = [r.fold for r in table.select("fold").distinct().orderBy("fold").collect()]
     if len(numbers) < 2:
         return None

@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailcast.functions.arrays import total
-from tailcast.settings import (ASSUMED_MODES, HORIZON_CAP, ORACLE_MODES, PERTURB_SCALE,
+from tailcast.functions.quantiles import grouped
+from tailcast.settings import (ASSUMED_MODES, ORACLE_MODES, PERTURB_SCALE,
                                PERTURB_TRIALS, TERCILE_EDGES, WINDOW_LEN)
 
 CURVE_KEYS = ("curve_id", "family", "is_holdout", "run")
@@ -123,15 +124,15 @@ def step_targets(curves: DataFrame, targets) -> DataFrame:
 
 
 def gap_horizons(curves: DataFrame, depths, fractions, true_limit: float = 0.0,
-                 cap: int = HORIZON_CAP) -> DataFrame:
+                 cap: int | None = None) -> DataFrame:
     """First step beyond each depth where the gap to the limit has fallen to the
-    fraction g of the gap at the depth; else the last step not above the cap,
+    fraction g of the gap at the depth; else the last step (not above ``cap``, where one is given),
     flagged ``capped``.  One pass of conditional minima per curve."""
     gap = F.col("value") - F.lit(true_limit)
     anchors = (curves.filter(F.col("step").isin(*depths)).groupBy("curve_id")
                .agg(*[F.max(F.when(F.col("step") == d, gap)).alias(f"_gap{d}") for d in depths]))
     pairs = [(d, k, float(g)) for d in depths for k, g in enumerate(fractions)]
-    hits = (curves.filter(F.col("step") <= cap).join(anchors, "curve_id").groupBy("curve_id", "family")
+    hits = ((curves if cap is None else curves.filter(F.col("step") <= cap)).join(anchors, "curve_id").groupBy("curve_id", "family")
             .agg(F.max("step").alias("_last"),
                  *[F.max(f"_gap{d}").alias(f"gap{d}") for d in depths],
                  *[F.min(F.when((F.col("step") > d) & (gap <= F.lit(g) * F.col(f"_gap{d}")), F.col("step")))
@@ -161,8 +162,8 @@ def nest_horizons(horizons: DataFrame) -> DataFrame:
 def horizon_table(horizons: DataFrame, fractions) -> DataFrame:
     """Family x fraction: the median first step that reaches it (families here
     are groups of curves, so the middle curve stands for the family)."""
-    return (horizons.groupBy("family", "depth").pivot("target_g", [float(g) for g in fractions])
-            .agg(F.median("n_f")))
+    middle = grouped(horizons, ["family", "depth", "target_g"], [], {"m": ("n_f", 0.5)})
+    return middle.groupBy("family", "depth").pivot("target_g", [float(g) for g in fractions]).agg(F.max("m"))
 
 
 # ---- facts about whole curves ------------------------------------------------

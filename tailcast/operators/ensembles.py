@@ -118,11 +118,11 @@ def selector_long(wide: DataFrame, selectors=SELECTORS) -> DataFrame:
     return rows.drop(*[f"_r_{tag}" for tag in refs])
 
 
-def selector_summary(long: DataFrame, keys, inline=None) -> DataFrame:
+def selector_summary(long: DataFrame, keys) -> DataFrame:
     """Panel, median skill and fixed-reference aggregates per selector and slice."""
     out = error_panel(long, ["selector", *keys],
                       [F.avg(F.col(f"win_vs_{t}").cast("double")).alias(f"win_rate_vs_{t}") for t in TAGS if t != "last"],
-                      {"med_skill": "skill", **{f"med_skill_vs_{t}": f"skill_vs_{t}" for t in TAGS}}, inline)
+                      {"med_skill": "skill", **{f"med_skill_vs_{t}": f"skill_vs_{t}" for t in TAGS}})
     out = rounded(out, ["valid_rate", "cat_rate", "med_skill", *WIN_RATES, *SKILL_MEDIANS])
     return rounded(out, ["mean_error", "sd_error", "med_error", "q25_error", "q75_error", "p90_error"], 6)
 
@@ -152,17 +152,17 @@ def oracle_gap(wide: DataFrame) -> DataFrame:
         "depth", "target_g", "r.selector", F.round("r.gap", 6).alias("mean_gap_vs_oracle"), "r.n_both_valid", "n_total").filter("n_both_valid > 0")
 
 
-def method_reliability(records: DataFrame, excluded: DataFrame, pool, target: float, inline=None) -> DataFrame:
+def method_reliability(records: DataFrame, excluded: DataFrame, pool, target: float) -> DataFrame:
     from tailcast.functions.quantiles import grouped
     rows = exclude_capped(records).filter((F.col("is_holdout") == 0) & (F.col("target_g") == target) & F.col("method").isin(*pool))
     out = grouped(rows, ["method"], [F.avg("perturb_iqr").alias("mean_piqr"), F.avg("error").alias("mean_err"),
                                      *[F.avg(F.col(f"win_vs_{t}").cast("double")).alias(f"win_rate_vs_{t}") for t in TAGS]],
                   {"med_piqr": ("perturb_iqr", 0.5), "med_skill": ("skill", 0.5),
-                   **{f"med_skill_vs_{t}": (f"skill_vs_{t}", 0.5) for t in TAGS}}, inline)
+                   **{f"med_skill_vs_{t}": (f"skill_vs_{t}", 0.5) for t in TAGS}})
     return out.join(F.broadcast(excluded.select("method", F.col("dangerous").alias("is_dangerous"))), "method", "left")
 
 
-def selector_comparison(records: DataFrame, target: float, pool=SMALL_POOL, inline=None) -> DataFrame:
+def selector_comparison(records: DataFrame, target: float, pool=SMALL_POOL) -> DataFrame:
     """The short selector table at one target: oracle over the pool, two fixed
     methods, the better of the two, the diagnostic ensemble, the trivials."""
     group = [c for c in GROUP]
@@ -180,7 +180,7 @@ def selector_comparison(records: DataFrame, target: float, pool=SMALL_POOL, inli
         F.abs(F.try_divide(F.sum(w * F.col("estimate")), F.sum(w)) - F.max("true_val")).alias("diag_ensemble"),
         *[err_of(m).alias(m) for m, _ in REFERENCES]))
     names = ("oracle", "fixed_rational", "fixed_richardson", "phase2_proxy", "diag_ensemble", *[m for m, _ in REFERENCES])
-    return selector_summary(selector_long(wide, names), ["target_g"], inline)
+    return selector_summary(selector_long(wide, names), ["target_g"])
 
 
 # ---- ensembles that are methods themselves -----------------------------------

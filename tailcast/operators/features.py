@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tailcast.functions import fits
 from tailcast.functions.arrays import deltas, finite, let, mean, ols, total
-from tailcast.session import at_most
 from tailcast.settings import FEATURES
 
 
@@ -82,16 +81,15 @@ def previous_values(curves: DataFrame) -> DataFrame:
                     F.coalesce(F.col("diff") * F.col("prev_diff") < 0, F.lit(False)).cast("int").alias("sign_change"))
 
 
-MAX_CENTROIDS = 10_000
+CENTROIDS_PER_BLOCK = 1000
 
 
 def nearest_family(cells: DataFrame, centroids: DataFrame) -> DataFrame:
     """Nearest family centroid by Euclidean distance over the features that are
     finite in the row and in every centroid; first family wins a tie.
 
-    The centroids travel as one array in one row, so rows are neither multiplied
-    nor shuffled; their number is checked first, and beyond the limit the same
-    distances come from a distributed product."""
+    Centroids travel in blocks of bounded size: a row meets each block, not each
+    centroid, and keeps the nearest of the blocks' nearest."""
     usable = centroids.agg(*[F.min(finite(F.col(f)).cast("int")).alias(f"_u_{f}") for f in FEATURES])
     used = {f: (F.col(f"_u_{f}") == 1) & finite(F.col(f)) for f in FEATURES}
     any_used = reduce(lambda x, y: x | y, used.values())
@@ -103,17 +101,12 @@ def nearest_family(cells: DataFrame, centroids: DataFrame) -> DataFrame:
             sq = sq + F.when(used[f], (F.col(f) - at(f)) * (F.col(f) - at(f))).otherwise(0.0)
         return F.sqrt(sq)
 
-    if at_most(centroids, MAX_CENTROIDS):
-        packed = centroids.agg(F.collect_list(F.struct("family", *FEATURES)).alias("_cents"))
-        near = F.array_min(F.transform("_cents", lambda c: F.struct(
-            distance(lambda f: c[f]).alias("d"), c["family"].alias("family"))))
-        rows = cells.crossJoin(F.broadcast(packed)).crossJoin(F.broadcast(usable)).withColumn("_n", F.when(any_used, near))
-        return rows.select(*keys, F.coalesce("_n.family", F.lit("unknown")).alias("nearest"), F.col("_n.d").alias("distance"))
-    cent = centroids.select(F.col("family").alias("centroid"), *[F.col(f).alias(f"_c_{f}") for f in FEATURES])
-    rows = cells.crossJoin(cent).crossJoin(F.broadcast(usable)).withColumn(
-        "_d", F.when(any_used, distance(lambda f: F.col(f"_c_{f}"))))
-    return rows.groupBy(*keys).agg(F.coalesce(F.min_by("centroid", F.when(F.col("_d").isNotNull(), F.struct("_d", "centroid"))),
-                                              F.lit("unknown")).alias("nearest"), F.min("_d").alias("distance"))
+    blocks = (centroids.withColumn("_block", F.floor(F.monotonically_increasing_id() / CENTROIDS_PER_BLOCK))
+              .groupBy("_block").agg(F.collect_list(F.struct("family", *FEATURES)).alias("_cents")).drop("_block"))
+    near = F.array_min(F.transform("_cents", lambda c: F.struct(distance(lambda f: c[f]).alias("d"), c["family"].alias("family"))))
+    rows = cells.crossJoin(blocks).crossJoin(F.broadcast(usable)).withColumn("_n", F.when(any_used, near))
+    best = rows.groupBy(*keys).agg(F.min("_n").alias("_n"))
+    return best.select(*keys, F.coalesce("_n.family", F.lit("unknown")).alias("nearest"), F.col("_n.d").alias("distance"))
 
 
 def standardise(cells: DataFrame, by: DataFrame) -> DataFrame:

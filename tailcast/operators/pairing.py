@@ -48,13 +48,13 @@ def paired_comparison(records: DataFrame, a: str, b: str, by) -> DataFrame:
         F.avg(F.coalesce(both & (F.col("error_b") < F.col("error_a")), F.lit(False)).cast("double")).alias("lower_error_frac"))
 
 
-def cell_medians(records: DataFrame, a: str, b: str, cell=GAP_CELL, inline=None) -> DataFrame:
+def cell_medians(records: DataFrame, a: str, b: str, cell=GAP_CELL) -> DataFrame:
     """Cell-median errors of two methods and their relative change."""
     from tailcast.functions.quantiles import grouped
     rows = records.filter(F.col("method").isin(a, b)).withColumns({
         "_a": F.when((F.col("method") == a) & (F.col("valid") == 1), F.col("error")),
         "_b": F.when((F.col("method") == b) & (F.col("valid") == 1), F.col("error"))})
-    return grouped(rows, cell, [], {"med_a": ("_a", 0.5), "med_b": ("_b", 0.5)}, inline).withColumn(
+    return grouped(rows, cell, [], {"med_a": ("_a", 0.5), "med_b": ("_b", 0.5)}).withColumn(
         "rel_change", F.try_divide(F.col("med_b") - F.col("med_a"), F.col("med_a")))
 
 

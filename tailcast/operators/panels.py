@@ -36,13 +36,13 @@ def error_quantiles() -> dict[str, tuple[str, float]]:
             "q75_error": ("_err", 0.75), "p90_error": ("_err", 0.9)}
 
 
-def error_panel(records: DataFrame, keys, extra=(), medians=None, inline: bool | None = None) -> DataFrame:
+def error_panel(records: DataFrame, keys, extra=(), medians=None) -> DataFrame:
     """The eleven panel statistics per group, plus extra aggregates and medians."""
     rows = records.withColumn("_err", F.when(F.col("valid") == 1, F.col("error")))
     quantiles = error_quantiles()
     for name, col in (medians or {}).items():
         quantiles[name] = (col, 0.5)
-    out = grouped(rows, keys, [*panel_aggregates(), *extra], quantiles, inline)
+    out = grouped(rows, keys, [*panel_aggregates(), *extra], quantiles)
     rest = [c for c in out.columns if c not in PANEL and c not in keys]
     return out.select(*keys, *PANEL, *rest)
 
@@ -67,7 +67,7 @@ def rounded(df: DataFrame, columns, digits: int = 4) -> DataFrame:
     return df.withColumns({c: rate4(c) if c in RATES else F.round(c, digits) for c in columns if c in df.columns})
 
 
-def cell_table(records: DataFrame, cell=GAP_CELL, inline: bool | None = None) -> DataFrame:
+def cell_table(records: DataFrame, cell=GAP_CELL) -> DataFrame:
     """Aggregate per (method, cell); rates carry four decimals, as every later
     table reads them."""
     extra = [F.max("capped").alias("capped")] if "capped" in records.columns else []
@@ -79,14 +79,14 @@ def cell_table(records: DataFrame, cell=GAP_CELL, inline: bool | None = None) ->
         medians.pop("n_f")
     extra += [F.avg(F.col(f"win_vs_{t}").cast("double")).alias(f"win_rate_vs_{t}") for t in TAGS if t != "last"]
     extra += [F.max(a).alias(a) for a in METHOD_ATTRS if a in records.columns]
-    out = error_panel(records, ["method", *cell], extra, medians, inline)
+    out = error_panel(records, ["method", *cell], extra, medians)
     return rounded(out, ["valid_rate", "cat_rate", *SKILL_MEDIANS, *WIN_RATES])
 
 
-def skill_aggregates(records: DataFrame, keys, inline: bool | None = None) -> DataFrame:
+def skill_aggregates(records: DataFrame, keys) -> DataFrame:
     """Median of each skill ratio and mean of each win flag."""
     out = grouped(records, keys, [F.avg(F.col(f"win_vs_{t}").cast("double")).alias(f"win_rate_vs_{t}") for t in TAGS],
-                  {f"med_skill_vs_{t}": (f"skill_vs_{t}", 0.5) for t in TAGS}, inline)
+                  {f"med_skill_vs_{t}": (f"skill_vs_{t}", 0.5) for t in TAGS})
     return rounded(out, [*SKILL_MEDIANS, *WIN_RATES])
 
 
@@ -94,17 +94,17 @@ def exclude_capped(df: DataFrame) -> DataFrame:
     return df.filter(F.col("capped") == 0) if "capped" in df.columns else df
 
 
-def capped_block(df: DataFrame, keys, values, inline: bool | None = None) -> DataFrame:
+def capped_block(df: DataFrame, keys, values) -> DataFrame:
     """The capped rows that pooled tables leave out: medians and counts."""
     out = grouped(df.filter(F.col("capped") == 1), keys, [F.count(F.lit(1)).alias("n")],
-                  {"n_f": ("n_f", 0.5), "achieved_g": ("achieved_g", 0.5), **{f"med_{v}": (v, 0.5) for v in values}}, inline)
+                  {"n_f": ("n_f", 0.5), "achieved_g": ("achieved_g", 0.5), **{f"med_{v}": (v, 0.5) for v in values}})
     return out.select(*keys, "n_f", "achieved_g", *[f"med_{v}" for v in values], "n")
 
 
 def pooled_table(cells: DataFrame, by=("method", "target_g")) -> DataFrame:
     """Second level: means of cell rates and medians of cell medians per method
     and target, capped cells excluded; a method with capped cells only keeps a
-    row of NULLs.  Cells number families x depths x noises: always inline."""
+    row of NULLs.  Cells number families x depths x noises, so a buffer holds them."""
     c = cells.withColumn("_use", F.col("capped") == 0 if "capped" in cells.columns else F.lit(True))
     use = F.col("_use")
 
@@ -244,39 +244,29 @@ def strata(summary: DataFrame) -> DataFrame:
     """Every summary statistic over all cells and before / after the minimum,
     from one scan."""
     fail = F.coalesce(F.col("cascade_skill") >= 1.0, F.lit(False))
-    s = summary.withColumn("_fail", fail.cast("int"))
-
-    def med(v):
-        return F.percentile(v, F.lit(0.5))
-
-    out = s.groupingSets([["post_min_target"], []], "post_min_target").agg(
-        F.grouping("post_min_target").alias("_all"),
+    part = F.explode(F.array(F.lit("all"), F.when(F.col("post_min_target") == 1, "post_min").otherwise("pre_min")))
+    s = summary.withColumn("_fail", fail.cast("int")).withColumns({
+        "stratum": part, "_iqr_fail": F.when(F.col("_fail") == 1, F.col("perturb_iqr")), "_iqr_succ": F.when(F.col("_fail") == 0, F.col("perturb_iqr"))})
+    return grouped(s, ["stratum"], [
         F.count(F.lit(1)).alias("n_cells"), F.sum("_fail").alias("n_fail"),
         rate4(F.avg(F.col("_fail").cast("double"))).alias("fail_rate"),
         F.count(F.when(F.col("improvement") < 0, 1)).alias("n_neg_improvement"),
-        med("cascade_err").alias("med_cascade_err"), med("cascade_skill").alias("med_cascade_skill"),
-        med("improvement").alias("med_improvement"),
-        med(F.when(F.col("_fail") == 1, F.col("perturb_iqr"))).alias("med_perturb_iqr_fail"),
-        med(F.when(F.col("_fail") == 0, F.col("perturb_iqr"))).alias("med_perturb_iqr_succ"),
-        *[rate4(F.avg(F.col(f"cascade_win_vs_{t}").cast("double"))).alias(f"win_rate_vs_{t}") for t in TAGS])
-    label = F.when(F.col("_all") == 1, "all").when(F.col("post_min_target") == 1, "post_min").otherwise("pre_min")
-    return out.withColumn("stratum", label).drop("_all", "post_min_target")
+        *[rate4(F.avg(F.col(f"cascade_win_vs_{t}").cast("double"))).alias(f"win_rate_vs_{t}") for t in TAGS]],
+        {"med_cascade_err": ("cascade_err", 0.5), "med_cascade_skill": ("cascade_skill", 0.5), "med_improvement": ("improvement", 0.5),
+         "med_perturb_iqr_fail": ("_iqr_fail", 0.5), "med_perturb_iqr_succ": ("_iqr_succ", 0.5)})
 
 
 def fixed_method_blocks(records: DataFrame, methods) -> DataFrame:
     """n, valid, wins, catastrophes and median ratios per family, split at the
     minimum, with pooled rows."""
-    rows = records.filter(F.col("method").isin(*methods))
     ok = F.col("valid") == 1
-    return (rows.cube("family", "post_min_target", "method").agg(
-        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.sum("valid").alias("n_valid"),
-        F.sum("win_vs_last").alias("n_win"), F.sum("catastrophic").alias("n_cat"),
-        F.percentile(F.when(ok, F.col("skill_vs_last")), F.lit(0.5)).alias("med_ratio"),
-        F.percentile(F.when(ok, F.col("improve_ratio")), F.lit(0.5)).alias("med_improve"))
-        .filter(F.col("method").isNotNull())
-        .withColumns({"family": F.coalesce("family", F.lit("ALL")),
-                      "stratum": F.when(F.col("post_min_target").isNull(), "all").when(F.col("post_min_target") == 1, "post")
-                      .otherwise("pre")}).drop("_g", "post_min_target"))
+    one = records.filter(F.col("method").isin(*methods) & F.col("method").isNotNull()).select(
+        "method", "valid", "win_vs_last", "catastrophic", F.when(ok, F.col("skill_vs_last")).alias("_ratio"), F.when(ok, F.col("improve_ratio")).alias("_improve"),
+        F.explode(F.array(F.col("family"), F.lit("ALL"))).alias("family"), "post_min_target")
+    rows = one.withColumn("stratum", F.explode(F.array(F.lit("all"), F.when(F.col("post_min_target") == 1, "post").otherwise("pre"))))
+    return grouped(rows, ["family", "stratum", "method"], [
+        F.count(F.lit(1)).alias("n"), F.sum("valid").alias("n_valid"), F.sum("win_vs_last").alias("n_win"), F.sum("catastrophic").alias("n_cat")],
+        {"med_ratio": ("_ratio", 0.5), "med_improve": ("_improve", 0.5)})
 
 
 def win_everywhere(records: DataFrame, default: str) -> DataFrame:
@@ -298,9 +288,8 @@ def final_loss(records: DataFrame, methods, last_step: int) -> DataFrame:
     rows = records.filter((F.col("argmin_round") >= last_step) & (F.col("n_f") == last_step)
                           & F.col("method").isin(*methods))
     rel = F.when(F.col("valid") == 1, F.lit(100.0) * F.col("error") / F.col("true_val"))
-    return rows.groupBy("depth", "method").agg(
-        F.percentile(rel, F.lit(0.5)).alias("med_pct"), F.max(rel).alias("max_pct"),
-        F.sum("valid").alias("n_valid"), F.count(F.lit(1)).alias("n"))
+    return grouped(rows.withColumn("_rel", rel), ["depth", "method"], [
+        F.max(rel).alias("max_pct"), F.sum("valid").alias("n_valid"), F.count(F.lit(1)).alias("n")], {"med_pct": ("_rel", 0.5)})
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

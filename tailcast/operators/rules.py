@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tailcast.functions.arrays import finite
 from tailcast.functions.quantiles import grouped
 from tailcast.operators.panels import PANEL, error_panel
+from tailcast.session import settled
 from tailcast.settings import CANDIDATE_RULES, FEATURES, SCREEN_THRESHOLDS
 
 WINDOW_CELL = ("family", "depth", "noise")
@@ -59,7 +60,7 @@ def rule_flags(cells: DataFrame, rules: DataFrame, keys=WINDOW_CELL) -> DataFram
 
 
 def rule_panels(flags: DataFrame, records: DataFrame, base: str = BASE, keys=WINDOW_CELL, run: str = "curve_id",
-                by=("rule", "feature", "operator", "threshold", "alternative"), inline=None) -> DataFrame:
+                by=("rule", "feature", "operator", "threshold", "alternative")) -> DataFrame:
     """The rule panel of every rule at once.
 
     ``flags``: eligible cells per rule with ``fired`` and ``alternative``.
@@ -74,8 +75,8 @@ def rule_panels(flags: DataFrame, records: DataFrame, base: str = BASE, keys=WIN
         F.struct(F.lit("r1").alias("side"), F.lit(base).alias("method")),
         F.struct(F.lit("alt").alias("side"), F.col("alternative").alias("method")))).alias("s")).select(
         *keys, *by, "fired", "s.*")
-    rows = recs.join(sides, [*keys, "method"])
-    panels = error_panel(rows, [*by, "side", "fired"], inline=inline)
+    rows = settled(recs.join(sides, [*keys, "method"]), "rule-rows")
+    panels = error_panel(rows, [*by, "side", "fired"])
     wide = panels.groupBy(*by).agg(*[
         F.max(F.when((F.col("side") == side) & (F.col("fired") == flag), F.col(c))).alias(f"{prefix}{side}_{c}")
         for prefix, flag in (("", 1), ("nf_", 0)) for side in ("r1", "alt") for c in PANEL])
@@ -89,14 +90,13 @@ def rule_panels(flags: DataFrame, records: DataFrame, base: str = BASE, keys=WIN
         F.count_distinct("side").alias("_n")).filter("_n = 2"))
     lower_rec = pairs.groupBy(*by).agg(F.avg(F.coalesce(
         (F.col("v1") == 1) & (F.col("v2") == 1) & (F.col("e2") < F.col("e1")), F.lit(False)).cast("double")).alias("lower_error_frac_records"))
-    meds = grouped(fired.withColumns({
+    meds = settled(grouped(fired.withColumns({
         "_e1": F.when((F.col("side") == "r1") & (F.col("valid") == 1), F.col("error")),
         "_e2": F.when((F.col("side") == "alt") & (F.col("valid") == 1), F.col("error"))}),
-        [*by, *keys], [], {"m1": ("_e1", 0.5), "m2": ("_e2", 0.5)}, inline)
+        [*by, *keys], [], {"m1": ("_e1", 0.5), "m2": ("_e2", 0.5)}), "rule-medians")
     rel = F.try_divide(F.col("m2") - F.col("m1"), F.col("m1"))
-    lower_cell = meds.groupBy(*by).agg(
-        F.avg(F.coalesce(F.col("m2") < F.col("m1"), F.lit(False)).cast("double")).alias("lower_error_frac_cells"),
-        F.percentile(rel, F.lit(0.5)).alias("median_rel_change"))
+    lower_cell = grouped(meds.withColumn("_rel", rel), by, [
+        F.avg(F.coalesce(F.col("m2") < F.col("m1"), F.lit(False)).cast("double")).alias("lower_error_frac_cells")], {"median_rel_change": ("_rel", 0.5)})
     return cells.join(wide, by, "left").join(lower_rec, by, "left").join(lower_cell, by, "left")
 
 
@@ -131,10 +131,10 @@ def selector_records(choices: DataFrame, records: DataFrame) -> DataFrame:
         records.drop("selector"), [*GRID_CELL, "method"], "left")
 
 
-def selector_panels(choices: DataFrame, records: DataFrame, keys=("selector", "target_g"), inline=None) -> DataFrame:
+def selector_panels(choices: DataFrame, records: DataFrame, keys=("selector", "target_g")) -> DataFrame:
     recs = selector_records(choices.filter("capped = 0"), records)
     cell = F.struct(*GRID_CELL)
-    out = error_panel(recs, list(keys), [F.count_distinct(cell).alias("n_cells")], inline=inline)
+    out = error_panel(recs, list(keys), [F.count_distinct(cell).alias("n_cells")])
     return out
 
 
@@ -149,8 +149,7 @@ def capped_choices(choices: DataFrame, cells: DataFrame) -> DataFrame:
     return c.join(cells.select(*GRID_CELL, "method", F.col("med_error").alias("chosen_med_error")), [*GRID_CELL, "method"], "left")
 
 
-def screened_cascade(records: DataFrame, feats: DataFrame, run: str = "curve_id", thresholds=SCREEN_THRESHOLDS,
-                     inline=None) -> DataFrame:
+def screened_cascade(records: DataFrame, feats: DataFrame, run: str = "curve_id", thresholds=SCREEN_THRESHOLDS) -> DataFrame:
     """Cascade with a stability screen: above the threshold the window goes to
     the last value.  All thresholds in one pass: per window the two candidate
     records and the last value are gathered once, then crossed with the few
@@ -176,4 +175,4 @@ def screened_cascade(records: DataFrame, feats: DataFrame, run: str = "curve_id"
     rows = g.select("target_g", F.col("s.i").alias("screen"), F.col("s.t").alias("iqr_threshold"),
                     pick("error").alias("error"), F.coalesce(pick("valid"), F.lit(0)).alias("valid"),
                     F.coalesce(pick("catastrophic"), F.lit(1)).alias("catastrophic"), F.col("error_l").alias("E_last"))
-    return error_panel(rows, ["target_g", "screen", "iqr_threshold"], inline=inline)
+    return error_panel(rows, ["target_g", "screen", "iqr_threshold"])

@@ -80,15 +80,14 @@ def cell_runs(facts: DataFrame, cell=CELL) -> DataFrame:
     return facts.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_runs"))
 
 
-def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None,
-                       inline=None, cell=CELL, run=RUN) -> DataFrame:
+def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None, cell=CELL, run=RUN) -> DataFrame:
     """Per (pool, run as final): the member with the lowest median error over the
     other runs among those valid on enough of them.  Leaving one value out moves
     a median by at most one place, so three middle order statistics per (cell,
     method) give every leave-one-out median."""
     half = lambda n: F.floor(n / 2)                                   # noqa: E731
     mid = order_statistics(rows, ["pool", *cell, "method"], "err", {
-        "x0": lambda n: half(n) - 1, "x1": half, "x2": lambda n: half(n) + 1}, inline)
+        "x0": lambda n: half(n) - 1, "x1": half, "x2": lambda n: half(n) + 1})
     r = rows.join(mid, ["pool", *cell, "method"], "left").join(runs, list(cell))
     e, k = F.col("err"), F.floor(F.col("n") / 2)
     even = (F.col("n") % 2) == 0
@@ -126,7 +125,7 @@ def many_pilot_trials(rows: DataFrame, choices: DataFrame, cell=CELL, run=RUN) -
         "pool", *cell, run, "method", "err", F.coalesce("cat", F.lit(1)).alias("cat"), F.lit(1).cast("long").alias("w"))
 
 
-def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN, inline=None) -> DataFrame:
+def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN) -> DataFrame:
     """The per-cell statistics of one design."""
     t = trials.join(facts, [*cell, run])
     keys = ["pool", *cell]
@@ -144,7 +143,7 @@ def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN, inl
         share(ok & (last.isNull() | (e < last))).alias("win_vs_last"),
         share(F.col("cat") != 0).alias("cat_rate_chosen"), share(F.col("cat_default") != 0).alias("cat_rate_default")],
         {"med_error_chosen": ("err", 0.5), "med_error_default": ("e_default", 0.5), "med_error_last": ("e_last", 0.5),
-         "med_ratio_vs_default": ("_ratio", 0.5)}, inline, weight="w")
+         "med_ratio_vs_default": ("_ratio", 0.5)}, weight="w")
     stats = stats.join(cell_runs(facts, cell), list(cell))
     order = F.lit(None).cast("int")
     for m, i in REGISTRY_INDEX.items():
@@ -158,16 +157,16 @@ def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN, inl
 
 
 def selection_cells(records: DataFrame, uncapped: DataFrame, pools: DataFrame, min_valid: float = RANK_MIN_VALID,
-                    digits: int | None = None, cell=CELL, run=RUN, inline=None, keep=lambda name, df: df) -> DataFrame:
+                    digits: int | None = None, cell=CELL, run=RUN, keep=lambda name, df: df) -> DataFrame:
     """Both designs, every pool and cell.  The trial rows, the run facts and the
     choices are each read several times; ``keep(name, df)`` may write them as
     tables so that the records are joined to the pools once."""
     rows = keep("rows", trial_records(records, uncapped, pools, cell, run))
     facts = keep("facts", run_facts(records, uncapped, cell, run))
     first = keep("one", choose_one_pilot(rows, digits, cell, run))
-    others = keep("many", choose_many_pilots(rows, cell_runs(facts, cell), min_valid, digits, inline, cell, run))
-    one = cell_statistics(one_pilot_trials(rows, first, cell, run), facts, cell, run, inline)
-    many = cell_statistics(many_pilot_trials(rows, others, cell, run), facts, cell, run, inline)
+    others = keep("many", choose_many_pilots(rows, cell_runs(facts, cell), min_valid, digits, cell, run))
+    one = cell_statistics(one_pilot_trials(rows, first, cell, run), facts, cell, run)
+    many = cell_statistics(many_pilot_trials(rows, others, cell, run), facts, cell, run)
     return one.withColumn("design", F.lit("one_pilot")).unionByName(many.withColumn("design", F.lit("many_pilots")))
 
 
@@ -246,8 +245,8 @@ def recorded_folds(records: DataFrame, pools: DataFrame, fold: str, within, defa
         rows.agg(F.array_sort(F.collect_set(fold)).alias("_folds"))
     base = rows.join(folds, list(within)) if within else rows.crossJoin(F.broadcast(folds))
     train = base.select(*within, "method", "s", F.explode(F.filter("_folds", lambda f: f != F.col(fold))).alias(fold))
-    test = rows.groupBy(*within, fold, "method").agg(F.percentile("s", F.lit(0.5)).alias("test_score"))
-    score = train.groupBy(*within, fold, "method").agg(F.percentile("s", F.lit(0.5)).alias("score"))
+    test = grouped(rows, [*within, fold, "method"], [], {"test_score": ("s", 0.5)})
+    score = grouped(train, [*within, fold, "method"], [], {"score": ("s", 0.5)})
     key = F.struct((F.col("score") if digits is None else F.round("score", digits)).alias("s"), F.col("registry_index"))
     pick = score.join(F.broadcast(pools), "method").groupBy("pool", *within, fold).agg(F.min_by("method", key).alias("chosen"))
     chosen = pick.join(test.withColumnsRenamed({"method": "chosen", "test_score": "chosen_score"}), [*within, fold, "chosen"], "left")

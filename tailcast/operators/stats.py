@@ -86,8 +86,7 @@ def rejection_rules(records: DataFrame, diagnostics=("perturb_iqr", "shift_iqr")
                     F.round(F.try_divide(F.col("hits"), F.col("n_bad")), 3).alias("recall"), F.round("saved", 4).alias("mean_err_saved"))
 
 
-def richardson_targets(records: DataFrame, cell=("family", "is_holdout", "depth", "noise", "target_g"), method: str = "richardson_1",
-                       inline=None) -> DataFrame:
+def richardson_targets(records: DataFrame, cell=("family", "is_holdout", "depth", "noise", "target_g"), method: str = "richardson_1") -> DataFrame:
     """Per cell: median error relative to the last value, log of the median
     error (-inf for an exact zero) and zero-denominator counts."""
     ok = F.col("valid") == 1
@@ -96,7 +95,7 @@ def richardson_targets(records: DataFrame, cell=("family", "is_holdout", "depth"
         "_zero": zero_denominator(F.col("error"), F.col("E_last")).cast("int")})
     out = grouped(rows, cell, [F.max("capped").alias("capped"), F.count(F.when(ok, 1)).alias("n_valid_R"), F.count(F.lit(1)).alias("n_total"),
                                F.sum("_zero").alias("n_zero_denominator"), F.max("_zero").alias("zero_denominator_cell")],
-                  {"R_R_med": ("_ratio", 0.5), "med_error_R": ("_err", 0.5)}, inline)
+                  {"R_R_med": ("_ratio", 0.5), "med_error_R": ("_err", 0.5)})
     return out.withColumn("log_med_error_R", F.when(F.col("med_error_R") == 0, F.lit(float("-inf"))).otherwise(F.ln("med_error_R")))
 
 

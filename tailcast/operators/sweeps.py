@@ -32,7 +32,7 @@ def across_lengths(windows: DataFrame, lengths) -> DataFrame:
                            .otherwise(F.col("L_hat")))
 
 
-def cascade_sweep(records: DataFrame, decisions: DataFrame, sweep: str, extra=(), inline=None) -> DataFrame:
+def cascade_sweep(records: DataFrame, decisions: DataFrame, sweep: str, extra=()) -> DataFrame:
     """Rule panel of the cascade per sweep value, every window a cell of its own.
 
     ``decisions``: (curve_id, depth, noise, sweep, chosen) per window."""
@@ -44,7 +44,7 @@ def cascade_sweep(records: DataFrame, decisions: DataFrame, sweep: str, extra=()
         F.when(F.col("is_holdout") == 1, "holdout").otherwise("core").alias("regime_set"), *extra,
         F.lit("rational_fit").alias("alternative"), (F.col("chosen") == "rational_fit").cast("int").alias("fired"))
     recs = records.withColumn("run_", F.lit(0))
-    out = rule_panels(flags, recs, keys=keys, run="run_", by=(*by, "alternative"), inline=inline)
+    out = rule_panels(flags, recs, keys=keys, run="run_", by=(*by, "alternative"))
     return out.drop("alternative").withColumnsRenamed({sweep + "_by": sweep, "g": "target_g", "sigma": "noise"})
 
 
@@ -52,7 +52,7 @@ def decisions(features: DataFrame, sweep: str) -> DataFrame:
     return features.select("curve_id", "depth", "noise", sweep, cascade().alias("chosen"))
 
 
-def consumer_table(records: DataFrame, keys=("assumed_mode", "method", "target_g"), inline=None) -> DataFrame:
+def consumer_table(records: DataFrame, keys=("assumed_mode", "method", "target_g")) -> DataFrame:
     """Rates and medians of the methods that read the assumed limit, per mode,
     pooled over noise and for each noise level."""
     rows = exclude_capped(records).select("*", F.explode(F.array(F.col("noise").cast("string"), F.lit("all"))).alias("noise_level"))
@@ -61,5 +61,5 @@ def consumer_table(records: DataFrame, keys=("assumed_mode", "method", "target_g
         F.count(F.lit(1)).alias("n"), rate4(F.avg(F.col("valid").cast("double"))).alias("valid_rate"),
         rate4(F.avg(F.col("catastrophic").cast("double"))).alias("cat_rate"),
         *[F.avg(F.col(f"win_vs_{t}").cast("double")).alias(f"win_rate_vs_{t}") for t in TAGS]],
-        {"med_error": ("error", 0.5), "med_skill": ("skill", 0.5)}, inline)
+        {"med_error": ("error", 0.5), "med_skill": ("skill", 0.5)})
     return rounded(out, [f"win_rate_vs_{t}" for t in TAGS])

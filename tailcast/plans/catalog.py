@@ -26,5 +26,5 @@ def query(name: str, digits: int = 6):
 
 
 def load() -> dict:
-    from tailcast.plans import queries_analysis, queries_curves, queries_selection, queries_tables  # noqa: F401
+    from tailcast.plans import queries_analysis, queries_curves, queries_selection  # noqa: F401
     return QUERIES

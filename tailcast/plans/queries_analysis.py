@@ -24,7 +24,7 @@ def _(spark, sf):
     """Forecast at fixed steps, score, aggregate to cells, pool, rank."""
     w = ST.step_windows(spark, ST.curves(spark, sf, "se"), true_limit=F.lit(0.0))
     recs = ST.records_of(spark, w, ST.SLICE_METHODS)
-    cells = P.cell_table(recs, ("family", "is_holdout", "depth", "noise", "n_f"), inline=ST.inline(spark, sf))
+    cells = P.cell_table(recs, ("family", "is_holdout", "depth", "noise", "n_f"))
     pooled = P.pooled_table(cells, ("method", "n_f"))
     ranked = R.assign_ranks(pooled, groups=("n_f",), digits=ST.RANK_DIGITS)
     return ranked.select(F.col("n_f").alias("target"), "method", "method_type", "n_cells", "valid_rate", "cat_rate", "med_error",
@@ -34,7 +34,7 @@ def _(spark, sf):
 # ---- F: aggregates -----------------------------------------------------------
 @query("f1_error_panel")
 def _(spark, sf):
-    return P.error_panel(ST.gap_records(spark, sf), PANEL_KEYS, inline=ST.inline(spark, sf))
+    return P.error_panel(ST.gap_records(spark, sf), PANEL_KEYS)
 
 
 @query("f3_cell_aggregate")
@@ -45,7 +45,7 @@ def _(spark, sf):
 
 @query("f4_skill_aggregates")
 def _(spark, sf):
-    return P.skill_aggregates(ST.gap_records(spark, sf), PANEL_KEYS, inline=ST.inline(spark, sf))
+    return P.skill_aggregates(ST.gap_records(spark, sf), PANEL_KEYS)
 
 
 @query("f5_pooled_table")
@@ -56,7 +56,7 @@ def _(spark, sf):
 
 @query("f6_capped_block")
 def _(spark, sf):
-    return P.capped_block(ST.cells(spark, sf), ["family", "is_holdout", "target_g", "method"], ["med_error", "med_skill", "valid_rate"], inline=True)
+    return P.capped_block(ST.cells(spark, sf), ["family", "is_holdout", "target_g", "method"], ["med_error", "med_skill", "valid_rate"])
 
 
 def _families(spark, sf):
@@ -112,8 +112,8 @@ def _(spark, sf):
     row of the classical methods."""
     ends = C.curve_minima(ST.curves(spark, sf, "se")).select("curve_id", C.tercile(F.col("value_at_round") * 2.0).alias("bin"))
     recs = P.exclude_capped(ST.gap_records(spark, sf)).join(ends, "curve_id").filter("bin IS NOT NULL")
-    one = P.error_panel(recs, ["bin", "method", "target_g"], inline=ST.inline(spark, sf))
-    cls = P.error_panel(recs.filter(F.col("method").isin(*classical_methods())), ["bin", "target_g"], inline=ST.inline(spark, sf))
+    one = P.error_panel(recs, ["bin", "method", "target_g"])
+    cls = P.error_panel(recs.filter(F.col("method").isin(*classical_methods())), ["bin", "target_g"])
     return one.unionByName(cls.withColumn("method", F.lit("classical (pooled)")))
 
 
@@ -137,7 +137,7 @@ def _(spark, sf):
     """Variants pooled and per noise level, with the number of cells."""
     recs = P.exclude_capped(ST.gap_records(spark, sf)).filter(F.col("method").isin(*classical_methods()))
     both = recs.select("*", F.explode(F.array(F.col("noise").cast("string"), F.lit("pooled"))).alias("noise_level"))
-    return P.error_panel(both, ["method", "noise_level"], [F.count_distinct(F.struct(*CELL)).alias("n_cells")], inline=ST.inline(spark, sf))
+    return P.error_panel(both, ["method", "noise_level"], [F.count_distinct(F.struct(*CELL)).alias("n_cells")])
 
 
 @query("f21_value_counts")
@@ -344,7 +344,7 @@ def _(spark, sf):
 
 @query("h3_cell_median_pairing")
 def _(spark, sf):
-    return H.cell_medians(ST.gap_records(spark, sf), "richardson_1", "rational_fit", inline=ST.inline(spark, sf))
+    return H.cell_medians(ST.gap_records(spark, sf), "richardson_1", "rational_fit")
 
 
 @query("h4_features_to_cells")
@@ -482,7 +482,7 @@ def _rule_panels(spark, sf, target):
     feats = ST.cell_features(spark, sf).join(cells, ["family", "depth", "noise"], "left_semi")
     rules = [r for r in RU.CANDIDATE_RULES if r[3] in ST.STUDY_METHODS]
     flags = RU.rule_flags(feats, RU.rule_table(spark, rules))
-    return RU.rule_panels(flags, ST.gap_records(spark, sf).filter(F.col("target_g") == target), inline=ST.inline(spark, sf))
+    return RU.rule_panels(flags, ST.gap_records(spark, sf).filter(F.col("target_g") == target))
 
 
 @query("f2_rule_panel")
@@ -491,7 +491,7 @@ def _(spark, sf):
     flags = RU.threshold_rule(cells, "log_log_slope", ">", -0.52).select(
         "family", "depth", "noise", F.lit(0).alias("rule"), F.lit("log_log_slope").alias("feature"), F.lit(">").alias("operator"),
         F.lit(-0.52).alias("threshold"), F.lit("rational_fit").alias("alternative"), "fired")
-    return RU.rule_panels(flags, ST.gap_records(spark, sf).filter(F.col("target_g") == ST.HEADLINE_G), inline=ST.inline(spark, sf))
+    return RU.rule_panels(flags, ST.gap_records(spark, sf).filter(F.col("target_g") == ST.HEADLINE_G))
 
 
 @query("i4_candidate_rules")
@@ -500,7 +500,7 @@ def _(spark, sf):
 
 
 def _selector_panels(spark, sf, keys=("selector", "target_g")):
-    return RU.selector_panels(_choices(spark, sf), ST.gap_records(spark, sf).drop("capped", "is_holdout", "n_f"), keys, ST.inline(spark, sf))
+    return RU.selector_panels(_choices(spark, sf), ST.gap_records(spark, sf).drop("capped", "is_holdout", "n_f"), keys)
 
 
 @query("i5_selectors")
@@ -530,7 +530,7 @@ def _(spark, sf):
 
 @query("i9_screened_cascade")
 def _(spark, sf):
-    return RU.screened_cascade(ST.diag_records(spark, sf), ST.cell_features(spark, sf), inline=ST.inline(spark, sf))
+    return RU.screened_cascade(ST.diag_records(spark, sf), ST.cell_features(spark, sf))
 
 
 # ---- J: ensembles ---------------------------------------------------------------
@@ -580,7 +580,7 @@ def _long(spark, sf):
 
 @query("f14_selector_summary")
 def _(spark, sf):
-    return EN.selector_summary(_long(spark, sf), ["is_holdout", "target_g"], ST.inline(spark, sf))
+    return EN.selector_summary(_long(spark, sf), ["is_holdout", "target_g"])
 
 
 @query("f15_selector_slices")
@@ -588,7 +588,7 @@ def _(spark, sf):
     """By noise and by family from one long table."""
     rows = _long(spark, sf).select("*", F.explode(F.array(
         F.concat(F.lit("noise="), F.col("noise").cast("string")), F.concat(F.lit("family="), F.col("family")))).alias("slice"))
-    return EN.selector_summary(rows, ["slice", "target_g"], ST.inline(spark, sf)).select(
+    return EN.selector_summary(rows, ["slice", "target_g"]).select(
         "selector", "slice", "target_g", "n_total", "n_valid", "cat_rate", "med_error", "med_skill", "win_rate_vs_last")
 
 
@@ -605,13 +605,13 @@ def _(spark, sf):
 @query("j9_method_reliability")
 def _(spark, sf):
     pool = tuple(m for m in ST.DIAG_METHODS if m not in EN.TRIVIALS)
-    return EN.method_reliability(ST.diag_records(spark, sf), _excluded(spark, sf), pool, ST.HEADLINE_G, ST.inline(spark, sf)).select(
+    return EN.method_reliability(ST.diag_records(spark, sf), _excluded(spark, sf), pool, ST.HEADLINE_G).select(
         "method", "mean_piqr", "med_piqr", "mean_err", "med_skill", "win_rate_vs_last", "is_dangerous")
 
 
 @query("j10_selector_comparison")
 def _(spark, sf):
-    return EN.selector_comparison(ST.diag_records(spark, sf), ST.HEADLINE_G, ST.DIAG_POOL, ST.inline(spark, sf)).select(
+    return EN.selector_comparison(ST.diag_records(spark, sf), ST.HEADLINE_G, ST.DIAG_POOL).select(
         "selector", *P.PANEL, "med_skill")
 
 
@@ -631,7 +631,7 @@ def _(spark, sf):
 
 # ---- K: statistics ---------------------------------------------------------------
 def _targets(spark, sf):
-    return K.richardson_targets(ST.gap_records(spark, sf), inline=ST.inline(spark, sf))
+    return K.richardson_targets(ST.gap_records(spark, sf))
 
 
 @query("k1_shift_iqr", 8)
@@ -703,7 +703,7 @@ def _bootstrap_cells(spark, sf):
 @query("k10_cluster_bootstrap", 5)
 def _(spark, sf):
     cells = _bootstrap_cells(spark, sf)
-    return K.cluster_bootstrap(cells, cells.select("family").distinct(), 2000)
+    return K.cluster_bootstrap(cells, cells.select("family").distinct(), 5000)
 
 
 @query("k11_p_values")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tailcast.functions.arrays import finite
+from tailcast.functions.quantiles import grouped
 from tailcast.operators import curves as C
 from tailcast.operators import features as FE
 from tailcast.operators import quality as Q
@@ -345,9 +346,9 @@ def _(spark, sf):
     """Every registered window method on every recorded cell, scored."""
     from tailcast.operators.methods import REGISTRY
     recs = ST.records_of(spark, _plain_windows(spark, sf), tuple(m for m in REGISTRY if m != "constant_oracle"))
-    return recs.groupBy("method", "method_family", "depth").agg(
+    return grouped(recs, ["method", "method_family", "depth"], [
         F.count(F.lit(1)).alias("n"), F.sum("valid").alias("n_valid"), F.sum("valid_strict").alias("n_strict"),
-        F.sum("catastrophic").alias("n_cat"), F.sum("win_vs_last").alias("n_win"), F.percentile("error", F.lit(0.5)).alias("med_error"))
+        F.sum("catastrophic").alias("n_cat"), F.sum("win_vs_last").alias("n_win")], {"med_error": ("error", 0.5)})
 
 
 @query("e13_depth_sweep")

@@ -41,8 +41,7 @@ def _selection(spark, sf):
     def keep(name, df):
         return stage(spark, f"trial-{name}", sf, lambda: df)
     return stage(spark, "selection-cells", sf, lambda: L.selection_cells(
-        L.check_flags(ST.gap_records(spark, sf)), _uncapped(spark, sf), _pools(spark, sf), digits=ST.RANK_DIGITS,
-        inline=ST.inline(spark, sf), keep=keep))
+        L.check_flags(ST.gap_records(spark, sf)), _uncapped(spark, sf), _pools(spark, sf), digits=ST.RANK_DIGITS, keep=keep))
 
 
 @query("l1_uncapped_cells")
@@ -63,7 +62,7 @@ def _(spark, sf):
 @query("l4_many_pilots")
 def _(spark, sf):
     runs = L.cell_runs(L.run_facts(ST.gap_records(spark, sf), _uncapped(spark, sf)))
-    return L.choose_many_pilots(_rows(spark, sf), runs, digits=ST.RANK_DIGITS, inline=ST.inline(spark, sf))
+    return L.choose_many_pilots(_rows(spark, sf), runs, digits=ST.RANK_DIGITS)
 
 
 @query("l5_selection_cells")
@@ -151,13 +150,13 @@ def _ladder_windows(spark, sf):
 def _(spark, sf):
     """Every order of every transformation family, scored and aggregated."""
     recs = score(LD.ladder_estimates(_ladder_windows(spark, sf)))
-    return P.error_panel(P.exclude_capped(recs), ["ladder", "order", "target_g"], inline=ST.inline(spark, sf))
+    return P.error_panel(P.exclude_capped(recs), ["ladder", "order", "target_g"])
 
 
 @query("d22_fit_ladders")
 def _(spark, sf):
     recs = score(LD.fit_ladder(_ladder_windows(spark, sf)))
-    return P.error_panel(P.exclude_capped(recs), ["ladder", "order", "target_g"], inline=ST.inline(spark, sf))
+    return P.error_panel(P.exclude_capped(recs), ["ladder", "order", "target_g"])
 
 
 @query("n2_variant_agreement")
@@ -196,17 +195,16 @@ def _mode_decisions(spark, sf):
 
 @query("w1_cascade_by_mode")
 def _(spark, sf):
-    return W.cascade_sweep(_mode_records(spark, sf), _mode_decisions(spark, sf), "assumed_mode", inline=ST.inline(spark, sf))
+    return W.cascade_sweep(_mode_records(spark, sf), _mode_decisions(spark, sf), "assumed_mode")
 
 
 @query("f18_cascade_by_mode_and_family")
 def _(spark, sf):
-    return W.cascade_sweep(_mode_records(spark, sf), _mode_decisions(spark, sf), "assumed_mode", ("family",), ST.inline(spark, sf))
+    return W.cascade_sweep(_mode_records(spark, sf), _mode_decisions(spark, sf), "assumed_mode", ("family",))
 
 
 def _consumers(spark, sf):
-    return W.consumer_table(_mode_records(spark, sf).filter(F.col("method").isin("log_linear", "constant_assumed", "richardson_1", "rational_fit")),
-                            inline=ST.inline(spark, sf))
+    return W.consumer_table(_mode_records(spark, sf).filter(F.col("method").isin("log_linear", "constant_assumed", "richardson_1", "rational_fit")))
 
 
 @query("w2_consumers_by_mode")
@@ -238,7 +236,7 @@ def _(spark, sf):
     w = _length_windows(spark, sf)
     recs = stage(spark, "length-records", sf, lambda: ST.records_of(spark, w, CONSUMERS))
     routed = stage(spark, "length-decisions", sf, lambda: W.decisions(features(w), "window_len"))
-    return W.cascade_sweep(recs, routed, "window_len", inline=ST.inline(spark, sf))
+    return W.cascade_sweep(recs, routed, "window_len")
 
 
 @query("h16_leading_summary")

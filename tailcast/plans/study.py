@@ -14,7 +14,7 @@ from tailcast.operators.features import features
 from tailcast.operators.forecast import forecast, with_gap_targets, with_step_targets
 from tailcast.operators.methods import method_table
 from tailcast.operators.scoring import best_reference, improvement, score
-from tailcast.session import INLINE_ROWS, at_most, stage
+from tailcast.session import stage
 from tailcast.settings import FEATURES
 from tailcast.sources import tables
 
@@ -101,14 +101,6 @@ DIAG_POOL = ("last_value", "richardson_1", "richardson_a10", "single_exp_fit", "
 DIAG_DEPTHS = (60, 90)
 
 
-def inline(spark, sf_dir) -> bool:
-    """Whether any group of records is small enough for one task.  A group holds
-    at most one row per curve, depth, noise level and target, and there are at
-    most as many curves as suppliers: a count of file footers decides."""
-    spread = len(STEP_DEPTHS) * len(STEP_TARGETS) * len(NOISE)
-    return at_most(tables.table(spark, sf_dir, "supplier"), INLINE_ROWS // spread)
-
-
 def gap_features(spark, sf_dir) -> DataFrame:
     def build():
         w = gap_windows(spark, curves(spark, sf_dir), horizons(spark, sf_dir), true_limit=F.lit(0.0))
@@ -127,7 +119,7 @@ def cell_features(spark, sf_dir) -> DataFrame:
 
 def cells(spark, sf_dir) -> DataFrame:
     """Cells of the benchmark: the second materialised boundary, a small table."""
-    return stage(spark, "cells", sf_dir, lambda: P.cell_table(gap_records(spark, sf_dir), inline=inline(spark, sf_dir)))
+    return stage(spark, "cells", sf_dir, lambda: P.cell_table(gap_records(spark, sf_dir)))
 
 
 def diag_windows(spark, sf_dir) -> DataFrame:

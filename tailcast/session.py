@@ -1,17 +1,15 @@
-"""Session settings, materialised stages and size checks."""
+"""Session settings and materialised stages."""
 from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-INLINE_ROWS = 2_000_000        # rows up to which one group may be sorted in one task
-BROADCAST_ROWS = 200_000       # rows up to which a side may be broadcast
+from tailcast import settings
 
 _stages: dict[tuple[str, str], DataFrame] = {}
-_counts: dict[int, int] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,21 +25,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only
-    where no cluster setting exists (tests, local runs)."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Only under a local master a
+    temporary folder takes its place; executors of a cluster would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tailcast-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _stamp(spark: SparkSession, key: str) -> str:
+    """What a stage depends on besides its name: the settings, and names, sizes and times of the files
+    in the folder that the key begins with."""
+    constants = sorted((k, repr(v)) for k, v in vars(settings).items() if k.isupper())
+    session = [spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(key.split("|")[0])
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(folder)) if system.exists(folder) else []
+    return repr((constants, session, files))
+
+
 def stage(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     """Write ``build()`` once per application as a Parquet table in the shared
     folder and read it back.  The table, not a cached block, is the boundary
     between jobs, so losing an executor costs one task and not the lineage."""
     app = spark.sparkContext.applicationId
-    token = f"{name}-{hashlib.md5(key.encode()).hexdigest()[:12]}"
+    token = f"{name}-{hashlib.md5((key + _stamp(spark, key)).encode()).hexdigest()[:12]}"
     known = _stages.get((app, token))
     if known is not None:
         return known
@@ -52,20 +63,9 @@ def stage(spark: SparkSession, name: str, key: str, build) -> DataFrame:
     return table
 
 
-def at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has no more than ``limit`` rows.  The count is a sum of
-    partial counts (file footers for a staged table): no rows are funnelled into
-    one task, as a LIMIT would.  Counts of staged tables are remembered."""
-    key = id(df)
-    if key not in _counts:
-        rows = df.count()
-        if not any(df is known for known in _stages.values()):
-            return rows <= limit
-        _counts[key] = rows
-    return _counts[key] <= limit
-
-
-def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only behind a row count; otherwise the planner joins by
-    shuffling (and AQE splits skewed partitions)."""
-    return F.broadcast(df) if at_most(df, limit) else df
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """An intermediate table that several parts of one plan read: written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ WIN_SHIFTS = (-2, -1, 0, 1, 2)
 PERTURB_TRIALS = 5
 PERTURB_SCALE = 0.02
 ENSEMBLE_EPS = 0.01
-HORIZON_CAP = 50_000
+
 ASSUMED_MODES = ("zero", "half", "oracle", "double", "winmin")
 ORACLE_MODES = ("half", "oracle", "double")
 TERCILE_EDGES = (0.005, 0.0232, 0.1077, 0.5)

@@ -1,8 +1,6 @@
 """Tabular preparation for the boosting-curve source."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -40,7 +38,7 @@ def stratified_split(df: DataFrame, label: str, key: Column, share: float) -> Da
             .withColumn("is_train", (F.col("_h") <= F.col("_cut")).cast("int")).drop("_h", "_cut"))
 
 
-def boosting_curve(df: DataFrame, key: str, numbers, categories, label: str, rounds: int = 100) -> DataFrame:
+def boosting_curve(df: DataFrame, key: str, numbers, categories, label: str, rounds: int = 500) -> DataFrame:
     """Validation log loss after every boosting round, one row per round.  The
     staged trees of the fitted ensemble are scored in one pass over the
     validation rows."""
@@ -50,6 +48,4 @@ def boosting_curve(df: DataFrame, key: str, numbers, categories, label: str, rou
     train, val = assembled.filter("is_train = 1"), assembled.filter("is_train = 0")
     model = GBTClassifier(labelCol=label, maxDepth=6, maxIter=rounds, stepSize=0.05, seed=42, maxBins=64).fit(train)
     losses = model.evaluateEachIteration(val)
-    spark = df.sparkSession
-    rows = [spark.range(1).select(F.lit(i + 1).alias("step"), F.lit(float(v)).alias("value")) for i, v in enumerate(losses)]
-    return reduce(DataFrame.unionByName, rows)
+    return df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(losses)], "step int, value double")

@@ -1,8 +1,6 @@
 """Result sinks: ordered tables, the excluded-set artifact, extracts, blocks, provenance."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +88,9 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_blocks(records: DataFrame, path: str) -> str:
-    """One directory per (depth, noise).  Rows are spread by curve first, so a
-    block is written by many tasks."""
-    records.repartition("depth", "noise", F.pmod(F.hash("curve_id"), F.lit(16))).write.mode("overwrite").partitionBy("depth", "noise").parquet(path)
+    """One directory per (depth, noise).  Range partitions follow the data, so a
+    block is written by as many tasks as its size asks for."""
+    records.repartitionByRange("depth", "noise", "curve_id").write.mode("overwrite").partitionBy("depth", "noise").parquet(path)
     return path
 
 
@@ -116,17 +114,18 @@ def provenance(records: DataFrame, columns, cell) -> DataFrame:
 
 def record_facts(records: DataFrame) -> DataFrame:
     """Named facts as strings (section, fact, value, file, filter, formula)."""
-    def one(section, fact, value, flt, formula):
-        rows = records.filter(flt) if flt else records
-        return rows.agg(value.cast("string").alias("value")).select(
-            F.lit(section).alias("section"), F.lit(fact).alias("fact"), "value", F.lit("records").alias("file"),
-            F.lit(flt or "all rows").alias("filter"), F.lit(formula).alias("formula"))
+    def when(flt, value):
+        return F.sum(F.when(F.expr(flt), value).otherwise(0)) if flt else F.sum(value)
     facts = [
-        one("size", "records", F.count(F.lit(1)), None, "count(*)"),
-        one("size", "curves", F.count_distinct("curve_id"), None, "count distinct curve_id"),
-        one("validity", "invalid accelerator records", F.count(F.lit(1)), "is_trivial = 0 AND valid = 0", "count(*)"),
-        one("validity", "capped records", F.count(F.lit(1)), "capped = 1", "count(*)"),
-        one("catastrophe", "catastrophic records of the default", F.sum("catastrophic"), "method = 'rational_fit'", "sum(catastrophic)"),
-        one("wins", "wins of the default against the last value", F.sum("win_vs_last"), "method = 'rational_fit' AND capped = 0", "sum(win_vs_last)"),
+        ("size", "records", F.count(F.lit(1)), None, "count(*)"),
+        ("size", "curves", F.count_distinct("curve_id"), None, "count distinct curve_id"),
+        ("validity", "invalid accelerator records", when("is_trivial = 0 AND valid = 0", F.lit(1)), "is_trivial = 0 AND valid = 0", "count(*)"),
+        ("validity", "capped records", when("capped = 1", F.lit(1)), "capped = 1", "count(*)"),
+        ("catastrophe", "catastrophic records of the default", when("method = 'rational_fit'", F.col("catastrophic")), "method = 'rational_fit'", "sum(catastrophic)"),
+        ("wins", "wins of the default against the last value", when("method = 'rational_fit' AND capped = 0", F.col("win_vs_last")),
+         "method = 'rational_fit' AND capped = 0", "sum(win_vs_last)"),
     ]
-    return reduce(DataFrame.unionByName, facts)
+    one = records.agg(*[value.cast("string").alias(f"v{i}") for i, (_, _, value, _, _) in enumerate(facts)])
+    rows = F.explode(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(fact).alias("fact"), F.col(f"v{i}").alias("value"), F.lit("records").alias("file"),
+                                        F.lit(flt or "all rows").alias("filter"), F.lit(formula).alias("formula")) for i, (section, fact, _, flt, formula) in enumerate(facts)])).alias("f")
+    return one.select(rows).select("f.*")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tailcast.functions import quantiles
 from tailcast.functions.quantiles import grouped, order_statistics, spread_quantiles
 from tailcast.operators import classify as M
 from tailcast.operators import features as FE
@@ -13,7 +14,7 @@ from tailcast.operators import stats as K
 from tailcast.sources import sinks, tables
 
 
-def test_spread_quantiles_equal_numpy(spark):
+def test_spread_quantiles_equal_numpy(spark, monkeypatch):
     rnd = random.Random(5)
     rows = [("a", rnd.gauss(0, 1)) for _ in range(501)] + [("b", float(rnd.randint(0, 3))) for _ in range(400)] + \
         [("c", math.inf)] * 3 + [("c", 1.0)] * 4 + [("d", None)] * 3 + [(None, 2.0), (None, 4.0)]
@@ -27,15 +28,32 @@ def test_spread_quantiles_equal_numpy(spark):
     assert got["c"].med == 1.0 and math.isinf(got["c"].p90) and "d" not in got and got[None].med == 3.0
     w = df.filter("k = 'b'").withColumn("w", (F.col("v") + 1).cast("int"))
     rep = np.repeat([x for kk, x in rows if kk == "b"], [int(x) + 1 for kk, x in rows if kk == "b"])
-    for inline in (True, False):
-        r = grouped(w, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.7)}, inline, weight="w").first()
+    for most in (100_000, 0):
+        monkeypatch.setattr(quantiles, "GROUP_ROWS", most)
+        r = grouped(w, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.7)}, weight="w").first()
         assert r.m == pytest.approx(np.percentile(rep, 70))
+        both = grouped(df.withColumn("u", -F.col("v")), ["k"], [], {"a": ("v", 0.25), "b": ("u", 0.75), "c": ("v", 0.9)})
+        assert {x.k: (x.a, x.b) for x in both.collect()}["b"] == (np.percentile([x for k, x in rows if k == "b"], 25), -np.percentile([x for k, x in rows if k == "b"], 25))
+        assert {x.k for x in both.collect()} == {"a", "b", "c", "d", None}
+        whole = grouped(df, [], [], {"m": ("v", 0.5)}).first()
+        assert whole.m == pytest.approx(np.percentile([x for _, x in rows if x is not None], 50))
 
 
-def test_order_statistics(spark):
+def test_one_hot_bucket_is_divided_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", 100)
+    rnd = random.Random(8)
+    close = [1.0 + rnd.random() * 1e-6 for _ in range(10_000)]
+    df = spark.createDataFrame([("hot", v) for v in close] + [("cold", float(i)) for i in range(50)], "k string, v double")
+    got = {r.k: r for r in grouped(df, ["k"], [F.max("v").alias("top")], {"q1": ("v", 0.1), "q9": ("v", 0.9)}).collect()}
+    assert got["hot"].q1 == pytest.approx(np.percentile(close, 10), abs=1e-15) and got["hot"].q9 == pytest.approx(np.percentile(close, 90), abs=1e-15)
+    assert got["cold"].q1 == pytest.approx(4.9) and got["cold"].top == 49.0
+
+
+def test_order_statistics(spark, monkeypatch):
     df = spark.createDataFrame([("a", float(v)) for v in (5, 1, 4, 2, 3, 3)], "k string, v double")
-    for inline in (True, False):
-        r = order_statistics(df, ["k"], "v", {"lo": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "off": lambda n: n}, inline).first()
+    for most in (100_000, 0):
+        monkeypatch.setattr(quantiles, "GROUP_ROWS", most)
+        r = order_statistics(df, ["k"], "v", {"lo": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "off": lambda n: n}).first()
         assert (r.n, r.lo, r.mid, r.off) == (6, 1.0, 3.0, None)
 
 
@@ -87,7 +105,7 @@ def test_assign_ranks(spark):
 def test_log_of_exact_zero_error_is_kept(spark):
     rows = [("f", 0, 1, 0.0, 0.5, 0, "richardson_1", 0.0, 1, 0.0)]
     df = spark.createDataFrame(rows, "family string, is_holdout int, depth int, noise double, target_g double, capped int, method string, error double, valid int, E_last double")
-    r = K.richardson_targets(df, inline=True).first()
+    r = K.richardson_targets(df).first()
     assert r.log_med_error_R == -math.inf and r.R_R_med == 1.0 and r.n_zero_denominator == 1
 
 

@@ -1,4 +1,6 @@
 import pytest
+
+from tailcast.functions import quantiles
 from pyspark.sql import functions as F
 
 from tailcast.operators import panels as P
@@ -9,9 +11,10 @@ ROWS = [("a", 1.0, 1, 0, 1.5), ("a", 2.0, 1, 0, 1.5), ("a", 3.0, 1, 0, 1.5), ("a
         ("a", None, 0, 1, 1.0), ("a", None, 0, 1, None), ("b", None, 0, 1, 1.0), ("c", 0.5, 1, 0, 0.5), ("d", 0.1, 1, 0, None)]
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_error_panel(spark, inline):
-    out = {r.g: r for r in P.error_panel(spark.createDataFrame(ROWS, SCHEMA), ["g"], inline=inline).collect()}
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_error_panel(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", most)
+    out = {r.g: r for r in P.error_panel(spark.createDataFrame(ROWS, SCHEMA), ["g"]).collect()}
     a = out["a"]
     assert (a.n_total, a.n_valid) == (6, 4)
     assert a.valid_rate == pytest.approx(4 / 6) and a.cat_rate == pytest.approx(0.5)
@@ -31,7 +34,7 @@ def test_rule_panel(spark):
         for c, pair in errs.items():
             recs += [(c, i, m, e, int(e is not None), int(e is None), 1.0) for i, e in enumerate(pair)]
     records = spark.createDataFrame(recs, "cell string, run int, method string, error double, valid int, catastrophic int, E_last double")
-    r = RU.rule_panels(flags, records, keys=("cell",), run="run", by=("rule", "alternative"), inline=True).first()
+    r = RU.rule_panels(flags, records, keys=("cell",), run="run", by=("rule", "alternative")).first()
     assert (r.n_cells_total, r.n_cells_fired, r.fire_rate) == (2, 1, 0.5)
     assert r.alt_valid_rate == 0.5 and r.lower_error_frac_records == 0.5 and r.lower_error_frac_cells == 1
     assert r.median_rel_change == pytest.approx((0.5 - 1.5) / 1.5)

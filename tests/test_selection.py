@@ -1,5 +1,7 @@
 import pytest
 
+from tailcast.functions import quantiles
+
 from tailcast.operators import ensembles as EN
 from tailcast.operators import selection as L
 
@@ -14,11 +16,11 @@ def records(spark, table):
     return spark.createDataFrame(rows, "family string, is_holdout int, depth int, noise double, target_g double, curve_id string, method string, error double, valid int, catastrophic int")
 
 
-def run(spark, table, pools, min_valid=0.9, inline=True):
+def run(spark, table, pools, min_valid=0.9):
     recs = records(spark, table)
     cells = recs.select(*CELL).distinct()
     p = L.pool_table(spark, pools)
-    return {(r.pool, r.design): r for r in L.selection_cells(recs, cells, p, min_valid, inline=inline).collect()}
+    return {(r.pool, r.design): r for r in L.selection_cells(recs, cells, p, min_valid).collect()}
 
 
 # registry order: richardson_1 < single_exp_fit < rational_fit (the default) < shanks_1
@@ -41,13 +43,14 @@ def test_one_pilot(spark):
 MANY = {"single_exp_fit": (0.1, 0.2, 0.3, None), "rational_fit": (1.0, 1.0, 1.0, 1.0), "shanks_1": (0.5, 0.6, 0.7, 0.8), "last_value": (2.0,) * 4}
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_many_pilots(spark, inline):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_many_pilots(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", most)
     pools = {"all": ["single_exp_fit", "rational_fit", "shanks_1"]}
-    r = run(spark, MANY, pools, inline=inline)["all", "many_pilots"]
+    r = run(spark, MANY, pools)["all", "many_pilots"]
     assert r.chosen_valid_rate == pytest.approx(0.75) and r.win_vs_default == pytest.approx(0.75) and r.med_error_chosen == pytest.approx(0.6)
     assert r.top_chosen == "shanks_1" and r.n_distinct_chosen == 2
-    low = run(spark, MANY, pools, 0.5, inline)["all", "many_pilots"]
+    low = run(spark, MANY, pools, 0.5)["all", "many_pilots"]
     assert low.top_chosen == "single_exp_fit" and low.n_distinct_chosen == 1
 
 
