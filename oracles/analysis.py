@@ -267,15 +267,15 @@ SELERR = f"""WITH x AS (SELECT method FROM ({EXCLUDED}) WHERE eligible = 1 AND v
     g AS (SELECT {WKEY}, max(true_val) AS t, max(ref_error) AS ref_error, max(curr_err) AS curr_err, max(error) FILTER (WHERE method = 'last_value') AS e_last,
       min(error) FILTER (WHERE {P_}) AS oracle_pool, min(error) FILTER (WHERE {S_}) AS oracle_small,
       {', '.join(f"median(estimate) FILTER (WHERE {SAFE} AND (perturb_iqr IS NULL OR perturb_iqr <= {t})) AS z_{n}" for n, t in (('threshold_ens_010', 0.1), ('threshold_ens_050', 0.5), ('threshold_ens_safe', 1e9)))},
-      median(estimate) FILTER (WHERE {P_}) AS z_equal_pool, median(estimate) FILTER (WHERE {SAFE}) AS z_equal_safe, median(estimate) FILTER (WHERE {S_}) AS z_equal_small,
-      {_wm(P_)} AS z_diag_pool, {_wm(SAFE)} AS z_diag_safe, {_wm(S_)} AS z_diag_small, {_cap(P_, 'cap_p')} AS z_capped_diag_pool, {_cap(SAFE, 'cap_s')} AS z_capped_diag_safe,
+      median(estimate) FILTER (WHERE {P_}) AS z_equal_pool, median(estimate) FILTER (WHERE {SAFE}) AS z_equal_ensemble_safe, median(estimate) FILTER (WHERE {S_}) AS z_equal_small,
+      {_wm(P_)} AS z_diag_pool, {_wm(SAFE)} AS z_diag_ensemble_safe, {_wm(S_)} AS z_diag_small, {_cap(P_, 'cap_p')} AS z_capped_diag_pool, {_cap(SAFE, 'cap_s')} AS z_capped_diag_safe,
       {', '.join(f"max(error) FILTER (WHERE method = '{m}') AS {m}" for m in _trivs)}, max(error) FILTER (WHERE method = 'rational_fit') AS fixed_rational, max(error) FILTER (WHERE method = 'richardson_1') AS fixed_richardson
       FROM d GROUP BY {WKEY}),
-    sel AS (SELECT g.* EXCLUDE ({', '.join('z_' + n for n in ('threshold_ens_010', 'threshold_ens_050', 'threshold_ens_safe', 'equal_pool', 'equal_safe', 'equal_small', 'diag_pool', 'diag_safe', 'diag_small', 'capped_diag_pool', 'capped_diag_safe'))}),
-      {', '.join(f'abs(z_{n} - t) AS {n}' for n in ('threshold_ens_010', 'threshold_ens_050', 'threshold_ens_safe', 'equal_pool', 'equal_safe', 'equal_small', 'diag_pool', 'diag_safe', 'diag_small', 'capped_diag_pool', 'capped_diag_safe'))},
+    sel AS (SELECT g.* EXCLUDE ({', '.join('z_' + n for n in ('threshold_ens_010', 'threshold_ens_050', 'threshold_ens_safe', 'equal_pool', 'equal_ensemble_safe', 'equal_small', 'diag_pool', 'diag_ensemble_safe', 'diag_small', 'capped_diag_pool', 'capped_diag_safe'))}),
+      {', '.join(f'abs(z_{n} - t) AS {n}' for n in ('threshold_ens_010', 'threshold_ens_050', 'threshold_ens_safe', 'equal_pool', 'equal_ensemble_safe', 'equal_small', 'diag_pool', 'diag_ensemble_safe', 'diag_small', 'capped_diag_pool', 'capped_diag_safe'))},
       CASE WHEN {CASCADE} = 'rational_fit' THEN fixed_rational ELSE fixed_richardson END AS phase2_cascade FROM g LEFT JOIN cfeat USING (family, depth, noise))"""
 WIN = "curve_id, depth, noise, target_g"
-for _n, _c in (("j1_hindsight_oracles", ("oracle_pool", "oracle_small")), ("j2_equal_ensembles", ("equal_pool", "equal_small", "equal_safe")), ("j3_diagnostic_ensembles", ("diag_pool", "diag_small", "diag_safe")),
+for _n, _c in (("j1_hindsight_oracles", ("oracle_pool", "oracle_small")), ("j2_equal_ensembles", ("equal_pool", "equal_small", "equal_ensemble_safe")), ("j3_diagnostic_ensembles", ("diag_pool", "diag_small", "diag_ensemble_safe")),
                ("j4_capped_weights", ("capped_diag_pool", "capped_diag_safe")), ("j5_threshold_ensembles", ("threshold_ens_010", "threshold_ens_050", "threshold_ens_safe")), ("j6_selector_errors", SELECTORS)):
     tail(_n, "diagfeat", f"{SELERR} SELECT {WIN}, {r_as(_c)} FROM sel")
 REFS = (("assumed", "constant_assumed"), ("last", "last_value"), ("wmean", "window_mean"), ("wmin", "window_min"))

@@ -259,7 +259,7 @@ def estimate_ctes(methods=DEFAULT_METHODS, grid=True) -> dict[str, str]:
 
 def dimension_cte() -> str:
     from tailcast.settings import METHODS, ORACLES, TRIVIALS
-    rows = ", ".join(f"('{n}', '{f}', '{'trajectory' if t == 'T' else 'limit'}', {int(n in TRIVIALS)}, {int(n in ORACLES)}, {i})"
+    rows = ", ".join(f"('{n}', '{f}', '{t}', {int(n in TRIVIALS)}, {int(n in ORACLES)}, {i})"
                      for i, (n, f, t) in enumerate(METHODS))
     return ("SELECT * FROM (VALUES " + rows + ") AS m(method, method_family, method_type, is_trivial, is_oracle, registry_index)")
 

@@ -28,8 +28,9 @@ ABLATIONS = (
     ("fixed_rational", "window_min", "rational_vs_window_min"),
 )
 GAP_SELECTORS = ("threshold_ens_010", "threshold_ens_safe", "diag_pool", "equal_pool", "fixed_rational", "constant_assumed")
+# fixed values: published selector names
 SELECTORS = ("oracle_pool", "oracle_small", "threshold_ens_010", "threshold_ens_050", "threshold_ens_safe",
-             "capped_diag_pool", "capped_diag_safe", "diag_pool", "diag_safe", "equal_pool", "equal_safe",
+             "capped_diag_pool", "capped_diag_safe", "diag_pool", "diag_ensemble_safe", "equal_pool", "equal_ensemble_safe",
              "diag_small", "equal_small", "phase2_cascade", "fixed_rational", "fixed_richardson", *TRIVIALS)
 
 
@@ -74,8 +75,8 @@ def selector_errors(records: DataFrame, feats: DataFrame, pool, excluded: DataFr
         err_of("last_value").alias("E_last"),
         F.min(F.when(p, F.col("error"))).alias("oracle_pool"), F.min(F.when(s, F.col("error"))).alias("oracle_small"),
         *[med(c).alias(f"_{n}") for n, c in (("threshold_ens_010", calm[0.10]), ("threshold_ens_050", calm[0.50]),
-                                             ("threshold_ens_safe", calm[1e9]), ("equal_pool", p), ("equal_safe", safe), ("equal_small", s))],
-        *[weighted(c).alias(f"_{n}") for n, c in (("diag_pool", p), ("diag_safe", safe), ("diag_small", s))],
+                                             ("threshold_ens_safe", calm[1e9]), ("equal_pool", p), ("equal_ensemble_safe", safe), ("equal_small", s))],
+        *[weighted(c).alias(f"_{n}") for n, c in (("diag_pool", p), ("diag_ensemble_safe", safe), ("diag_small", s))],
         members(p).alias("_m_pool"), members(safe).alias("_m_safe"),
         *[err_of(m).alias(m) for m in TRIVIALS],
         err_of("rational_fit").alias("fixed_rational"), err_of("richardson_1").alias("fixed_richardson"))

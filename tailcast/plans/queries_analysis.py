@@ -551,12 +551,12 @@ def _(spark, sf):
 
 @query("j2_equal_ensembles")
 def _(spark, sf):
-    return _selector_errors(spark, sf).select(*WINDOW, "equal_pool", "equal_small", "equal_safe")
+    return _selector_errors(spark, sf).select(*WINDOW, "equal_pool", "equal_small", "equal_ensemble_safe")
 
 
 @query("j3_diagnostic_ensembles")
 def _(spark, sf):
-    return _selector_errors(spark, sf).select(*WINDOW, "diag_pool", "diag_small", "diag_safe")
+    return _selector_errors(spark, sf).select(*WINDOW, "diag_pool", "diag_small", "diag_ensemble_safe")
 
 
 @query("j4_capped_weights")

@@ -156,7 +156,7 @@ def _(spark, sf):
 @query("d22_fit_ladders")
 def _(spark, sf):
     recs = score(LD.fit_ladder(_ladder_windows(spark, sf)))
-    return P.error_panel(P.exclude_capped(recs), ["ladder", "order", "target_g"])
+    return P.error_panel(P.exclude_capped(recs), ["ladder", "p", "q", "exponent", "target_g"])
 
 
 @query("n2_variant_agreement")

@@ -27,63 +27,63 @@ PANEL_QUANTILES = (0.25, 0.5, 0.75, 0.9)
 # ---- fixed values: registry (order is the tie-break of every choice) --------
 # name, family, type (T = evaluated at the target step, L = limit of the curve)
 METHODS = (
-    ("linear", "baseline", "T"),
-    ("log_linear", "baseline", "T"),
-    ("geom_avg_diff", "baseline", "T"),
-    ("richardson_1", "richardson", "T"),
-    ("richardson_2", "richardson", "T"),
-    ("richardson_3", "richardson", "T"),
-    ("richardson_a05", "richardson", "T"),
-    ("richardson_a10", "richardson", "T"),
-    ("richardson_a20", "richardson", "T"),
-    ("single_exp_fit", "parametric", "T"),
-    ("double_exp_fit", "parametric", "T"),
-    ("rational_fit", "parametric", "T"),
-    ("log_fit", "parametric", "T"),
-    ("shanks_1", "shanks", "L"),
-    ("shanks_2", "shanks", "L"),
-    ("shanks_3", "shanks", "L"),
-    ("shanks_4", "shanks", "L"),
-    ("wynn_eps_1", "wynn_eps", "L"),
-    ("wynn_eps_2", "wynn_eps", "L"),
-    ("wynn_eps_3", "wynn_eps", "L"),
-    ("wynn_rho_1", "wynn_rho", "L"),
-    ("wynn_rho_2", "wynn_rho", "L"),
-    ("wynn_rho_3", "wynn_rho", "L"),
-    ("pade_11", "pade", "T"),
-    ("pade_12", "pade", "T"),
-    ("pade_13", "pade", "T"),
-    ("pade_21", "pade", "T"),
-    ("pade_22", "pade", "T"),
-    ("pade_23", "pade", "T"),
-    ("pade_31", "pade", "T"),
-    ("pade_32", "pade", "T"),
-    ("pade_33", "pade", "T"),
-    ("pade_34", "pade", "T"),
-    ("pade_44", "pade", "T"),
-    ("pade_45", "pade", "T"),
-    ("levin_t1", "levin", "L"),
-    ("levin_t2", "levin", "L"),
-    ("levin_u1", "levin", "L"),
-    ("levin_u2", "levin", "L"),
-    ("levin_v1", "levin", "L"),
-    ("levin_v2", "levin", "L"),
-    ("brezinski_theta1", "brezinski", "L"),
-    ("brezinski_theta2", "brezinski", "L"),
-    ("neville_2", "neville", "T"),
-    ("neville_3", "neville", "T"),
-    ("neville_4", "neville", "T"),
-    ("anderson_1", "anderson", "L"),
-    ("anderson_2", "anderson", "L"),
-    ("anderson_3", "anderson", "L"),
-    ("median_ensemble", "ensemble", "T"),
-    ("stability_weighted", "ensemble", "T"),
-    ("best_shanks_wynn", "ensemble", "L"),
-    ("constant_assumed", "trivial", "L"),
-    ("constant_oracle", "trivial", "L"),
-    ("window_mean", "trivial", "L"),
-    ("window_min", "trivial", "L"),
-    ("last_value", "trivial", "L"),
+    ("linear", "baseline", "trajectory"),
+    ("log_linear", "baseline", "trajectory"),
+    ("geom_avg_diff", "baseline", "trajectory"),
+    ("richardson_1", "richardson", "trajectory"),
+    ("richardson_2", "richardson", "trajectory"),
+    ("richardson_3", "richardson", "trajectory"),
+    ("richardson_a05", "richardson", "trajectory"),
+    ("richardson_a10", "richardson", "trajectory"),
+    ("richardson_a20", "richardson", "trajectory"),
+    ("single_exp_fit", "parametric", "trajectory"),
+    ("double_exp_fit", "parametric", "trajectory"),
+    ("rational_fit", "parametric", "trajectory"),
+    ("log_fit", "parametric", "trajectory"),
+    ("shanks_1", "shanks", "limit"),
+    ("shanks_2", "shanks", "limit"),
+    ("shanks_3", "shanks", "limit"),
+    ("shanks_4", "shanks", "limit"),
+    ("wynn_eps_1", "wynn_eps", "limit"),
+    ("wynn_eps_2", "wynn_eps", "limit"),
+    ("wynn_eps_3", "wynn_eps", "limit"),
+    ("wynn_rho_1", "wynn_rho", "limit"),
+    ("wynn_rho_2", "wynn_rho", "limit"),
+    ("wynn_rho_3", "wynn_rho", "limit"),
+    ("pade_11", "pade", "trajectory"),
+    ("pade_12", "pade", "trajectory"),
+    ("pade_13", "pade", "trajectory"),
+    ("pade_21", "pade", "trajectory"),
+    ("pade_22", "pade", "trajectory"),
+    ("pade_23", "pade", "trajectory"),
+    ("pade_31", "pade", "trajectory"),
+    ("pade_32", "pade", "trajectory"),
+    ("pade_33", "pade", "trajectory"),
+    ("pade_34", "pade", "trajectory"),
+    ("pade_44", "pade", "trajectory"),
+    ("pade_45", "pade", "trajectory"),
+    ("levin_t1", "levin", "limit"),
+    ("levin_t2", "levin", "limit"),
+    ("levin_u1", "levin", "limit"),
+    ("levin_u2", "levin", "limit"),
+    ("levin_v1", "levin", "limit"),
+    ("levin_v2", "levin", "limit"),
+    ("brezinski_theta1", "brezinski", "limit"),
+    ("brezinski_theta2", "brezinski", "limit"),
+    ("neville_2", "neville", "trajectory"),
+    ("neville_3", "neville", "trajectory"),
+    ("neville_4", "neville", "trajectory"),
+    ("anderson_1", "anderson", "limit"),
+    ("anderson_2", "anderson", "limit"),
+    ("anderson_3", "anderson", "limit"),
+    ("median_ensemble", "ensemble", "trajectory"),
+    ("stability_weighted", "ensemble", "trajectory"),
+    ("best_shanks_wynn", "ensemble", "limit"),
+    ("constant_assumed", "trivial", "limit"),
+    ("constant_oracle", "trivial", "limit"),
+    ("window_mean", "trivial", "limit"),
+    ("window_min", "trivial", "limit"),
+    ("last_value", "trivial", "limit"),
 )
 TRIVIALS = ("constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
 ORACLES = ("constant_oracle",)
@@ -129,6 +129,6 @@ SCREEN_THRESHOLDS = (None, 1.0, 0.5, 0.2, 0.1, 0.05, 0.02)     # None = no scree
 
 REGISTRY_INDEX = {name: i for i, (name, _, _) in enumerate(METHODS)}
 FAMILY_OF = {name: fam for name, fam, _ in METHODS}
-TYPE_OF = {name: {"T": "trajectory", "L": "limit"}[t] for name, _, t in METHODS}
+TYPE_OF = {name: kind for name, _, kind in METHODS}
 ACCELERATORS = tuple(m for m, _, _ in METHODS if m not in TRIVIALS)
 REFERENCE_METHODS = tuple(m for m, _ in REFERENCES)
