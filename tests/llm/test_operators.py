@@ -361,7 +361,7 @@ def components_of(sets, num, den):
     return {d: find(d) for d in sets}
 
 
-@pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 4, 5), (2, 1, 2), (1, 9, 10)])
+@pytest.mark.parametrize("n,num,den", [(4, 85, 100), (2, 1, 2)])
 def test_components_equal_all_pairs(spark, texts, n, num, den):
     r, every = random.Random(n), dict(texts)
     for base in range(6):                              # families of edited copies, chains among them
