@@ -10,15 +10,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, small, stage, text_of
 
 CELLS = 32                     # parts of the hash range whose counts the suffix filter compares
-HOT_HERE, HOT_CHUNK = 4, 2_000_000   # an n-gram is reported as frequent if so many of a chunk's n-grams equal it
-HOT_TABLE = 100_000            # frequent n-grams that the order knows; it decides speed, never results
+HOT_HERE, HOT_CHUNK = 2, 2_000_000   # an n-gram is reported as frequent if so many different sets of a chunk hold it
+HOT_TABLE = 1_000_000          # most frequent n-grams that the order knows; it decides speed, never results
 SEEN = 500_000                 # nodes a task remembers so as to emit copies once
 WORDS = 1_000_000              # word hashes a worker remembers
 RECENT = 256                   # sets a worker remembers while it compares pairs
@@ -74,20 +74,22 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, seed: int) -> DataFrame:
     def run(batches):
         shingler = Shingler(n, seed)
         for batch in batches:
-            sizes, digests, cells, hot, held, waiting = [], [], [], [], [], 0
+            sizes, digests, cells, hot, held, waiting, here = [], [], [], [], [], 0, set()
             for data in batch.column(1).cast(pa.binary()):
                 g = shingler.grams(data.as_py())
                 sizes.append(len(g))
                 digests.append(shingler.digest(g) if len(g) else None)
                 cells.append(np.bincount((g >> np.uint64(59)).astype(np.int64), minlength=CELLS).astype(np.int32))
-                held.append(g)
-                waiting += len(g)
+                if digests[-1] not in here:
+                    here.add(digests[-1])
+                    held.append(g)
+                    waiting += len(g)
                 frequent = None
-                if waiting >= HOT_CHUNK or len(sizes) == batch.num_rows:
+                if held and (waiting >= HOT_CHUNK or len(sizes) == batch.num_rows):
                     values, counts = np.unique(np.concatenate(held), return_counts=True)
                     often = counts >= HOT_HERE
                     frequent = [{"g": a, "c": b} for a, b in zip(values[often].view(np.int64).tolist(), counts[often].tolist())]
-                    held, waiting = [], 0
+                    held, waiting, here = [], 0, set()
                 hot.append(frequent)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(cells, pa.list_(pa.int32())), pa.array(hot, kind)],
                                              names=schema.names)
@@ -228,8 +230,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, key
     first = named.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("k", "a")
     same_key = named.join(first, "k").where("node <> a").select("a", F.col("node").alias("b"))
 
-    top = (sets.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.g").agg(F.sum("h.c").alias("c"))
-           .orderBy(F.desc("c"), "g").limit(HOT_TABLE).toPandas())
+    often = stage(sets.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.g").agg(F.sum("h.c").alias("c")), "jaccard-frequent")
+    reached = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)          # one row per count
+    cutoff = (often.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(reached))
+              .where(F.col("upto") <= HOT_TABLE).agg(F.min("c").alias("c")).first()["c"])
+    top = often.where(F.col("c") >= F.lit(cutoff)).toPandas()                                # at most HOT_TABLE rows
     grams, order = top["g"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     by_gram = np.argsort(grams)
     hot = spark.sparkContext.broadcast((grams[by_gram], order[by_gram]))
