@@ -1,10 +1,10 @@
-"""Exact quantiles per group, by one plan for every size.
+"""Exact quantiles per group, of any size.
 
-A group counts its rows first.  Groups of at most ``GROUP_ROWS`` rows are finished in one
-aggregation buffer; of larger ones only the ranges that hold the wanted ranks are looked at: a histogram with
+Groups are counted first.  Groups of at most ``GROUP_ROWS`` rows are finished in one
+aggregation buffer (if no group is larger, in the same pass as the other statistics); of larger ones only the ranges that hold the wanted ranks are looked at: a histogram with
 map-side partial counts names a bucket, the bucket's own range is divided again, and
-what is left are the distinct values of one small part.  Which way a group goes is decided row by row
-inside the plan; both give the same numbers.
+what is left are the distinct values of one small part.  Each group goes the way its own size
+asks for; both give the same numbers.
 """
 from __future__ import annotations
 
@@ -107,11 +107,19 @@ def _joined(a: DataFrame, b: DataFrame, keys, names, how: str = "left") -> DataF
     return a.alias("a").join(b.alias("b"), same("a", "b", keys), how).select("a.*", *[F.col(f"b.{n}") for n in names])
 
 
+def _largest(df: DataFrame, keys) -> int:
+    """Rows of the largest group: a count that reads no column but the keys."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def order_statistics(df: DataFrame, keys, value: str, ranks) -> DataFrame:
     """Values at given ranks per group plus the group size ``n``; ``ranks`` maps
     a name to a function of the group size (0-based)."""
     keys = list(keys)
     rows = df.select(*keys, value).filter(F.col(value).isNotNull())
+    if _largest(df, keys) <= GROUP_ROWS:
+        g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_s")).withColumn("n", F.size("_s").cast("long"))
+        return g.select(*keys, "n", *[F.get("_s", r(F.col("n")).cast("int")).alias(name) for name, r in ranks.items()])
     sized = _sized(rows, keys, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
     g = sized.filter(F.col("_rows") <= GROUP_ROWS).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_s")).withColumn("n", F.size("_s").cast("long"))
     small = g.select(*keys, "n", *[F.get("_s", r(F.col("n")).cast("int")).alias(name) for name, r in ranks.items()])
@@ -126,16 +134,18 @@ def grouped(df: DataFrame, keys, aggs: list[Column], quantiles: dict[str, tuple[
     by_column: dict[str, dict[str, float]] = {}
     for name, (col, p) in quantiles.items():
         by_column.setdefault(col, {})[name] = p
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    if not by_column:
-        return base.drop("_rows")
+    freq = [] if weight is None else [F.col(weight).cast("long")]
+    arrays = [F.percentile(col, F.array(*[F.lit(float(p)) for p in probs.values()]), *freq).alias(f"_q_{i}") for i, (col, probs) in enumerate(by_column.items())]
+    picks = {n: F.get(f"_q_{i}", F.lit(j)) for i, probs in enumerate(by_column.values()) for j, n in enumerate(probs)}
+    rows = F.count(F.lit(1)).alias("_rows")
+    if not by_column or _largest(df, keys) <= GROUP_ROWS:
+        one = df.groupBy(*keys).agg(rows, *aggs, *arrays)
+        return one.withColumns(picks).drop("_rows", *[f"_q_{i}" for i in range(len(arrays))])
+    base = df.groupBy(*keys).agg(rows, *aggs)
     extra = [weight] if weight and weight not in by_column else []
     used = df.select(*[F.col(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in by_column if c not in keys], *extra)
     sized = _sized(used, keys, base)
-    freq = [] if weight is None else [F.col(weight).cast("long")]
-    arrays = [F.percentile(col, F.array(*[F.lit(float(p)) for p in probs.values()]), *freq).alias(f"_q_{i}") for i, (col, probs) in enumerate(by_column.items())]
-    picks = [F.get(f"_q_{i}", F.lit(j)).alias(n) for i, probs in enumerate(by_column.values()) for j, n in enumerate(probs)]
-    small = sized.filter(F.col("_rows") <= GROUP_ROWS).groupBy(*keys).agg(*arrays).select(*keys, *picks)
+    small = sized.filter(F.col("_rows") <= GROUP_ROWS).groupBy(*keys).agg(*arrays).select(*keys, *[c.alias(n) for n, c in picks.items()])
     # large groups: all columns go through one histogram, as rows that name their column
     long = sized.filter(F.col("_rows") > GROUP_ROWS).select(*keys, *([F.col(weight).alias("_weight")] if weight else []), F.explode(F.array(*[
         F.struct(F.lit(i).alias("_col"), F.col(c).alias("_value")) for i, c in enumerate(by_column)])).alias("_x")).select(*keys, *(["_weight"] if weight else []), "_x.*")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailcast.functions.quantiles import grouped, order_statistics
+from tailcast.session import settled
 from tailcast.settings import (ACCELERATORS, CONSERVATIVE_METHOD, DEFAULT_METHOD, RANK_MIN_VALID, RATIO_EPS, REGISTRY_INDEX)
 
 CELL = ("family", "is_holdout", "depth", "noise", "target_g")
@@ -86,8 +87,8 @@ def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK
     a median by at most one place, so three middle order statistics per (cell,
     method) give every leave-one-out median."""
     half = lambda n: F.floor(n / 2)                                   # noqa: E731
-    mid = order_statistics(rows, ["pool", *cell, "method"], "err", {
-        "x0": lambda n: half(n) - 1, "x1": half, "x2": lambda n: half(n) + 1})
+    mid = settled(order_statistics(rows, ["pool", *cell, "method"], "err", {
+        "x0": lambda n: half(n) - 1, "x1": half, "x2": lambda n: half(n) + 1}), "middles")
     r = rows.join(mid, ["pool", *cell, "method"], "left").join(runs, list(cell))
     e, k = F.col("err"), F.floor(F.col("n") / 2)
     even = (F.col("n") % 2) == 0
@@ -131,7 +132,8 @@ def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN) ->
     keys = ["pool", *cell]
     e, d, last, w = F.col("err"), F.col("e_default"), F.col("e_last"), F.col("w")
     ok = e.isNotNull()
-    t = t.withColumn("_ratio", F.when(ok & (d > RATIO_EPS), e / F.when(d > RATIO_EPS, d)))
+    # several parts of the statistics read the trials: they are written once
+    t = settled(t.withColumn("_ratio", F.when(ok & (d > RATIO_EPS), e / F.when(d > RATIO_EPS, d))), "trials")
 
     def share(cond):
         return F.sum(F.when(cond, w).otherwise(0)) / F.sum(w)
