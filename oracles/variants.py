@@ -104,7 +104,7 @@ def mode_study() -> dict[str, str]:
 def length_study() -> dict[str, str]:
     from oracles.tails import feature_ctes
     return {**P.curve_ctes("se"), **P.horizon_ctes((90,), (0.7, 0.5)),
-            **P.window_ctes((90,), (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80)), **P.estimate_ctes(DIAG), **P.record_ctes(), **feature_ctes()}
+            **P.window_ctes((90,), (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80, 100)), **P.estimate_ctes(DIAG), **P.record_ctes(), **feature_ctes()}
 
 
 def reaction_ctes() -> dict[str, str]:

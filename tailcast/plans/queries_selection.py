@@ -175,7 +175,7 @@ def _(spark, sf):
 
 # ---- W: sweeps, F18, F19, F25, H16 ----------------------------------------------
 MODES = ("zero", "half", "oracle", "double", "winmin")
-LENGTHS = (20, 40, 60, 80)
+LENGTHS = (20, 40, 60, 80, 100)
 CONSUMERS = ("log_linear", "constant_assumed", "richardson_1", "rational_fit", "last_value", "window_mean", "window_min")
 
 
