@@ -97,7 +97,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     that has one of its chunks) and is_first (all its chunks occur in this document first, so that
     here the passage would stay).  Documents without repeated passages of ``min_words`` words have no row.
 
-    A passage is a run of adjacent chunks whose digests occur in two documents or more.  A digest has 64 bits:
+    A stretch is a run of adjacent chunks whose digests occur in two documents or more; it counts if it has
+    ``min_words`` words.  Where chunks that are here first meet chunks that are not, it is divided into
+    passages, so a chunk is cut only where an earlier document has it; of those that stay, ones below ``min_words``
+    have no row.  A digest has 64 bits:
     a chance collision makes one chunk, far below ``min_words``.  A key names one document; rows with
     a null key are compared with the others but not with each other.  Null and empty texts have no chunks.
     Other columns are not read; an empty table gives no rows.
@@ -106,13 +109,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     are joined with their occurrences, where hot digests are split; texts are not shuffled."""
     found = stage(chunk_table(docs, key, text), "chunks")
     twice = stage(found.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("digest", "first"), "chunk-repeats")
-    repeats = found.join(twice, "digest")
+    repeats = found.join(twice, "digest").withColumn("own", F.col("first").eqNullSafe(F.col("k")))
     order = Window.partitionBy("row").orderBy("start")
-    fresh = (F.col("start") != F.coalesce(F.lag("stop").over(order), F.lit(-1))).cast("int")
-    numbered = repeats.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.groupBy("row", "run").agg(F.first("k").alias(key), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"),
-                                              F.sum("words").alias("n_words"), F.min("first").alias("first_doc"), F.bool_and(F.col("first").eqNullSafe(F.col("k"))).alias("is_first"))
-    return runs.where(F.col("n_words") >= min_words).select(key, "start", "stop", "n_chunks", "n_words", "first_doc", "is_first")
+    apart = F.col("start") != F.coalesce(F.lag("stop").over(order), F.lit(-1))
+    turns = F.col("own") != F.coalesce(F.lag("own").over(order), F.lit(False))
+    numbered = repeats.withColumn("apart", apart.cast("int")).withColumn("fresh", (apart | turns).cast("int"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = numbered.withColumn("stretch", F.sum("apart").over(so_far)).withColumn("run", F.sum("fresh").over(so_far))
+    runs = numbered.groupBy("row", "stretch", "run").agg(F.first("k").alias(key), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"),
+                                                         F.sum("words").alias("n_words"), F.min("first").alias("first_doc"), F.first("own").alias("is_first"))
+    whole = F.sum("n_words").over(Window.partitionBy("row", "stretch"))
+    return runs.withColumn("whole", whole).where((F.col("whole") >= min_words) & (~F.col("is_first") | (F.col("n_words") >= min_words))).select(key, "start", "stop", "n_chunks", "n_words", "first_doc", "is_first")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -338,6 +338,25 @@ def test_shared_passages_are_found_and_others_not(spark):
     assert kept[0] == frame[0][1] and kept[30] == frame[30][1] and all(len(kept[i].split()) < 275 for i in range(1, 20))
 
 
+def test_every_repeated_chunk_survives_where_it_is_first(spark):
+    passage, more = cases.prose(51, 120), cases.prose(52, 150)
+    given = {3: f"{cases.prose(53, 90)} {passage} {cases.prose(54, 90)}", 5: f"{passage} {more}", 9: f"{passage} {more}"}
+    frame = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    got = sorted(chunking.repeated_passages(frame).collect())
+    assert any(r.is_first for r in got if r.doc_id == 5) and not any(r.is_first for r in got if r.doc_id == 9)
+    digests = {d: chunking.chunks(t.encode())[:2] for d, t in given.items()}
+    owner: dict = {}
+    for d in sorted(given):
+        for x in digests[d][0]:
+            owner.setdefault(x, d)
+    for d, (found, ends) in digests.items():
+        for x, start, stop in zip(found, [0, *ends], ends):
+            gone = any(r.start <= start and stop <= r.stop and not r.is_first for r in got if r.doc_id == d)
+            assert gone == (owner[x] != d)
+    kept = {r.doc_id: r.text for r in chunking.remove_repeats(frame).collect()}
+    assert kept[3] == given[3] and more[60:] in kept[5] and not kept[9]
+
+
 def sets_of(texts, n):
     out = {}
     for d, t in texts.items():
