@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunking, decontaminate, extract, jaccard, mixing, quality, secrets, sharding, tokens, warc
-from .common import load, text_of
+from .common import load, stage, text_of
 
 
 def op1_edit_aware_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Whole documents are repeated, shuffled and written; the rows name each one's document and place."""
+    return stage(mixing.mix(load(spark, sf_dir, "documents")), "mixture").select("doc_id", "source", "copy", "shuffle_key")
 
 
 def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

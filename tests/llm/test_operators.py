@@ -1,6 +1,7 @@
 """Operators against brute force on small tables."""
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -10,8 +11,8 @@ import numpy as np
 import pytest
 
 import cases
-from tailcast.llm import chunking, decontaminate, extract, jaccard, mixing, quality, secrets, sharding, tokens, warc
-from tailcast.llm.common import load
+from tailcast.llm import chunking, decontaminate, extract, jaccard, mixing, quality, queries, secrets, sharding, tokens, warc
+from tailcast.llm.common import load, shared_root
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -201,6 +202,17 @@ def test_mixture_counts_and_order(spark):
     assert abs(np.corrcoef(np.arange(len(places)), places)[0, 1]) < 0.1
 
 
+def test_query_mixes_whole_documents(spark, docs):
+    rows = queries.op6_poisson_mixing(spark, SF)
+    root, whole = shared_root(spark), docs.columns + ["copy", "shuffle_key"]
+    written = [spark.read.parquet(f"{root}/{n}") for n in os.listdir(root.removeprefix("file://")) if n.startswith("llm-mixture-")]
+    assert written and all(t.columns == whole for t in written)
+    want = {r.doc_id: r for r in docs.collect()}
+    got = written[-1].collect()
+    assert all(tuple(r)[:-2] == tuple(want[r.doc_id]) for r in got)
+    assert Counter((r.doc_id, r.copy) for r in got) == Counter((r.doc_id, r.copy) for r in rows.collect())
+
+
 def test_large_rates_are_sums_of_small_ones(spark):
     given = spark.createDataFrame([(i, "a") for i in range(400)], "doc_id long, source string")
     counts = Counter(r.doc_id for r in mixing.mix(given, rows_out=40_000).collect())
