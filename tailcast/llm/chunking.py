@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, stage, text_of
+from .common import discard, small, stage, text_of
 
 BITS = 5                       # a place is a cut with probability 2 ** -BITS: about 32 bytes between cuts
 MIN_BYTES, MAX_BYTES = 8, 512  # closer cuts are one; a stretch without cuts is divided
@@ -69,57 +69,118 @@ def chunks(data: bytes) -> tuple[list[int], list[int], np.ndarray]:
     return hashed, ends, np.diff(np.cumsum(begins)[at - 1], prepend=0) if ends else at
 
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, k, digest, start, stop, words) of every chunk; places are UTF-8 bytes, ``row`` numbers the rows
-    of the scan.  Null and empty texts have none."""
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("k", docs.schema[key].dataType), T.StructField("digest", T.LongType()),
-                           *[T.StructField(c, T.IntegerType()) for c in ("start", "stop", "words")]])
+def windows(data: bytes, places: list, size: int) -> list[tuple[int, int, int, int]]:
+    """(64-bit digest, start, stop, number of the first word) of every window of ``size`` whole words that holds one of
+    ``places``, which are (number of the first word that begins in a chunk, how many do)."""
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)], [True]])
+    begin, end = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    wanted: set[int] = set()
+    for first, count in places:
+        lo, hi = (first, first + count - 1) if count else (first - 1, first - 1)
+        wanted.update(range(max(0, hi - size + 1), min(lo, len(begin) - size) + 1))
+    out = []
+    for w in sorted(wanted):
+        start, stop = int(begin[w]), int(end[w + size - 1])
+        out.append((int.from_bytes(hashlib.blake2b(data[start:stop], digest_size=8).digest(), "little", signed=True), start, stop, w))
+    return out
 
+
+_PLACES = ("row", "k", "digest", "start", "stop", "word", "words")
+
+
+def _places(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("row", T.LongType()), T.StructField("k", kind), T.StructField("digest", T.LongType()),
+                         *[T.StructField(c, T.IntegerType()) for c in _PLACES[3:]]])
+
+
+def _batch(batch, counts: list, columns: list):
+    take = pa.array(np.repeat(np.arange(batch.num_rows), counts), pa.int64())
+    kinds = (pa.int64(), *[pa.int32()] * 4)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=list(_PLACES))
+
+
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """(row, k, digest, start, stop, word, words) of every chunk of (row, k, t); places are UTF-8 bytes, ``word``
+    is the number of the first word that begins in the chunk.  Empty texts have none."""
     def run(batches):
         for batch in batches:
-            digests, stops, starts, words, counts = [], [], [], [np.empty(0, np.int64)], []
+            digests, stops, starts, words, before, counts = [], [], [], [], [], []
             for data in batch.column(2).cast(pa.binary()):
                 d, e, w = chunks(data.as_py())
                 digests += d
                 stops += e
                 starts += [0, *e[:-1]] if e else []
-                words.append(w)
+                words += w.tolist()
+                before += (np.cumsum(w) - w).tolist()
                 counts.append(len(d))
-            take = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(digests, pa.int64()), pa.array(starts, pa.int32()),
-                                              pa.array(stops, pa.int32()), pa.array(np.concatenate(words), pa.int32())], names=schema.names)
+            yield _batch(batch, counts, [digests, starts, stops, before, words])
+
+    return texts.mapInArrow(run, _places(texts.schema["k"].dataType))
+
+
+def window_table(texts: DataFrame, size: int) -> DataFrame:
+    """The same columns for the windows of ``size`` words around the places of (row, k, t, places)."""
+    def run(batches):
+        for batch in batches:
+            found = [windows(t.as_py(), [(p["word"], p["words"]) for p in places.as_py()], size) for t, places in zip(batch.column(2).cast(pa.binary()), batch.column(3))]
+            every = [x for f in found for x in f]
+            columns = [list(c) for c in zip(*every)] or [[]] * 4
+            yield _batch(batch, [len(f) for f in found], [*columns, [size] * len(every)])
+
+    return texts.mapInArrow(run, _places(texts.schema["k"].dataType))
+
+
+def _owned(places: DataFrame, label: str) -> DataFrame:
+    """Those places whose digest two keys have, with the smallest key and whether it is their own."""
+    twice = stage(places.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("digest", "first"), label)
+    return places.join(twice, "digest").withColumn("own", F.col("first").eqNullSafe(F.col("k")))
+
+
+def _joined(places: DataFrame, group: list[str], name: str) -> DataFrame:
+    """Number, within ``group``, of the run of adjacent or overlapping places that each belongs to."""
+    order = Window.partitionBy(*group).orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return (places.withColumn("__apart", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int"))
+            .withColumn(name, F.sum("__apart").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__apart"))
+
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), text_of(text).alias("t")).mapInArrow(run, schema)
+def _stretches(places: DataFrame) -> DataFrame:
+    held = Window.partitionBy("row", "stretch")
+    return _joined(places, ["row"], "stretch").withColumn("whole", F.max(F.col("word") + F.col("words")).over(held) - F.min("word").over(held))
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage: key, start and stop (UTF-8 bytes), n_chunks, n_words, first_doc (smallest key
-    that has one of its chunks) and is_first (all its chunks occur in this document first, so that
+    that has one of its parts) and is_first (all its parts occur in this document first, so that
     here the passage would stay).  Documents without repeated passages of ``min_words`` words have no row.
 
-    A stretch is a run of adjacent chunks whose digests occur in two documents or more; it counts if it has
-    ``min_words`` words.  Where chunks that are here first meet chunks that are not, it is divided into
-    passages, so a chunk is cut only where an earlier document has it; of those that stay, ones below ``min_words``
-    have no row.  A digest has 64 bits:
-    a chance collision makes one chunk, far below ``min_words``.  A key names one document; rows with
-    a null key are compared with the others but not with each other.  Null and empty texts have no chunks.
-    Other columns are not read; an empty table gives no rows.
+    Repeated chunks are those whose digests occur in two documents or more; a stretch is a run of adjacent ones.
+    Chunks at the edges of a passage differ with what stands around it, so a stretch below ``min_words`` words
+    says nothing yet: all occurrences of its chunks are read again, and windows of ``min_words`` whole words
+    around them that two documents have are part of the stretch.  A passage of ``min_words`` words or more is
+    found if one common chunk lies whole inside.  Where parts that are here first meet parts that are not, a
+    stretch is divided, so a part is cut only where an earlier document has it; those of a stretch that stay have
+    no row if they are below ``min_words`` together.  A digest has 64 bits: a chance collision makes one chunk, far below
+    ``min_words``.  A key names one document; rows with a null key are compared with the others but not
+    with each other.  Null and empty texts have no chunks.  Other columns are not read; an empty table gives no rows.
 
     Chunks are cut once and written.  Digests are counted with map-side combination; only repeated ones
-    are joined with their occurrences, where hot digests are split; texts are not shuffled."""
-    found = stage(chunk_table(docs, key, text), "chunks")
-    twice = stage(found.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").select("digest", "first"), "chunk-repeats")
-    repeats = found.join(twice, "digest").withColumn("own", F.col("first").eqNullSafe(F.col("k")))
-    order = Window.partitionBy("row").orderBy("start")
-    apart = F.col("start") != F.coalesce(F.lag("stop").over(order), F.lit(-1))
-    turns = F.col("own") != F.coalesce(F.lag("own").over(order), F.lit(False))
-    numbered = repeats.withColumn("apart", apart.cast("int")).withColumn("fresh", (apart | turns).cast("int"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = numbered.withColumn("stretch", F.sum("apart").over(so_far)).withColumn("run", F.sum("fresh").over(so_far))
-    runs = numbered.groupBy("row", "stretch", "run").agg(F.first("k").alias(key), F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_chunks"),
-                                                         F.sum("words").alias("n_words"), F.min("first").alias("first_doc"), F.first("own").alias("is_first"))
-    whole = F.sum("n_words").over(Window.partitionBy("row", "stretch"))
-    return runs.withColumn("whole", whole).where((F.col("whole") >= min_words) & (~F.col("is_first") | (F.col("n_words") >= min_words))).select(key, "start", "stop", "n_chunks", "n_words", "first_doc", "is_first")
+    are joined with their occurrences, where hot digests are split; texts are joined by row, once.  Stages that no later step reads are removed."""
+    texts = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), text_of(text).alias("t")), "chunk-texts")
+    found = stage(chunk_table(texts), "chunks")
+    repeats = stage(_owned(found, "chunk-repeats"), "chunk-places")
+    discard(found)
+    short = stage(_stretches(repeats).where(F.col("whole") < min_words).select("digest").distinct(), "chunk-short")
+    around = repeats.join(short, "digest", "left_semi").groupBy("row").agg(F.collect_list(F.struct("word", "words")).alias("places"))
+    near = stage(window_table(texts.join(around, "row").select("row", "k", "t", "places"), max(1, min_words)), "chunk-windows")
+    discard(texts)
+    parts = repeats.withColumn("n", F.lit(1)).unionByName(_owned(near, "window-repeats").withColumn("n", F.lit(0)))
+    numbered = _joined(_stretches(parts).where(F.col("whole") >= min_words), ["row", "stretch", "own"], "run")
+    runs = numbered.groupBy("row", "stretch", "own", "run").agg(
+        F.first("k").alias(key), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n_chunks"),
+        (F.max(F.col("word") + F.col("words")) - F.min("word")).cast("long").alias("n_words"), F.min("first").alias("first_doc"))
+    stays = F.sum("n_words").over(Window.partitionBy("row", "stretch", "own"))
+    return runs.withColumn("stays", stays).where(~F.col("own") | (F.col("stays") >= min_words)).select(key, "start", "stop", "n_chunks", "n_words", "first_doc", F.col("own").alias("is_first"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -369,6 +369,17 @@ def test_every_repeated_chunk_survives_where_it_is_first(spark):
     assert kept[3] == given[3] and more[60:] in kept[5] and not kept[9]
 
 
+def test_short_passages_are_found_whatever_stands_around(spark):
+    frame, r = [], random.Random(8)
+    for i in range(300):
+        passage = cases.prose(7000 + i, r.choice([50, 55, 60]))
+        for half in (0, 1):
+            frame.append((2 * i + half, f"{cases.prose(9000 + 2 * i + half, 60)} {passage} {cases.prose(20_000 + 2 * i + half, 60)}"))
+    got = chunking.repeated_passages(spark.createDataFrame(frame, "doc_id long, text string")).collect()
+    firsts, later = {x.doc_id for x in got if x.is_first}, {x.doc_id for x in got if not x.is_first}
+    assert len(later & set(range(1, 600, 2))) >= 295 and len(firsts) >= 290 and {d - d % 2 for d in later | firsts} <= set(range(0, 600, 2))
+
+
 def sets_of(texts, n):
     out = {}
     for d, t in texts.items():
