@@ -269,9 +269,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, template: list[int] | None) -> list[str]:
-    """Blocks of the content slot.  An article element, or else a main element, is that slot: what stands in it is
-    kept, but for parts that are named as something else and constant sections.  Elsewhere the slot is the smallest
-    element with most of the text that varies, is not named as something else and is not mostly links."""
+    """Blocks of the content slots.  An article element, or else a main element, is the slot: what stands in it is
+    kept, but for parts that are named as something else and constant sections.  Elsewhere all slots are content
+    whose text varies, is not named as something else and is not mostly links."""
     root, blocks = parse(page)
     fold(root)
     constant = set(template or ())
@@ -310,16 +310,7 @@ def main_text(page: str, template: list[int] | None) -> list[str]:
             gone = {id(b) for b in fixed}
             inside = [b for b in inside if id(b) not in gone]
         return [b[1] for b in inside]
-    varying = [b for b in kept if b[0].path not in constant and 2 * b[2] <= len(b[1])]
-    total = sum(len(b[1]) for b in varying)
-    if not total:
-        return []
-    weight: dict[int, int] = {}
-    for node, text, _ in varying:
-        for x in chains[id(node)]:
-            weight[id(x)] = weight.get(id(x), 0) + len(text)
-    slot = max((x for b in varying for x in chains[id(b[0])] if 2 * weight[id(x)] > total and x.tag not in TEXTUAL), key=lambda x: x.depth, default=root)
-    return [b[1] for b in varying if any(x is slot for x in chains[id(b[0])])]
+    return [b[1] for b in kept if b[0].path not in constant and 2 * b[2] <= len(b[1])]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -151,6 +151,16 @@ def test_wrapper_of_a_host_finds_the_slot_without_article(spark):
         assert got[i] == "\n".join([f"Head {i}"] + [cases.prose(10 * i + k, 30) for k in range(i % 3 + 1)])
 
 
+def test_all_varying_slots_without_article_are_content(spark):
+    def shell(i):
+        lead, rows = cases.prose(1000 + i, 40), [cases.prose(2000 + 20 * i + k, 20) for k in range(6)]
+        table = "".join(f"<tr><td>{x}</td></tr>" for x in rows[3:])
+        body = f"<div class=lead><p>{lead}</p></div><div class=body><ul>{''.join(f'<li>{x}</li>' for x in rows[:3])}</ul><table>{table}</table></div>"
+        return page(f"<div class=top><p>My site of news</p></div>{body}<div class=low><p>All rights kept</p></div>"), "\n".join([lead, *rows])
+    given = [(i, f"http://three.org/{i}", shell(i)[0]) for i in range(8)]
+    assert {r.page_id: r.text for r in extract.extract(cases.pages(spark, given)).collect()} == {i: shell(i)[1] for i in range(8)}
+
+
 def test_repeated_lines_of_an_article_stay(spark):
     given = [(i, "http://two.org/" + str(i), page("<article><h1>Same</h1><p>Same text on every page</p></article>")) for i in range(6)]
     assert {r.text for r in extract.extract(cases.pages(spark, given)).collect()} == {"Same\nSame text on every page"}
