@@ -4,7 +4,7 @@ Left out, and tested by brute force instead: token trees (1), block-max search (
 chunks (9), which SQL cannot express at a bearable cost."""
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -131,4 +131,75 @@ root AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(root.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op2_warc_transactions": OP2, "op5_jump_sharding": OP5, "op6_poisson_mixing": OP6, "op7_divergence_rules": _op7(), "op8_credential_linking": OP8, "op10_ngram_jaccard": OP10}
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*{WORD}|[\x20\x09-\x0D]+') AS tokens FROM d),
+n AS (SELECT *, len(tokens)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM w),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+s AS (SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s"""
+
+# Trees are built level by level; a level's node is joined with its neighbour for the proof.  Keys are unique.
+OP12 = r"""
+WITH RECURSIVE e AS (SELECT doc_id, coalesce('=' || lang, '') AS g, n_chars,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i)),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits),
+crc AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)),
+               lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1]))) AS crc FROM documents, tab),
+leaf AS (SELECT e.doc_id, g, row_number() OVER (PARTITION BY g ORDER BY e.doc_id) - 1 AS i, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS d,
+                sha256(head || coalesce(strlen((n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR) || ':' || (n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END), '-') || tail) AS held
+         FROM e JOIN crc USING (doc_id)),
+low AS (SELECT g, 0 AS level, i, d, count(*) OVER (PARTITION BY g) AS n FROM leaf
+        UNION ALL SELECT g, level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value(n + 1) // 2 FROM low WHERE n > 1 GROUP BY g, level, i // 2),
+subs AS (SELECT g, d, level, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, i, d, n FROM subs UNION ALL SELECT level + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), any_value(n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, i // 2),
+root AS (SELECT d AS root FROM high WHERE n = 1),
+tree AS (SELECT g, level, i, d FROM low WHERE n > 1 UNION ALL SELECT s.g, s.level + h.level, h.i, h.d FROM high h, subs s WHERE h.n > 1),
+spots AS (SELECT l.doc_id, l.g, t.level, CASE WHEN t.level < s.level THEN l.i >> t.level ELSE s.i >> (t.level - s.level) END AS at FROM leaf l JOIN subs s USING (g) JOIN (SELECT DISTINCT g, level FROM tree) t USING (g)),
+steps AS (SELECT p.doc_id, p.level, p.at & 1 AS side, coalesce(t.d, '') AS d FROM spots p LEFT JOIN tree t ON t.g = p.g AND t.level = p.level AND t.i = xor(p.at, 1)),
+proof AS (SELECT doc_id, sha256(string_agg(d, '' ORDER BY level)) AS proof_sha256, max(level) + 1 AS height FROM steps GROUP BY doc_id),
+fold AS (SELECT doc_id, 0 AS level, held AS node FROM leaf
+         UNION ALL SELECT f.doc_id, f.level + 1, sha256(CASE WHEN s.side = 1 THEN s.d || f.node ELSE f.node || s.d END) FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.level = f.level),
+last AS (SELECT doc_id, arg_max(node, level) AS folded_root FROM fold GROUP BY doc_id)
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf l JOIN subs s USING (g) JOIN last USING (doc_id) LEFT JOIN proof USING (doc_id), root"""
+
+
+def _op13() -> str:
+    bodies = [licenses.words_of(b) for b in (*licenses.PHRASES, *(b for _, b in licenses.TEMPLATES))]
+    labels = [*licenses.PHRASES.values(), *(label for label, _ in licenses.TEMPLATES)]
+    listed = ", ".join(f"({i}, '{label}', {list(body)})" for i, (label, body) in enumerate(zip(labels, bodies)))
+    known, run = len(licenses.PHRASES), licenses.K
+    return f"""
+WITH tpl AS (SELECT * FROM (VALUES {listed}) v(template, label, words)),
+tw AS (SELECT template, unnest(range(len(words))) AS t, unnest(words) AS w FROM tpl),
+tg AS (SELECT template, t, array_to_string(words[t + 1:t + {run}], ' ') AS gram, len(words) - {run - 1} AS size FROM (SELECT *, unnest(range(len(words) - {run - 1})) AS t FROM tpl)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+dw AS (SELECT doc_id, unnest(range(len(words))) AS p, unnest(words) AS w FROM d),
+dg AS (SELECT doc_id, p, array_to_string(words[p + 1:p + {run}], ' ') AS gram FROM (SELECT *, unnest(range(len(words) - {run - 1})) AS p FROM d WHERE len(words) >= {run})),
+votes AS (SELECT doc_id, template, p - t AS d, count(DISTINCT t) AS n, any_value(size) AS size, min(t) AS low, max(t) + {run - 1} AS high FROM dg JOIN tg USING (gram) GROUP BY ALL),
+kept AS (SELECT * FROM votes WHERE n >= CASE WHEN template < {known} THEN size ELSE least(size, {licenses.MIN_VOTES}) END),
+opened AS (SELECT *, CASE WHEN template < {known} OR d - lag(d) OVER s > {licenses.NEIGHBOUR} THEN 1 ELSE 0 END AS fresh FROM kept WINDOW s AS (PARTITION BY doc_id, template ORDER BY d)),
+passage AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY d) AS passage FROM opened),
+hit AS (SELECT a.doc_id, a.template, passage, tw.t, min(tw.t + a.d) AS p FROM passage a JOIN tw ON tw.template = a.template AND tw.t BETWEEN a.low AND a.high
+        JOIN dw ON dw.doc_id = a.doc_id AND dw.p = tw.t + a.d AND dw.w = tw.w GROUP BY ALL),
+found AS (SELECT doc_id, template, label, passage, min(p) AS a, max(p) + 1 AS b, count(*) AS n, len(any_value(words)) AS m FROM hit JOIN tpl USING (template) GROUP BY doc_id, template, label, passage),
+good AS (SELECT *, n / m AS score FROM found WHERE n >= CASE WHEN template < {known} THEN m ELSE {licenses.MIN_COVER}::DOUBLE * m END),
+spans AS (SELECT * FROM good f WHERE template < {known} OR NOT EXISTS (SELECT 1 FROM good g WHERE g.doc_id = f.doc_id AND g.template >= {known} AND g.score > f.score AND g.label <> f.label
+             AND 2 * (least(f.b, g.b) - greatest(f.a, g.a)) >= least(f.b - f.a, g.b - g.a))),
+listed AS (SELECT doc_id, count(*) FILTER (template < {known}) AS n_base, min(a) FILTER (template < {known}) AS first_word, max(a) FILTER (template < {known}) AS last_word,
+                  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (template < {known}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_warc_transactions": OP2, "op5_jump_sharding": OP5, "op6_poisson_mixing": OP6, "op7_divergence_rules": _op7(), "op8_credential_linking": OP8, "op10_ngram_jaccard": OP10,
+    "op11_fill_in_middle": OP11, "op12_merkle_manifest": OP12, "op13_license_diagonals": _op13()}

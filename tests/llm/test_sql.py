@@ -12,4 +12,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(sql.ORACLE) <= set(queries.QUERIES)
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] and set(sql.ORACLE) <= set(queries.QUERIES)
