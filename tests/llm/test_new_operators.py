@@ -176,7 +176,7 @@ def edited(body, seed):
 
 
 def test_edited_licenses_are_found_where_they_stand(spark):
-    long = [(i, label, body) for i, (label, body) in enumerate(licenses.TEMPLATES) if len(body.split()) > 35]
+    long = [(i, label, body) for i, (label, body) in enumerate(licenses.TEMPLATES) if len(body.split()) > 60]
     docs = cases.documents(spark, [(i, edited(body, i), "en", "a", 1) for i, _, body in long] * 2 + [(100 + i, cases.prose(i, 300), "en", "a", 1) for i in range(20)])
     got = licenses.find_licenses(docs).collect()
     for r in got:
