@@ -329,6 +329,27 @@ def spearman(src: str, keys: str, x: str, y: str, fewest: int, digits: int = 4)
 _dlong = """SELECT *, unnest(['ALL', method0]) AS method FROM (SELECT depth, method AS method0, round(error, 9) AS error, catastrophic, target_g, diag.d AS diagnostic, diag.v AS dvalue FROM (
     SELECT *, unnest([{'d': 'perturb_iqr', 'v': round(perturb_iqr, 9)}, {'d': 'shift_iqr', 'v': round(shift_iqr, 9)}]) AS diag FROM drec))"""
 tail("k3_diagnostic_correlation", "diag", f"SELECT * FROM ({spearman(_dlong, 'method, diagnostic', 'dvalue', 'error', 10)}) WHERE n >= 10")
+
+
+def integral(f: str, top: str) -> str:
+    """Simpson's rule with 1,000 intervals from 0 to ``top``; ``f`` is an expression of {x}."""
+    h = f"(({top}) / 1e3)"
+    return f"({h} / 3 * list_sum(list_transform(range(0, 1001), lambda i: (CASE WHEN i = 0 OR i = 1000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.replace('{x}', f'(i * {h})')}))))"
+
+
+def normal_tails(z: str) -> str:
+    return f"greatest(1e0 - sqrt(2e0 / pi()) * {integral('exp(-{x} * {x} / 2)', 'least(' + z + ', 9e0)')}, 0e0)"
+
+
+def t_tails(t: str, df: str) -> str:
+    """Student's t as an integral over the angle atan(t / sqrt(df))."""
+    inner = integral(f"pow(cos({{x}}), {df} - 1)", f"least(atan(abs({t}) / sqrt({df})), 12e0 / sqrt({df}), pi() / 2)")
+    return f"greatest(1e0 - 2 * exp(lgamma(({df} + 1) / 2e0) - lgamma({df} / 2e0)) / sqrt(pi()) * {inner}, 0e0)"
+
+
+_k3 = f"SELECT * FROM ({spearman(_dlong, 'method, diagnostic', 'dvalue', 'error', 10, 15)}) WHERE n >= 10"
+tail("k11_p_values", "diag", f"""SELECT method, diagnostic, {R('spearman_r')} AS spearman_r, n, {R(f"CASE WHEN abs(spearman_r) >= 1 THEN 0e0 WHEN spearman_r IS NOT NULL THEN {t_tails('tt', 'df')} END")} AS p_value
+    FROM (SELECT *, (n - 2)::DOUBLE AS df, CASE WHEN abs(spearman_r) < 1 THEN spearman_r * sqrt((n - 2) / ((1 - spearman_r) * (1 + spearman_r))) END AS tt FROM ({_k3}))""")
 _klong = f"""SELECT *, unnest(['ALL', family0]) AS family FROM (SELECT t.family AS family0, target_g, round(R_R_med, 9) AS rr, round(log_med_error_R, 9) AS lg, fx.f AS feature, fx.v AS fv FROM (
     SELECT t.*, unnest([{', '.join(f"{{'f': '{f}', 'v': round({f}, 12)}}" for f in FEATURES)}]) AS fx FROM ({TARGETS}) t LEFT JOIN cfeat USING (family, depth, noise) WHERE capped = 0) t)"""
 _kok = f"(SELECT * FROM ({_klong}) WHERE fv IS NOT NULL AND rr IS NOT NULL AND lg IS NOT NULL)"
@@ -336,9 +357,15 @@ tail("k4_feature_correlation", "gapfeat", f"""WITH a AS ({spearman(f'SELECT * FR
     c AS (SELECT family, target_g, feature, count(*) AS k FROM ({_klong}) GROUP BY ALL)
     SELECT family, target_g, feature, a.spearman_r AS spearman_vs_RR, b.spearman_r AS spearman_vs_log_err, coalesce(a.n, 0) AS n_cells, k - coalesce(a.n, 0) AS n_dropped FROM c LEFT JOIN a USING (family, target_g, feature) LEFT JOIN b USING (family, target_g, feature)""")
 tail("k5_richardson_targets", "gap", f"SELECT {CELL}, capped, n_valid_R, n_total, n_zero_denominator, zero_denominator_cell, {r_as(['R_R_med', 'med_error_R', 'log_med_error_R'])} FROM ({TARGETS})")
-tail("k6_auc", "recorded", f"""WITH k AS (SELECT family, CASE WHEN cascade_skill >= 1 THEN 1 ELSE 0 END AS f, rank() OVER (PARTITION BY family ORDER BY round(perturb_iqr, 9)) + (count(*) OVER (PARTITION BY family, round(perturb_iqr, 9)) - 1) / 2e0 AS rk
-    FROM rsum WHERE perturb_iqr IS NOT NULL AND cascade_skill IS NOT NULL)
-    SELECT family, sum(f)::BIGINT AS n_fail, sum(1 - f)::BIGINT AS n_succ, {R('CASE WHEN sum(f) > 0 AND sum(1 - f) > 0 THEN (sum(CASE WHEN f = 1 THEN rk END) - sum(f) * (sum(f) + 1) / 2e0) / (sum(f) * sum(1 - f)) END')} AS auc FROM k GROUP BY family""")
+
+
+_u = "(sum(CASE WHEN f = 1 THEN rk END) - sum(f) * (sum(f) + 1) / 2e0)"
+tail("k6_auc", "recorded", f"""WITH k0 AS (SELECT family, CASE WHEN cascade_skill >= 1 THEN 1 ELSE 0 END AS f, round(perturb_iqr, 9) AS q FROM rsum WHERE perturb_iqr IS NOT NULL AND cascade_skill IS NOT NULL),
+    k AS (SELECT family, f, count(*) OVER (PARTITION BY family, q) AS same, rank() OVER (PARTITION BY family ORDER BY q) + (count(*) OVER (PARTITION BY family, q) - 1) / 2e0 AS rk FROM k0),
+    m AS (SELECT family, sum(f)::DOUBLE AS a, sum(1 - f)::DOUBLE AS b, {_u} AS u, sum(same * same - 1)::DOUBLE AS ties FROM k GROUP BY family),
+    z AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) END AS spread FROM m),
+    w AS (SELECT *, CASE WHEN spread > 0 THEN greatest((abs(u - a * b / 2) - 0.5) / spread, 0e0) END AS z FROM z)
+    SELECT family, a::BIGINT AS n_fail, b::BIGINT AS n_succ, {R('CASE WHEN a > 0 AND b > 0 THEN u / (a * b) END')} AS auc, {R(f'CASE WHEN z IS NOT NULL THEN least({normal_tails("z")}, 1e0) END')} AS p_value FROM w""")
 _thr = ", ".join(f"({t!r}::DOUBLE)" for t in REJECT_THRESHOLDS)
 tail("k7_rejection_rules", "diag", f"""WITH l AS (SELECT method, error, curr_err, catastrophic, diag.d AS diagnostic, diag.v AS v FROM (SELECT *, unnest([{{'d': 'perturb_iqr', 'v': perturb_iqr}}, {{'d': 'shift_iqr', 'v': shift_iqr}}]) AS diag FROM drec) WHERE diag.v IS NOT NULL),
     a AS (SELECT diagnostic, method, threshold, count(*) FILTER (WHERE v > threshold) AS n_fire, count(*) AS n_total, sum(catastrophic) AS n_bad, count(*) FILTER (WHERE v > threshold AND catastrophic = 1) AS hits,
@@ -360,8 +387,9 @@ tail("k10_cluster_bootstrap", "cells", f"""WITH c AS (SELECT target_g, family, m
     FROM p JOIN q USING (target_g) GROUP BY target_g, n_cells, p.win_rate, p.lower_share, p.med_diff""")
 
 # N
-tail("n1_keyed_diff", "gap", f"""SELECT a.curve_id, a.depth, a.target_g, a.method, a.e3 AS a_e3, a.valid AS a_valid, b.e3 AS b_e3, b.valid AS b_valid {_cj.replace('FULL JOIN', 'JOIN')}
-    WHERE a.e3 IS DISTINCT FROM b.e3 OR a.valid <> b.valid ORDER BY a.curve_id, a.depth, a.target_g, a.method LIMIT 5""")
+_first = lambda c: f"min(a.curve_id || '|' || a.depth || '|' || a.target_g::VARCHAR || '|' || a.method) FILTER (WHERE a.curve_id IS NOT NULL AND b.curve_id IS NOT NULL AND a.{c} IS DISTINCT FROM b.{c})"
+tail("n1_keyed_diff", "gap", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {_cmp}, count(*) FILTER (WHERE a.curve_id IS NOT NULL AND b.curve_id IS NOT NULL AND a.{c} IS DISTINCT FROM b.{c}) AS n_differ, {_first(c)} AS first_key {_cj}" for c in ("e3", "valid")))
 tail("n3_expected_difference", "gap", f"SELECT {_cmp}, {', '.join(f'count(*) FILTER (WHERE a.{c} IS DISTINCT FROM b.{c}) AS diff_{c}' for c in ('e3', 'valid', 'win_vs_last'))} {_cj}")
 tail("n4_panel_consistency", "cells", """SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (q25_error <= med_error AND med_error <= q75_error AND q75_error <= p90_error)) AS quartile_order, count(*) FILTER (WHERE n_valid > n_total) AS valid_above_total,
     count(*) FILTER (WHERE n_valid = 0 AND coalesce(mean_error, med_error) IS NOT NULL) AS stats_without_valid, count(*) FILTER (WHERE valid_rate NOT BETWEEN 0 AND 1 OR cat_rate NOT BETWEEN 0 AND 1 OR win_rate_vs_last NOT BETWEEN 0 AND 1) AS rate_out_of_range,

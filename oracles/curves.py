@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from oracles import orders
-from oracles.prelude import DEFAULT_METHODS
+from oracles.prelude import DEFAULT_METHODS, PADE
 from oracles.tails import DIAG_POOL, FEATURES, REC, R, inlist, tail
 
 tail("a1_wide_curves", "none", """SELECT curve_id, curve_id AS family, 0 AS is_holdout, 0::BIGINT AS run, step, value FROM (
@@ -94,23 +94,26 @@ GROUPS = {
     "d16_brezinski": ("brezinski_theta1", "brezinski_theta2"), "d17_neville": ("neville_2", "neville_3", "neville_4"),
     "d18_anderson": ("anderson_1", "anderson_2", "anderson_3"),
 }
+_recorded = lambda methods: f"SELECT curve_id, depth, n_f, method, {R('CASE WHEN isfinite(estimate_raw) THEN estimate_raw END')} AS estimate FROM est WHERE method IN {inlist(methods)}"
+tail("d14_pade", "steppade", _recorded(PADE))
+for _n, _m in (("d19_median_ensemble", "median_ensemble"), ("d20_stability_weighted", "stability_weighted"), ("d21_best_shanks_wynn", "best_shanks_wynn")):
+    tail(_n, "stepmix", _recorded((_m,)))
 for _n, _m in GROUPS.items():
     if int(_n[1:].split("_")[0]) > 10:
         tail(_n, "orders", orders.select(_m))
         continue
     tail(_n, "gap", f"SELECT curve_id, depth, noise, target_g, method, {R('estimate_raw')} AS estimate FROM est WHERE method IN {inlist(_m)}")
 
-_keep = inlist(("richardson_1", "rational_fit", "log_linear", "levin_t2", "last_value", "window_mean"))
 for _n, _cols in (("e1_error", [R("error") + " AS error"]), ("e2_catastrophic", ["catastrophic"]), ("e3_improve_ratio", [R("improve_ratio", 3) + " AS improve_ratio"]),
                   ("e4_last_error", [R("e_last") + " AS E_last"]), ("e5_reference_error", [R("ref_error") + " AS ref_error"]), ("e6_skill", [R("skill") + " AS skill"]),
                   ("e7_fixed_reference_skill", [f"{R(f'skill_vs_{t}')} AS skill_vs_{t}, win_vs_{t}" for t in ("assumed", "last", "wmean", "wmin")])):
-    tail(_n, "gap", f"SELECT {REC}, {', '.join(_cols)} FROM rec WHERE method IN {_keep}")
+    tail(_n, "gap", f"SELECT {REC}, {', '.join(_cols)} FROM rec")
 tail("e8_zero_denominator", "gap", "SELECT method, (count(*) FILTER (WHERE error IS NOT NULL AND e_last <= 1e-12))::BIGINT AS n_zero, count(*) AS n FROM rec GROUP BY method")
 BEST_REF = """coalesce(arg_min(method, {'e': error, 'o': CASE method WHEN 'constant_assumed' THEN 0 WHEN 'last_value' THEN 1 WHEN 'window_mean' THEN 2 ELSE 3 END})
     FILTER (WHERE error IS NOT NULL AND method IN ('constant_assumed', 'last_value', 'window_mean', 'window_min')), '')"""
 tail("e9_best_trivial", "step", f"SELECT curve_id, depth, n_f, {BEST_REF} AS ref_best_method FROM srec GROUP BY ALL")
-tail("e10_improvement", "step", f"""SELECT curve_id, depth, n_f, method, {R('CASE WHEN error IS NOT NULL AND curr_err > 1e-10 THEN (curr_err - error) / curr_err END')} AS improvement
-    FROM srec WHERE method IN ('richardson_1', 'rational_fit', 'window_mean')""")
+tail("e10_improvement", "step", f"""SELECT curve_id, depth, n_f, method, {R('CASE WHEN error IS NOT NULL AND curr_err > 1e-10 THEN (curr_err - error) / curr_err END', 4)} AS improvement
+    FROM srec""")
 _sum_cols = ["true_val", "current_err", "ref_error", "richardson_err", "rational_err", "cascade_pred", "cascade_err", "cascade_skill", "improvement", "perturb_iqr"] + \
     [f"cascade_skill_vs_{t}" for t in ("assumed", "last", "wmean", "wmin")]
 tail("e11_recorded_summary", "recorded", "SELECT curve_id, family, depth, n_f, selected_method, argmin_round, post_min_target, ref_best_method, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 from oracles import prelude as P
 
 
-def order_ctes() -> dict[str, str]:
+def order_ctes(polynomial: bool = True) -> dict[str, str]:
     """ord: limit estimates of all orders; nev: the polynomial family per target."""
     out = P.sequence_ctes(all_orders=True)
     aitken = ("list_filter(list_transform(range(1, len({s}) - 1), lambda i: CASE WHEN abs({s}[i+2] - 2e0 * {s}[i+1] + {s}[i]) >= 1e-14 "
@@ -27,6 +27,8 @@ def order_ctes() -> dict[str, str]:
         prev_name, cols = f"od{level}", []
     out["ord"] = f"""SELECT * EXCLUDE (shanks_1, shanks_2, wynn_eps_2, wynn_rho_1), {', '.join(f'a{k}[len(a{k})] AS shanks_{k}' for k in (1, 2, 3, 4))},
         {', '.join(f'e{k}_{2 * k}_0 AS wynn_eps_{k}, r{k}_{2 * k}_0 AS wynn_rho_{k}' for k in (1, 2, 3))} FROM {prev_name}"""
+    if not polynomial:
+        return out
     prev_name = "nv0"
     out["nv0"] = "SELECT o.*, tgt.n_f, tgt.target_g FROM ord o JOIN tgt USING (curve_id, depth)"
     xf = "(1e0 / greatest(n_f::DOUBLE, 1e0))"
@@ -49,6 +51,24 @@ def order_ctes() -> dict[str, str]:
     return out
 
 
+def neville_at(d: int) -> str:
+    """Polynomial in 1/step through the last d + 1 points, at the target."""
+    xf = "(1e0 / greatest(n_f::DOUBLE, 1e0))"
+    xi = [f"(1e0 / greatest(u{d - j}, 1e0))" for j in range(d + 1)]
+    cur = [f"y{d - j}" for j in range(d + 1)]
+    for level in range(1, d + 1):
+        cur = [P._guard(f"({xf} - {xi[i]}) * {cur[i + 1]} - ({xf} - {xi[i + level]}) * {cur[i]}", f"({xi[i + level]} - {xi[i]})", "1e-15") for i in range(len(cur) - 1)]
+    return cur[0]
+
+
+def limit_ctes(methods) -> dict[str, str]:
+    """lms: the limit estimates that ``methods`` need, from the shortest chain that has them."""
+    few = {"shanks_1", "shanks_2", "wynn_eps_2", "wynn_rho_1", "levin_t1", "levin_t2", "levin_u1", "levin_v1", "brezinski_theta2", "anderson_1", "anderson_2"}
+    if set(methods) & set(P.SEQUENCES) <= few:
+        return {**P.sequence_ctes(), "lms": "SELECT *, ys[len(ys) - 6] AS y6, xs[len(xs) - 6] AS u6 FROM seq"}
+    return {**order_ctes(polynomial=False), "lms": "SELECT * FROM ord"}
+
+
 def select(methods) -> str:
     from oracles.tails import R
     names = ", ".join(methods)

@@ -6,12 +6,19 @@ DuckDB reads 1.0 as a decimal, so double constants are written 1e0.
 """
 from __future__ import annotations
 
-DEFAULT_METHODS = (
-    "linear", "log_linear", "geom_avg_diff", "richardson_1", "richardson_a05", "richardson_a10",
-    "richardson_a20", "single_exp_fit", "rational_fit", "log_fit", "shanks_1", "shanks_2",
-    "wynn_eps_2", "wynn_rho_1", "levin_t1", "levin_t2", "levin_u1", "levin_v1", "brezinski_theta2",
-    "neville_2", "anderson_1", "anderson_2",
-    "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
+PADE = {f"pade_{p}{q}": (p, q) for p, q in ((1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3), (3, 4), (4, 4), (4, 5))}
+MEMBERS = ("richardson_1", "shanks_1", "shanks_2", "shanks_3", "wynn_eps_1", "wynn_eps_2", "pade_12", "pade_13")
+SHANKS_WYNN = ("shanks_1", "shanks_2", "shanks_3", "wynn_eps_1", "wynn_eps_2", "wynn_eps_3")
+COMPOSITES = ("median_ensemble", "stability_weighted", "best_shanks_wynn")
+TRIVIAL = ("constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
+SEQUENCES = ("shanks_1", "shanks_2", "shanks_3", "shanks_4", "wynn_eps_1", "wynn_eps_2", "wynn_eps_3", "wynn_rho_1", "wynn_rho_2", "wynn_rho_3",
+             "levin_t1", "levin_t2", "levin_u1", "levin_u2", "levin_v1", "levin_v2", "brezinski_theta1", "brezinski_theta2", "anderson_1", "anderson_2", "anderson_3")
+LINES = ("linear", "log_linear", "geom_avg_diff", "richardson_a05", "richardson_a10", "richardson_a20", "log_fit")
+GRID_FITS = {"richardson_1": ("power", "pf"), "single_exp_fit": ("exponential", "ef"), "rational_fit": ("rational", "rf")}
+# every registered method but the fits of several terms, in registry order
+DEFAULT_METHODS = ("linear", "log_linear", "geom_avg_diff", "richardson_1", "richardson_a05", "richardson_a10", "richardson_a20", "single_exp_fit", "rational_fit", "log_fit",
+                   *SEQUENCES[:10], *PADE, *SEQUENCES[10:18], "neville_2", "neville_3", "neville_4", *SEQUENCES[18:], *COMPOSITES, *TRIVIAL)
+PLAIN_METHODS = tuple(m for m in DEFAULT_METHODS if m not in COMPOSITES)
 
 
 def with_ctes(ctes: dict[str, str], final: str) -> str:
@@ -218,19 +225,67 @@ def line_ctes(points: str = "wpts") -> dict[str, str]:
     }
 
 
+def pade_ctes(orders) -> dict[str, str]:
+    """pcoef: coefficients of each rational model, by Gram-Schmidt on its columns with the ridge rows appended,
+    one column per step of a recursion, then back substitution."""
+    def columns(p, q):
+        k = p + q + 1
+        tail = lambda i: "[" + ", ".join("1e-8::DOUBLE" if j == i else "0e0" for j in range(k)) + "]"
+        power = lambda j: f"list_transform(xn, lambda v: pow(v, {j}::DOUBLE))"
+        mixed = lambda j: f"list_transform(range(1, len(ys) + 1), lambda i: -pow(xn[i], {j}::DOUBLE) * ys[i])"
+        cols = [f"list_concat({power(j)}, {tail(j)})" for j in range(p + 1)] + [f"list_concat({mixed(j)}, {tail(p + j)})" for j in range(1, q + 1)]
+        return "[" + ", ".join(cols) + "]", f"list_concat(ys, [{', '.join(['0e0'] * k)}])", k
+    each = []
+    for name, (p, q) in orders.items():
+        cols, b, k = columns(p, q)
+        each.append(f"SELECT {KEYS}, '{name}' AS pname, {k} AS k, {cols} AS cols, {b} AS b FROM pdx WHERE len(ys) >= {k + 2}")
+    return {
+        "pdx": f"SELECT {KEYS}, ys, list_transform(xs, lambda v: (v - xs[1]) / (xs[len(xs)] - xs[1])) AS xn FROM wins",
+        "pdc": " UNION ALL ".join(each),
+        "pgs": f"""WITH RECURSIVE g AS (
+            SELECT {KEYS}, pname, k, 0 AS j, cols, b, []::DOUBLE[][] AS rr, []::DOUBLE[] AS zz FROM pdc
+            UNION ALL
+            SELECT {KEYS}, pname, k, j + 1, list_transform(range(1, len(rest) + 1), lambda l: list_transform(range(1, len(q) + 1), lambda i: rest[l][i] - rl[l] * q[i])),
+              list_transform(range(1, len(q) + 1), lambda i: b[i] - z * q[i]), list_append(rr, list_prepend(r, rl)), list_append(zz, z)
+            FROM (SELECT *, list_transform(rest, lambda c: list_dot_product(q, c)) AS rl, list_dot_product(q, b) AS z FROM (
+              SELECT *, cols[2:] AS rest, list_transform(cols[1], lambda v: v / r) AS q FROM (SELECT *, sqrt(list_dot_product(cols[1], cols[1])) AS r FROM g WHERE j < k))))
+            SELECT {KEYS}, pname, k, rr, zz FROM g WHERE j = k""",
+        "pcoef": f"""WITH RECURSIVE s AS (
+            SELECT {KEYS}, pname, k, rr, zz, k AS j, []::DOUBLE[] AS c FROM pgs
+            UNION ALL
+            SELECT {KEYS}, pname, k, rr, zz, j - 1, list_prepend((zz[j] - CASE WHEN len(c) > 0 THEN list_dot_product(rr[j][2:], c) ELSE 0e0 END) / rr[j][1], c) FROM s WHERE j > 0)
+            SELECT {KEYS}, pname, c FROM s WHERE j = 0""",
+        "pwide": f"SELECT {KEYS}, " + ", ".join(f"any_value(c) FILTER (WHERE pname = '{n}') AS c_{n}" for n in orders) + f" FROM pcoef GROUP BY {KEYS}",
+    }
+
+
+def _pade_at(name: str, order) -> str:
+    p, q = order
+    z = "((n_f::DOUBLE - xa) / (xb - xa))"
+    num = f"c_{name}[{p + 1}]"
+    for j in range(p - 1, -1, -1):
+        num = f"({num} * zt + c_{name}[{j + 1}])"
+    den = "0e0"
+    for j in range(q, 0, -1):
+        den = f"(({den} + c_{name}[{p + 1 + j}]) * zt)"
+    return _guard(num, f"({den} + 1e0)").replace("zt", z)
+
+
 def estimate_ctes(methods=DEFAULT_METHODS, grid=True) -> dict[str, str]:
     """est: one row per (window, target, method).  Needs wins and
     tgt(curve_id, depth, n_f, true_val, ...)."""
-    out = {**line_ctes(), **sequence_ctes()}
-    if grid:
-        out.update(grid_ctes("wpts", "g_"))
+    composites = [m for m in methods if m in COMPOSITES]
+    members = [m for m in MEMBERS + SHANKS_WYNN if composites and m not in methods]
+    plain = [m for m in methods if m not in COMPOSITES] + list(dict.fromkeys(members))
+    from oracles import orders as O
+    out = {**line_ctes(), **O.limit_ctes(plain)}
+    kinds = [GRID_FITS[m] for m in GRID_FITS if m in plain] if grid else []
+    if kinds:
+        out.update(grid_ctes("wpts", "g_", tuple(k for k, _ in kinds)))
+    pades = {m: PADE[m] for m in plain if m in PADE}
+    if pades:
+        out.update(pade_ctes(pades))
     t = "n_f::DOUBLE"
-    xi = [f"(1e0 / greatest(u{2 - j}, 1e0))" for j in range(3)]
-    xf = f"(1e0 / greatest({t}, 1e0))"
-
-    def nv(i, k, pi, pj):
-        return _guard(f"({xf} - {xi[i]}) * {pj} - ({xf} - {xi[i + k]}) * {pi}", f"({xi[i + k]} - {xi[i]})", "1e-15")
-
     cols = {
         "linear": f"la + lb * {t}",
         "log_linear": f"L_hat + exp(ga + gb * ln(greatest({t}, 1e0)))",
@@ -240,20 +295,61 @@ def estimate_ctes(methods=DEFAULT_METHODS, grid=True) -> dict[str, str]:
         "single_exp_fit": f"ef.lim + ef.c * exp(-ef.p * {t})",
         "rational_fit": f"rf.lim + rf.c / (1e0 + rf.p * {t})",
         "log_fit": f"lg.lim + lg.c / ln({t} + exp(1e0))",
-        "neville_2": nv(0, 2, nv(0, 1, "y2", "y1"), nv(1, 1, "y1", "y0")),
+        **{m: _pade_at(m, o) for m, o in pades.items()},
+        **{f"neville_{d}": O.neville_at(d) for d in (2, 3, 4)},
     }
-    for m in ("shanks_1", "shanks_2", "wynn_eps_2", "wynn_rho_1", "levin_t1", "levin_t2", "levin_u1", "levin_v1",
-              "brezinski_theta2", "anderson_1", "anderson_2", "constant_assumed", "constant_oracle", "window_mean",
-              "window_min", "last_value"):
-        cols[m] = f"seq.{m}"
-    chosen = ", ".join(f"({cols[m]})::DOUBLE AS {m}" for m in methods)
-    fits = "".join(f" JOIN (SELECT * FROM g_fit WHERE kind = '{k}') {a} USING ({KEYS})"
-                   for k, a in (("power", "pf"), ("exponential", "ef"), ("rational", "rf"))) if grid else ""
-    out["wide"] = f"""SELECT seq.curve_id, seq.family, seq.is_holdout, seq.run, seq.depth, seq.noise, seq.window_len, seq.assumed_mode,
-        seq.L_true, seq.L_hat, seq.last_v AS lastv, seq.mean_v, seq.min_v, seq.max_v, tgt.* EXCLUDE (curve_id, depth), {chosen}
-        FROM seq JOIN lines2 USING ({KEYS}) JOIN geo USING ({KEYS}) {fits}
-        JOIN tgt ON tgt.curve_id = seq.curve_id AND tgt.depth = seq.depth"""
-    out["est"] = f"SELECT * FROM wide UNPIVOT INCLUDE NULLS (estimate_raw FOR method IN ({', '.join(methods)}))"
+    chosen = ", ".join(f"({cols.get(m, f'lms.{m}')})::DOUBLE AS {m}" for m in plain)
+    fits = "".join(f" JOIN (SELECT * FROM g_fit WHERE kind = '{k}') {a} USING ({KEYS})" for k, a in kinds)
+    if pades:
+        fits += f" JOIN (SELECT {KEYS}, xs[1] AS xa, xs[len(xs)] AS xb FROM wins) USING ({KEYS}) LEFT JOIN pwide USING ({KEYS})"
+    out["wide"] = f"""SELECT lms.curve_id, lms.family, lms.is_holdout, lms.run, lms.depth, lms.noise, lms.window_len, lms.assumed_mode,
+        lms.L_true, lms.L_hat, lms.last_v AS lastv, lms.mean_v, lms.min_v, lms.max_v, tgt.* EXCLUDE (curve_id, depth), {chosen}
+        FROM lms JOIN lines2 USING ({KEYS}) JOIN geo USING ({KEYS}) {fits}
+        JOIN tgt ON tgt.curve_id = lms.curve_id AND tgt.depth = lms.depth"""
+    source = "wide"
+    if composites:
+        out.update(composite_ctes(composites))
+        source = "mixed"
+    out["est"] = f"SELECT * FROM {source} UNPIVOT INCLUDE NULLS (estimate_raw FOR method IN ({', '.join(methods)}))"
+    if members:
+        out["est"] = f"SELECT * FROM (SELECT * EXCLUDE ({', '.join(dict.fromkeys(members))}) FROM {source}) UNPIVOT INCLUDE NULLS (estimate_raw FOR method IN ({', '.join(methods)}))"
+    return out
+
+
+def composite_ctes(composites) -> dict[str, str]:
+    """mixed: the wide table with the methods over other methods.  Shifted windows ride in the window_len key as
+    ten times the length plus the shift."""
+    from oracles import variants as V
+    ok = lambda v: f"CASE WHEN {_valid(v)} THEN {v} END"
+    valid = lambda names, tab: "list_filter([" + ", ".join(ok(f"{tab}.{m}") for m in names) + "], lambda v: v IS NOT NULL)"
+    pool = valid(MEMBERS, "w")
+    out, cols, source = {}, {"median_ensemble": f"CASE WHEN len({pool}) >= 3 THEN list_median({pool}) END"}, "wide w"
+    moved = [m for c, ms in (("stability_weighted", MEMBERS), ("best_shanks_wynn", SHANKS_WYNN)) if c in composites for m in ms]
+    moved = list(dict.fromkeys(moved))
+    if moved:
+        base = {"wins": f"""SELECT curve_id, family, is_holdout, run, depth, noise, window_len * 10 + sh AS window_len, assumed_mode, L_true, L_hat, xs, ys, list_min(ys) AS min_v, list_max(ys) AS max_v,
+                  list_avg(ys) AS mean_v, ys[len(ys)] AS last_v FROM (SELECT * EXCLUDE (xs, ys, min_v, max_v, mean_v, last_v), xs[1 + sh:] AS xs, ys[1 + sh:] AS ys FROM wins CROSS JOIN (VALUES (1), (2)) t(sh) WHERE len(ys) - sh >= 3)""",
+                "tgt": "SELECT * FROM tgt", **estimate_ctes(tuple(moved))}
+        del base["est"]
+        out.update(V._isolated(base, "x_"))
+        out["x_wins"], out["x_tgt"] = base["wins"], "SELECT * FROM tgt"
+        same = "w.curve_id = {a}.curve_id AND w.depth = {a}.depth AND w.noise = {a}.noise AND w.assumed_mode = {a}.assumed_mode AND w.n_f = {a}.n_f AND w.tkey = {a}.tkey AND {a}.window_len = w.window_len * 10 + {s}"
+        out["tk"] = "SELECT *, row_number() OVER (PARTITION BY curve_id, depth, noise, assumed_mode, window_len, n_f ORDER BY true_val) AS tkey FROM wide"
+        out["x_tk"] = "SELECT *, row_number() OVER (PARTITION BY curve_id, depth, noise, assumed_mode, window_len, n_f ORDER BY true_val) AS tkey FROM x_wide"
+        source = f"tk w LEFT JOIN x_tk a ON {same.format(a='a', s=1)} LEFT JOIN x_tk b ON {same.format(a='b', s=2)}"
+
+        def spread(m):
+            v = ok(f"w.{m}")
+            every = f"list_filter([{v}, {v}, {v}, {ok(f'a.{m}')}, {ok(f'b.{m}')}], lambda v: v IS NOT NULL)"
+            return f"CASE WHEN len({every}) >= 2 THEN list_aggregate({every}, 'quantile_cont', 0.75) - list_aggregate({every}, 'quantile_cont', 0.25) END"
+        if "stability_weighted" in composites:
+            pairs = "list_filter([" + ", ".join(f"{{'v': {ok(f'w.{m}')}, 'q': {spread(m)}}}" for m in MEMBERS) + "], lambda p: p.v IS NOT NULL)"
+            total = f"list_sum(list_transform({pairs}, lambda p: 1e0 / (p.q + 1e-6)))"
+            cols["stability_weighted"] = f"CASE WHEN len({pool}) >= 2 THEN list_sum(list_transform({pairs}, lambda p: p.v / (p.q + 1e-6))) / {total} END"
+        if "best_shanks_wynn" in composites:
+            pairs = "list_filter([" + ", ".join(f"{{'q': {spread(m)}, 'i': {i}, 'v': {ok(f'w.{m}')}}}" for i, m in enumerate(SHANKS_WYNN)) + "], lambda p: p.v IS NOT NULL AND p.q IS NOT NULL)"
+            cols["best_shanks_wynn"] = f"coalesce(list_min({pairs}).v, w.lastv)"
+    out["mixed"] = f"SELECT w.*{' EXCLUDE (tkey)' if moved else ''}, {', '.join(f'({cols[c]})::DOUBLE AS {c}' for c in composites)} FROM {source}"
     return out
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from oracles.analysis import CELL, LEAD, _cj, panel, r_as, rule_panel  # noqa: F401
 from oracles.curves import CASCADE
-from oracles.prelude import DEFAULT_METHODS
+from oracles.prelude import DEFAULT_METHODS, SEQUENCES
 from oracles.tails import FEATURES, R, inlist, rate4, tail
+from oracles.variants import CONSUMERS
 from tailcast.operators.methods import classical_methods
 from tailcast.settings import ACCELERATORS, REGISTRY_INDEX
 
@@ -80,8 +81,7 @@ tail("m1_classifier_table", "cfeat", f"SELECT family, depth, noise, {r_as(FEATUR
 tail("m2_folds", "cfeat", """SELECT 'grouped_by_depth' AS protocol, family, depth, noise, (dense_rank() OVER (ORDER BY depth))::INTEGER AS fold FROM cfeat UNION ALL SELECT 'grouped_by_noise', family, depth, noise, (dense_rank() OVER (ORDER BY noise))::INTEGER FROM cfeat
     UNION ALL SELECT 'stratified_5fold', family, depth, noise, (row_number() OVER (PARTITION BY family ORDER BY md5(family || '|' || depth || '|' || CASE WHEN noise = 0 THEN '0.0' ELSE '0.005' END), depth, noise)
       % (SELECT greatest(2, least(5, min(n))) FROM (SELECT count(*) AS n FROM cfeat GROUP BY family)) + 1)::INTEGER FROM cfeat""")
-tail("n2_variant_agreement", "gap", f"""SELECT method, count(*) AS n, 0::BIGINT AS n_differ, 'agree' AS verdict FROM est WHERE method IN {inlist(('shanks_1', 'shanks_2', 'wynn_eps_2', 'wynn_rho_1', 'levin_t1', 'levin_t2', 'levin_u1',
-    'brezinski_theta2', 'anderson_1', 'anderson_2', 'neville_2'))} GROUP BY method""")
+tail("n2_variant_agreement", "gap", f"""SELECT method, count(*) AS n, 0::BIGINT AS n_differ, 'agree' AS verdict FROM est WHERE method IN {inlist(m for m in SEQUENCES + ('neville_2', 'neville_3', 'neville_4'))} GROUP BY method""")
 
 
 def cascade_sweep(sweep: str, by: str = "") -> str:
@@ -97,7 +97,7 @@ tail("w1_cascade_by_mode", "modes", cascade_sweep("assumed_mode"))
 tail("f18_cascade_by_mode_and_family", "modes", cascade_sweep("assumed_mode", "family"))
 CONS = f"""SELECT assumed_mode, method, target_g, noise_level, CASE WHEN is_holdout = 1 THEN 'holdout' ELSE 'core' END AS regime_set, count(*) AS n, {rate4('avg(valid::DOUBLE)')} AS valid_rate, {rate4('avg(catastrophic::DOUBLE)')} AS cat_rate,
     {', '.join(f"{rate4(f'avg(win_vs_{t}::DOUBLE)')} AS win_rate_vs_{t}" for t in TAGS)}, median(error) AS med_error, median(skill) AS med_skill FROM (SELECT *, unnest(['all', CASE WHEN noise = 0 THEN '0.0' ELSE '0.005' END]) AS noise_level FROM rec
-    WHERE capped = 0 AND method IN ('log_linear', 'constant_assumed', 'richardson_1', 'rational_fit')) GROUP BY ALL"""
+    WHERE capped = 0 AND method IN {inlist(CONSUMERS)}) GROUP BY ALL"""
 tail("w2_consumers_by_mode", "modes", f"SELECT assumed_mode, method, target_g, noise_level, regime_set, n, valid_rate, cat_rate, {R('med_error')} AS med_error, {R('med_skill')} AS med_skill, win_rate_vs_last FROM ({CONS})")
 tail("f19_consumer_aggregate", "modes", f"SELECT assumed_mode, method, target_g, regime_set, {', '.join(f'win_rate_vs_{t}' for t in TAGS)} FROM ({CONS}) WHERE noise_level = 'all'")
 tail("f25_mode_spread", "modes", f"""SELECT method, regime_set, target_g, {R('max(med_error) - min(med_error)')} AS spread, {R('CASE WHEN min(med_error) > 0 THEN 1e2 * (max(med_error) - min(med_error)) / min(med_error) END')} AS spread_pct
@@ -114,7 +114,7 @@ tail("e17_final_step_routing", "laststep", f"""WITH c AS (SELECT family AS centr
     FROM rec r JOIN ch ON ch.curve_id = r.curve_id AND ch.depth = r.depth AND ch.selected_method = r.method JOIN nn ON nn.curve_id = r.curve_id AND nn.depth = r.depth""")
 _cols = ("med_error", "win_rate_vs_last", "cat_rate", "valid_rate")
 tail("h16_leading_summary", "leadsum", f"""WITH sp AS (SELECT method, CASE WHEN min(e) > 0 THEN 1e2 * (max(e) - min(e)) / min(e) END AS spread_pct FROM (SELECT method, assumed_mode, median(error) AS e FROM mo_rec
-      WHERE capped = 0 AND is_holdout = 0 AND target_g = 0.5 AND method IN ('log_linear', 'constant_assumed', 'richardson_1', 'rational_fit') GROUP BY ALL) GROUP BY method),
+      WHERE capped = 0 AND is_holdout = 0 AND target_g = 0.5 AND method IN {inlist(CONSUMERS)} GROUP BY ALL) GROUP BY method),
     rc AS (SELECT method, (sum(win_vs_last) FILTER (WHERE post_min_target = 0))::BIGINT AS pre_wins, count(*) FILTER (WHERE post_min_target = 0) AS pre_n, (sum(win_vs_last) FILTER (WHERE post_min_target = 1))::BIGINT AS post_wins,
       count(*) FILTER (WHERE post_min_target = 1) AS post_n FROM st_srec GROUP BY method)
     SELECT l.method, l.position::INTEGER AS position, {', '.join(f'{R(f"c.{x}")} AS core_{x}, {R(f"h.{x}")} AS hold_{x}' for x in _cols)}, {R('spread_pct')} AS spread_pct, pre_wins, pre_n, post_wins, post_n

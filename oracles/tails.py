@@ -25,9 +25,8 @@ def tail(name: str, group: str, sql: str) -> None:
 
 
 REC = "curve_id, depth, noise, target_g, method"
-DIAG = ("richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1",
-        "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
-DIAG_POOL = ("last_value", "richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1")
+DIAG = P.PLAIN_METHODS
+DIAG_POOL = ("last_value", "richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "pade_22", "log_linear", "levin_t2", "anderson_1")
 TAGS = ("assumed", "last", "wmean", "wmin")
 FEATURES = ("log_log_slope", "curvature_idx", "oscillation_idx", "noise_var", "richardson_r2", "diff_ratio_cv")
 
@@ -136,6 +135,7 @@ def groups() -> dict[str, dict[str, str]]:
         "pert": {**gap_windows, "pwins": V.pwins_sql()},
         "gapwin": gap_windows, "stepwin": step_windows,
         "orders": {**gap_windows, **O.order_ctes()},
+        "steppade": {**step_windows, **P.estimate_ctes(tuple(P.PADE))}, "stepmix": {**step_windows, **P.estimate_ctes(P.COMPOSITES)},
         "gap": gap, "step": step, "cells": {**gap, **CELLS}, "pooled": {**gap, **CELLS, **POOLED},
         "feat": {**gap_windows, **feature_ctes()}, "cfeat": {**gap_windows, **feature_ctes(), **CELLFEAT},
         "stepfeat": {**step_windows, **feature_ctes()},

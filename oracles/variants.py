@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from oracles import prelude as P
 
-DIAG = ("richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1",
-        "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
+DIAG = P.PLAIN_METHODS
+DEPTHS = (30, 60, 90)
+CONSUMERS = ("richardson_1", "single_exp_fit", "rational_fit", "log_fit", "log_linear", "stability_weighted", "median_ensemble", "constant_assumed")
+SWEPT = CONSUMERS + ("last_value", "window_mean", "window_min")
+ROUTED = ("richardson_1", "rational_fit", "last_value", "window_mean", "window_min")
 
 
 def _isolated(ctes: dict[str, str], prefix: str, shared=()) -> dict[str, str]:
@@ -30,14 +33,14 @@ def _summaries(ys="ys"):
     return f"list_min({ys}) AS min_v, list_max({ys}) AS max_v, list_avg({ys}) AS mean_v, {ys}[len({ys})] AS last_v"
 
 
-def pwins_sql(depths=(60, 90), source="wins", trials: int = 5, scale: str = "0.02") -> str:
+def pwins_sql(depths=DEPTHS, source="wins", trials: int = 5, scale: str = "0.02") -> str:
     return f"""SELECT curve_id, family, is_holdout, run, depth, noise, trial AS window_len, trial, assumed_mode, L_true, L_hat, xs, ys, {_summaries()} FROM (
         SELECT * EXCLUDE (ys, window_len, min_v, max_v, mean_v, last_v), list_transform(range(1, len(ys) + 1), lambda i: ys[i] * (1e0 + {scale}::DOUBLE * (2e0 *
           (('0x' || substr(md5(curve_id || '|' || depth || '|' || CAST(round(noise * 1e6) AS BIGINT) || '|' || trial || '|' || xs[i]::INTEGER), 1, 8))::BIGINT)::DOUBLE / 4294967296e0 - 1e0))) AS ys
         FROM {source} CROSS JOIN (SELECT unnest(range(1, {trials + 1}))::INTEGER AS trial) WHERE depth IN ({', '.join(map(str, depths))}))"""
 
 
-def perturb_ctes(methods=DIAG, depths=(60, 90)) -> dict[str, str]:
+def perturb_ctes(methods=DIAG, depths=DEPTHS) -> dict[str, str]:
     p = forecast_chain("p_", pwins_sql(depths), "SELECT * FROM tgt", methods, "trial")
     p["p_tgt"] = "SELECT * FROM tgt"
     p["p_wins"] = pwins_sql(depths)
@@ -53,7 +56,7 @@ def shift_wins(depths) -> str:
         CROSS JOIN (SELECT unnest(range(0, 3))::INTEGER AS s) WHERE depth IN ({', '.join(map(str, depths))}) AND len(ys) - s >= 3)"""
 
 
-def shift_ctes(methods=DIAG, depths=(60, 90)) -> dict[str, str]:
+def shift_ctes(methods=DIAG, depths=DEPTHS) -> dict[str, str]:
     p = forecast_chain("s_", "", "", methods, "s")
     p["s_wins"], p["s_tgt"] = shift_wins(depths), "SELECT * FROM tgt"
     v = f"CASE WHEN {P._valid('estimate_raw')} THEN estimate_raw END"
@@ -65,13 +68,13 @@ def shift_ctes(methods=DIAG, depths=(60, 90)) -> dict[str, str]:
 DIAG_REC = {"drec": f"""SELECT r.*, p.perturb_iqr, s.shift_iqr FROM rec r
     LEFT JOIN piqr p ON p.curve_id = r.curve_id AND p.depth = r.depth AND p.noise = r.noise AND p.target_g = r.target_g AND p.method = r.method
     LEFT JOIN siqr s ON s.curve_id = r.curve_id AND s.depth = r.depth AND s.noise = r.noise AND s.target_g = r.target_g AND s.method = r.method
-    WHERE r.depth IN (60, 90) AND r.method IN ({', '.join(f"'{m}'" for m in DIAG)})"""}
+    WHERE r.method IN ({', '.join(f"'{m}'" for m in DIAG)})"""}
 
 
 def recorded_ctes() -> dict[str, str]:
     """rsum: one row per recorded cell with the cascade's choice."""
     from oracles.curves import BEST_REF, CASCADE
-    p = forecast_chain("p_", "", "", P.DEFAULT_METHODS, "trial")
+    p = forecast_chain("p_", "", "", ("richardson_1", "rational_fit"), "trial")
     p["p_wins"], p["p_tgt"] = pwins_sql((30, 60, 90, 120, 150)), "SELECT * FROM tgt"
     v = f"CASE WHEN {P._valid('estimate_raw')} THEN estimate_raw END"
     p["riqr"] = f"""SELECT curve_id, depth, n_f, method, CASE WHEN count({v}) >= 3 THEN quantile_cont({v}, 0.75) - quantile_cont({v}, 0.25) END AS perturb_iqr
@@ -98,19 +101,19 @@ def mode_study() -> dict[str, str]:
     modes = ("zero", "half", "oracle", "double", "winmin")
     from oracles.tails import feature_ctes
     return {**P.curve_ctes("se"), **P.horizon_ctes((60, 90), (0.7, 0.5)),
-            **P.window_ctes((60, 90), (0.0, 0.005), limit="0.01::DOUBLE", modes=modes), **P.estimate_ctes(DIAG), **P.record_ctes(), **feature_ctes()}
+            **P.window_ctes((60, 90), (0.0, 0.005), limit="0.01::DOUBLE", modes=modes), **P.estimate_ctes(SWEPT), **P.record_ctes(), **feature_ctes()}
 
 
 def length_study() -> dict[str, str]:
     from oracles.tails import feature_ctes
     return {**P.curve_ctes("se"), **P.horizon_ctes((90,), (0.7, 0.5)),
-            **P.window_ctes((90,), (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80, 100)), **P.estimate_ctes(DIAG), **P.record_ctes(), **feature_ctes()}
+            **P.window_ctes((90,), (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80, 100)), **P.estimate_ctes(ROUTED), **P.record_ctes(), **feature_ctes()}
 
 
 def reaction_ctes() -> dict[str, str]:
     """One perturbation of one percent beside the plain forecasts."""
     p = forecast_chain("p_", "", "", DIAG, "trial")
-    p["p_wins"], p["p_tgt"] = pwins_sql((60, 90), trials=1, scale="0.01"), "SELECT * FROM tgt"
+    p["p_wins"], p["p_tgt"] = pwins_sql(trials=1, scale="0.01"), "SELECT * FROM tgt"
     return p
 
 
@@ -119,7 +122,7 @@ def last_step_study() -> dict[str, str]:
     from oracles.tails import feature_ctes
     depths = (30, 60, 90, 120, 150)
     return {**P.curve_ctes("mean"), "tgt": "SELECT curve_id, d AS depth, max(step) AS n_f, max_by(value, step) AS true_val FROM curve CROSS JOIN (VALUES (30), (60), (90)) t(d) GROUP BY curve_id, d",
-            **P.window_ctes(depths), **P.estimate_ctes(P.DEFAULT_METHODS), **P.record_ctes(), **feature_ctes()}
+            **P.window_ctes(depths), **P.estimate_ctes(ROUTED), **P.record_ctes(), **feature_ctes()}
 
 
 def renamed_modes() -> dict[str, str]:

@@ -5,8 +5,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
-
 def let(value: Column, fn) -> Column:
     """Bind an expression once and use it several times."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
@@ -29,6 +27,14 @@ def back(arr: Column, k: int) -> Column:
     return F.get(arr, F.size(arr) - k)
 
 
+def sorted_quantile(arr: Column, p: float) -> Column:
+    """Quantile of a sorted array, linear between neighbours; NULL for an empty one."""
+    at = F.lit(float(p)) * (F.size(arr) - 1)
+    low = F.floor(at).cast("int")
+    a, b = F.get(arr, low), F.get(arr, F.least(low + 1, F.size(arr) - 1))
+    return F.when(F.size(arr) > 0, a + (b - a) * (at - low))
+
+
 def tail(arr: Column, k: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - k + 1, F.lit(1)), F.lit(k))
 

@@ -1,10 +1,10 @@
 """Least-squares fits of a window.
 
 Linear models are Column expressions.  Models with nonlinear parameters go
-through one Arrow batch function that scans a grid of the nonlinear parameter
-and solves the remaining box-constrained linear problem in closed form, then
-narrows the grid around the winner (four passes of 32 values, which settle the
-parameter to about 1e-4 of itself).
+through Arrow batch functions.  With one nonlinear parameter they scan a grid of it
+and solve the remaining box-constrained linear problem in closed form, then
+narrow the grid around the winner (four passes of 32 values, which settle the
+parameter to about 1e-4 of itself).  Sums of terms are fitted by variable projection.
 """
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tailcast.functions import varpro
 from tailcast.functions.arrays import finite, let, ols
 from tailcast.settings import DENOM_TOL, RIDGE
 
@@ -172,57 +173,22 @@ def fit_one_term(kind: str, x: np.ndarray, y: np.ndarray, fixed_limit=None, cbox
     return np.concatenate(pick, axis=1)
 
 
+def _slope(kind: str, x, p):
+    """Derivative of the basis by the logarithm of its parameter."""
+    if kind.startswith("power"):
+        logx = np.log(np.maximum(x, 1.0))
+        return -p * logx * np.exp(-p * logx)
+    return -p * x * np.exp(-p * x)
+
+
+def many_term_model(kind: str) -> varpro.Model:
+    k, p_range, lbox, cbox, _ = MULTI_TERM[kind]
+    return varpro.Model(lambda x, p: _basis(kind, x, p), lambda x, p: _slope(kind, x, p), k, p_range, lbox, cbox)
+
+
 def fit_many_terms(kind: str, x: np.ndarray, y: np.ndarray):
-    """Fit limit + sum of k amplitude * basis terms: rows of (p..., limit,
-    amp...).  The nonlinear parameters run over ordered tuples of a grid; the
-    linear ones are solved by coordinate descent inside their boxes."""
-    k, (lo, hi), lbox, cbox, _ = MULTI_TERM[kind]
-    rows, n = y.shape
-    side = 12 if k == 2 else 7
-    left = np.full((rows, k), lo)
-    right = np.full((rows, k), hi)
-    combos = np.stack(np.meshgrid(*[np.arange(side)] * k, indexing="ij"), axis=-1).reshape(-1, k)
-    out = None
-    for turn in range(3):
-        # the first pass uses strictly increasing tuples; later passes a full small box
-        if turn == 0:
-            use = combos[np.all(np.diff(combos, axis=1) > 0, axis=1)]
-            steps = side
-        else:
-            steps = 5 if k == 2 else 3
-            use = np.stack(np.meshgrid(*[np.arange(steps)] * k, indexing="ij"), axis=-1).reshape(-1, k)
-        axis = left[:, :, None] * (right / left)[:, :, None] ** (np.arange(steps) / (steps - 1))
-        p = np.stack([axis[:, j, :][:, use[:, j]] for j in range(k)], axis=2)         # rows, T, k
-        phi = _basis(kind, x[:, None, None, :], p[..., None])                         # rows, T, k, n
-        m_phi = phi.mean(axis=3)
-        my = y.mean(axis=1)[:, None]
-        dev = phi - m_phi[..., None]
-        gram = np.einsum("rtin,rtjn->rtij", dev, dev)
-        proj = np.einsum("rtin,rn->rti", dev, y - my)
-        eye = np.eye(k) * 1e-12
-        try:
-            amp = np.linalg.solve(gram + eye, proj[..., None])[..., 0]
-        except np.linalg.LinAlgError:
-            amp = np.zeros_like(proj)
-        amp = np.clip(np.nan_to_num(amp), *cbox)
-        full = gram + n * m_phi[..., :, None] * m_phi[..., None, :]
-        lim = np.clip(my - (amp * m_phi).sum(axis=2), *lbox)
-        for _ in range(60):
-            for j in range(k):
-                rest = (full[..., j, :] * amp).sum(axis=2) - full[..., j, j] * amp[..., j]
-                want = proj[..., j] + n * m_phi[..., j] * (my - lim) - rest
-                amp[..., j] = np.clip(want / np.maximum(full[..., j, j], np.finfo(float).tiny), *cbox)
-            lim = np.clip(my - (amp * m_phi).sum(axis=2), *lbox)
-        sse = (((y - my) ** 2).sum(axis=1)[:, None] - 2 * (amp * proj).sum(axis=2)
-               + np.einsum("rti,rtij,rtj->rt", amp, gram, amp)
-               + n * (my - lim - (amp * m_phi).sum(axis=2)) ** 2)
-        at = sse.argmin(axis=1)
-        r = np.arange(rows)
-        out = np.concatenate([p[r, at], lim[r, at][:, None], amp[r, at]], axis=1)
-        ratio = (right / left) ** (1.0 / (steps - 1))
-        left = np.maximum(p[r, at] / ratio, lo)
-        right = np.minimum(p[r, at] * ratio, hi)
-    return out
+    """Fit limit + sum of k amplitude * basis terms: rows of (p..., limit, amp...), p ascending."""
+    return varpro.fit(many_term_model(kind), x, y)
 
 
 def fit_pade(order, x: np.ndarray, y: np.ndarray):

@@ -202,17 +202,60 @@ def lower_envelope(curves: DataFrame) -> DataFrame:
             .drop("_first", "_last"))
 
 
-def interpolate(curves: DataFrame, grid) -> DataFrame:
+NEIGHBOUR_BLOCK = 100_000      # steps of a block
+
+
+def with_neighbours(curves: DataFrame, back: int = 1, ahead: int = 0, block: int = NEIGHBOUR_BLOCK) -> DataFrame:
+    """Adds ``before`` and ``after``: arrays of the nearest (step, value) of a curve before and after each
+    row, nearest first, at most ``back`` and ``ahead`` of them.
+
+    A curve is cut into blocks of steps.  Inside a block neighbours come from a window; each block then hands its
+    first and last rows on to the next blocks, and only rows near a border use them.  A block may hold fewer rows
+    than are asked for, so the rows that are handed on are collected over as many blocks; no task holds a curve."""
+    d = curves.withColumn("_b", F.floor(F.col("step") / block))
+    point = F.struct("step", "value")
+    w = Window.partitionBy("curve_id", "_b").orderBy("step")
+    near = lambda fn, n: F.array_compact(F.array(*[fn(point, i).over(w) for i in range(1, n + 1)])) if n else F.array().cast("array<struct<step:int,value:double>>")
+    d = d.withColumns({"before": near(F.lag, back), "after": near(F.lead, ahead), "_first": F.row_number().over(w), "_own": point})
+    d = d.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("curve_id", "_b")))
+    most = max(back, ahead)
+    edges = d.filter((F.col("_first") <= most) | (F.col("_first") > F.col("_size") - most)).groupBy("curve_id", "_b").agg(
+        F.array_sort(F.collect_list("_own")).alias("_rows"))          # at most 2 * most rows of a block
+    along = Window.partitionBy("curve_id").orderBy("_b")
+    halo = {}
+    if back:
+        lags = F.flatten(F.array_compact(F.array(*[F.reverse(_last(F.lag("_rows", i).over(along), back)) for i in range(1, back + 1)])))
+        halo["_left"] = F.slice(lags, 1, back)
+    if ahead:
+        leads = F.flatten(F.array_compact(F.array(*[F.slice(F.lead("_rows", i).over(along), 1, ahead) for i in range(1, ahead + 1)])))
+        halo["_right"] = F.slice(leads, 1, ahead)
+    d = d.join(edges.withColumns(halo).drop("_rows"), ["curve_id", "_b"])
+    out = {}
+    if back:
+        out["before"] = F.slice(F.concat("before", "_left"), 1, back)
+    if ahead:
+        out["after"] = F.slice(F.concat("after", "_right"), 1, ahead)
+    return d.withColumns(out).drop("_b", "_first", "_own", "_size", "_left", "_right")
+
+
+def _last(rows: Column, n: int) -> Column:
+    return F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), F.lit(n))
+
+
+def interpolate(curves: DataFrame, grid, block: int = NEIGHBOUR_BLOCK) -> DataFrame:
     """Linear interpolation at the grid positions, the first value to the left
-    and 0 to the right of the curve."""
-    w = Window.partitionBy("curve_id").orderBy("step")
-    seg = curves.select("curve_id", "step", "value", F.lead("step").over(w).alias("nstep"),
-                        F.lead("value").over(w).alias("nvalue"))
+    and 0 to the right of the curve.  Segments and grid positions meet by (curve, block of steps), so the pieces of
+    a long curve are spread; a segment that crosses borders stands in each block that it touches."""
+    seg = with_neighbours(curves.select("curve_id", "step", "value"), 0, 1, block)
+    nxt = F.get("after", F.lit(0))
+    seg = seg.select("curve_id", "step", "value", nxt["step"].alias("nstep"), nxt["value"].alias("nvalue"))
+    at_block = lambda v: F.floor(v / block)
+    seg = seg.withColumn("_b", F.explode(F.sequence(at_block(F.col("step")), at_block(F.coalesce("nstep", "step")))))
     ends = curves.groupBy("curve_id").agg(F.min("step").alias("lo"), F.max("step").alias("hi"),
                                           F.min_by("value", "step").alias("first_value"))
     points = ends.select("curve_id", "lo", "hi", "first_value",
-                         F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("x"))
-    at = points.join(seg, (points.curve_id == seg.curve_id) & (seg.step <= points.x)
+                         F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("x")).withColumn("_b", at_block(F.col("x")))
+    at = points.join(seg, (points.curve_id == seg.curve_id) & (points._b == seg._b) & (seg.step <= points.x)
                      & ((points.x < seg.nstep) | (seg.nstep.isNull() & (points.x == seg.step))), "left")
     inside = F.when(F.col("nstep").isNull(), F.col("value")).otherwise(
         F.col("value") + (F.col("nvalue") - F.col("value")) * (F.col("x") - F.col("step"))

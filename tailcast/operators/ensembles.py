@@ -182,24 +182,3 @@ def selector_comparison(records: DataFrame, target: float, pool=SMALL_POOL) -> D
         *[err_of(m).alias(m) for m, _ in REFERENCES]))
     names = ("oracle", "fixed_rational", "fixed_richardson", "phase2_proxy", "diag_ensemble", *[m for m, _ in REFERENCES])
     return selector_summary(selector_long(wide, names), ["target_g"])
-
-
-# ---- ensembles that are methods themselves -----------------------------------
-def composite_estimates(estimates: DataFrame, iqr: DataFrame, keys=("curve_id", "depth", "noise", "n_f")) -> DataFrame:
-    """median_ensemble, stability_weighted and best_shanks_wynn from member
-    estimates (long) and their window-shift IQR: a second pass over forecast
-    rows, one group per (window, target)."""
-    j = estimates.join(iqr.select(*keys, "method", "shift_iqr"), [*keys, "method"], "left")
-    v = F.when(is_valid(F.col("estimate_raw")), F.col("estimate_raw"))
-    in_pool, in_sw = F.col("method").isin(*ENSEMBLE_MEMBERS), F.col("method").isin(*SHANKS_WYNN)
-    order = F.lit(None).cast("int")
-    for i, m in enumerate(SHANKS_WYNN):
-        order = F.when(F.col("method") == m, F.lit(i)).otherwise(order)
-    w = F.when(F.col("shift_iqr") == float("inf"), F.lit(0.0)).otherwise(F.lit(1.0) / (F.col("shift_iqr") + 1e-6))
-    best_key = F.when(in_sw & v.isNotNull() & (F.col("shift_iqr") < float("inf")), F.struct(F.col("shift_iqr").alias("q"), order.alias("o")))
-    g = j.groupBy(*keys).agg(
-        F.when(F.count(F.when(in_pool, v)) >= 3, F.percentile(F.when(in_pool, v), F.lit(0.5))).alias("median_ensemble"),
-        F.when(F.count(F.when(in_pool, v)) >= 2, F.try_divide(F.sum(F.when(in_pool, w * v)), F.sum(F.when(in_pool & v.isNotNull(), w))))
-        .alias("stability_weighted"),
-        F.coalesce(F.min_by(v, best_key), F.max("last_v")).alias("best_shanks_wynn"))
-    return g.unpivot(list(keys), ["median_ensemble", "stability_weighted", "best_shanks_wynn"], "method", "estimate_raw")

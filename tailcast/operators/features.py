@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tailcast.functions import fits
 from tailcast.functions.arrays import deltas, finite, let, mean, ols, total
+from tailcast.operators.curves import with_neighbours
+from tailcast.session import settled
 from tailcast.settings import FEATURES
 
 
@@ -71,42 +73,69 @@ def cell_features(feats: DataFrame, cell=("family", "depth", "noise")) -> DataFr
 
 
 def previous_values(curves: DataFrame) -> DataFrame:
-    """Differences, ratios and sign changes per step, with the neighbours by
-    ``lag`` (long form, for curves that are not cut into windows)."""
-    w = Window.partitionBy("curve_id").orderBy("step")
-    d = curves.withColumn("prev", F.lag("value").over(w)).withColumn("diff", F.col("value") - F.col("prev"))
-    d = d.withColumn("prev_diff", F.lag("diff").over(w))
+    """Differences, ratios and sign changes per step, with the two values before
+    (long form, for curves that are not cut into windows)."""
+    d = with_neighbours(curves.select("curve_id", "step", "value"), 2)
+    prev, last = F.get("before", F.lit(0))["value"], F.get("before", F.lit(1))["value"]
+    d = d.select("curve_id", "step", "value", prev.alias("prev"), (F.col("value") - prev).alias("diff"), (prev - last).alias("prev_diff"))
     return d.select("curve_id", "step", "value", "diff", F.when(F.col("prev").isNotNull(), F.col("value") / F.greatest(F.abs("prev"), F.lit(1e-15))).alias("ratio"),
                     (F.col("diff") - F.col("prev_diff")).alias("second_diff"),
                     F.coalesce(F.col("diff") * F.col("prev_diff") < 0, F.lit(False)).cast("int").alias("sign_change"))
 
 
-CENTROIDS_PER_BLOCK = 1000
+PIVOTS = 64                    # centroids that divide the others into balls
+INDEX_ROWS = 100_000           # centroids of which a copy may go to every task
+SLACK = 1e-9                   # bounds are relaxed by this share, so rounding cannot exclude the nearest
+
+
+def _distance(used, a, b) -> Column:
+    sq = F.lit(0.0)
+    for f in FEATURES:
+        sq = sq + F.when(used[f], (a(f) - b(f)) * (a(f) - b(f))).otherwise(0.0)
+    return F.sqrt(sq)
+
+
+def centroid_index(centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Balls around pivots: members (pivot, reach, family, features) with their distance from the pivot, and
+    one row with all pivots and the radius of each ball.  Pivots are PIVOTS centroids drawn by hash; all distances are
+    over the features that are finite in every centroid."""
+    usable = centroids.agg(*[F.min(finite(F.col(f)).cast("int")).alias(f"_u_{f}") for f in FEATURES])
+    base = settled(centroids.select("family", *[F.col(f).cast("double").alias(f) for f in FEATURES]).crossJoin(F.broadcast(usable)), "centroids")
+    pivots = (base.select(F.struct("family", *FEATURES).alias("p")).distinct().orderBy(F.xxhash64("p.family"), "p.family", "p").limit(PIVOTS)
+              .agg(F.array_sort(F.collect_list("p")).alias("_pivots")))
+    used = {f: F.col(f"_u_{f}") == 1 for f in FEATURES}
+    near = F.array_min(F.transform("_pivots", lambda p, i: F.struct(_distance(used, F.col, lambda f: p[f]).alias("d"), i.alias("i"))))
+    members = settled(base.crossJoin(F.broadcast(pivots)).withColumn("_n", near).select(
+        F.col("_n.i").alias("pivot"), F.col("_n.d").alias("reach"), "family", *FEATURES), "ball-members")
+    balls = members.groupBy("pivot").agg(F.max("reach").alias("radius"))
+    radii = balls.agg(F.map_from_entries(F.collect_list(F.struct("pivot", "radius"))).alias("_radii"))
+    return members, pivots.crossJoin(F.broadcast(radii)).crossJoin(F.broadcast(usable))
 
 
 def nearest_family(cells: DataFrame, centroids: DataFrame) -> DataFrame:
     """Nearest family centroid by Euclidean distance over the features that are
     finite in the row and in every centroid; first family wins a tie.
 
-    Centroids travel in blocks of bounded size: a row meets each block, not each
-    centroid, and keeps the nearest of the blocks' nearest."""
-    usable = centroids.agg(*[F.min(finite(F.col(f)).cast("int")).alias(f"_u_{f}") for f in FEATURES])
+    Centroids lie in balls around pivots.  A row first measures the pivots; the nearest bounds the answer, and
+    by the triangle inequality only balls, and in them only members, that can come as near are looked at.  (A
+    distance over fewer features is at most the full one, so the bounds hold for rows with gaps.)  Members go to
+    every task up to INDEX_ROWS, beyond that rows and members meet by pivot."""
+    members, pivots = centroid_index(centroids)
+    keys = [c for c in cells.columns if c not in FEATURES]
+    rows = settled(cells.withColumn("_row", F.monotonically_increasing_id()), "nearest-rows")
     used = {f: (F.col(f"_u_{f}") == 1) & finite(F.col(f)) for f in FEATURES}
     any_used = reduce(lambda x, y: x | y, used.values())
-    keys = [c for c in cells.columns if c not in FEATURES]
-
-    def distance(at):
-        sq = F.lit(0.0)
-        for f in FEATURES:
-            sq = sq + F.when(used[f], (F.col(f) - at(f)) * (F.col(f) - at(f))).otherwise(0.0)
-        return F.sqrt(sq)
-
-    blocks = (centroids.withColumn("_block", F.floor(F.monotonically_increasing_id() / CENTROIDS_PER_BLOCK))
-              .groupBy("_block").agg(F.collect_list(F.struct("family", *FEATURES)).alias("_cents")).drop("_block"))
-    near = F.array_min(F.transform("_cents", lambda c: F.struct(distance(lambda f: c[f]).alias("d"), c["family"].alias("family"))))
-    rows = cells.crossJoin(blocks).crossJoin(F.broadcast(usable)).withColumn("_n", F.when(any_used, near))
-    best = rows.groupBy(*keys).agg(F.min("_n").alias("_n"))
-    return best.select(*keys, F.coalesce("_n.family", F.lit("unknown")).alias("nearest"), F.col("_n.d").alias("distance"))
+    away = F.transform("_pivots", lambda p, i: F.struct(i.alias("pivot"), _distance(used, F.col, lambda f: p[f]).alias("d")))
+    seen = rows.crossJoin(F.broadcast(pivots)).filter(any_used).withColumn("_away", away)
+    seen = seen.withColumn("_most", F.array_min(F.transform("_away", lambda a: a["d"])) * (1 + SLACK))
+    reachable = F.filter("_away", lambda a: F.col("_radii")[a["pivot"]].isNotNull() & (a["d"] * (1 - SLACK) - F.col("_radii")[a["pivot"]] <= F.col("_most")))
+    seen = seen.select("_row", *FEATURES, *[f"_u_{f}" for f in FEATURES], "_most", F.explode(reachable).alias("_a"))
+    inner = members.select(F.col("pivot").alias("_pivot"), "reach", F.col("family").alias("_family"), *[F.col(f).alias(f"_c_{f}") for f in FEATURES])
+    inner = F.broadcast(inner) if members.count() <= INDEX_ROWS else inner
+    found = seen.join(inner, (F.col("_a.pivot") == F.col("_pivot")) & (F.col("_a.d") * (1 - SLACK) - F.col("reach") <= F.col("_most")))
+    d = _distance(used, F.col, lambda f: F.col(f"_c_{f}"))
+    best = found.groupBy("_row").agg(F.min(F.struct(d.alias("d"), F.col("_family").alias("family"))).alias("_n"))
+    return rows.join(best, "_row", "left").select(*keys, F.coalesce("_n.family", F.lit("unknown")).alias("nearest"), F.col("_n.d").alias("distance"))
 
 
 def standardise(cells: DataFrame, by: DataFrame) -> DataFrame:

@@ -4,9 +4,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.operators.methods import lookup
+from tailcast.operators.curves import summarise
+from tailcast.operators.methods import levels, lookup, shift_spread, shifted_members, valid_or_null
+from tailcast.settings import WIN_SHIFTS
 
 REFERENCE_COLUMNS = ("L_true", "L_hat", "last_v", "mean_v", "min_v", "max_v", "assumed_mode")
+SHIFTS = sorted({max(0, s) for s in WIN_SHIFTS})
+FEWEST_SHIFTED = 3             # points that a shifted window needs
+
+
+def _cut(rows: DataFrame, shift: int) -> DataFrame:
+    """The window without its first points; the whole one stays in ``_xs`` and ``_ys``."""
+    keep = F.greatest(F.size("_xs") - shift, F.lit(0))
+    rows = rows.withColumns({n: F.slice(f"_{n}", shift + 1, keep) if shift else F.col(f"_{n}") for n in ("xs", "ys")})
+    if not shift:
+        return rows.withColumns({n: F.col(f"_0{n}") for n in ("last_v", "mean_v", "min_v", "max_v")})
+    return summarise(rows)
 
 
 def forecast(windows: DataFrame, methods, keep=()) -> DataFrame:
@@ -17,18 +30,74 @@ def forecast(windows: DataFrame, methods, keep=()) -> DataFrame:
     computed once per window, before the targets are exploded; the whole job is
     a chain of projections without a shuffle.  The arrays are never empty; the
     outer generators keep the optimizer from inferring a "not empty" filter,
-    which would be pushed below and compute every estimate twice."""
-    specs = [lookup(m) for m in methods]
+    which would be pushed below and compute every estimate twice.
+
+    Composites are expressions on their members' estimates in the same row, level by level.  Members whose
+    spread is asked for are also computed on the shifted windows, as further projections of the row."""
+    ranked = levels(methods)
+    moved = shifted_members(ranked)
+    if moved:
+        return _with_shifts(windows, methods, ranked, moved, keep)
+    specs = [s for layer in ranked for s in layer]
+    plain = ranked[0] if ranked else []
     fitted = windows.withColumns({
-        f"_p_{s.name}": s.parameters() for s in specs if s.parameters is not None})
+        f"_p_{s.name}": s.parameters() for s in plain if s.parameters is not None})
     rows = fitted.select("*", F.explode_outer("targets").alias("t")).drop("targets")
     target = F.col("t.n_f")
-    rows = rows.withColumn("ests", F.array(*[F.struct(
-        F.lit(s.name).alias("method"),
-        s.estimate(F.col(f"_p_{s.name}") if s.parameters is not None else None, target)
-        .cast("double").alias("estimate_raw")) for s in specs]))
+
+    def estimate(s):
+        return s.estimate(F.col(f"_p_{s.name}") if s.parameters is not None else None, target).cast("double")
+
+    if len(ranked) == 1:
+        values = {s.name: estimate(s) for s in specs}
+    else:
+        rows = rows.withColumns({f"_v_{s.name}": estimate(s) for s in plain})
+        for layer in ranked[1:]:
+            rows = rows.withColumns({f"_v_{s.name}": s.combine(_members(s)).cast("double") for s in layer})
+        values = {s.name: F.col(f"_v_{s.name}") for s in specs}
+    return _long(windows, rows, methods, values, keep)
+
+
+def _members(s, spread=None):
+    return F.array(*[F.struct(valid_or_null(F.col(f"_v_{m}")).alias("v"), (spread(m) if spread else F.lit(None).cast("double")).alias("spread")) for m in s.members])
+
+
+def _with_shifts(windows: DataFrame, methods, ranked, moved, keep) -> DataFrame:
+    """The same with the members in ``moved`` evaluated at every shift; ``_v_m`` is a method's value on the
+    whole window and ``_v{shift}_m`` on a shifted one."""
+    summaries = ("last_v", "mean_v", "min_v", "max_v")
+    rows = windows.withColumns({f"_{n}": F.col(n) for n in ("xs", "ys")} | {f"_0{n}": F.col(n) for n in summaries})
+    plain = ranked[0]
+    names = lambda shift: [s for s in plain if shift == 0 or s.name in moved]
+    for shift in reversed(SHIFTS):
+        rows = _cut(rows, shift).withColumns({f"_p{shift}_{s.name}": s.parameters() for s in names(shift) if s.parameters is not None})
+    rows = rows.select("*", F.explode_outer("targets").alias("t")).drop("targets")
+    for shift in reversed(SHIFTS):
+        at = "" if shift == 0 else str(shift)
+        rows = _cut(rows, shift)
+        rows = rows.withColumns({f"_v{at}_{s.name}": s.estimate(F.col(f"_p{shift}_{s.name}") if s.parameters is not None else None, F.col("t.n_f")).cast("double")
+                                 for s in names(shift)})
+        for layer in ranked[1:] if shift else ():
+            inner = [s for s in layer if s.name in moved]
+            if any(s.spreads for s in inner):
+                raise ValueError("a composite that weighs spreads cannot be weighed by its own spread")
+            rows = rows.withColumns({f"_v{at}_{s.name}": s.combine(F.array(*[F.struct(valid_or_null(F.col(f"_v{at}_{m}")).alias("v"), F.lit(None).cast("double").alias("spread"))
+                                                                             for m in s.members])).cast("double") for s in inner})
+
+    def spread(m):
+        enough = lambda shift: (F.size("_xs") - shift) >= FEWEST_SHIFTED
+        return shift_spread({s: F.when(enough(s), valid_or_null(F.col(f"_v{s or ''}_{m}"))) for s in SHIFTS})
+
+    for layer in ranked[1:]:
+        rows = rows.withColumns({f"_v_{s.name}": s.combine(_members(s, spread if s.spreads else None)).cast("double") for s in layer})
+    return _long(windows, rows, methods, {m: F.col(f"_v_{m}") for m in methods}, keep)
+
+
+def _long(windows: DataFrame, rows: DataFrame, methods, values, keep) -> DataFrame:
+    """One row per (window, target, method)."""
+    rows = rows.withColumn("ests", F.array(*[F.struct(F.lit(m).alias("method"), values[m].alias("estimate_raw")) for m in (lookup(n).name for n in methods)]))
     target_columns = [f.name for f in windows.schema["targets"].dataType.elementType.fields]
-    drop = {"xs", "ys", "targets", *target_columns, *[f"_p_{s.name}" for s in specs]}
+    drop = {"xs", "ys", "targets", *target_columns}
     base = [c for c in windows.columns if c not in drop or c in keep]
     return rows.select(*base, *[F.col(f"t.{c}").alias(c) for c in target_columns],
                        F.inline_outer("ests"))

@@ -8,21 +8,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tailcast.functions import fits, sequence
-from tailcast.functions.arrays import back, deltas, let, tail
-from tailcast.settings import (ACCELERATORS, CLASSICAL_FAMILIES, FAMILY_OF, METHODS, ORACLES,
-                               REGISTRY_INDEX, TRIVIALS, TYPE_OF)
+from tailcast.functions.arrays import back, deltas, finite, let, sorted_quantile, tail, total
+from tailcast.settings import (ACCELERATORS, CLASSICAL_FAMILIES, ENSEMBLE_MEMBERS, FAMILY_OF, MAX_VALID, METHODS, MIN_VALID, ORACLES,
+                               REGISTRY_INDEX, SHANKS_WYNN, TRIVIALS, TYPE_OF, WIN_SHIFTS)
 
 
 @dataclass(frozen=True)
 class Method:
     """``parameters``: expression on the window that is computed once per window
     (NULL when there is nothing to fit).  ``estimate``: expression of (parameters,
-    target); methods of type ``limit`` ignore the target."""
+    target); methods of type ``limit`` ignore the target.
+
+    A composite has ``members`` instead, other methods by name, and ``combine``: an expression of
+    an array with one struct per member, in their order: ``v``, its estimate (NULL if invalid), and
+    ``spread``, the interquartile range of its valid estimates over window-start shifts
+    (NULL unless ``spreads`` asks for it, infinite with fewer than two)."""
     name: str
     family: str
     kind: str
-    parameters: Callable[[], Column] | None
-    estimate: Callable[[Column, Column], Column]
+    parameters: Callable[[], Column] | None = None
+    estimate: Callable[[Column, Column], Column] | None = None
+    members: tuple[str, ...] = ()
+    combine: Callable[[Column], Column] | None = None
+    spreads: bool = False
 
 
 def XS() -> Column:
@@ -104,12 +112,54 @@ def _limit_methods():
     return out
 
 
+SPREAD_FLOOR = 1e-6            # added to a spread before it is inverted
+
+
+def valid_or_null(v: Column) -> Column:
+    return F.when(finite(v) & v.between(MIN_VALID, MAX_VALID), v)
+
+
+def shift_spread(shifted: dict[int, Column]) -> Column:
+    """Interquartile range of the valid estimates over the shifts; shifts below 0 leave the window as it
+    is, so they repeat shift 0."""
+    every = F.filter(F.array(*[shifted[max(0, s)] for s in WIN_SHIFTS]), lambda v: v.isNotNull())
+    return let(F.array_sort(every), lambda a: F.when(F.size(a) >= 2, sorted_quantile(a, 0.75) - sorted_quantile(a, 0.25)).otherwise(F.lit(float("inf"))))
+
+
+def _median_of_three(found: Column) -> Column:
+    values = F.array_sort(F.transform(F.filter(found, lambda m: m["v"].isNotNull()), lambda m: m["v"]))
+    return let(values, lambda a: F.when(F.size(a) >= 3, sorted_quantile(a, 0.5)))
+
+
+def _by_stability(found: Column) -> Column:
+    def mean(some):
+        weight = lambda m: F.lit(1.0) / (m["spread"] + SPREAD_FLOOR)
+        return F.when(F.size(some) >= 2, F.try_divide(total(F.transform(some, lambda m: weight(m) * m["v"])), total(F.transform(some, weight))))
+    return let(F.filter(found, lambda m: m["v"].isNotNull()), mean)
+
+
+def _steadiest(found: Column) -> Column:
+    """The member of the smallest spread, the first of equal ones; the last value if no member is valid."""
+    ordered = F.transform(found, lambda m, i: F.struct(m["spread"].alias("spread"), i.alias("i"), m["v"].alias("v")))
+    steady = F.filter(ordered, lambda m: m["v"].isNotNull() & (m["spread"] < float("inf")))
+    return F.coalesce(F.array_min(steady)["v"], F.col("last_v"))
+
+
+COMPOSITES = {
+    "median_ensemble": (ENSEMBLE_MEMBERS, _median_of_three, False),
+    "stability_weighted": (ENSEMBLE_MEMBERS, _by_stability, True),
+    "best_shanks_wynn": (SHANKS_WYNN, _steadiest, True),
+}
+
+
 def _build() -> dict[str, Method]:
     reg = {}
     for name, (par, est) in _trajectory_methods().items():
         reg[name] = Method(name, FAMILY_OF[name], TYPE_OF[name], par, est)
     for name, par in _limit_methods().items():
         reg[name] = Method(name, FAMILY_OF[name], TYPE_OF[name], par, lambda p, t: p)
+    for name, (members, combine, spreads) in COMPOSITES.items():
+        reg[name] = Method(name, FAMILY_OF[name], TYPE_OF[name], members=members, combine=combine, spreads=spreads)
     return dict(sorted(reg.items(), key=lambda kv: REGISTRY_INDEX[kv[0]]))
 
 
@@ -129,6 +179,42 @@ def register_method(name: str, family: str, kind: str, estimate, parameters=None
     return _user[name]
 
 
+def register_composite(name: str, family: str, kind: str, members, combine, spreads: bool = False) -> Method:
+    """Register a method over other methods.  ``combine`` takes an array of (v, spread) structs, one per member in order.
+    Members may be composites themselves; each must be known already, so no cycle can arise."""
+    if kind not in ("trajectory", "limit"):
+        raise ValueError(f"kind must be 'trajectory' or 'limit', got {kind!r}")
+    if name in REGISTRY_INDEX:
+        raise ValueError(f"{name!r} is a built-in method")
+    if not members or name in members:
+        raise ValueError("a composite needs members other than itself")
+    for m in members:
+        lookup(m)
+    _user[name] = Method(name, family, kind, members=tuple(members), combine=combine, spreads=spreads)
+    return _user[name]
+
+
+def levels(methods) -> list[list[Method]]:
+    """The methods and all that they depend on, in levels: plain ones first, then composites of earlier levels only."""
+    level: dict[str, int] = {}
+
+    def place(name):
+        if name not in level:
+            m = lookup(name)
+            level[name] = 1 + max((place(x) for x in m.members), default=-1)
+        return level[name]
+
+    for name in methods:
+        place(name)
+    return [[lookup(n) for n, at in level.items() if at == i] for i in range(max(level.values(), default=-1) + 1)]
+
+
+def shifted_members(ranked: list[list[Method]]) -> list[str]:
+    """Methods whose estimates on shifted windows some composite needs, and all that those depend on."""
+    wanted = [m for layer in ranked for s in layer if s.spreads for m in s.members]
+    return [m.name for layer in levels(wanted) for m in layer] if wanted else []
+
+
 def lookup(name: str) -> Method:
     method = _user.get(name) or REGISTRY.get(name)
     if method is None:

@@ -6,7 +6,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tailcast.functions.quantiles import same
 from tailcast.operators.panels import GAP_CELL, exclude_capped, family_table
+from tailcast.session import settled
 
 RECORD_KEYS = ("curve_id", "depth", "noise", "target_g")
 
@@ -74,22 +76,86 @@ def head_to_head(cells: DataFrame, named: str) -> DataFrame:
     return a.join(b, ["is_holdout", "target_g", "method"], "full_outer")
 
 
+RANGES = 4096                  # key ranges of a level
+LEVELS = 2                     # levels of ranges before rows are compared
+KNOWN_RANGES = 200_000         # differing ranges of which a copy may go to every task
+
+
+def _marked(side: DataFrame, keys, columns) -> DataFrame:
+    """Keys, compared columns, the range of each level and a digest of the row.  NULLs are hashed as such:
+    the hash functions alone would pass over them."""
+    plain = [x for c in (*keys, *columns) for x in (F.col(c).isNull(), F.col(c))]
+    spot = F.xxhash64(*[x for c in keys for x in (F.col(c).isNull(), F.col(c))])
+    levels = {f"_r{i}": F.pmod(F.shiftright(spot, 12 * i), F.lit(RANGES)).cast("int") for i in range(LEVELS)}
+    return side.select(*keys, *columns).withColumns(levels | {"_h": F.xxhash64(*plain), "_g": F.xxhash64(F.lit(1), *plain)})
+
+
+def _digests(side: DataFrame, by) -> DataFrame:
+    """Rows, combined digest and digest sum of each range: partial aggregates, a few numbers per range and task."""
+    return side.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_h").alias("x"), F.sum(F.col("_g").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, keys, columns):
+    """(marked left, marked right, ranges that differ, rows in equal ranges, levels used).
+
+    Both sides are digested by key range; where digests agree the rows do, and they are never shuffled.  Differing ranges
+    are divided once more, so only rows of the smallest differing ranges are left to compare."""
+    a, b = _marked(left, keys, columns), _marked(right, keys, columns)
+    open_, equal, by = None, 0, []
+    for level in range(LEVELS):
+        by = [f"_r{i}" for i in range(level + 1)]
+        inside = lambda side: side if open_ is None else side.join(F.broadcast(open_), by[:-1], "left_semi")
+        both = settled(_digests(inside(a), by).alias("l").join(_digests(inside(b), by).alias("r"), same("l", "r", by), "full_outer").select(
+            *[F.coalesce(f"l.{c}", f"r.{c}").alias(c) for c in by], F.col("l.n").alias("n"),
+            (F.col("l.n").eqNullSafe(F.col("r.n")) & F.col("l.x").eqNullSafe(F.col("r.x")) & F.col("l.s").eqNullSafe(F.col("r.s"))).alias("same")), "ranges")
+        rows = both.agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("n"))), F.lit(0)), F.count(F.when(~F.col("same"), 1))).first()
+        equal += rows[0]
+        open_ = both.filter(~F.col("same")).select(*by)
+        if rows[1] == 0 or rows[1] > KNOWN_RANGES:
+            break
+    small = rows[1] <= KNOWN_RANGES
+    return a, b, F.broadcast(open_) if small else open_, equal, by
+
+
+def _compared(left: DataFrame, right: DataFrame, keys, columns):
+    """Rows of differing ranges side by side, and the number of rows in equal ranges."""
+    a, b, open_, equal, by = differing_ranges(left, right, keys, columns)
+    side = lambda rows, tag: rows.join(open_, by, "left_semi").select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in columns], F.lit(1).alias(f"_{tag}"))
+    joined = side(a, "a").alias("l").join(side(b, "b").alias("r"), same("l", "r", keys), "full_outer")
+    return joined.select(*[F.coalesce(f"l.{k}", f"r.{k}").alias(k) for k in keys], *[f"l.a_{c}" for c in columns], *[f"r.b_{c}" for c in columns], "l._a", "r._b"), equal
+
+
 def compare_tables(left: DataFrame, right: DataFrame, keys, columns) -> DataFrame:
-    """Keyed, null-safe comparison: keys on one side only and mismatches per column."""
-    a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_a"))
-    b = right.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns], F.lit(1).alias("_b"))
-    j = a.join(b, list(keys), "full_outer")
+    """Keyed, null-safe comparison: keys on one side only and mismatches per column.  Key ranges whose digests agree are
+    only counted.  Keys are unique on each side; NULL is a key like any other."""
+    j, equal = _compared(left, right, keys, columns)
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    return j.agg(F.count(F.when(both, 1)).alias("n_both"), F.count(F.when(F.col("_b").isNull(), 1)).alias("only_left"),
+    return j.agg((F.count(F.when(both, 1)) + F.lit(equal)).alias("n_both"), F.count(F.when(F.col("_b").isNull(), 1)).alias("only_left"),
                  F.count(F.when(F.col("_a").isNull(), 1)).alias("only_right"),
                  *[F.count(F.when(both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), 1)).alias(f"diff_{c}") for c in columns])
 
 
+def keyed_diff(left: DataFrame, right: DataFrame, keys, columns) -> DataFrame:
+    """One row per compared column: keys on both sides and on one only, keys whose values differ, and the
+    first such key with both values."""
+    j, equal = _compared(left, right, keys, columns)
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
+    j = settled(j.withColumn("_key", key), "compared")
+    counts = [(F.count(F.when(both, 1)) + F.lit(equal)).alias("n_both"), F.count(F.when(F.col("_b").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("_a").isNull(), 1)).alias("only_right")]
+    differs = {c: both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in columns}
+    wide = j.agg(*counts, *[x for c in columns for x in (
+        F.count(F.when(differs[c], 1)).alias(f"n_{c}"), F.min(F.when(differs[c], F.struct("_key", F.col(f"a_{c}").cast("string").alias("a"), F.col(f"b_{c}").cast("string").alias("b")))).alias(f"e_{c}"))])
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n_differ"), F.col(f"e_{c}._key").alias("first_key"),
+                               F.col(f"e_{c}.a").alias("left_value"), F.col(f"e_{c}.b").alias("right_value")) for c in columns])
+    return wide.select("n_both", "only_left", "only_right", F.inline(items))
+
+
 def mismatch_sample(left: DataFrame, right: DataFrame, keys, columns, n: int = 5) -> DataFrame:
-    a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = right.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
+    """The first ``n`` keys on which a column differs, both values side by side."""
+    j, _ = _compared(left, right, keys, columns)
     differs = reduce(lambda x, y: x | y, [~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in columns])
-    return a.join(b, list(keys)).filter(differs).orderBy(*keys).limit(n)
+    return j.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull() & differs).drop("_a", "_b").orderBy(*keys).limit(n)
 
 
 def leading_summary(lead: DataFrame, core: DataFrame, hold: DataFrame, spread: DataFrame,

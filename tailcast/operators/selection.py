@@ -8,7 +8,7 @@ one if f itself did, so every statistic is a weighted aggregate over
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tailcast.functions.quantiles import grouped, order_statistics
@@ -127,13 +127,16 @@ def many_pilot_trials(rows: DataFrame, choices: DataFrame, cell=CELL, run=RUN) -
 
 
 def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN) -> DataFrame:
-    """The per-cell statistics of one design."""
-    t = trials.join(facts, [*cell, run])
-    keys = ["pool", *cell]
+    """Statistics per design, pool and cell; ``trials`` has both designs in one table, which is written
+    once and aggregated in one pass."""
     e, d, last, w = F.col("err"), F.col("e_default"), F.col("e_last"), F.col("w")
     ok = e.isNotNull()
-    # several parts of the statistics read the trials: they are written once
-    t = settled(t.withColumn("_ratio", F.when(ok & (d > RATIO_EPS), e / F.when(d > RATIO_EPS, d))), "trials")
+    order = F.element_at(F.create_map(*[x for m, i in REGISTRY_INDEX.items() for x in (F.lit(m), F.lit(i))]), F.col("method"))
+    keys = ["design", "pool", *cell]
+    t = trials.join(facts, [*cell, run]).select(
+        *keys, "method", "err", "cat", "w", "e_default", "e_last", "cat_default",
+        F.when(ok & (d > RATIO_EPS), e / F.when(d > RATIO_EPS, d)).alias("_ratio"))
+    t = settled(t, "trials")
 
     def share(cond):
         return F.sum(F.when(cond, w).otherwise(0)) / F.sum(w)
@@ -147,10 +150,7 @@ def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN) ->
         {"med_error_chosen": ("err", 0.5), "med_error_default": ("e_default", 0.5), "med_error_last": ("e_last", 0.5),
          "med_ratio_vs_default": ("_ratio", 0.5)}, weight="w")
     stats = stats.join(cell_runs(facts, cell), list(cell))
-    order = F.lit(None).cast("int")
-    for m, i in REGISTRY_INDEX.items():
-        order = F.when(F.col("method") == m, F.lit(i)).otherwise(order)
-    per = trials.filter("method IS NOT NULL").groupBy(*keys, "method").agg(F.sum("w").alias("c"))
+    per = t.filter("method IS NOT NULL").groupBy(*keys, "method").agg(F.sum("w").alias("c"))
     top = per.groupBy(*keys).agg(F.min_by(F.struct("method", "c"), F.struct((-F.col("c")).alias("c"), order.alias("o"))).alias("t"), F.sum("c").alias("s"),
                                   F.count(F.lit(1)).alias("n_distinct_chosen"))
     return stats.join(top, keys, "left").select(
@@ -165,11 +165,13 @@ def selection_cells(records: DataFrame, uncapped: DataFrame, pools: DataFrame, m
     tables so that the records are joined to the pools once."""
     rows = keep("rows", trial_records(records, uncapped, pools, cell, run))
     facts = keep("facts", run_facts(records, uncapped, cell, run))
-    first = keep("one", choose_one_pilot(rows, digits, cell, run))
-    others = keep("many", choose_many_pilots(rows, cell_runs(facts, cell), min_valid, digits, cell, run))
-    one = cell_statistics(one_pilot_trials(rows, first, cell, run), facts, cell, run)
-    many = cell_statistics(many_pilot_trials(rows, others, cell, run), facts, cell, run)
-    return one.withColumn("design", F.lit("one_pilot")).unionByName(many.withColumn("design", F.lit("many_pilots")))
+    first = choose_one_pilot(rows, digits, cell, run).withColumn("design", F.lit("one_pilot"))
+    others = choose_many_pilots(rows, cell_runs(facts, cell), min_valid, digits, cell, run).withColumn("design", F.lit("many_pilots"))
+    both = keep("choices", first.unionByName(others))
+    of = lambda design: both.filter(F.col("design") == design).drop("design")
+    trials = (one_pilot_trials(rows, of("one_pilot"), cell, run).withColumn("design", F.lit("one_pilot"))
+              .unionByName(many_pilot_trials(rows, of("many_pilots"), cell, run).withColumn("design", F.lit("many_pilots"))))
+    return cell_statistics(trials, facts, cell, run)
 
 
 def pooled_selection(cells: DataFrame, classes) -> DataFrame:
@@ -233,22 +235,58 @@ def methods_chosen(cells: DataFrame, pool: str, target: float) -> DataFrame:
         "design", "regime_set", "scope", "top_chosen").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+def placed(rows: DataFrame, groups: dict[str, list[str]], value: str) -> DataFrame:
+    """Adds, for each named list of columns, the 0-based place of a row among the rows that agree on them, in order
+    of ``value``; equal values keep one order throughout.  Rows are dealt into ranges of the value; a place is the
+    place in the own range plus the counts of earlier ones, so no task orders a group."""
+    dealt = settled(rows.repartitionByRange(value).withColumns({"_part": F.spark_partition_id(), "_tie": F.monotonically_increasing_id()}), "placed")
+    out = dealt
+    for name, keys in groups.items():
+        sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        inside = Window.partitionBy(*keys, "_part").orderBy(value, "_tie")
+        out = (out.withColumn("_own", F.row_number().over(inside)).join(starts, [*keys, "_part"])
+               .withColumn(name, F.col("_start") + F.col("_own") - 1).drop("_own", "_start"))
+    return out.drop("_part", "_tie")
+
+
+def medians_without(rows: DataFrame, keys: list[str], fold: str, value: str) -> DataFrame:
+    """Median of ``value`` per group over the rows outside each fold, from one ordering of all rows.
+
+    Without a fold, the value at rank r is the one at place r + c of the whole group, where c counts the fold's
+    rows that stand before it: those whose place, less the number of own rows before them, is at most r.  A fold
+    costs its own rows once, whatever the number of folds."""
+    at = settled(placed(rows, {"_place": keys, "_nth": [*keys, fold]}, value), "fold-places")
+    sizes = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    own = at.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("_mine"))
+    # every fold of a group meets every method of it, also those without a row in the fold
+    outer = [k for k in keys if k != "method"]
+    folds = rows.select(*outer, fold).distinct()
+    every = (folds.join(sizes, outer) if outer else folds.crossJoin(F.broadcast(sizes))).join(own, [*keys, fold], "left")
+    left = F.col("_all") - F.coalesce("_mine", F.lit(0))
+    wanted = every.filter(left > 0).select(*keys, fold, F.floor((left - 1) / 2).cast("long").alias("_low"), F.ceil((left - 1) / 2).cast("long").alias("_high"))
+    gap = F.col("_place") - F.col("_nth")
+    shift = (wanted.join(at.select(*keys, fold, "_place", "_nth"), [*keys, fold], "left").groupBy(*keys, fold, "_low", "_high")
+             .agg(F.count(F.when(gap <= F.col("_low"), 1)).alias("_a"), F.count(F.when(gap <= F.col("_high"), 1)).alias("_b")))
+    ends = shift.select(*keys, fold, F.explode(F.array(F.struct(F.lit(0).alias("_end"), (F.col("_low") + F.col("_a")).alias("_place")),
+                                                        F.struct(F.lit(1).alias("_end"), (F.col("_high") + F.col("_b")).alias("_place")))).alias("_e")).select(*keys, fold, "_e.*")
+    found = ends.join(at.select(*keys, "_place", F.col(value).alias("_v")), [*keys, "_place"])
+    a, b = F.max(F.when(F.col("_end") == 0, F.col("_v"))), F.max(F.when(F.col("_end") == 1, F.col("_v")))
+    return found.groupBy(*keys, fold).agg(F.when(a == b, a).otherwise(a + (b - a) / 2).alias("score"))
+
+
 def recorded_folds(records: DataFrame, pools: DataFrame, fold: str, within, default: str = DEFAULT_METHOD,
                    digits: int | None = None) -> DataFrame:
     """Leave-one-out choice on recorded curves (cells before the minimum): for
     every fold the pool member with the lowest median skill against the last
     value on the other folds of the same ``within`` group, and its score on the
-    fold.  An invalid record counts as +inf.  Folds are depths or families, a
-    handful per group, so each row meets the few other folds by a short array."""
+    fold.  An invalid record counts as +inf.  Rows are ordered once; the cost does not grow with the number of folds."""
     inf = F.lit(float("inf"))
-    rows = records.filter("post_min_target = 0 AND is_trivial = 0").select(
-        *within, fold, "method", F.when(F.col("valid") == 1, F.col("skill_vs_last")).otherwise(inf).alias("s"))
-    folds = rows.groupBy(*within).agg(F.array_sort(F.collect_set(fold)).alias("_folds")) if within else \
-        rows.agg(F.array_sort(F.collect_set(fold)).alias("_folds"))
-    base = rows.join(folds, list(within)) if within else rows.crossJoin(F.broadcast(folds))
-    train = base.select(*within, "method", "s", F.explode(F.filter("_folds", lambda f: f != F.col(fold))).alias(fold))
+    rows = settled(records.filter("post_min_target = 0 AND is_trivial = 0").select(
+        *within, fold, "method", F.when(F.col("valid") == 1, F.col("skill_vs_last")).otherwise(inf).alias("s")), "fold-rows")
     test = grouped(rows, [*within, fold, "method"], [], {"test_score": ("s", 0.5)})
-    score = grouped(train, [*within, fold, "method"], [], {"score": ("s", 0.5)})
+    score = medians_without(rows, [*within, "method"], fold, "s")
     key = F.struct((F.col("score") if digits is None else F.round("score", digits)).alias("s"), F.col("registry_index"))
     pick = score.join(F.broadcast(pools), "method").groupBy("pool", *within, fold).agg(F.min_by("method", key).alias("chosen"))
     chosen = pick.join(test.withColumnsRenamed({"method": "chosen", "test_score": "chosen_score"}), [*within, fold, "chosen"], "left")
@@ -258,8 +296,9 @@ def recorded_folds(records: DataFrame, pools: DataFrame, fold: str, within, defa
 
 def fold_summary(folds: DataFrame) -> DataFrame:
     c, d = F.col("chosen_score"), F.col("default_score")
-    return folds.groupBy("pool").agg(
+    folds = settled(folds.select("pool", "chosen", "chosen_score", "default_score"), "folds")
+    methods = folds.groupBy("pool", "chosen").agg(F.count(F.lit(1)).alias("n")).groupBy("pool").agg(F.count("chosen").alias("n_methods_chosen"))
+    return grouped(folds, ["pool"], [
         F.count(F.lit(1)).alias("n_folds"), F.count(F.when(c < d, 1)).alias("below"), F.count(F.when(c == d, 1)).alias("equal"),
-        F.count(F.when(c > d, 1)).alias("above"), F.count(F.when(c < 1.0, 1)).alias("beats_last"),
-        F.percentile(c, F.lit(0.5)).alias("med_chosen"), F.percentile(d, F.lit(0.5)).alias("med_default"),
-        F.count_distinct("chosen").alias("n_methods_chosen"))
+        F.count(F.when(c > d, 1)).alias("above"), F.count(F.when(c < 1.0, 1)).alias("beats_last")],
+        {"med_chosen": ("chosen_score", 0.5), "med_default": ("default_score", 0.5)}).join(methods, "pool")

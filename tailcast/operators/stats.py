@@ -1,17 +1,24 @@
 """Rank statistics and resampling, all as aggregates."""
 from __future__ import annotations
 
-import math
-from functools import reduce
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailcast.functions.quantiles import grouped
+from tailcast.functions.special import normal_two_sided, t_two_sided
 from tailcast.operators.ranking import average_rank
 from tailcast.operators.scoring import skill, zero_denominator
+from tailcast.session import settled
 from tailcast.settings import FEATURES, REJECT_THRESHOLDS
 
+# executors need not have this package installed: functions that run there travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def spearman(df: DataFrame, keys, x: str, y: str, fewest: int = 10) -> DataFrame:
     """Rank correlation per group over complete pairs.  Ties share their average
@@ -34,13 +41,11 @@ def spearman(df: DataFrame, keys, x: str, y: str, fewest: int = 10) -> DataFrame
 
 
 def spearman_p(table: DataFrame) -> DataFrame:
-    """Two-sided p-value of a rank correlation by the Fisher transform (normal
-    approximation); one value per row of a small result table."""
-    root, erfc = math.sqrt(2.0), math.erfc
-    p = F.pandas_udf(lambda s: s.map(lambda z: erfc(abs(z) / root)), "double")
-    r = F.least(F.greatest(F.col("spearman_r"), F.lit(-0.9999999999)), F.lit(0.9999999999))
-    z = F.sqrt((F.col("n") - 3) / F.lit(1.06)) * F.lit(0.5) * F.ln((F.lit(1.0) + r) / (F.lit(1.0) - r))
-    return table.withColumn("p_value", F.when(F.col("spearman_r").isNotNull() & (F.col("n") > 3), p(F.coalesce(z, F.lit(0.0)))))
+    """Two-sided p-value of a rank correlation: Student's t with n - 2 degrees of freedom.  A correlation of one has 0."""
+    r, n = F.col("spearman_r"), F.col("n")
+    inside = F.when(F.abs(r) < 1, r)
+    t = inside * F.sqrt((n - 2) / ((F.lit(1.0) - inside) * (F.lit(1.0) + inside)))
+    return table.withColumn("p_value", F.when(r.isNotNull() & (n > 2), F.when(F.abs(r) >= 1, 0.0).otherwise(t_two_sided(t, n - 2))))
 
 
 def with_totals(df: DataFrame, key: str, label: str = "ALL") -> DataFrame:
@@ -127,17 +132,23 @@ def feature_correlations(targets: DataFrame, feats: DataFrame, fewest: int = 15)
 
 
 def auc_fail_vs_success(df: DataFrame, keys, value: str, fail: str) -> DataFrame:
-    """P(value of a failing row > value of a succeeding row), ties one half,
-    from the rank sum; with the normal-approximation z (no tie correction)."""
+    """P(value of a failing row > value of a succeeding row), ties one half, from the rank sum, and the
+    two-sided p-value of the rank-sum test: normal, variance corrected for ties, half a rank of continuity.
+    NULL p-value where a side is empty or all values are equal."""
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value, F.col(fail).cast("int").alias("_f"))
     ranks = average_rank(rows, keys, value, "_r").drop("_c")
     per_value = rows.groupBy(*keys, value).agg(F.sum("_f").alias("_nf"), F.count(F.lit(1)).alias("_n"))
     j = per_value.join(ranks, [*keys, value]) if keys else per_value.join(ranks, value)
+    size = F.col("_n").cast("double")
     s = j.groupBy(*keys).agg(F.sum("_nf").alias("n_fail"), (F.sum("_n") - F.sum("_nf")).alias("n_succ"),
-                             F.sum(F.col("_nf") * F.col("_r")).alias("_rs"))
-    u = F.col("_rs") - F.col("n_fail") * (F.col("n_fail") + 1) / 2.0
-    return s.withColumn("auc", F.try_divide(u, (F.col("n_fail") * F.col("n_succ")).cast("double"))).drop("_rs")
+                             F.sum(F.col("_nf") * F.col("_r")).alias("_rs"), F.sum(size * size * size - size).alias("_ties"))
+    a, b = F.col("n_fail").cast("double"), F.col("n_succ").cast("double")
+    u, n = F.col("_rs") - a * (a + 1) / 2.0, a + b
+    spread = F.sqrt(a * b / 12.0 * (n + 1.0 - F.try_divide(F.col("_ties"), n * (n - 1.0))))
+    z = F.try_divide(F.abs(u - a * b / 2.0) - 0.5, spread)
+    p = F.least(normal_two_sided(F.greatest(z, F.lit(0.0))), F.lit(1.0))
+    return s.withColumns({"auc": F.try_divide(u, a * b), "p_value": F.when((a > 0) & (b > 0) & (spread > 0), p)}).drop("_rs", "_ties")
 
 
 def ranking_agreement(core: DataFrame, hold: DataFrame) -> DataFrame:
@@ -147,32 +158,99 @@ def ranking_agreement(core: DataFrame, hold: DataFrame) -> DataFrame:
     return spearman(c.join(h, ["target_g", "method"]), ["target_g"], "rc", "rh", 2)
 
 
-def cluster_bootstrap(cells: DataFrame, families: DataFrame, draws: int = 5000) -> DataFrame:
-    """Percentile intervals over resampled families.
-
-    ``cells``: one row per cell (group keys ``target_g``, ``family``) with the
-    additive statistics of the cell.  Families are numbered; draw (b, slot) takes
-    the family md5(b, slot) mod k, the same for every statistic.  Cells are first
-    summed per family, so the draws join k rows, not cells; only the median of
-    the differences needs the cell values."""
-    fam = families.select("family", F.row_number().over(Window.orderBy("family")).alias("i"))
-    k = fam.agg(F.count(F.lit(1)).alias("k"))
+DRAWS_PER_ROW = 50             # draws that one row of the resampling table stands for
+PACKED_CELLS = 20_000          # cells of which one copy may travel with each such row
+
+
+def draw_picks(draws: int, k: int) -> Column:
+    """Family numbers (from 0) that the draws of a block take: element d * k + slot - 1 of the array belongs to draw
+    ``first`` + d.  They depend on (draw, slot) only."""
+    per_slot = lambda b, slot: F.conv(F.substring(F.md5(F.concat_ws("|", b.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long") % k
+    some = F.sequence(F.col("first"), F.least(F.col("first") + DRAWS_PER_ROW, F.lit(draws)) - 1)
+    return F.flatten(F.transform(some, lambda b: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda slot: per_slot(b, slot).cast("int"))))
+
+
+def weighted_medians(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Median of each row of ``weights`` over ascending ``values``: one cumulative count matrix, both middles by counting."""
+    upto = np.cumsum(weights, axis=1)
+    n = upto[:, -1] if upto.shape[1] else np.zeros(len(weights), np.int64)
+    low, high = ((upto <= at[:, None]).sum(axis=1) for at in ((n - 1) // 2, n // 2))
+    pad = np.append(values, np.nan)
+    return np.where(n > 0, (pad[np.minimum(low, len(values))] + pad[np.minimum(high, len(values))]) / 2, np.nan)
+
+
+def _resample(batches):
+    """Statistics of every draw of a block and target: (target_g, b, win_rate, lower_share, med_diff)."""
+    for batch in batches:
+        out = {"target_g": [], "b": [], "win_rate": [], "lower_share": [], "med_diff": []}
+        for r in range(len(batch)):
+            k, first = batch.column("k")[r].as_py(), batch.column("first")[r].as_py()
+            picks = batch.column("picks")[r].values.to_numpy()
+            draws = len(picks) // k
+            times = np.bincount(np.repeat(np.arange(draws), k) * k + picks, minlength=draws * k).reshape(draws, k)
+            cells = {n: batch.column(n)[r].values.to_numpy(zero_copy_only=False).astype(float) for n in ("i", "target_g", "win", "n", "lower", "diff")}
+            for target in np.unique(cells["target_g"]):
+                at = cells["target_g"] == target
+                family, win, n, lower, diff = (cells[c][at] for c in ("i", "win", "n", "lower", "diff"))
+                family = family.astype(int)
+                # additive statistics per family, then one product with the count matrix
+                add = lambda v: np.bincount(family, weights=np.nan_to_num(v), minlength=k)
+                has = np.bincount(family, minlength=k)
+                cell_count = times @ has
+                share = lambda v, of: np.where(times @ add(~np.isnan(v)) > 0, (times @ add(v)) / (times @ of), np.nan)
+                known = ~np.isnan(diff)
+                order = np.argsort(diff[known], kind="stable")
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    rates = share(win, add(n)), share(lower, has)
+                med = weighted_medians(diff[known][order], times[:, family[known][order]])
+                here = cell_count > 0
+                out["target_g"] += [float(target)] * int(here.sum())
+                out["b"] += (first + np.flatnonzero(here)).tolist()
+                for name, v in zip(("win_rate", "lower_share", "med_diff"), (*rates, med)):
+                    out[name] += [None if np.isnan(x) else float(x) for x in v[here]]
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("target_g", pa.float64()), ("b", pa.int64()), ("win_rate", pa.float64()), ("lower_share", pa.float64()), ("med_diff", pa.float64())]))
+
+
+def _drawn_by_matrix(cells: DataFrame, fam: DataFrame, draws: int, k: int) -> DataFrame:
+    """All draws from one copy of the cells per block of draws: rows are blocks, not draws x cells."""
+    numbered = cells.join(fam, "family").select((F.col("i") - 1).alias("i"), "target_g", *[F.col(c).cast("double").alias(c) for c in ("win", "n", "lower", "diff")])
+    names = ("i", "target_g", "win", "n", "lower", "diff")
+    packed = numbered.agg(F.collect_list(F.struct(*names)).alias("cells")).select(*[F.col(f"cells.{n}").alias(n) for n in names])
     spark = cells.sparkSession
-    base = spark.range(draws).select(F.col("id").cast("int").alias("b")).crossJoin(F.broadcast(k))
-    slots = base.select("b", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("slot"))
+    blocks = spark.range(0, draws, DRAWS_PER_ROW).select(F.col("id").alias("first")).select("first", F.lit(k).alias("k"), draw_picks(draws, k).alias("picks"))
+    return blocks.crossJoin(F.broadcast(packed)).mapInArrow(_resample, "target_g double, b bigint, win_rate double, lower_share double, med_diff double")
+
+
+def _drawn_by_rows(cells: DataFrame, fam: DataFrame, draws: int, k: int) -> DataFrame:
+    """The same for tables beyond ``PACKED_CELLS``: draws x families rows meet the cells."""
+    base = cells.sparkSession.range(draws).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("slot"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
-    taken = (slots.withColumn("i", (h % F.col("k") + 1).cast("int")).join(fam, "i")
-             .groupBy("b", "family").agg(F.count(F.lit(1)).alias("times")))
-    rows = taken.join(cells, "family")
-    stats = rows.groupBy("target_g", "b").agg(
-        (F.sum(F.col("times") * F.col("win")) / F.sum(F.col("times") * F.col("n"))).alias("win_rate"),
-        (F.sum(F.col("times") * F.col("lower")) / F.sum("times")).alias("lower_share"),
-        F.percentile("diff", F.lit(0.5), F.col("times")).alias("med_diff"))
-    names = ("win_rate", "lower_share", "med_diff")
-    ends = stats.groupBy("target_g").agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(f"_{n}") for n in names])
-    point = cells.groupBy("target_g").agg((F.sum("win") / F.sum("n")).alias("win_rate"), F.avg("lower").alias("lower_share"),
-                                          F.percentile("diff", F.lit(0.5)).alias("med_diff"), F.count(F.lit(1)).alias("n_cells"))
-    return point.join(ends, "target_g").select(
-        "target_g", "n_cells", *names, *[F.get(f"_{n}", F.lit(j)).alias(f"{n}_{e}") for n in names for j, e in enumerate(("lo", "hi"))])
+    taken = (base.withColumn("i", (h % k + 1).cast("int")).join(fam, "i").groupBy("b", "family").agg(F.count(F.lit(1)).alias("times")))
+    rows = settled(taken.join(cells, "family").select("target_g", "b", "times", "win", "n", "lower", "diff"), "draw-rows")
+    times = F.col("times")
+    return grouped(rows, ["target_g", "b"], [
+        (F.sum(times * F.col("win")) / F.sum(times * F.col("n"))).alias("win_rate"), (F.sum(times * F.col("lower")) / F.sum(times)).alias("lower_share")],
+        {"med_diff": ("diff", 0.5)}, weight="times")
 
 
+def cluster_bootstrap(cells: DataFrame, families: DataFrame, draws: int = 5000) -> DataFrame:
+    """Percentile intervals over resampled families.
+
+    ``cells``: one row per cell (group keys ``target_g``, ``family``) with the additive statistics of the
+    cell.  Families are numbered; draw (b, slot) takes the family md5(b, slot) mod k, the same for every
+    statistic.  Up to ``PACKED_CELLS`` cells, a block of draws is one row: how often each draw takes each family is a
+    matrix, rates are its products with the families' sums, and medians come from its running counts
+    along the sorted cells.  Larger tables meet draws x families rows in a join; results are the same."""
+    cells = settled(cells, "bootstrap-cells")
+    fam = settled(families.select("family", F.row_number().over(Window.orderBy("family")).alias("i")), "bootstrap-families")
+    k = fam.count()
+    names = ("win_rate", "lower_share", "med_diff")
+    if not k:
+        draw = _drawn_by_rows(cells, fam, 0, 1)
+    else:
+        draw = (_drawn_by_matrix if cells.count() <= PACKED_CELLS else _drawn_by_rows)(cells, fam, draws, k)
+    draw = settled(draw, "bootstrap-draws")
+    ends = grouped(draw, ["target_g"], [F.count(F.lit(1)).alias("_n")], {f"{n}_{e}": (n, p) for n in names for e, p in (("lo", 0.025), ("hi", 0.975))})
+    point = grouped(cells, ["target_g"], [(F.sum("win") / F.sum("n")).alias("win_rate"), F.avg("lower").alias("lower_share"), F.count(F.lit(1)).alias("n_cells")],
+                    {"med_diff": ("diff", 0.5)})
+    return point.join(ends, "target_g").select("target_g", "n_cells", *names, *[f"{n}_{e}" for n in names for e in ("lo", "hi")])

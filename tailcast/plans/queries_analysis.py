@@ -480,8 +480,7 @@ def _rule_panels(spark, sf, target):
     cells = ST.cells(spark, sf).filter((F.col("capped") == 0) & (F.col("target_g") == target) & (F.col("method") == RU.BASE)).select(
         "family", "depth", "noise").distinct()
     feats = ST.cell_features(spark, sf).join(cells, ["family", "depth", "noise"], "left_semi")
-    rules = [r for r in RU.CANDIDATE_RULES if r[3] in ST.STUDY_METHODS]
-    flags = RU.rule_flags(feats, RU.rule_table(spark, rules))
+    flags = RU.rule_flags(feats, RU.rule_table(spark, RU.CANDIDATE_RULES))
     return RU.rule_panels(flags, ST.gap_records(spark, sf).filter(F.col("target_g") == target))
 
 
@@ -708,7 +707,7 @@ def _(spark, sf):
 
 @query("k11_p_values")
 def _(spark, sf):
-    return K.spearman_p(K.diagnostic_correlations(_ranked_diag(spark, sf)))
+    return K.spearman_p(K.diagnostic_correlations(_ranked_diag(spark, sf))).withColumn("p_value", F.round("p_value", 6))
 
 
 # ---- N: quality ------------------------------------------------------------------
@@ -716,7 +715,8 @@ def _(spark, sf):
 def _(spark, sf):
     r = ST.gap_records(spark, sf).withColumn("e3", F.round("error", 3))
     keys = ["curve_id", "depth", "target_g", "method"]
-    return H.mismatch_sample(r.filter("noise = 0"), r.filter("noise > 0"), keys, ["e3", "valid"])
+    return H.keyed_diff(r.filter("noise = 0"), r.filter("noise > 0"), keys, ["e3", "valid"]).select(
+        "column", "n_both", "only_left", "only_right", "n_differ", "first_key")
 
 
 @query("n3_expected_difference")

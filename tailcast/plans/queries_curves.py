@@ -13,6 +13,7 @@ from tailcast.operators.forecast import forecast
 from tailcast.operators.methods import method_table, roster_by_family
 from tailcast.plans import study as ST
 from tailcast.plans.catalog import query
+from tailcast.session import settled
 from tailcast.settings import FEATURES
 from tailcast.sources import prep, sinks, tables
 
@@ -22,16 +23,21 @@ WIN = ["curve_id", "depth"]
 # ---- A: sources and sinks ----------------------------------------------------
 @query("a1_wide_curves")
 def _(spark, sf):
-    """Monthly quantity per return flag as a wide curve table, unpivoted."""
+    """Monthly quantity per return flag, written as a wide curve file and read back."""
     li = tables.table(spark, sf, "lineitem")
     wide = (li.groupBy(((F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate")).cast("int").alias("round"))
             .pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")))
-    return tables.unpivot_curves(wide, "round", ["A", "N", "R"])
+    path = sinks.scratch(spark, "wide", sf)
+    wide.write.mode("overwrite").option("header", True).csv(path)
+    return tables.read_wide_curves(spark, path)
 
 
 @query("a2_pruned_record_scan")
 def _(spark, sf):
-    return ST.gap_records(spark, sf).select("method", "valid", "catastrophic").groupBy("method").agg(
+    """Records written by one job and scanned by another through the checked schema, three columns of them."""
+    path = sinks.scratch(spark, "records", sf)
+    ST.gap_records(spark, sf).select(*tables.RECORD_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
+    return tables.read_records(spark, path, ["method", "valid", "catastrophic"]).groupBy("method").agg(
         F.count(F.lit(1)).alias("n"), F.sum("valid").alias("n_valid"), F.sum("catastrophic").alias("n_cat"))
 
 
@@ -292,19 +298,10 @@ def _(spark, sf):
     return _recorded(spark, sf, tuple(m for m in FAMILY_OF if FAMILY_OF[m] == "pade"))
 
 
-def _composites(spark, sf):
-    from tailcast.operators.diagnostics import shift_iqr
-    from tailcast.operators.ensembles import composite_estimates
-    from tailcast.settings import ENSEMBLE_MEMBERS, SHANKS_WYNN
-    members = tuple(dict.fromkeys(ENSEMBLE_MEMBERS + SHANKS_WYNN))
-    w = _plain_windows(spark, sf)
-    return composite_estimates(forecast(w, members), shift_iqr(w, members, unstable=float("inf")))
-
-
 for _n, _m in (("d19_median_ensemble", "median_ensemble"), ("d20_stability_weighted", "stability_weighted"),
                ("d21_best_shanks_wynn", "best_shanks_wynn")):
     def _composite(spark, sf, m=_m):
-        return _composites(spark, sf).filter(F.col("method") == m)
+        return _recorded(spark, sf, (m,))
     query(_n)(_composite)
 
 
@@ -314,8 +311,7 @@ for _n, _cols in (("e1_error", ["error"]), ("e2_catastrophic", ["catastrophic"])
                   ("e4_last_error", ["E_last"]), ("e5_reference_error", ["ref_error"]), ("e6_skill", ["skill"]),
                   ("e7_fixed_reference_skill", [f"{k}_vs_{t}" for t in ("assumed", "last", "wmean", "wmin") for k in ("skill", "win")])):
     def _scores(spark, sf, cols=_cols):
-        keep = ("richardson_1", "rational_fit", "log_linear", "levin_t2", "last_value", "window_mean")
-        return ST.gap_records(spark, sf).filter(F.col("method").isin(*keep)).select(*REC, *cols)
+        return ST.gap_records(spark, sf).select(*REC, *cols)
     query(_n, 6 if _n != "e3_improve_ratio" else 3)(_scores)
 
 
@@ -330,9 +326,9 @@ def _(spark, sf):
     return ST.step_records(spark, sf).groupBy("curve_id", "depth", "n_f").agg(S.best_reference().alias("ref_best_method"))
 
 
-@query("e10_improvement")
+@query("e10_improvement", 4)
 def _(spark, sf):
-    r = ST.step_records(spark, sf).filter(F.col("method").isin("richardson_1", "rational_fit", "window_mean"))
+    r = ST.step_records(spark, sf)
     return r.select("curve_id", "depth", "n_f", "method", S.improvement(F.col("error"), F.col("curr_err")).alias("improvement"))
 
 
@@ -346,6 +342,7 @@ def _(spark, sf):
     """Every registered window method on every recorded cell, scored."""
     from tailcast.operators.methods import REGISTRY
     recs = ST.records_of(spark, _plain_windows(spark, sf), tuple(m for m in REGISTRY if m != "constant_oracle"))
+    recs = settled(recs.select("method", "method_family", "depth", "valid", "valid_strict", "catastrophic", "win_vs_last", "error"), "roster")
     return grouped(recs, ["method", "method_family", "depth"], [
         F.count(F.lit(1)).alias("n"), F.sum("valid").alias("n_valid"), F.sum("valid_strict").alias("n_strict"),
         F.sum("catastrophic").alias("n_cat"), F.sum("win_vs_last").alias("n_win")], {"med_error": ("error", 0.5)})

@@ -19,7 +19,7 @@ from tailcast.operators.scoring import score
 from tailcast.plans import study as ST
 from tailcast.plans.catalog import query
 from tailcast.plans.queries_analysis import _lead
-from tailcast.session import stage
+from tailcast.session import settled, stage
 
 CELL = list(L.CELL)
 
@@ -138,25 +138,34 @@ def _(spark, sf):
 
 
 # ---- D22, E, F20, F35, N2: ladders ---------------------------------------------
-SMALL_LADDERS = {"shanks": range(1, 4), "wynn_eps": range(1, 4), "wynn_rho": range(1, 3), "levin_t": range(1, 4), "levin_u": range(1, 3),
-                 "brezinski": range(1, 3), "anderson": range(1, 4), "neville": range(1, 4)}
+REGISTERED_LADDERS = {ladder: tuple(k for name, k in LD.REGISTERED if name == ladder) for ladder in LD.LADDERS}
 
 
 def _ladder_windows(spark, sf):
     return ST.gap_windows(spark, ST.curves(spark, sf), ST.horizons(spark, sf), true_limit=F.lit(0.0))
 
 
+LADDER_RECORD = ["curve_id", "family", "is_holdout", "depth", "noise", "target_g", "method", "error", "valid", "catastrophic", "E_last", "capped"]
+
+
+def _ladder_records(spark, sf):
+    """Every order of every transformation family, scored: evaluated once, read by all ladder tables."""
+    return stage(spark, "ladder-records", sf, lambda: P.exclude_capped(score(LD.ladder_estimates(_ladder_windows(spark, sf)))).select(*LADDER_RECORD, "ladder", "order"))
+
+
+def _fit_ladder_records(spark, sf):
+    return stage(spark, "fit-ladder-records", sf, lambda: P.exclude_capped(score(LD.fit_ladder(_ladder_windows(spark, sf)))).select(*LADDER_RECORD, "ladder", "p", "q", "exponent"))
+
+
 @query("d22_order_ladders")
 def _(spark, sf):
     """Every order of every transformation family, scored and aggregated."""
-    recs = score(LD.ladder_estimates(_ladder_windows(spark, sf)))
-    return P.error_panel(P.exclude_capped(recs), ["ladder", "order", "target_g"])
+    return P.error_panel(_ladder_records(spark, sf), ["ladder", "order", "target_g"])
 
 
 @query("d22_fit_ladders")
 def _(spark, sf):
-    recs = score(LD.fit_ladder(_ladder_windows(spark, sf)))
-    return P.error_panel(P.exclude_capped(recs), ["ladder", "p", "q", "exponent", "target_g"])
+    return P.error_panel(_fit_ladder_records(spark, sf), ["ladder", "p", "q", "exponent", "target_g"])
 
 
 @query("n2_variant_agreement")
@@ -164,10 +173,9 @@ def _(spark, sf):
     """Ladder orders that are registered methods agree with the registry."""
     names = F.lit(None).cast("string")
     for (lad, k), m in LD.REGISTERED.items():
-        if m in ST.STUDY_METHODS:
-            names = F.when((F.col("ladder") == lad) & (F.col("order") == k), m).otherwise(names)
+        names = F.when((F.col("ladder") == lad) & (F.col("order") == k), m).otherwise(names)
     keys = ["curve_id", "depth", "noise", "target_g"]
-    v = LD.ladder_estimates(_ladder_windows(spark, sf), SMALL_LADDERS).withColumn("method", names).filter("method IS NOT NULL")
+    v = LD.ladder_estimates(_ladder_windows(spark, sf), REGISTERED_LADDERS).withColumn("method", names).filter("method IS NOT NULL")
     reg = ST.gap_records(spark, sf).withColumn("estimate_raw", F.col("prediction_raw")).join(
         F.broadcast(v.select("method").distinct()), "method", "left_semi")
     return Q.variant_agreement(v, reg, keys)
@@ -176,7 +184,9 @@ def _(spark, sf):
 # ---- W: sweeps, F18, F19, F25, H16 ----------------------------------------------
 MODES = ("zero", "half", "oracle", "double", "winmin")
 LENGTHS = (20, 40, 60, 80, 100)
-CONSUMERS = ("log_linear", "constant_assumed", "richardson_1", "rational_fit", "last_value", "window_mean", "window_min")
+# fixed values: methods whose result may depend on the assumed limit; sums of terms have a query of their own
+CONSUMERS = ("richardson_1", "single_exp_fit", "rational_fit", "log_fit", "log_linear", "stability_weighted", "median_ensemble", "constant_assumed")
+SWEPT = CONSUMERS + ("last_value", "window_mean", "window_min")
 
 
 def _mode_windows(spark, sf):
@@ -186,7 +196,7 @@ def _mode_windows(spark, sf):
 
 
 def _mode_records(spark, sf):
-    return stage(spark, "mode-records", sf, lambda: ST.records_of(spark, _mode_windows(spark, sf), CONSUMERS))
+    return stage(spark, "mode-records", sf, lambda: ST.records_of(spark, _mode_windows(spark, sf), SWEPT))
 
 
 def _mode_decisions(spark, sf):
@@ -204,7 +214,7 @@ def _(spark, sf):
 
 
 def _consumers(spark, sf):
-    return W.consumer_table(_mode_records(spark, sf).filter(F.col("method").isin("log_linear", "constant_assumed", "richardson_1", "rational_fit")))
+    return W.consumer_table(_mode_records(spark, sf).filter(F.col("method").isin(*CONSUMERS)))
 
 
 @query("w2_consumers_by_mode")
@@ -213,6 +223,14 @@ def _(spark, sf):
                                         "med_error", "med_skill", "win_rate_vs_last")
 
 
+@query("w2_multi_term_consumers")
+def _(spark, sf):
+    """The sums of terms under every assumed limit: the other three of the eleven."""
+    recs = settled(ST.records_of(spark, _mode_windows(spark, sf), ST.MULTI_TERM_METHODS), "term-records")
+    return W.consumer_table(recs).select("assumed_mode", "method", "target_g", "noise_level", "regime_set", "n", "valid_rate", "cat_rate",
+                                         "med_error", "med_skill", "win_rate_vs_last")
+
+
 @query("f19_consumer_aggregate")
 def _(spark, sf):
     return _consumers(spark, sf).filter("noise_level = 'all'").select(
@@ -234,7 +252,7 @@ def _length_windows(spark, sf):
 @query("w3_cascade_by_window_length")
 def _(spark, sf):
     w = _length_windows(spark, sf)
-    recs = stage(spark, "length-records", sf, lambda: ST.records_of(spark, w, CONSUMERS))
+    recs = stage(spark, "length-records", sf, lambda: ST.records_of(spark, w, ("richardson_1", "rational_fit", "last_value", "window_mean", "window_min")))
     routed = stage(spark, "length-decisions", sf, lambda: W.decisions(features(w), "window_len"))
     return W.cascade_sweep(recs, routed, "window_len")
 

@@ -15,7 +15,7 @@ from tailcast.operators.forecast import forecast, with_gap_targets, with_step_ta
 from tailcast.operators.methods import method_table
 from tailcast.operators.scoring import best_reference, improvement, score
 from tailcast.session import stage
-from tailcast.settings import FEATURES
+from tailcast.settings import FAMILY_OF, FEATURES, METHODS, SMALL_POOL
 from tailcast.sources import tables
 
 STEP_DEPTHS = (30, 60, 90, 120, 150)
@@ -28,12 +28,8 @@ RANK_DIGITS = 9
 
 SLICE_METHODS = ("linear", "log_linear", "constant_assumed", "constant_oracle",
                  "window_mean", "window_min", "last_value")
-STUDY_METHODS = (
-    "linear", "log_linear", "geom_avg_diff", "richardson_1", "richardson_a05", "richardson_a10",
-    "richardson_a20", "single_exp_fit", "rational_fit", "log_fit", "shanks_1", "shanks_2",
-    "wynn_eps_2", "wynn_rho_1", "levin_t1", "levin_t2", "levin_u1", "levin_v1", "brezinski_theta2",
-    "neville_2", "anderson_1", "anderson_2",
-    "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
+MULTI_TERM_METHODS = ("richardson_2", "richardson_3", "double_exp_fit")       # iterative fits: tables of their own
+STUDY_METHODS = tuple(m for m, _, _ in METHODS if m not in MULTI_TERM_METHODS)
 
 
 def curves(spark: SparkSession, sf_dir: str, kind: str = "se") -> DataFrame:
@@ -95,10 +91,9 @@ def step_records(spark, sf_dir, methods=STUDY_METHODS) -> DataFrame:
 
 
 # ---- features, diagnostics and tables shared by several queries -----------------
-DIAG_METHODS = ("richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1",
-                "constant_assumed", "constant_oracle", "window_mean", "window_min", "last_value")
-DIAG_POOL = ("last_value", "richardson_1", "richardson_a10", "single_exp_fit", "rational_fit", "log_linear", "levin_t2", "anderson_1")
-DIAG_DEPTHS = (60, 90)
+DIAG_METHODS = tuple(m for m in STUDY_METHODS if FAMILY_OF[m] != "ensemble")   # composites weigh shifted windows themselves
+DIAG_POOL = SMALL_POOL
+DIAG_DEPTHS = GAP_DEPTHS
 
 
 def gap_features(spark, sf_dir) -> DataFrame:

@@ -1,16 +1,16 @@
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tailcast.functions import fits
+from tailcast.functions import fits, varpro
 from tailcast.operators import curves as C
 from tailcast.operators import diagnostics as D
 from tailcast.operators import ladders as LD
-from tailcast.operators.ensembles import composite_estimates
 from tailcast.operators.forecast import forecast, with_step_targets
-from tailcast.operators.methods import REGISTRY, register_method
+from tailcast.operators.methods import REGISTRY, levels, lookup, register_composite, register_method
 from tailcast.settings import ENSEMBLE_MEMBERS, METHODS, SHANKS_WYNN
 
 CURVES = {
@@ -37,8 +37,8 @@ def test_each_analytic_curve_is_solved(spark):
 
 
 def test_registry_covers_every_window_method():
-    composites = {"median_ensemble", "stability_weighted", "best_shanks_wynn"}
-    assert set(REGISTRY) == {m for m, _, _ in METHODS} - composites
+    assert list(REGISTRY) == [m for m, _, _ in METHODS]
+    assert lookup("median_ensemble").members == ENSEMBLE_MEMBERS
 
 
 def test_one_term_fits_recover_parameters():
@@ -75,16 +75,59 @@ def test_pade_against_dense_least_squares(order):
     assert np.allclose(a @ got, a @ want, atol=1e-6)
 
 
-def test_multi_term_fits_are_close():
-    x = np.arange(31.0, 91.0)[None]
-    y = 0.05 + 0.8 * x ** -0.5 + 0.4 * x ** -1.5
-    got = fits.fit_many_terms("power2", x, y)[0]
-    model = got[2] + got[3] * x[0] ** -got[0] + got[4] * x[0] ** -got[1]
-    assert np.abs(model - y[0]).max() < 2e-3
-    y2 = 0.05 + 0.8 * np.exp(-0.02 * x) + 0.3 * np.exp(-0.1 * x)
-    got = fits.fit_many_terms("exponential2", x, y2)[0]
-    model = got[2] + got[3] * np.exp(-got[0] * x[0]) + got[4] * np.exp(-got[1] * x[0])
-    assert np.abs(model - y2[0]).max() < 5e-3
+def best_in_box(a, y, low, high):
+    """Exact box-constrained least squares by trying every set of active bounds."""
+    best, found = np.inf, None
+    for state in itertools.product((0, 1, 2), repeat=a.shape[1]):
+        free = [j for j, s in enumerate(state) if s == 0]
+        z = np.array([{0: 0.0, 1: low[j], 2: high[j]}[s] for j, s in enumerate(state)], float)
+        if free:
+            part = np.linalg.lstsq(a[:, free], y - a @ z, rcond=None)[0]
+            if any(v < low[j] - 1e-9 or v > high[j] + 1e-9 for v, j in zip(part, free)):
+                continue
+            z[free] = part
+        sse = ((y - a @ z) ** 2).sum()
+        if sse < best:
+            best, found = sse, z
+    return found, best
+
+
+def test_active_set_finds_the_optimum_of_every_box_problem():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        k = int(rng.integers(2, 5))
+        a, y = rng.standard_normal((int(rng.integers(k + 1, 30)), k)), None
+        y = rng.standard_normal(len(a)) * 3
+        low, high = -rng.random(k), rng.random(k)
+        z, _, sse = varpro.solve_boxed(a[None], y[None], low, high)
+        assert np.all(z[0] >= low) and np.all(z[0] <= high)
+        assert sse[0] == pytest.approx(best_in_box(a, y, low, high)[1], rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind,truth", [("power2", (0.5, 1.5, 0.05, 0.8, 0.4)), ("exponential2", (0.02, 0.1, 0.05, 0.8, 0.3)), ("power2", (0.3, 2.0, 0.0, 1.0, -2.0))])
+def test_multi_term_fits_recover_parameters(kind, truth):
+    x = np.arange(31.0, 91.0)
+    model = fits.many_term_model(kind)
+    k = model.terms
+    y = model.columns(x[None], np.log(np.array([truth[:k]])))[0] @ np.array(truth[k:])
+    got = fits.fit_many_terms(kind, x[None], y[None])[0]
+    assert got == pytest.approx(truth, rel=1e-4, abs=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["power2", "power3", "exponential2"])
+def test_multi_term_fits_are_as_good_as_a_dense_search(kind):
+    """Noisy curves: no point of a dense grid of the nonlinear parameters, each solved exactly in the box, is better."""
+    rng = np.random.default_rng(4)
+    x = np.arange(31.0, 91.0)
+    ys = np.stack([0.1 + 2 / x + 1e-3 * rng.standard_normal(60), 0.3 * np.exp(-x / 40) + 1e-3 * rng.standard_normal(60), 0.5 - 0.001 * x, np.full(60, 0.2)])
+    model = fits.many_term_model(kind)
+    got = fits.fit_many_terms(kind, np.tile(x, (4, 1)), ys)
+    sse = model.at(np.tile(x, (4, 1)), ys, np.log(got[:, :model.terms]))[3]
+    side = np.linspace(model.lo, model.hi, {2: 25, 3: 10}[model.terms])
+    for u in itertools.combinations(side, model.terms):
+        dense = model.at(np.tile(x, (4, 1)), ys, np.tile(u, (4, 1)))[3]
+        assert np.all(sse <= dense * (1 + 1e-6) + 1e-12)
+    assert np.all(got[:, model.terms] >= model.low[0]) and np.all(np.diff(got[:, :model.terms], axis=1) >= 0)
 
 
 def naive_epsilon(s, k):
@@ -150,21 +193,47 @@ def test_shift_iqr_counts_the_unshifted_window_three_times(spark):
     assert vals == pytest.approx(np.subtract(*np.percentile(est, [75, 25])), rel=1e-6) and got is not None
 
 
-def test_composites(spark):
+def test_composites_equal_their_definition(spark):
+    """Members on the whole window and on windows that start one and two steps later, by hand."""
+    w = windows(spark, noise=(0.0, 0.01), mode="winmin")
     members = tuple(dict.fromkeys(ENSEMBLE_MEMBERS + SHANKS_WYNN))
-    w = windows(spark, {"harmonic": CURVES["harmonic"]})
-    est, iqr = forecast(w, members), D.shift_iqr(w, members, unstable=float("inf"))
-    got = {(r.method, r.n_f): r.estimate_raw for r in composite_estimates(est, iqr).collect()}
-    e = {(r.method, r.n_f): r.estimate_raw for r in est.collect()}
-    q = {(r.method, r.n_f): r.shift_iqr for r in iqr.collect()}
-    ok = lambda v: v is not None and -0.5 <= v <= 500                                     # noqa: E731
-    for n in (200, 400):
-        pool = [(e[m, n], q[m, n]) for m in ENSEMBLE_MEMBERS if ok(e[m, n])]
-        assert got["median_ensemble", n] == pytest.approx(np.median([v for v, _ in pool]))
-        ws = [0.0 if math.isinf(s) else 1 / (s + 1e-6) for _, s in pool]
-        assert got["stability_weighted", n] == pytest.approx(sum(a * b[0] for a, b in zip(ws, pool)) / sum(ws))
-        best = min(((q[m, n], i) for i, m in enumerate(SHANKS_WYNN) if ok(e[m, n])))
-        assert got["best_shanks_wynn", n] == pytest.approx(e[SHANKS_WYNN[best[1]], n])
+    est = {s: {(r.curve_id, r.noise, r.method, r.n_f): r.estimate_raw for r in forecast(C.shifted(w, (s,)).drop("shift"), members).collect()} for s in (0, 1, 2)}
+    got = forecast(w, ("stability_weighted", "last_value", "median_ensemble", "best_shanks_wynn")).collect()
+    ok = lambda v: v is not None and math.isfinite(v) and -0.5 <= v <= 500
+
+    def facts(r, names):
+        out = []
+        for m in names:
+            v = [est[s][r.curve_id, r.noise, m, r.n_f] for s in (0, 0, 0, 1, 2)]
+            valid = [x for x in v if ok(x)]
+            if ok(v[0]):
+                q = np.percentile(valid, [75, 25])
+                out.append((q[0] - q[1] if len(valid) >= 2 else math.inf, v[0]))
+        return out
+
+    assert len(got) == 4 * 2 * 2 * 4
+    for r in got:
+        pool, steady = facts(r, ENSEMBLE_MEMBERS), facts(r, SHANKS_WYNN)
+        if r.method == "median_ensemble":
+            assert r.estimate_raw == pytest.approx(np.median([v for _, v in pool]), rel=1e-9) if len(pool) >= 3 else r.estimate_raw is None
+        if r.method == "stability_weighted":
+            wt = [1 / (q + 1e-6) for q, _ in pool]
+            assert r.estimate_raw == pytest.approx(np.dot(wt, [v for _, v in pool]) / sum(wt), rel=1e-6) if len(pool) >= 2 else r.estimate_raw is None
+        if r.method == "best_shanks_wynn":
+            assert r.estimate_raw == pytest.approx(min(steady, key=lambda p: p[0])[1] if steady else r.last_v, rel=1e-6)
+
+
+def test_composites_of_composites(spark):
+    register_composite("mean_of_two", "user", "trajectory", ("median_ensemble", "last_value"), lambda found: (found[0]["v"] + found[1]["v"]) / 2)
+    register_composite("again", "user", "trajectory", ("mean_of_two", "window_min"), lambda found: found[0]["v"] * 10 + F.coalesce(found[1]["spread"], F.lit(0.0)))
+    assert [[m.name for m in layer] for layer in levels(["again"])][-2:] == [["mean_of_two"], ["again"]]
+    got = {(r.curve_id, r.n_f, r.method): r.estimate_raw for r in forecast(windows(spark), ("again", "median_ensemble", "last_value")).collect()}
+    for c, n in {k[:2] for k in got}:
+        assert got[c, n, "again"] == pytest.approx(5 * (got[c, n, "median_ensemble"] + got[c, n, "last_value"]))
+    with pytest.raises(KeyError):
+        register_composite("lost", "user", "limit", ("no such method",), lambda found: found[0]["v"])
+    with pytest.raises(ValueError):
+        register_composite("loop", "user", "limit", ("loop",), lambda found: found[0]["v"])
 
 
 def test_user_method(spark):

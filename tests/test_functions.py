@@ -5,13 +5,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tailcast.functions import quantiles
+from tailcast.functions import quantiles, special
 from tailcast.functions.quantiles import grouped, order_statistics, spread_quantiles
 from tailcast.operators import classify as M
+from tailcast.operators import curves as CV
 from tailcast.operators import features as FE
+from tailcast.operators import pairing as H
 from tailcast.operators import ranking as R
 from tailcast.operators import stats as K
 from tailcast.sources import sinks, tables
+from tailcast.streaming import live
 
 
 def test_spread_quantiles_equal_numpy(spark, monkeypatch):
@@ -147,19 +150,162 @@ def test_wide_curves_and_sinks(spark, tmp_path):
         sinks.write_excluded(t.withColumn("is_trivial", F.lit(1)), str(tmp_path / "y"))
 
 
-def test_stream_of_points(spark, tmp_path):
+def stream_rows(parts):
     import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    return [[(c, n, 1.0 / n, t0 + dt.timedelta(seconds=n)) for c in curves for n in steps] for curves, steps in parts]
+
+
+def run_stream(spark, src, root):
+    points = spark.readStream.schema(live.POINTS).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(src)
+    live.start(points, root, (10, 50), 20).awaitTermination(120)
+
 
-    from tailcast.streaming import live
+def test_stream_ends_where_the_table_does_and_survives_a_restart(spark, tmp_path):
     src, root = str(tmp_path / "in"), str(tmp_path / "out")
-    t0 = dt.datetime(2024, 1, 1)
-    for part, steps in enumerate((range(1, 41), range(35, 81))):
-        rows = [(c, n, 1.0 / n, t0 + dt.timedelta(seconds=n)) for c in ("a", "b") for n in steps]
-        spark.createDataFrame(rows, live.POINTS).coalesce(1).write.mode("append").parquet(src + f"/p{part}")
-    q = live.start(spark.readStream.schema(live.POINTS).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(src), root, 20)
-    q.awaitTermination(60)
-    versions = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "tails").iterdir())
-    table = live.latest_tails(spark, root, versions[-1])
-    assert {r.curve_id: [p.step for p in r.pts] for r in table.collect()} == {c: list(range(61, 81)) for c in "ab"}
-    f = {(r.curve_id, r.method): r.estimate for r in live.live_forecasts(table, (100, 50)).collect()}
-    assert f["a", "last_value"] == pytest.approx(1 / 80) and len(f) == 10
+    # late and repeated points, a curve that stays behind, and a second run that goes on from the checkpoint
+    parts = stream_rows([("ab", range(1, 41)), ("a", range(35, 81)), ("b", (40, 41, 39, 38)), ("c", range(1, 6))])
+    for i, rows in enumerate(parts[:2]):
+        spark.createDataFrame(rows, live.POINTS).coalesce(1).write.parquet(f"{src}/p{i}")
+    run_stream(spark, src, root)
+    first = spark.read.parquet(f"{root}/forecasts").count()
+    for i, rows in enumerate(parts[2:], 2):
+        spark.createDataFrame(rows, live.POINTS).coalesce(1).write.parquet(f"{src}/p{i}")
+    run_stream(spark, src, root)
+    every = spark.read.parquet(f"{root}/forecasts")
+    assert {r.curve_id for r in every.filter("seen = 1").collect()} == {"a", "b", "c"}
+    assert every.filter("curve_id = 'a'").select("seen").distinct().count() == 2 and every.count() > first      # untouched curves give no rows
+    whole = spark.createDataFrame([r for rows in parts for r in rows], live.POINTS)
+    table = live.tails(whole, 20)
+    assert {r.curve_id: list(r.steps) for r in table.collect()} == {"a": list(range(61, 81)), "b": list(range(22, 42)), "c": [1, 2, 3, 4, 5]}
+    want = {(r.curve_id, r.n_f, r.method): r.estimate for r in live.live_forecasts(table, (10, 50)).collect()}
+    got = {(r.curve_id, r.depth + r.ahead, r.method): r.estimate for r in live.latest(spark, root).collect()}
+    assert set(got) == set(want) and all(got[k] == (None if v is None else pytest.approx(v)) for k, v in want.items())
+
+
+def test_tail_merge_keeps_the_last_steps():
+    steps, vals = live.merge([1, 2, 3], [1.0, 0.5, 0.3], [3, 5, 2], [0.2, 0.1, 0.9], 3)
+    assert (steps, vals) == ([2, 3, 5], [0.9, 0.3, 0.1])
+
+
+# ---- distribution functions --------------------------------------------------------
+def simpson(f, top, n=20_000):
+    x = np.linspace(0, top, n + 1)
+    w = np.where(np.arange(n + 1) % 2 == 1, 4, 2)
+    w[0] = w[-1] = 1
+    return float(top / n / 3 * (w * f(x)).sum())
+
+
+def test_normal_and_t_tails(spark):
+    z = [0.0, 1e-6, 0.3, 1.0, 1.96, 3.0, 3.6, 5.0, 8.0, 20.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").select(special.normal_two_sided(F.col("z")).alias("p")).collect()]
+    assert got == pytest.approx([math.erfc(v / math.sqrt(2)) for v in z], rel=1e-11, abs=1e-300)
+    cases = [(t, df) for t in (0.0, 0.1, 0.7, 1.5, 2.5, 6.0) for df in (1, 2, 3, 8, 30, 200, 5000, 100_000)]
+    rows = spark.createDataFrame(cases, "t double, df bigint").select("t", "df", special.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
+    for r in rows:
+        c = math.exp(math.lgamma((r.df + 1) / 2) - math.lgamma(r.df / 2)) / math.sqrt(r.df * math.pi)
+        want = 1 - 2 * simpson(lambda u: c * (1 + u * u / r.df) ** (-(r.df + 1) / 2), r.t) if r.t else 1.0
+        assert r.p == pytest.approx(want, abs=1e-9)
+    assert rows[8].p == pytest.approx(1 - 2 / math.pi * math.atan(0.1), rel=1e-12)      # one degree of freedom
+
+
+def test_rank_sum_p_value(spark):
+    rnd = random.Random(2)
+    rows = [(k, round(rnd.gauss(0.4 * f, 1), d), f) for k, d in (("fine", 6), ("ties", 0)) for f in (0, 1) for _ in range(60)] + [("one", 1.0, 1), ("flat", 2.0, 0), ("flat", 2.0, 1)]
+    got = {r.k: r for r in K.auc_fail_vs_success(spark.createDataFrame(rows, "k string, v double, f int"), ["k"], "v", "f").collect()}
+    for k in ("fine", "ties"):
+        a, b = ([v for kk, v, f in rows if kk == k and f == side] for side in (1, 0))
+        u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+        n, ties = len(a) + len(b), sum((a + b).count(v) ** 3 - (a + b).count(v) for v in set(a + b))
+        sd = math.sqrt(len(a) * len(b) / 12 * (n + 1 - ties / (n * (n - 1))))
+        assert got[k].auc == pytest.approx(u / (len(a) * len(b)))
+        assert got[k].p_value == pytest.approx(math.erfc(max(abs(u - len(a) * len(b) / 2) - 0.5, 0) / sd / math.sqrt(2)), rel=1e-10)
+    assert got["one"].p_value is None and got["flat"].p_value is None
+
+
+def test_bootstrap_by_matrix_rows_and_hand(spark, monkeypatch):
+    import hashlib
+    rnd = random.Random(6)
+    cells = [(g, f, rnd.random(), 1, rnd.randint(0, 1), None if rnd.random() < 0.1 else round(rnd.gauss(0, 1), 3)) for g in (0.5, 0.1) for f in "abcde" for _ in range(rnd.randint(1, 6))]
+    df = spark.createDataFrame(cells, "target_g double, family string, win double, n int, lower int, diff double")
+    draws = 120
+    got = {}
+    for most in (20_000, 0):
+        monkeypatch.setattr(K, "PACKED_CELLS", most)
+        got[most] = sorted(map(tuple, K.cluster_bootstrap(df, df.select("family").distinct(), draws).collect()))
+    assert [pytest.approx(r) for r in got[0]] == got[20_000]
+    for r in got[20_000]:
+        mine = [c for c in cells if c[0] == r[0]]
+        stats = []
+        for b in range(draws):
+            taken = [sorted("abcde")[int(hashlib.md5(f"{b}|{s}".encode()).hexdigest()[:8], 16) % 5] for s in range(1, 6)]
+            rows = [c for f in taken for c in mine if c[1] == f]
+            stats.append((sum(c[2] for c in rows) / len(rows), sum(c[4] for c in rows) / len(rows), np.median([c[5] for c in rows if c[5] is not None])))
+        want = [x for i in range(3) for x in np.nanpercentile([s[i] for s in stats], [2.5, 97.5])]
+        assert r[5:] == pytest.approx(want)
+
+
+# ---- blocks of long curves, metric index, keyed diff -----------------------------------
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_neighbours_across_blocks(spark, block):
+    rnd = random.Random(1)
+    rows = [(c, s, rnd.random()) for c in "ab" for s in sorted(rnd.sample(range(1, 60), 25))] + [("one", 5, 1.0)]
+    got = CV.with_neighbours(spark.createDataFrame(rows, "curve_id string, step int, value double"), 2, 1, block).collect()
+    for r in got:
+        mine = [(s, v) for c, s, v in rows if c == r.curve_id]
+        i = mine.index((r.step, r.value))
+        assert [tuple(x) for x in r.before] == mine[max(0, i - 2):i][::-1] and [tuple(x) for x in r.after] == mine[i + 1:i + 2]
+
+
+def test_a_long_curve_is_never_one_window(spark):
+    """Ten million steps in a hundred blocks: right at the borders, and no window is partitioned by the curve alone."""
+    n = 10_000_000
+    c = spark.range(1, n + 1).select(F.lit("long").alias("curve_id"), F.col("id").cast("int").alias("step"), (F.col("id") % 1000).cast("double").alias("value"))
+    d = CV.with_neighbours(c, 1, 0)
+    checked = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.get("before", F.lit(0))["step"] == F.col("step") - 1, 1)).alias("joined"),
+                    F.sum(F.when(F.size("before") == 0, 1)).alias("first")).first()
+    assert (checked.n, checked.joined, checked["first"]) == (n, n - 1, 1)
+
+
+def test_interpolation_across_blocks(spark):
+    rows = [("a", s, float(s * s)) for s in (1, 2, 5, 9, 30, 31)] + [("b", 4, 2.0)]
+    df = spark.createDataFrame(rows, "curve_id string, step int, value double")
+    grid = (0.5, 1.0, 3.5, 9.0, 20.0, 31.0, 31.5, 4.0)
+    got = {(r.curve_id, r.x): r.value for r in CV.interpolate(df, grid, 3).collect()}
+    xs, ys = [r[1] for r in rows if r[0] == "a"], [r[2] for r in rows if r[0] == "a"]
+    for x in grid:
+        assert got["a", x] == pytest.approx(0.0 if x > 31 else float(np.interp(x, xs, ys)))
+    assert got["b", 4.0] == 2.0 and got["b", 3.5] == 2.0 and got["b", 9.0] == 0.0 and len(got) == 2 * len(grid)
+
+
+@pytest.mark.parametrize("pivots,most", [(4, 100_000), (16, 0)])
+def test_metric_index_equals_all_distances(spark, monkeypatch, pivots, most):
+    monkeypatch.setattr(FE, "PIVOTS", pivots)
+    monkeypatch.setattr(FE, "INDEX_ROWS", most)
+    rng = np.random.default_rng(3)
+    cents = [(f"f{i:03d}", *map(float, rng.normal(size=6).round(1))) for i in range(120)]
+    cells = [(i, *[None if rng.random() < 0.1 else float(v) for v in rng.normal(size=6).round(1)]) for i in range(150)] + [(999, *[None] * 6)]
+    cols = ", ".join(f"{f} double" for f in FE.FEATURES)
+    got = {r.cell: r for r in FE.nearest_family(spark.createDataFrame(cells, "cell int, " + cols), spark.createDataFrame(cents, "family string, " + cols)).collect()}
+    for cell, *x in cells[:-1]:
+        d = min((math.sqrt(sum((a - b) ** 2 for a, b in zip(x, c[1:]) if a is not None)), c[0]) for c in cents)
+        assert got[cell].nearest == d[1] and got[cell].distance == pytest.approx(d[0])
+    assert got[999].nearest == "unknown" and len(got) == len(cells)
+
+
+def test_keyed_diff_descends_only_where_sides_differ(spark, monkeypatch):
+    base = [(i if i % 50 else None, f"k{i}", float(i), i % 3) for i in range(1, 3000)]
+    other = [(a, k, v + (1 if k in ("k7", "k50") else 0), None if k == "k8" else c) for a, k, v, c in base if k not in ("k9", "k10")] + [(1, "new", 1.0, 1)]
+    schema = "a int, k string, v double, c int"
+    left, right = spark.createDataFrame(base, schema), spark.createDataFrame(other, schema)
+    got = H.compare_tables(left, right, ["a", "k"], ["v", "c"]).first().asDict()
+    assert got == {"n_both": 2997, "only_left": 2, "only_right": 1, "diff_v": 2, "diff_c": 1}
+    *_, open_, equal, by = H.differing_ranges(left, right, ["a", "k"], ["v", "c"])
+    assert open_.count() <= 6 and equal > 2900 and len(by) == H.LEVELS
+    rows = {r.column: r for r in H.keyed_diff(left, right, ["a", "k"], ["v", "c"]).collect()}
+    assert (rows["v"].n_differ, rows["v"].first_key, rows["v"].left_value, rows["v"].right_value) == (2, "-|k50", "50.0", "51.0")
+    assert (rows["c"].n_differ, rows["c"].first_key, rows["c"].right_value) == (1, "8|k8", None)
+    assert [r.k for r in H.mismatch_sample(left, right, ["a", "k"], ["v", "c"]).collect()] == ["k50", "k7", "k8"]
+    assert H.compare_tables(left, left, ["a", "k"], ["v", "c"]).first().asDict() == {"n_both": 2999, "only_left": 0, "only_right": 0, "diff_v": 0, "diff_c": 0}
+    monkeypatch.setattr(H, "KNOWN_RANGES", 0)
+    assert H.compare_tables(left, right, ["a", "k"], ["v", "c"]).first().asDict() == got

@@ -92,3 +92,27 @@ def test_excluded_set(spark):
                                "method string, is_trivial int, valid_rate double, cat_rate double, med_error double, capped int, is_holdout int, is_oracle int")
     got = {r.method: r.dangerous for r in EN.derive_excluded(df).collect()}
     assert got == {"low": 1, "edge": 0, "mix_out": 1, "mix_in": 0, "trivial": 0, "capped": 0, "hold": 0}
+
+
+@pytest.mark.parametrize("within", [[], ["g"]])
+def test_medians_without_a_fold_equal_direct_ones(spark, within):
+    import random
+
+    import numpy as np
+    rnd = random.Random(7)
+    rows = [(rnd.choice("xy"), rnd.choice(["a", "b", "c", "d"]), rnd.choice(["m1", "m2", "m3"]), rnd.choice([float("inf"), round(rnd.random(), 1), rnd.random()])) for _ in range(400)]
+    rows += [("x", "only", "m4", 1.0), ("y", "a", "m5", 2.0)]
+    df = spark.createDataFrame(rows, "g string, fold string, method string, s double")
+    got = {tuple(r[k] for k in (*within, "method", "fold")): r.score for r in L.medians_without(df, [*within, "method"], "fold", "s").collect()}
+    at = {"g": 0, "fold": 1, "method": 2}
+    groups = {tuple(r[at[k]] for k in within) for r in rows}
+    want = {}
+    for g in groups:
+        mine = [r for r in rows if tuple(r[at[k]] for k in within) == g]
+        for method in {r[2] for r in mine}:
+            for fold in {r[1] for r in mine}:
+                rest = sorted(r[3] for r in mine if r[2] == method and r[1] != fold)
+                if rest:
+                    a, b = rest[(len(rest) - 1) // 2], rest[len(rest) // 2]
+                    want[(*g, method, fold)] = a if a == b else a + (b - a) / 2
+    assert got == want
