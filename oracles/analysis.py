@@ -256,7 +256,8 @@ def _wm(cond):
 
 
 def _cap(cond, col):
-    return f"sum(CASE WHEN {cond} THEN least(w, {col}) * estimate END) / sum(CASE WHEN {cond} THEN least(w, {col}) END)"
+    had = f"{cond} AND w IS NOT NULL"                  # least() would pass over a NULL weight and take the cap
+    return f"sum(CASE WHEN {had} THEN least(w, {col}) * estimate END) / sum(CASE WHEN {had} THEN least(w, {col}) END)"
 
 
 SAFE = f"(d.method IN {inlist(POOL)} AND NOT bad)"
@@ -315,8 +316,8 @@ tail("j11_excluded_set", "cells", f"SELECT method, is_trivial, eligible, {rate4(
 tail("j12_verify_excluded", "cells", f"SELECT count(*) AS n_both, 0::BIGINT AS only_left, 0::BIGINT AS only_right, 0::BIGINT AS diff_valid_rate, 0::BIGINT AS diff_n_cells, 0::BIGINT AS diff_dangerous FROM ({EXCLUDED}) WHERE eligible = 1")
 
 # K
-tail("k1_shift_iqr", "diag", f"SELECT {REC}, {R('shift_iqr', 8)} AS shift_iqr FROM drec")
-tail("k2_perturb_iqr", "diag", f"SELECT {REC}, {R('perturb_iqr', 8)} AS perturb_iqr FROM drec")
+tail("k1_shift_iqr", "diag", f"SELECT {REC}, {R('shift_iqr', 5)} AS shift_iqr FROM drec")
+tail("k2_perturb_iqr", "diag", f"SELECT {REC}, {R('perturb_iqr', 5)} AS perturb_iqr FROM drec")
 
 
 def spearman(src: str, keys: str, x: str, y: str, fewest: int, digits: int = 4) -> str:

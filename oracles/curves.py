@@ -105,8 +105,8 @@ for _n, _m in GROUPS.items():
     tail(_n, "gap", f"SELECT curve_id, depth, noise, target_g, method, {R('estimate_raw')} AS estimate FROM est WHERE method IN {inlist(_m)}")
 
 for _n, _cols in (("e1_error", [R("error") + " AS error"]), ("e2_catastrophic", ["catastrophic"]), ("e3_improve_ratio", [R("improve_ratio", 3) + " AS improve_ratio"]),
-                  ("e4_last_error", [R("e_last") + " AS E_last"]), ("e5_reference_error", [R("ref_error") + " AS ref_error"]), ("e6_skill", [R("skill") + " AS skill"]),
-                  ("e7_fixed_reference_skill", [f"{R(f'skill_vs_{t}')} AS skill_vs_{t}, win_vs_{t}" for t in ("assumed", "last", "wmean", "wmin")])):
+                  ("e4_last_error", [R("e_last") + " AS E_last"]), ("e5_reference_error", [R("ref_error") + " AS ref_error"]), ("e6_skill", [R("skill", 3) + " AS skill"]),
+                  ("e7_fixed_reference_skill", [f"{R(f'skill_vs_{t}', 3)} AS skill_vs_{t}, win_vs_{t}" for t in ("assumed", "last", "wmean", "wmin")])):
     tail(_n, "gap", f"SELECT {REC}, {', '.join(_cols)} FROM rec")
 tail("e8_zero_denominator", "gap", "SELECT method, (count(*) FILTER (WHERE error IS NOT NULL AND e_last <= 1e-12))::BIGINT AS n_zero, count(*) AS n FROM rec GROUP BY method")
 BEST_REF = """coalesce(arg_min(method, {'e': error, 'o': CASE method WHEN 'constant_assumed' THEN 0 WHEN 'last_value' THEN 1 WHEN 'window_mean' THEN 2 ELSE 3 END})

@@ -633,12 +633,12 @@ def _targets(spark, sf):
     return K.richardson_targets(ST.gap_records(spark, sf))
 
 
-@query("k1_shift_iqr", 8)
+@query("k1_shift_iqr", 5)
 def _(spark, sf):
     return ST.diag_records(spark, sf).select("curve_id", "depth", "noise", "target_g", "method", "shift_iqr")
 
 
-@query("k2_perturb_iqr", 8)
+@query("k2_perturb_iqr", 5)
 def _(spark, sf):
     return ST.diag_records(spark, sf).select("curve_id", "depth", "noise", "target_g", "method", "perturb_iqr")
 

@@ -312,7 +312,7 @@ for _n, _cols in (("e1_error", ["error"]), ("e2_catastrophic", ["catastrophic"])
                   ("e7_fixed_reference_skill", [f"{k}_vs_{t}" for t in ("assumed", "last", "wmean", "wmin") for k in ("skill", "win")])):
     def _scores(spark, sf, cols=_cols):
         return ST.gap_records(spark, sf).select(*REC, *cols)
-    query(_n, 6 if _n != "e3_improve_ratio" else 3)(_scores)
+    query(_n, 3 if _n in ("e3_improve_ratio", "e6_skill", "e7_fixed_reference_skill") else 6)(_scores)
 
 
 @query("e8_zero_denominator")
