@@ -155,3 +155,72 @@ def neville(ys: Column, xs: Column, degree: int, target: Column) -> Column:
 
     return F.when(F.size(ys) >= need, F.aggregate(
         _orders(degree), tail(ys, need), level, lambda p: F.get(p, F.lit(0))))
+
+
+# ---- all orders of a family from one table ---------------------------------------------
+# The estimate of order k is the last entry of a column of the triangular table, and it depends on the last few points
+# only: the table of the highest order holds every lower one.  Each ladder is ARRAY<DOUBLE>, order 1 first.
+_EMPTY = "array<double>"
+
+
+def _with_last(out: Column, column: Column, take: Column | None = None) -> Column:
+    last = back(column, 1)
+    grown = F.concat(out, F.array(last))
+    return grown if take is None else F.when(take, grown).otherwise(out)
+
+
+def shanks_ladder(ys: Column, most: int, tol: float = DENOM_TOL) -> Column:
+    def one_pass(acc, _):
+        s = acc["s"]
+        nxt = F.filter(F.transform(positions(s, 2), lambda i: divide(
+            F.get(s, i + 2) * F.get(s, i) - F.get(s, i + 1) * F.get(s, i + 1),
+            F.get(s, i + 2) - F.lit(2.0) * F.get(s, i + 1) + F.get(s, i), tol)), finite)
+        return let(nxt, lambda n: F.struct(n.alias("s"), _with_last(acc["out"], n).alias("out")))
+    start = F.struct(ys.alias("s"), F.array().cast(_EMPTY).alias("out"))
+    return F.aggregate(_orders(most), start, one_pass, lambda acc: acc["out"])
+
+
+def _two_columns(ys: Column, most: int, entry) -> Column:
+    """Ladder of the even columns of a table whose column k comes from the two before; ``entry(prev, cur, j, k)``."""
+    start = tail(ys, 2 * most + 1)
+
+    def level(acc, k):
+        prev, cur = acc["prev"], acc["cur"]
+        nxt = F.transform(positions(cur, 1), lambda j: entry(prev, cur, j, k))
+        return let(nxt, lambda n: F.struct(cur.alias("prev"), n.alias("cur"), _with_last(acc["out"], n, k % 2 == 0).alias("out")))
+
+    zero = F.transform(start, lambda v: v * 0.0)
+    first = F.struct(zero.alias("prev"), start.alias("cur"), F.array().cast(_EMPTY).alias("out"))
+    return F.aggregate(_orders(2 * most), first, level, lambda acc: acc["out"])
+
+
+def wynn_epsilon_ladder(ys: Column, most: int, tol: float = DENOM_TOL) -> Column:
+    return _two_columns(ys, most, lambda prev, cur, j, k: F.get(prev, j + 1) + divide(F.lit(1.0), F.get(cur, j + 1) - F.get(cur, j), tol))
+
+
+def wynn_rho_ladder(ys: Column, xs: Column, most: int, tol: float = DENOM_TOL) -> Column:
+    x = tail(xs, 2 * most + 1)
+    return _two_columns(ys, most, lambda prev, cur, j, k: F.get(prev, j + 1) + divide(
+        F.get(x, j + k) - F.get(x, j), F.get(cur, j + 1) - F.get(cur, j), tol))
+
+
+def _one_column(start: Column, most: int, step) -> Column:
+    """Ladder of the columns of a table whose column k comes from the one before; ``step(column, k)``."""
+    def level(acc, k):
+        return let(step(acc["c"], k), lambda n: F.struct(n.alias("c"), _with_last(acc["out"], n).alias("out")))
+    first = F.struct(start.alias("c"), F.array().cast(_EMPTY).alias("out"))
+    return F.aggregate(_orders(most), first, level, lambda acc: acc["out"])
+
+
+def brezinski_ladder(ys: Column, most: int, tol: float = DENOM_TOL) -> Column:
+    return _one_column(tail(ys, 2 * most + 1), most, lambda c, _: F.transform(positions(c, 2), lambda j: F.get(c, j + 1) - divide(
+        (F.get(c, j + 1) - F.get(c, j)) * (F.get(c, j + 1) - F.get(c, j)),
+        F.get(c, j + 2) - F.lit(2.0) * F.get(c, j + 1) + F.get(c, j), tol)))
+
+
+def neville_ladder(ys: Column, xs: Column, most: int, target: Column) -> Column:
+    xi = F.transform(tail(xs, most + 1), lambda v: F.lit(1.0) / F.greatest(v, F.lit(1.0)))
+    xf = F.lit(1.0) / F.greatest(target.cast("double"), F.lit(1.0))
+    return _one_column(tail(ys, most + 1), most, lambda p, k: F.transform(positions(p, 1), lambda i: divide(
+        (xf - F.get(xi, i)) * F.get(p, i + 1) - (xf - F.get(xi, i + k)) * F.get(p, i),
+        F.get(xi, i + k) - F.get(xi, i), 1e-15)))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailcast.operators.curves import summarise
-from tailcast.operators.methods import levels, lookup, shift_spread, shifted_members, valid_or_null
+from tailcast.operators.methods import expressions, levels, lookup, shift_spread, shifted_members, valid_or_null
 from tailcast.settings import WIN_SHIFTS
 
 REFERENCE_COLUMNS = ("L_true", "L_hat", "last_v", "mean_v", "min_v", "max_v", "assumed_mode")
@@ -38,23 +38,17 @@ def forecast(windows: DataFrame, methods, keep=()) -> DataFrame:
     moved = shifted_members(ranked)
     if moved:
         return _with_shifts(windows, methods, ranked, moved, keep)
-    specs = [s for layer in ranked for s in layer]
     plain = ranked[0] if ranked else []
-    fitted = windows.withColumns({
-        f"_p_{s.name}": s.parameters() for s in plain if s.parameters is not None})
+    made = {s.name: expressions(s) for s in plain}
+    fitted = windows.withColumns({f"_p_{n}": p for n, (p, _) in made.items() if p is not None})
     rows = fitted.select("*", F.explode_outer("targets").alias("t")).drop("targets")
-    target = F.col("t.n_f")
-
-    def estimate(s):
-        return s.estimate(F.col(f"_p_{s.name}") if s.parameters is not None else None, target).cast("double")
-
     if len(ranked) == 1:
-        values = {s.name: estimate(s) for s in specs}
+        values = {n: e for n, (_, e) in made.items()}
     else:
-        rows = rows.withColumns({f"_v_{s.name}": estimate(s) for s in plain})
+        rows = rows.withColumns({f"_v_{n}": e for n, (_, e) in made.items()})
         for layer in ranked[1:]:
             rows = rows.withColumns({f"_v_{s.name}": s.combine(_members(s)).cast("double") for s in layer})
-        values = {s.name: F.col(f"_v_{s.name}") for s in specs}
+        values = {s.name: F.col(f"_v_{s.name}") for layer in ranked for s in layer}
     return _long(windows, rows, methods, values, keep)
 
 
@@ -67,16 +61,15 @@ def _with_shifts(windows: DataFrame, methods, ranked, moved, keep) -> DataFrame:
     whole window and ``_v{shift}_m`` on a shifted one."""
     summaries = ("last_v", "mean_v", "min_v", "max_v")
     rows = windows.withColumns({f"_{n}": F.col(n) for n in ("xs", "ys")} | {f"_0{n}": F.col(n) for n in summaries})
-    plain = ranked[0]
-    names = lambda shift: [s for s in plain if shift == 0 or s.name in moved]
+    made = {s.name: expressions(s) for s in ranked[0]}
+    names = lambda shift: [n for n in made if shift == 0 or n in moved]
     for shift in reversed(SHIFTS):
-        rows = _cut(rows, shift).withColumns({f"_p{shift}_{s.name}": s.parameters() for s in names(shift) if s.parameters is not None})
+        rows = _cut(rows, shift).withColumns({f"_p{shift}_{n}": made[n][0] for n in names(shift) if made[n][0] is not None})
     rows = rows.select("*", F.explode_outer("targets").alias("t")).drop("targets")
     for shift in reversed(SHIFTS):
         at = "" if shift == 0 else str(shift)
-        rows = _cut(rows, shift)
-        rows = rows.withColumns({f"_v{at}_{s.name}": s.estimate(F.col(f"_p{shift}_{s.name}") if s.parameters is not None else None, F.col("t.n_f")).cast("double")
-                                 for s in names(shift)})
+        rows = _cut(rows, shift).withColumns({f"_p_{n}": F.col(f"_p{shift}_{n}") for n in names(shift) if made[n][0] is not None})
+        rows = rows.withColumns({f"_v{at}_{n}": made[n][1] for n in names(shift)})
         for layer in ranked[1:] if shift else ():
             inner = [s for s in layer if s.name in moved]
             if any(s.spreads for s in inner):

@@ -4,6 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,6 +223,19 @@ def lookup(name: str) -> Method:
     return method
 
 
+_expressions: dict[tuple, tuple] = {}
+
+
+def expressions(method: Method) -> tuple[Column | None, Column]:
+    """(parameters, estimate) of a plain method, for a row that has the parameters as ``_p_<name>`` and the target
+    as ``t.n_f``.  They are built once per application: the same expressions serve every plan."""
+    key = (SparkContext._active_spark_context.applicationId, method.name, id(method))
+    if key not in _expressions:
+        held = method.parameters is not None
+        _expressions[key] = (method.parameters() if held else None, method.estimate(F.col(f"_p_{method.name}") if held else None, F.col("t.n_f")).cast("double"))
+    return _expressions[key]
+
+
 def method_table(spark: SparkSession) -> DataFrame:
     """One row per registered method; fewer than a hundred rows, so always safe
     to broadcast."""
