@@ -22,9 +22,27 @@ CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "symbol", "beyond
 WINDOW = 8                     # words of a window that counts as repeated
 MIN_WORDS, MAX_REPEATED = 20, 30
 GUARD_WORDS = 50               # shorter documents are not judged by distance
-GUARD_REFERENCE = 5_000        # nor are documents of a language with fewer words in the corpus
+PRIOR_WORDS, PRIOR_CHARS = 1_000, 6_000   # words and characters for which the shipped histograms count in a reference
 MAX_DISTANCE, ALLOWANCE = 0.22, 1.0    # limit of both distances: MAX_DISTANCE + ALLOWANCE / sqrt(n_words), as short texts stray further by chance
 
+# Rough shares of the character classes in prose, and of the listed words among all words.
+PRIOR_CLASSES = {"lower": 0.78, "upper": 0.03, "digit": 0.005, "space": 0.15, "line": 0.005, "stop": 0.02, "symbol": 0.0005, "beyond": 0.0085, "other": 0.001}
+PRIOR_LISTED = 0.4
+
+
+def prior_common(lang: str | None) -> list[float]:
+    """Counts of the vocabulary in PRIOR_WORDS words: the words of a language by falling frequency; the mean of
+    all languages where there is no list."""
+    lists = [COMMON_WORDS[lang]] if lang in COMMON_WORDS else list(COMMON_WORDS.values())
+    counts = dict.fromkeys(VOCABULARY, 0.0)
+    for words in lists:
+        words = list(dict.fromkeys(words))
+        total = sum(1 / (i + 2) for i in range(len(words)))
+        for i, w in enumerate(words):
+            counts[w] += PRIOR_WORDS * PRIOR_LISTED / (i + 2) / total / len(lists)
+    return [counts[w] for w in VOCABULARY]
+
+
 _INDEX = {w.encode(): i for i, w in enumerate(VOCABULARY)}
 _EDGES = b".,;:!?\"'()[]"
 
@@ -102,7 +120,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def reference(features: DataFrame, lang: Column) -> DataFrame:
-    """Per language: class counts, common-word counts by vocabulary place, and words, over all rows given."""
+    """Per language: class counts, common-word counts by vocabulary place, and words, over all rows given, on top of the shipped histograms."""
     f = lambda n: F.col(MARK + n)
     tall = features.select(lang.alias("lang"), F.explode(F.concat(
         F.transform(f("classes"), lambda n, i: F.struct((-1 - i).alias("i"), n.alias("n"))), f("common").cast("array<struct<i:int,n:bigint>>"),
@@ -110,9 +128,13 @@ def reference(features: DataFrame, lang: Column) -> DataFrame:
     sums = tall.groupBy("lang", "s.i").agg(F.sum("s.n").alias("n"))
     lookup = F.map_from_entries(F.collect_list(F.struct("i", "n")))    # at most classes + vocabulary + 1 entries
     at = lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")
-    return (sums.groupBy("lang").agg(lookup.alias("m"))
-            .select("lang", F.array(*[at(F.lit(-1 - i)) for i in range(len(CLASSES))]).alias("ref_classes"),
-                    F.transform(F.sequence(F.lit(0), F.lit(len(VOCABULARY) - 1)), at).alias("ref_common"), at(F.lit(len(VOCABULARY))).alias("ref_words")))
+    numbers = lambda values: F.array(*[F.lit(v) for v in values])
+    prior = numbers(prior_common(None))
+    for name in COMMON_WORDS:
+        prior = F.when(F.col("lang") == name, numbers(prior_common(name))).otherwise(prior)
+    table = sums.groupBy("lang").agg(lookup.alias("m")).withColumn("prior", prior)
+    return table.select("lang", F.array(*[at(F.lit(-1 - i)) + PRIOR_CHARS * PRIOR_CLASSES[c] for i, c in enumerate(CLASSES)]).alias("ref_classes"),
+                        F.transform("prior", lambda p, i: at(i) + p).alias("ref_common"), (at(F.lit(len(VOCABULARY))) + PRIOR_WORDS).alias("ref_words"))
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -126,21 +148,23 @@ def _distance(total: Column) -> Column:
 
 
 def judged(features: DataFrame, refs: DataFrame, lang: Column) -> DataFrame:
-    """Adds base_failed, kept and both distances (under the prefix) to measured rows."""
+    """Adds base_failed, kept and both distances (under the prefix) to measured rows.  A row's own counts are taken
+    out of the reference first, so no document is compared with itself."""
     f = lambda n: F.col(MARK + n)
     sum_of = lambda a, g: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + g(x))
     rows = features.withColumn(MARK + "lang", lang).join(small(refs, 10_000).withColumnsRenamed({c: MARK + c for c in refs.columns}), MARK + "lang", "left")
     chars, ref_chars = sum_of(f("classes"), lambda n: n.cast("double")), sum_of(f("ref_classes"), lambda n: n)
     cells = F.arrays_zip(f("classes").alias("n"), f("ref_classes").alias("r"))
-    by_class = sum_of(cells, lambda z: _half(z["n"] / F.greatest(chars, F.lit(1.0)), z["r"] / F.greatest(ref_chars, F.lit(1.0))))
-    words, ref_words = F.greatest(f("n_words"), F.lit(1)).cast("double"), F.greatest(f("ref_words"), F.lit(1.0))
-    q = lambda z: f("ref_common")[z["i"]] / ref_words
-    p_rest = 1 - sum_of(f("common"), lambda z: z["n"].cast("double")) / words
-    q_all, q_seen = sum_of(f("ref_common"), lambda n: n) / ref_words, sum_of(f("common"), q)
+    by_class = sum_of(cells, lambda z: _half(z["n"] / F.greatest(chars, F.lit(1.0)), (z["r"] - z["n"]) / (ref_chars - chars)))
+    words, ref_words = F.greatest(f("n_words"), F.lit(1)).cast("double"), f("ref_words") - f("n_words")
+    q = lambda z: (f("ref_common")[z["i"]] - z["n"]) / ref_words
+    listed = sum_of(f("common"), lambda z: z["n"].cast("double"))
+    p_rest = 1 - listed / words
+    q_all, q_seen = (sum_of(f("ref_common"), lambda n: n) - listed) / ref_words, sum_of(f("common"), q)
     # common words that the document lacks have p = 0: each adds q * log 2
     by_word = sum_of(f("common"), lambda z: _half(z["n"] / words, q(z))) + (q_all - q_seen) * F.log(F.lit(2.0)) + _half(p_rest, 1 - q_all)
     base = (f("n_words") < MIN_WORDS) | (100 * f("n_repeat_words") > MAX_REPEATED * f("n_words"))
-    guard = (f("n_words") >= GUARD_WORDS) & (F.coalesce(f("ref_words"), F.lit(0.0)) >= GUARD_REFERENCE)
+    guard = f("n_words") >= GUARD_WORDS
     rows = rows.withColumns({MARK + "class_distance": F.when(guard, _distance(by_class)), MARK + "word_distance": F.when(guard, _distance(by_word)), MARK + "base_failed": base})
     far = F.greatest(f("class_distance"), f("word_distance")) > MAX_DISTANCE + ALLOWANCE / F.sqrt(words)
     return rows.withColumn(MARK + "kept", ~f("base_failed") & ~F.coalesce(far, F.lit(False)))
@@ -153,9 +177,10 @@ def _lang(name: str) -> Column:
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: key, the measures, both distances, base_failed and kept.
 
-    Words are runs of other characters than 0x20 and 0x09-0x0D.  References are the histograms of all
-    documents of a language.  Documents under GUARD_WORDS words, and languages with under
-    GUARD_REFERENCE words in all, are judged by the base rules alone.  A null text counts as empty and
+    Words are runs of other characters than 0x20 and 0x09-0x0D.  A reference is the histograms of all other
+    documents of the language on top of shipped ones, which stand for PRIOR_WORDS words; so rare languages have a
+    reference too and no rule depends on the size of the table.  Documents under GUARD_WORDS words
+    are judged by the base rules alone.  A null text counts as empty and
     fails; a null language is a language of its own.  Keys are only carried, so null or repeated ones
     are kept row by row; other columns are not read.  Texts are read once and not shuffled."""
     rows = stage(with_features(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), _lang(lang).alias("lang")), "t").drop("t"), "quality")

@@ -58,7 +58,11 @@ def _op7() -> str:
     counted = ", ".join(f"len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}'))::BIGINT AS c{i}" for i, p in enumerate(sides.values()))
     half = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * ln(2 * {p} / ({p} + {q})) ELSE 0e0 END + CASE WHEN {q} > 0 THEN {q} * ln(2 * {q} / ({p} + {q})) ELSE 0e0 END)"
     cells = [f"c{i}" for i in range(9)]
-    by_class = " + ".join(half(f"(f.{c}::DOUBLE / f.chars)", f"(g.{c}::DOUBLE / g.chars)") for c in cells)
+    shares = list(quality.PRIOR_CLASSES.values())
+    by_class = " + ".join(half(f"(f.{c}::DOUBLE / f.chars)", f"((g.{c} - f.{c} + {quality.PRIOR_CHARS * shares[i]!r}::DOUBLE) / (g.chars - f.chars + {float(quality.PRIOR_CHARS)!r}::DOUBLE))") for i, c in enumerate(cells))
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    prior = ", ".join(f"({quoted(lang)}, {quoted(w)}, {n!r}::DOUBLE)" for lang in (*quality.COMMON_WORDS, "*") for w, n in zip(quality.VOCABULARY, quality.prior_common(lang)) if n)
+    known = ", ".join(map(quoted, quality.COMMON_WORDS))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
 w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{WORD}') AS words FROM d),
@@ -73,15 +77,19 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id,
 one AS (SELECT doc_id, lang, unnest(words) AS x FROM w),
 hist AS (SELECT doc_id, lang, {fold.format(f"regexp_replace(x, '{edges.replace(chr(39), chr(39) * 2)}', '', 'g')")} AS x, count(*) AS n FROM one GROUP BY ALL),
 common AS (SELECT doc_id, lang, x, sum(n) AS n FROM hist WHERE x IN ({listed}) GROUP BY ALL),
-ref AS (SELECT lang, x, sum(common.n)::DOUBLE / any_value(g.n_words) AS q FROM common JOIN g USING (lang) GROUP BY lang, x),
-refsum AS (SELECT lang, sum(q) AS q FROM ref GROUP BY lang),
-pair AS (SELECT f.doc_id, ref.q, coalesce(c.n, 0)::DOUBLE / f.n_words AS p FROM f JOIN ref USING (lang) LEFT JOIN common c ON c.doc_id = f.doc_id AND c.x = ref.x WHERE f.n_words > 0),
-js AS (SELECT doc_id, sum({half('p', 'q')}) AS s, sum(p) AS p FROM pair GROUP BY doc_id),
-wd AS (SELECT f.doc_id, sqrt(greatest(s + {half('(1 - js.p)', '(1 - refsum.q)')}, 0) / (2 * ln(2e0))) AS word_distance FROM f JOIN js USING (doc_id) JOIN refsum USING (lang)),
-cd AS (SELECT f.doc_id, g.n_words AS known, sqrt(greatest({by_class}, 0) / (2 * ln(2e0))) AS class_distance FROM f JOIN g USING (lang) WHERE f.chars > 0),
+prior AS (SELECT lang, x, n FROM (VALUES {prior}) v(lang, x, n)),
+heard AS (SELECT lang, x, sum(n) AS n FROM common GROUP BY lang, x),
+langs AS (SELECT DISTINCT lang FROM f),
+ref AS (SELECT l.lang, x, coalesce(h.n, 0) + coalesce(p.n, 0) AS n FROM langs l CROSS JOIN (SELECT DISTINCT x FROM prior) v
+        LEFT JOIN heard h USING (lang, x) LEFT JOIN prior p ON p.x = v.x AND p.lang = CASE WHEN l.lang IN ({known}) THEN l.lang ELSE '*' END),
+pair AS (SELECT f.doc_id, (ref.n - coalesce(c.n, 0))::DOUBLE / (g.n_words - f.n_words + {quality.PRIOR_WORDS}) AS q, coalesce(c.n, 0)::DOUBLE / f.n_words AS p
+         FROM f JOIN g USING (lang) JOIN ref USING (lang) LEFT JOIN common c ON c.doc_id = f.doc_id AND c.x = ref.x WHERE f.n_words > 0),
+js AS (SELECT doc_id, sum({half('p', 'q')}) AS s, sum(p) AS p, sum(q) AS q FROM pair GROUP BY doc_id),
+wd AS (SELECT doc_id, sqrt(greatest(s + {half('(1 - js.p)', '(1 - js.q)')}, 0) / (2 * ln(2e0))) AS word_distance FROM js),
+cd AS (SELECT f.doc_id, sqrt(greatest({by_class}, 0) / (2 * ln(2e0))) AS class_distance FROM f JOIN g USING (lang) WHERE f.chars > 0),
 a AS (SELECT f.doc_id, f.n_words, f.word_chars, f.c6 AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-             CASE WHEN f.n_words >= {quality.GUARD_WORDS} AND cd.known >= {quality.GUARD_REFERENCE} THEN class_distance END AS class_distance,
-             CASE WHEN f.n_words >= {quality.GUARD_WORDS} AND cd.known >= {quality.GUARD_REFERENCE} THEN word_distance END AS word_distance
+             CASE WHEN f.n_words >= {quality.GUARD_WORDS} THEN class_distance END AS class_distance,
+             CASE WHEN f.n_words >= {quality.GUARD_WORDS} THEN word_distance END AS word_distance
       FROM f LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN wd ON wd.doc_id = f.doc_id LEFT JOIN cd ON cd.doc_id = f.doc_id),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, base_failed,
