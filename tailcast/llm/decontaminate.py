@@ -19,7 +19,7 @@ K1, B = 1.2, 0.75              # the usual parameters of BM25
 THRESHOLD = 0.6                # share of an item's own score that a passage must reach
 OVERLAP = 0.7                  # share of the question's and of the answer's word triples that must be in it
 BLOCK = 16                     # postings under one block maximum
-LEAST_WINDOW = 64              # a passage has twice the words of the longest item, at least twice this many
+LEAST_WINDOW = 64              # an item is looked for in windows of twice its words, at least twice this many
 INDEX_POSTINGS = 1_000_000     # postings of one broadcast index; more items make more indexes and passes
 
 _words = re.compile(r"\w+").findall
@@ -76,7 +76,7 @@ class Index:
     threshold fits all items.  df, n_items and mean_length come from all items."""
 
     def __init__(self, rows: list, df: dict[str, int], n_items: int, mean_length: float):
-        self.items, self.question, self.answer = [], [], []
+        self.items, self.question, self.answer, self.width, own_terms = [], [], [], [], []
         postings: dict[str, list[tuple[int, float]]] = {}
         self.longest = 0
         for row in rows:
@@ -87,16 +87,20 @@ class Index:
             self.question.append(_grams(row["question"], 3))
             self.answer.append(_grams(row["answer"], 3))
             self.longest = max(self.longest, row["length"])
+            self.width.append(2 * max(LEAST_WINDOW, row["length"]))
             norm = K1 * (1 - B + B * row["length"] / mean_length)
             weights = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in row["terms"].items()}
             own = sum(weights.values())
-            for t, w in weights.items():
-                postings.setdefault(t, []).append((number, w / own))
+            own_terms.append({t: w / own for t, w in weights.items()})
+            for t, w in own_terms[-1].items():
+                postings.setdefault(t, []).append((number, w))
         words = sorted({w for t in postings for w in t.split(" ")})
         self.word = {w: i for i, w in enumerate(words)}
         coded = sorted((self.code(t), t) for t in postings)
         self.codes = np.array([c for c, _ in coded], np.int64)
         self.lists = [([i for i, _ in postings[t]], [w for _, w in postings[t]]) for _, t in coded]
+        place = {t: i for i, (_, t) in enumerate(coded)}
+        self.own = [{place[t]: w for t, w in terms.items()} for terms in own_terms]
         self.blocks = [[max(w[k:k + BLOCK]) for k in range(0, len(w), BLOCK)] for _, w in self.lists]
         self.bound = np.array([max(w) for _, w in self.lists] or [0.0])
 
@@ -147,8 +151,35 @@ class Index:
             alive = [k for k in alive if at[k] < len(lists[k][0])]
         return found
 
+    def confirm(self, item: int, words: list[str], where: np.ndarray, term: np.ndarray, threshold: float) -> tuple | None:
+        """(score, question overlap, answer overlap, windows) of an item in a text.  Its windows are as wide as its
+        own length asks, each half over the last, so nothing depends on the other items."""
+        own, width = self.own[item], self.width[item]
+        step = width // 2
+        last = -(-max(1, len(words) - step) // step) - 1
+        mine = np.isin(term, np.fromiter(own, np.int64, len(own)))
+        seen: dict[int, set[int]] = {}
+        for at, t in zip(where[mine].tolist(), term[mine].tolist()):
+            for k in (at // step - 1, at // step):
+                if 0 <= k <= last and at + 1 < k * step + width:        # both words of the pair are in the window
+                    seen.setdefault(k, set()).add(t)
+        best, n = None, 0
+        for k, terms in sorted(seen.items()):
+            score = sum(own[t] for t in sorted(terms))
+            if score < threshold - 1e-9:
+                continue
+            passage = words[k * step:k * step + width]
+            q, a = _share(self.question[item], passage), _share(self.answer[item], passage)
+            if best is None or (min(q, a), score) > (min(best[1], best[2]), best[0]):
+                best = (score, q, a)
+            n += 1
+        return best and (*best, n)
+
     def leaks(self, text: str, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple]:
-        """(item, score, question overlap, answer overlap, passages, confirmed) of every item that a passage retrieves."""
+        """(item, score, question overlap, answer overlap, windows, confirmed) of every item that a passage retrieves.
+
+        Passages are twice as wide as the widest window and overlap by half, so every window of every item lies
+        whole in one: what a passage retrieves is then confirmed in the item's own windows."""
         words = _words(text.lower())
         if len(words) < 2 or not len(self.codes):
             return []
@@ -161,20 +192,15 @@ class Index:
         where, term = where[hit], term[hit]
         if not len(where):
             return []
-        width = 2 * max(LEAST_WINDOW, self.longest)
+        width = 4 * max(LEAST_WINDOW, self.longest)
         starts = np.arange(0, max(1, len(words) - width // 2), width // 2)
         sums = np.concatenate([[0.0], np.cumsum(self.bound[term])])
         first, last = np.searchsorted(where, starts), np.searchsorted(where, starts + width - 1)
-        best: dict[int, list] = {}
+        retrieved: set[int] = set()
         for k in np.flatnonzero(sums[last] - sums[first] >= threshold - 1e-9):
-            for item, score in self.search(np.unique(term[first[k]:last[k]]).tolist(), threshold):
-                passage = words[starts[k]:starts[k] + width]
-                q, a = _share(self.question[item], passage), _share(self.answer[item], passage)
-                row = best.setdefault(item, [0.0, -1.0, -1.0, 0])
-                if (min(q, a), score) > (min(row[1], row[2]), row[0]):
-                    row[:3] = [score, q, a]
-                row[3] += 1
-        return [(self.items[i], s, q, a, n, q >= overlap and a >= overlap) for i, (s, q, a, n) in sorted(best.items())]
+            retrieved.update(item for item, _ in self.search(np.unique(term[first[k]:last[k]]).tolist(), threshold))
+        found = [(i, self.confirm(i, words, where, term, threshold)) for i in sorted(retrieved)]
+        return [(self.items[i], *f, f[1] >= overlap and f[2] >= overlap) for i, f in found if f]
 
 
 def indexes(spark: SparkSession, terms: DataFrame):
@@ -198,8 +224,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """One row per document row and retrieved item: key, item, score (best passage, as a share of the item's
     own score), question_overlap, answer_overlap, n_passages, contaminated.
 
-    A text is cut into passages of twice the longest item's words, each half over the last, so an item lies
-    whole in one of them; every passage queries the index.  Null and empty texts retrieve nothing;
+    A text is cut into passages, each half over the last; every passage queries the index.  A retrieved item is
+    scored and confirmed in windows of twice its own words, so a result does not depend on what other
+    items the benchmark has.  Null and empty texts retrieve nothing;
     null or repeated keys are carried row by row; items with equal texts are all found.  Other columns
     are not read.  Documents are not shuffled: the index travels to them."""
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("item", items.schema[item].dataType), *[T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap")],
