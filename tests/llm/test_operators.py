@@ -122,6 +122,19 @@ def test_index_in_parts_finds_the_same(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).select("doc_id", "item_id", F.round("score", 9)).collect())) == whole
 
 
+def test_results_do_not_depend_on_other_items(spark):
+    """A question and its answer far apart, judged with and without a long item in the benchmark, and in parts."""
+    q, a = "which of these long rivers is the longest one of all?", "The one that flows north through nine lands and a lake."
+    near, far = f"{cases.prose(1, 90)} {q} {cases.prose(2, 20)} {a} {cases.prose(3, 90)}", f"{cases.prose(1, 90)} {q} {cases.prose(2, 200)} {a} {cases.prose(3, 90)}"
+    docs = spark.createDataFrame([(1, near), (2, far), (3, f"{near} {far} {near}")], "doc_id long, text string")
+    short = [(1, f"{q} {a}")]
+    alone = sorted(map(tuple, decontaminate.find_leaks(docs, spark.createDataFrame(short, "item_id long, text string")).collect()))
+    with_long = decontaminate.find_leaks(docs, spark.createDataFrame(short + [(2, cases.prose(9, 600)), (3, cases.prose(10, 90))], "item_id long, text string")).where("item_id = 1").collect()
+    pick = lambda rows: [(r[0], r[1], r[3], r[4], r[5], r[6]) for r in rows]
+    assert pick(alone) == pick(sorted(map(tuple, with_long)))                 # scores are weighed by all items, as BM25 does
+    assert {r[0] for r in alone if r[6]} == {1, 3}
+
+
 def test_question_and_answer_must_both_be_there(spark):
     bench = spark.createDataFrame([(1, "which of these long rivers is the longest one of all", "the one that flows north through nine lands")], "item_id long, question string, answer string")
     given = spark.createDataFrame([(1, "Which of these long rivers is the longest one of all? The one that flows north through nine lands."), (2, "Which of these long rivers is the longest one of all? Nobody can tell."),
@@ -258,29 +271,53 @@ def test_divergence_against_numpy(docs, texts):
     measured = {d: quality.measure(t.encode()) for d, t in texts.items()}
     sums: dict = {}
     for d, m in measured.items():
-        c, w = sums.setdefault(rows[d].lang, (np.zeros(len(quality.CLASSES)), np.zeros(len(quality.VOCABULARY) + 1)))
-        c += m[5]
-        for e in m[6]:
-            w[e["i"]] += e["n"]
-        w[-1] += m[0] - sum(e["n"] for e in m[6])
+        lang = rows[d].lang
+        if lang not in sums:
+            common = np.array(quality.prior_common(lang))
+            sums[lang] = [quality.PRIOR_CHARS * np.array(list(quality.PRIOR_CLASSES.values())), np.append(common, quality.PRIOR_WORDS - common.sum())]
+        sums[lang][0] = sums[lang][0] + m[5]
+        sums[lang][1] = sums[lang][1] + own_words(m)
     distance = lambda p, q: math.sqrt(sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2)
     judged = 0
     for r in quality.judge(docs).collect():
-        c, w = sums[rows[r.doc_id].lang]
-        if r.n_words < quality.GUARD_WORDS or w.sum() < quality.GUARD_REFERENCE:
+        if r.n_words < quality.GUARD_WORDS:
             assert r.word_distance is None and r.kept == (not r.base_failed)
             continue
         judged += 1
         m = measured[r.doc_id]
-        own = np.zeros(len(w))
-        for e in m[6]:
-            own[e["i"]] = e["n"]
-        own[-1] = m[0] - own.sum()
+        c, w = sums[rows[r.doc_id].lang][0] - m[5], sums[rows[r.doc_id].lang][1] - own_words(m)
         assert math.isclose(r.class_distance, distance(np.array(m[5]) / sum(m[5]), c / c.sum()), abs_tol=1e-6)
-        assert math.isclose(r.word_distance, distance(own / m[0], w / w.sum()), abs_tol=1e-6)
+        assert math.isclose(r.word_distance, distance(own_words(m) / m[0], w / w.sum()), abs_tol=1e-6)
     assert judged > 50
 
 
+def own_words(m):
+    own = np.zeros(len(quality.VOCABULARY) + 1)
+    for e in m[6]:
+        own[e["i"]] = e["n"]
+    own[-1] = m[0] - own.sum()
+    return own
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+def test_verdicts_do_not_wait_for_a_large_table(spark, lang):
+    """The same documents in a table of their own, and among all others of the language."""
+    rows = [r for r in load(spark, "/root/testdata/sf0.01", "documents").collect() if r.lang == lang]
+    labels = {r.doc_id: r.quality for r in load(spark, "/root/testdata/sf0.01", "labels").collect()}
+    whole = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows)).collect()}
+    clear = [r for r in rows if whole[r.doc_id].word_distance is not None and not whole[r.doc_id].base_failed]
+    good = [r for r in clear if labels.get(r.doc_id) == 1 and whole[r.doc_id].kept][:6]
+    odd = "#### 4711 | 0815 %% " * 3 + " ".join(f"x{i}q zz{i}" for i in range(80))
+    junk = [(10 ** 6, odd, lang, "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    few = quality.judge(spark.createDataFrame([tuple(r) for r in good] + junk, schema)).collect()
+    many = quality.judge(spark.createDataFrame([tuple(r) for r in rows] + junk, schema)).collect()
+    verdict = {r.doc_id: r.kept for r in many}
+    assert {r.doc_id: r.kept for r in few} == {r.doc_id: verdict[r.doc_id] for r in few} and not verdict[10 ** 6] and len(few) == 7
+    alone = quality.judge(spark.createDataFrame(junk, schema)).first()
+    assert alone.word_distance is not None and not alone.kept
+
+
 def test_junk_goes_and_prose_stays(spark, docs):
     labels = {r.doc_id: r.quality for r in load(spark, "/root/testdata/sf0.01", "labels").collect()}
     got = quality.judge(load(spark, "/root/testdata/sf0.01", "documents")).collect()
@@ -380,15 +417,24 @@ def test_every_repeated_chunk_survives_where_it_is_first(spark):
     assert kept[3] == given[3] and more[60:] in kept[5] and not kept[9]
 
 
-def test_short_passages_are_found_whatever_stands_around(spark):
-    frame, r = [], random.Random(8)
-    for i in range(300):
-        passage = cases.prose(7000 + i, r.choice([50, 55, 60]))
-        for half in (0, 1):
-            frame.append((2 * i + half, f"{cases.prose(9000 + 2 * i + half, 60)} {passage} {cases.prose(20_000 + 2 * i + half, 60)}"))
+def test_recall_by_length(spark, texts):
+    """Passages of real texts, each in two contexts: the share that is found, from the least length up."""
+    r = random.Random(8)
+    pool = [w for t in texts.values() for w in t.split()]
+    cut = lambda n: " ".join(pool[(at := r.randrange(len(pool) - n)):at + n])
+    sizes, frame, each = (chunking.MIN_WORDS, 50, 60, 75, 100), [], 200
+    shuffled = lambda n: " ".join(r.choices(pool, k=n))
+    for size in sizes:
+        for i in range(each):
+            passage = cut(size)
+            for _ in (0, 1):
+                frame.append((len(frame), f"{shuffled(60)} {passage} {shuffled(60)}"))
     got = chunking.repeated_passages(spark.createDataFrame(frame, "doc_id long, text string")).collect()
-    firsts, later = {x.doc_id for x in got if x.is_first}, {x.doc_id for x in got if not x.is_first}
-    assert len(later & set(range(1, 600, 2))) >= 295 and len(firsts) >= 290 and {d - d % 2 for d in later | firsts} <= set(range(0, 600, 2))
+    later = {x.doc_id for x in got if not x.is_first}
+    for k, size in enumerate(sizes):
+        found = sum(d in later for d in range(2 * each * k + 1, 2 * each * (k + 1), 2)) / each
+        print(size, found)
+        assert found >= (0.95 if size < 50 else 0.97), (size, found)
 
 
 def sets_of(texts, n):
