@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracles.analysis import CELL, LEAD, _cj, panel, r_as, rule_panel  # noqa: F401
 from oracles.curves import CASCADE
 from oracles.prelude import DEFAULT_METHODS, SEQUENCES
-from oracles.tails import FEATURES, R, inlist, rate4, tail
+from oracles.tails import FEATURES, R, inlist, mean_rate, rate4, tail
 from oracles.variants import CONSUMERS
 from tailcast.operators.methods import classical_methods
 from tailcast.settings import ACCELERATORS, REGISTRY_INDEX
@@ -120,3 +120,23 @@ tail("h16_leading_summary", "leadsum", f"""WITH sp AS (SELECT method, CASE WHEN
     SELECT l.method, l.position::INTEGER AS position, {', '.join(f'{R(f"c.{x}")} AS core_{x}, {R(f"h.{x}")} AS hold_{x}' for x in _cols)}, {R('spread_pct')} AS spread_pct, pre_wins, pre_n, post_wins, post_n
     FROM ({LEAD}) l JOIN pooled c ON c.method = l.method AND c.is_holdout = 0 AND c.target_g = 0.5 JOIN pooled h ON h.method = l.method AND h.is_holdout = 1 AND h.target_g = 0.5
     LEFT JOIN sp ON sp.method = l.method LEFT JOIN rc ON rc.method = l.method""")
+
+# ladders
+tail("d22_order_ladders", "ladders", panel('ladder, "order", target_g', "(SELECT * FROM lrec WHERE capped = 0)"))
+tail("f20_ladder_variants", "ladders", f"""WITH q AS (SELECT lrec.*, lv AS noise_level FROM lrec CROSS JOIN (VALUES ('pooled'), ('0.0'), ('0.005')) t(lv) WHERE capped = 0 AND (lv = 'pooled' OR noise = lv::DOUBLE))
+    {panel('method, noise_level', 'q', 'count(DISTINCT (family, is_holdout, depth, noise, target_g)) AS n_cells||n_cells')}""")
+tail("f31_ladder_variants_under_noise", "ladders", f"""WITH q AS (SELECT ladder, target_g, noise, "order" AS o, median(med_error) AS e, {mean_rate('win_rate_vs_last')} AS w FROM lcells GROUP BY ALL),
+    b AS (SELECT target_g, noise, median(m) AS e FROM (SELECT family, is_holdout, depth, noise, target_g, median(e_last) AS m FROM lrec WHERE capped = 0 GROUP BY ALL) GROUP BY ALL)
+    SELECT ladder, target_g, noise, count(*) AS n_orders, count(*) FILTER (WHERE q.e < 0.9::DOUBLE * b.e) AS n_below, count(*) FILTER (WHERE w > 0.6) AS n_win,
+      arg_min(o, {{'e': round(q.e, 9), 'o': o}}) FILTER (WHERE q.e IS NOT NULL) AS lowest, {R('min(q.e)')} AS lowest_error FROM q JOIN b USING (target_g, noise) GROUP BY ladder, target_g, noise""")
+tail("f35_best_ladder_order", "ladders", f"""WITH q AS (SELECT ladder, target_g, "order" AS o, median(med_error) AS e FROM lcells WHERE is_holdout = 0 GROUP BY ALL)
+    SELECT ladder, target_g, arg_min(o, {{'e': round(e, 9), 'o': o}}) FILTER (WHERE e IS NOT NULL) AS best, {R('min(e)')} AS best_error, count(*) AS n_orders FROM q GROUP BY ALL""")
+
+# live forecasts: the last points of each event curve
+tail("s6_live_event_forecasts", "none", f"""WITH ev AS (SELECT user_id, ts, event_id, value FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+    c AS (SELECT 'u' || user_id AS curve_id, (row_number() OVER w)::INTEGER AS step, sum(value) OVER w / row_number() OVER w AS value FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    t AS (SELECT c.*, max(step) OVER (PARTITION BY curve_id) AS depth FROM c),
+    l AS (SELECT curve_id, depth, regr_slope(value, step::DOUBLE) AS b, regr_intercept(value, step::DOUBLE) AS a, avg(value) AS m, min(value) AS lo, max_by(value, step) AS last FROM t WHERE step > depth - 60 GROUP BY ALL),
+    f AS (SELECT curve_id, depth, depth + unnest([10, 50]) AS n_f, a, b, m, lo, last FROM l)
+    SELECT curve_id, depth, n_f::INTEGER AS n_f, method, {R('estimate', 4)} AS estimate FROM (SELECT curve_id, depth, n_f, (a + b * n_f)::DOUBLE AS linear, m::DOUBLE AS window_mean, lo::DOUBLE AS window_min, last::DOUBLE AS last_value FROM f)
+    UNPIVOT INCLUDE NULLS (estimate FOR method IN (linear, window_mean, window_min, last_value))""")

@@ -82,6 +82,10 @@ POOLED = {
 }
 
 
+LADDER_CELLS = f"""SELECT ladder, "order", method, family, is_holdout, depth, noise, target_g, median(CASE WHEN valid = 1 THEN error END) AS med_error,
+    {rate4('avg(CASE WHEN valid = 1 AND error < e_last THEN 1e0 ELSE 0e0 END)')} AS win_rate_vs_last FROM lrec WHERE capped = 0 GROUP BY ALL"""
+
+
 def feature_ctes(wins="wins", name="feat") -> dict[str, str]:
     """Window features, power-law fit with a fixed limit included."""
     k = P.KEYS
@@ -134,7 +138,7 @@ def groups() -> dict[str, dict[str, str]]:
         "bfive": {**P.curve_ctes("se"), **P.window_ctes((30, 60, 90, 120, 150), limit="0.01::DOUBLE", modes=("zero", "half", "oracle", "double", "winmin"))},
         "pert": {**gap_windows, "pwins": V.pwins_sql()},
         "gapwin": gap_windows, "stepwin": step_windows,
-        "orders": {**gap_windows, **O.order_ctes()},
+        "orders": {**gap_windows, **O.order_ctes()}, "ladders": {**gap_windows, **O.ladder_ctes(), "lcells": LADDER_CELLS},
         "steppade": {**step_windows, **P.estimate_ctes(tuple(P.PADE))}, "stepmix": {**step_windows, **P.estimate_ctes(P.COMPOSITES)},
         "gap": gap, "step": step, "cells": {**gap, **CELLS}, "pooled": {**gap, **CELLS, **POOLED},
         "feat": {**gap_windows, **feature_ctes()}, "cfeat": {**gap_windows, **feature_ctes(), **CELLFEAT},

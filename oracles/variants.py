@@ -100,14 +100,14 @@ def renamed_step() -> dict[str, str]:
 def mode_study() -> dict[str, str]:
     modes = ("zero", "half", "oracle", "double", "winmin")
     from oracles.tails import feature_ctes
-    return {**P.curve_ctes("se"), **P.horizon_ctes((60, 90), (0.7, 0.5)),
-            **P.window_ctes((60, 90), (0.0, 0.005), limit="0.01::DOUBLE", modes=modes), **P.estimate_ctes(SWEPT), **P.record_ctes(), **feature_ctes()}
+    return {**P.curve_ctes("se"), **P.horizon_ctes(DEPTHS, (0.7, 0.5, 0.1)),
+            **P.window_ctes(DEPTHS, (0.0, 0.005), limit="0.01::DOUBLE", modes=modes), **P.estimate_ctes(SWEPT), **P.record_ctes(), **feature_ctes()}
 
 
 def length_study() -> dict[str, str]:
     from oracles.tails import feature_ctes
-    return {**P.curve_ctes("se"), **P.horizon_ctes((90,), (0.7, 0.5)),
-            **P.window_ctes((90,), (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80, 100)), **P.estimate_ctes(ROUTED), **P.record_ctes(), **feature_ctes()}
+    return {**P.curve_ctes("se"), **P.horizon_ctes(DEPTHS, (0.7, 0.5, 0.1)),
+            **P.window_ctes(DEPTHS, (0.0, 0.005), limit="0e0", lens=(20, 40, 60, 80, 100)), **P.estimate_ctes(ROUTED), **P.record_ctes(), **feature_ctes()}
 
 
 def reaction_ctes() -> dict[str, str]:
@@ -118,10 +118,10 @@ def reaction_ctes() -> dict[str, str]:
 
 
 def last_step_study() -> dict[str, str]:
-    """Target = last step of the curve, depths 30, 60, 90."""
+    """Target = last step of the curve, every depth before it."""
     from oracles.tails import feature_ctes
     depths = (30, 60, 90, 120, 150)
-    return {**P.curve_ctes("mean"), "tgt": "SELECT curve_id, d AS depth, max(step) AS n_f, max_by(value, step) AS true_val FROM curve CROSS JOIN (VALUES (30), (60), (90)) t(d) GROUP BY curve_id, d",
+    return {**P.curve_ctes("mean"), "tgt": "SELECT curve_id, d AS depth, max(step) AS n_f, max_by(value, step) AS true_val FROM curve CROSS JOIN (VALUES (30), (60), (90), (120), (150)) t(d) GROUP BY curve_id, d",
             **P.window_ctes(depths), **P.estimate_ctes(ROUTED), **P.record_ctes(), **feature_ctes()}
 
 

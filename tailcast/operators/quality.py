@@ -32,14 +32,6 @@ def record_violations(records: DataFrame) -> DataFrame:
         F.count(F.when((F.col("error") < 0) | F.isnan("error"), 1)).alias("bad_error"))
 
 
-def require_none(counts: DataFrame) -> DataFrame:
-    row = counts.first().asDict()
-    bad = {k: v for k, v in row.items() if k != "n_rows" and v}
-    if bad:
-        raise ValueError(f"violations: {bad}")
-    return counts
-
-
 def validity_disagreements(records: DataFrame) -> DataFrame:
     return records.filter("valid <> valid_strict").groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 

@@ -390,7 +390,7 @@ def _(spark, sf):
     from tailcast.operators.rules import cascade
     c = ST.curves(spark, sf, "mean")
     last = c.groupBy("curve_id").agg(F.array(F.struct(F.max("step").alias("n_f"), F.max_by("value", "step").alias("true_val"))).alias("targets"))
-    w = C.cut_windows(C.prefixes(c, 90).join(last, "curve_id"), (30, 60, 90))
+    w = C.cut_windows(C.prefixes(c, max(ST.STEP_DEPTHS)).join(last, "curve_id"), ST.STEP_DEPTHS)
     f = ST.step_features(spark, sf).select(*WIN, *FEATURES)
     near = FE.nearest_family(f, ST.step_features(spark, sf).groupBy("family").agg(*[F.avg(x).alias(x) for x in FEATURES])).select(*WIN, "nearest")
     r = ST.records_of(spark, w, ("richardson_1", "rational_fit"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tailcast.functions.quantiles import grouped
 from tailcast.operators import classify as M
 from tailcast.operators import curves as C
 from tailcast.operators import ladders as LD
@@ -20,6 +21,8 @@ from tailcast.plans import study as ST
 from tailcast.plans.catalog import query
 from tailcast.plans.queries_analysis import _lead
 from tailcast.session import settled, stage
+from tailcast.sources import tables
+from tailcast.streaming import live
 
 CELL = list(L.CELL)
 
@@ -168,6 +171,45 @@ def _(spark, sf):
     return P.error_panel(_fit_ladder_records(spark, sf), ["ladder", "p", "q", "exponent", "target_g"])
 
 
+def _ladder_cells(spark, sf):
+    return stage(spark, "ladder-cells", sf, lambda: P.error_panel(
+        _ladder_records(spark, sf), ["ladder", "order", "method", *CELL]).withColumn("win_rate_vs_last", P.rate4("win_rate_vs_last")))
+
+
+@query("f20_ladder_variants")
+def _(spark, sf):
+    """Every order of every ladder, pooled and per noise level, with the number of cells."""
+    both = _ladder_records(spark, sf).select("*", F.explode(F.array(F.col("noise").cast("string"), F.lit("pooled"))).alias("noise_level"))
+    return P.error_panel(both, ["method", "noise_level"], [F.count_distinct(F.struct(*CELL)).alias("n_cells")])
+
+
+@query("f31_ladder_variants_under_noise")
+def _(spark, sf):
+    """Per ladder: orders clearly below the last value's error, orders that mostly win, and the lowest."""
+    keys = ["target_g", "noise"]
+    per = grouped(_ladder_cells(spark, sf), ["ladder", "order", *keys], [P.mean_rate(F.col("win_rate_vs_last")).alias("w")], {"e": ("med_error", 0.5)})
+    records = _ladder_records(spark, sf)
+    last = grouped(grouped(records, CELL, [], {"m": ("E_last", 0.5)}), keys, [], {"e_last": ("m", 0.5)})
+    return per.join(last, keys).groupBy("ladder", *keys).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.count(F.when(F.col("e") < F.lit(0.9) * F.col("e_last"), 1)).alias("n_below"), F.count(F.when(F.col("w") > 0.6, 1)).alias("n_win"),
+        F.min_by("order", F.when(F.col("e").isNotNull(), F.struct(F.round("e", 9), F.col("order")))).alias("lowest"), F.min("e").alias("lowest_error"))
+
+
+@query("f35_best_ladder_order")
+def _(spark, sf):
+    per = grouped(_ladder_cells(spark, sf).filter("is_holdout = 0"), ["ladder", "order", "target_g"], [], {"e": ("med_error", 0.5)})
+    return per.groupBy("ladder", "target_g").agg(
+        F.min_by("order", F.when(F.col("e").isNotNull(), F.struct(F.round("e", 9), F.col("order")))).alias("best"),
+        F.min("e").alias("best_error"), F.count(F.lit(1)).alias("n_orders"))
+
+
+@query("s6_live_event_forecasts", 4)
+def _(spark, sf):
+    """What the stream of forecasts ends with: the last points of every event curve, and forecasts from them."""
+    points = tables.event_curves(spark, sf).select("curve_id", "step", "value")
+    return live.live_forecasts(live.tails(points), (10, 50), ("linear", "window_mean", "window_min", "last_value"))
+
+
 @query("n2_variant_agreement")
 def _(spark, sf):
     """Ladder orders that are registered methods agree with the registry."""
@@ -190,9 +232,7 @@ SWEPT = CONSUMERS + ("last_value", "window_mean", "window_min")
 
 
 def _mode_windows(spark, sf):
-    c = ST.curves(spark, sf)
-    hz = ST.horizons(spark, sf).filter("target_g > 0.2")
-    return W.across_modes(ST.gap_windows(spark, c, hz, (60, 90), true_limit=F.lit(0.01)), MODES)
+    return W.across_modes(ST.gap_windows(spark, ST.curves(spark, sf), ST.horizons(spark, sf), true_limit=F.lit(0.01)), MODES)
 
 
 def _mode_records(spark, sf):
@@ -244,9 +284,7 @@ def _(spark, sf):
 
 
 def _length_windows(spark, sf):
-    c = ST.curves(spark, sf)
-    hz = ST.horizons(spark, sf).filter("target_g > 0.2 AND depth = 90")
-    return W.across_lengths(ST.gap_windows(spark, c, hz, (90,), max(LENGTHS), true_limit=F.lit(0.0)), LENGTHS)
+    return W.across_lengths(ST.gap_windows(spark, ST.curves(spark, sf), ST.horizons(spark, sf), window_len=max(LENGTHS), true_limit=F.lit(0.0)), LENGTHS)
 
 
 @query("w3_cascade_by_window_length")

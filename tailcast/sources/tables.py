@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CURVE_COLUMNS = ("curve_id", "family", "is_holdout", "run", "step", "value")
 HOLDOUT_FAMILIES = ("MIDDLE EAST",)
 
 RECORD_SCHEMA = T.StructType(
@@ -138,7 +137,3 @@ def read_records(spark: SparkSession, path: str, columns=None) -> DataFrame:
     require_columns(have, RECORD_SCHEMA.fieldNames() if columns is None else columns, path)
     df = spark.read.schema(RECORD_SCHEMA).parquet(path)
     return df if columns is None else df.select(*columns)
-
-
-def curves_only(df: DataFrame) -> DataFrame:
-    return require_columns(df, CURVE_COLUMNS, "curve table").select(*CURVE_COLUMNS)
