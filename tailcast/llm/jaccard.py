@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, key
     reached = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)          # one row per count
     cutoff = (often.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(reached))
               .where(F.col("upto") <= HOT_TABLE).agg(F.min("c").alias("c")).first()["c"])
-    top = often.where(F.col("c") >= F.lit(cutoff)).toPandas()                                # at most HOT_TABLE rows
-    grams, order = top["g"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    top = often.where(F.col("c") >= F.lit(cutoff)).select("g", "c").toArrow()                # at most HOT_TABLE rows
+    grams, order = top["g"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
     by_gram = np.argsort(grams)
     hot = spark.sparkContext.broadcast((grams[by_gram], order[by_gram]))
     postings = stage(_postings(docs.where(F.col(key).isNotNull()), text, n, seed, num, den, hot), "jaccard-postings")
