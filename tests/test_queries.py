@@ -4,7 +4,8 @@ from compare import connect, difference
 from conftest import SMALL
 
 CHECKED = ["flagship_method_ranking", "a1_wide_curves", "a10_tabular_prep", "a11_stratified_split", "b6_gap_horizon", "b8_curve_minimum", "b10_lower_envelope",
-           "b11_interpolation", "c5_richardson_r2", "d3_log_linear", "d8_exponential_rational", "d11_shanks", "d15_levin", "d17_neville", "e7_fixed_reference_skill",
+           "b11_interpolation", "c5_richardson_r2", "c8_nearest_family", "d3_log_linear", "d8_exponential_rational", "d11_shanks", "d14_pade", "d15_levin", "d17_neville", "d20_stability_weighted", "d22_order_ladders",
+           "e7_fixed_reference_skill", "g7_previous_value", "k6_auc", "k10_cluster_bootstrap", "k11_p_values", "l10_leave_one_family_out", "n1_keyed_diff", "s6_live_event_forecasts",
            "f1_error_panel", "f5_pooled_table", "g1_assign_ranks", "h12_head_to_head", "i4_candidate_rules", "i5_selectors", "k7_rejection_rules",
            "j6_selector_errors", "l5_selection_cells", "w1_cascade_by_mode"]
 
