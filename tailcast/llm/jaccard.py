@@ -19,8 +19,8 @@ from .common import discard, small, stage, text_of
 CELLS = 32                     # parts of the hash range whose counts the suffix filter compares
 HOT_HERE, HOT_CHUNK = 2, 2_000_000   # an n-gram is reported as frequent if so many different sets of a chunk hold it
 HOT_TABLE = 1_000_000          # most frequent n-grams that the order knows; it decides speed, never results
-SEEN = 500_000                 # nodes a task remembers so as to emit copies once
-WORDS = 1_000_000              # word hashes a worker remembers
+SEEN = 250_000                 # nodes a task remembers so as to emit copies once
+WORDS = 250_000                # word hashes a worker remembers
 RECENT = 256                   # sets a worker remembers while it compares pairs
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
