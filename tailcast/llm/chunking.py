@@ -14,7 +14,7 @@ from .common import discard, small, stage, text_of
 
 BITS = 5                       # a place is a cut with probability 2 ** -BITS: about 32 bytes between cuts
 MIN_BYTES, MAX_BYTES = 8, 512  # closer cuts are one; a stretch without cuts is divided
-MIN_WORDS = 40                 # shorter passages often hold no whole chunk of their own; of this many words 19 in 20 do
+MIN_WORDS = 30                 # shorter passages often hold no whole chunk of their own; of this many words 9 in 10 do
 GEAR_SEED = 20_240_101
 
 
