@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailcast.functions import fits, sequence
+from tailcast.functions import blocks, fits
 
 # fixed values: ladder -> orders
 LADDERS = {
@@ -24,34 +24,14 @@ REGISTERED = {**{("shanks", k): f"shanks_{k}" for k in (1, 2, 3, 4)}, **{("wynn_
               **{("brezinski", k): f"brezinski_theta{k}" for k in (1, 2)}, **{("neville", k): f"neville_{k}" for k in (2, 3, 4)}}
 
 
-def _limits(ladder: str, orders):
-    """Estimates of the asked orders of a limit ladder, as an array of (ladder, order, estimate)."""
-    ys, xs, most = F.col("ys"), F.col("xs"), max(orders)
-    tables = {"shanks": lambda: sequence.shanks_ladder(ys, most), "wynn_eps": lambda: sequence.wynn_epsilon_ladder(ys, most),
-              "wynn_rho": lambda: sequence.wynn_rho_ladder(ys, xs, most), "brezinski": lambda: sequence.brezinski_ladder(ys, most)}
-    if ladder in tables:
-        return _entries(ladder, tables[ladder](), orders)
-    one = (lambda k: sequence.anderson(ys, k)) if ladder == "anderson" else (lambda k: sequence.levin(ys, xs, k, ladder[-1]))
-    return F.array(*[F.struct(F.lit(ladder).alias("ladder"), F.lit(k).alias("order"), one(k).alias("estimate_raw")) for k in orders])
-
-
-def _entries(ladder: str, values, orders):
-    """``values`` holds all orders from 1."""
-    every = F.transform(F.sequence(F.lit(1), F.lit(max(orders))), lambda k: F.struct(F.lit(ladder).alias("ladder"), k.alias("order"), F.get(values, k - 1).alias("estimate_raw")))
-    return F.filter(every, lambda e: e["order"].isin(*orders))
-
-
 def ladder_estimates(windows: DataFrame, ladders=LADDERS) -> DataFrame:
-    """Estimates of every order, all orders of a family from one table; limit ladders are computed before the targets
-    are exploded, the polynomial ladder after."""
-    kept = {name: tuple(orders) for name, orders in ladders.items()}
-    w = windows.withColumns({f"_t_{n}": _limits(n, orders) for n, orders in kept.items() if n != "neville"})
-    rows = w.select("*", F.explode_outer("targets").alias("t"))
-    parts = [F.col(f"_t_{n}") for n in kept if n != "neville"]
-    if "neville" in kept:
-        rows = rows.withColumn("_n", sequence.neville_ladder(F.col("ys"), F.col("xs"), max(kept["neville"]), F.col("t.n_f")))
-        parts.append(_entries("neville", F.col("_n"), kept["neville"]))
-    rows = rows.withColumn("_all", F.concat(*parts))
+    """Estimates of every order for every target, from one Arrow function per window."""
+    entries = [(name, int(k)) for name, orders in ladders.items() for k in orders]
+    w = windows.withColumn("_block", blocks.estimates(entries)("xs", "ys", F.lit(0.0), F.col("targets.n_f")))
+    rows = w.select("*", F.posexplode_outer("targets").alias("_at", "t"))
+    start = F.col("_at") * len(entries)
+    rows = rows.withColumn("_all", F.array(*[F.struct(F.lit(name).alias("ladder"), F.lit(k).alias("order"), F.get("_block", start + i).alias("estimate_raw"))
+                                             for i, (name, k) in enumerate(entries)]))
     keep = [c for c in windows.columns if c not in ("xs", "ys", "targets")]
     fields = [f.name for f in windows.schema["targets"].dataType.elementType.fields]
     return rows.select(*keep, *[F.col(f"t.{c}").alias(c) for c in fields], F.inline_outer("_all")).withColumn(
