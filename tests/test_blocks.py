@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tailcast.operators import diagnostics as D
 from tailcast.operators import ladders
 from tailcast.operators.curves import summarise
 from tailcast.operators.forecast import _with_shifts, forecast
@@ -49,3 +50,21 @@ def test_ladders_give_registered_methods_without_lambdas(spark):
     b = forecast(w, sorted(ladders.REGISTERED.values())).select("curve_id", "n_f", "method", F.col("estimate_raw").alias("b"))
     rows = a.join(b, ["curve_id", "n_f", "method"], "full").collect()
     assert len(rows) == b.count() and all(r.a == r.b for r in rows)
+
+
+def test_spreads_stay_in_the_window_row(spark, monkeypatch):
+    """Both diagnostics give what grouping all copies gives, without a shuffle; equal targets of a window are one group."""
+    again = F.concat("targets", F.filter("targets", lambda t: t["n_f"] % 2 == 0))
+    w = _windows(spark).withColumns({"depth": F.size("ys"), "noise": F.lit(0.005), "targets": again}).withColumn(
+        "ys", F.when(F.col("curve_id") == "rise", F.transform("ys", lambda v: F.when(v != 0.5, v))).otherwise(F.col("ys"))).persist()
+    methods = ST.DIAG_METHODS
+    calls = (lambda: D.perturb_iqr(w, methods), lambda: D.perturb_iqr(w, methods, fewest=3), lambda: D.shift_iqr(w, methods), lambda: D.shift_iqr(w, methods, unstable=float("inf")))
+    new = [c() for c in calls]
+    for df in new:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("ArrowEvalPython") == 1
+    monkeypatch.setattr(D, "_in_blocks", lambda methods: False)
+    for df, call in zip(new, calls):
+        a, b = ({tuple(r[:-1]): r[-1] for r in x.collect()} for x in (df, call()))
+        assert len(a) == df.count() and a.keys() == b.keys()
+        assert all(a[k] == b[k] or a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-12) for k in a), [(k, a[k], b[k]) for k in a if a[k] != b[k]][:5]
