@@ -38,10 +38,11 @@ def validity_disagreements(records: DataFrame) -> DataFrame:
 
 def reaction_to_input(base: DataFrame, changed: DataFrame, keys) -> DataFrame:
     """Per method: on how many (window, target) pairs the estimate changes when
-    the input does."""
+    the input does.  Forecasts are arrays until they are exploded, so the planner thinks them small enough to collect
+    for a broadcast; the hint keeps the join shuffled."""
     a = base.select(*keys, "method", F.col("estimate_raw").alias("e0"))
     b = changed.select(*keys, "method", F.col("estimate_raw").alias("e1"))
-    return a.join(b, [*keys, "method"]).groupBy("method").agg(
+    return a.join(b.hint("merge"), [*keys, "method"]).groupBy("method").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("e0").eqNullSafe(F.col("e1")), 1)).alias("n_changed"))
 
 

@@ -68,3 +68,17 @@ def test_spreads_stay_in_the_window_row(spark, monkeypatch):
         a, b = ({tuple(r[:-1]): r[-1] for r in x.collect()} for x in (df, call()))
         assert len(a) == df.count() and a.keys() == b.keys()
         assert all(a[k] == b[k] or a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-12) for k in a), [(k, a[k], b[k]) for k in a if a[k] != b[k]][:5]
+
+
+def test_spreads_are_not_collected_for_a_broadcast(spark, tmp_path):
+    """A small file of windows becomes many spreads: none of them may pass through the driver."""
+    keys = ("curve_id", "depth", "noise", "n_f", "method")
+    _windows(spark).withColumns({"depth": F.size("ys"), "noise": F.lit(0.005)}).coalesce(1).write.parquet(f"{tmp_path}/w")
+    w = spark.read.parquet(f"{tmp_path}/w")
+    records = forecast(w, ST.DIAG_METHODS).select(*keys, "estimate_raw")
+    records.coalesce(1).write.parquet(f"{tmp_path}/r")
+    got = D.with_spreads(spark.read.parquet(f"{tmp_path}/r"), w, ST.DIAG_METHODS, keys)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r[:-1]): r[-1] for r in D.shift_iqr(w, ST.DIAG_METHODS).collect()}
+    rows = got.collect()
+    assert len(rows) == records.count() and all(r.shift_iqr == want.get(tuple(r[k] for k in keys)) for r in rows)
