@@ -65,16 +65,34 @@ def prefix_lengths(size: int, num: int, den: int) -> tuple[int, int]:
     return size - -(-num * size // den) + 1, size - -(-2 * num * size // (num + den)) + 1
 
 
+def _repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur at least HOT_HERE times (twice or more), and how often; ``values`` are sorted in place."""
+    values.sort()
+    same = np.concatenate([[False], values[1:] == values[:-1], [False]])
+    first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+    often = last - first + 1 >= HOT_HERE
+    return values[first[often]].view(np.int64), (last - first + 1)[often].astype(np.int64)
+
+
+def _lists(parts: dict[int, tuple[np.ndarray, np.ndarray]], rows: int) -> pa.ListArray:
+    """Lists of (g, c) for the rows named in ``parts``, null for all others; numbers never become Python objects."""
+    lengths = np.zeros(rows + 1, np.int32)
+    for i, (g, _) in parts.items():
+        lengths[i + 1] = len(g)
+    flat = [pa.array(np.concatenate([np.empty(0, np.int64), *[parts[i][k] for i in sorted(parts)]])) for k in (0, 1)]
+    empty = np.array([i not in parts for i in range(rows)] + [False])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32), mask=empty), pa.StructArray.from_arrays(flat, names=["g", "c"]))
+
+
 def _sets(docs: DataFrame, key: str, text: str, n: int, seed: int) -> DataFrame:
     """Per document: key, size, digest and cell counts of its set; a batch's last row lists frequent n-grams."""
     schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("size", T.LongType()), T.StructField("digest", T.BinaryType()),
                            T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("hot", T.ArrayType(T.StructType([T.StructField("g", T.LongType()), T.StructField("c", T.LongType())])))])
-    kind = pa.list_(pa.struct([("g", pa.int64()), ("c", pa.int64())]))
 
     def run(batches):
         shingler = Shingler(n, seed)
         for batch in batches:
-            sizes, digests, cells, hot, held, waiting, here = [], [], [], [], [], 0, set()
+            sizes, digests, cells, hot, held, waiting, here = [], [], [], {}, [], 0, set()
             for data in batch.column(1).cast(pa.binary()):
                 g = shingler.grams(data.as_py())
                 sizes.append(len(g))
@@ -84,14 +102,11 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, seed: int) -> DataFrame:
                     here.add(digests[-1])
                     held.append(g)
                     waiting += len(g)
-                frequent = None
                 if held and (waiting >= HOT_CHUNK or len(sizes) == batch.num_rows):
-                    values, counts = np.unique(np.concatenate(held), return_counts=True)
-                    often = counts >= HOT_HERE
-                    frequent = [{"g": a, "c": b} for a, b in zip(values[often].view(np.int64).tolist(), counts[often].tolist())]
+                    values = np.concatenate(held)
                     held, waiting, here = [], 0, set()
-                hot.append(frequent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(cells, pa.list_(pa.int32())), pa.array(hot, kind)],
+                    hot[len(sizes) - 1] = _repeated(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(cells, pa.list_(pa.int32())), _lists(hot, len(sizes))],
                                              names=schema.names)
 
     return docs.select(F.col(key).alias("k"), text_of(text).alias("t")).mapInArrow(run, schema)

@@ -102,6 +102,7 @@ FEATURES = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", p
             ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.struct([("i", pa.int32()), ("n", pa.int64())]))))
 _SPARK = (*[T.LongType()] * 5, T.ArrayType(T.LongType()), T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("n", T.LongType())])))
 MARK = "__quality_"
+SLICE = 256                    # rows measured before they leave as Arrow: their counts are Python objects until then
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -110,11 +111,12 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            data = batch.column(at).cast(pa.binary())
-            rows = [measure(data[i].as_py() or b"") for i in range(len(data))]
-            new = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(FEATURES)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[MARK + n for n, _ in FEATURES]])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                rows = [measure(v.as_py() or b"") for v in batch.column(at).cast(pa.binary())]
+                new = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(FEATURES)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[MARK + n for n, _ in FEATURES]])
 
     return docs.mapInArrow(run, schema)
 

@@ -198,3 +198,33 @@ def test_the_better_of_two_notices_stays(spark):
 def test_short_templates_are_refused(spark):
     with pytest.raises(ValueError):
         licenses.find_licenses(cases.documents(spark), templates=[("x", "two words")])
+
+
+def test_frequent_ngrams_as_arrow_lists():
+    import numpy as np
+    from tailcast.llm import jaccard
+    values = np.array([5, 2**63 + 1, 7, 5, 2**63 + 1, 5, 9], np.uint64)
+    g, c = jaccard._repeated(values.copy())
+    assert dict(zip(g.view(np.uint64).tolist(), c.tolist())) == {5: 3, 2**63 + 1: 2}
+    empty = jaccard._repeated(np.empty(0, np.uint64))
+    assert jaccard._lists({1: (g, c), 3: empty}, 4).to_pylist() == [None, [{"g": 5, "c": 3}, {"g": 1 - 2**63, "c": 2}], None, []]
+    assert jaccard._lists({}, 2).to_pylist() == [None, None]
+
+
+def test_quality_hands_rows_on_in_slices():
+    """A batch of documents leaves in parts, so that no worker holds the counts of all of it as Python objects."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from tailcast.llm import quality
+
+    class Docs:
+        columns, schema = ["k", "t"], T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+    texts = [None if i % 7 == 0 else "the of word " * (i % 5) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["k", "t"])
+    out = list(quality.with_features(Docs(), "t")(iter([batch])))
+    assert max(b.num_rows for b in out) <= quality.SLICE
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["k"] for r in rows] == list(range(1000)) and [r["__quality_n_words"] for r in rows] == [len((t or "").split()) for t in texts]
