@@ -69,11 +69,14 @@ def _error_key(digits):
     return F.col("err") if digits is None else F.round("err", digits)
 
 
+def _pilot_key(digits):
+    return F.when(F.col("err").isNotNull(), F.struct(_error_key(digits).alias("e"), F.col("registry_index")))
+
+
 def choose_one_pilot(rows: DataFrame, digits: int | None = None, cell=CELL, run=RUN) -> DataFrame:
     """Per (pool, run as pilot): the member with the lowest valid error there,
     ties by registry order; NULL when no member is valid."""
-    key = F.when(F.col("err").isNotNull(), F.struct(_error_key(digits).alias("e"), F.col("registry_index")))
-    return rows.groupBy("pool", *cell, run).agg(F.min_by("method", key).alias("chosen"))
+    return rows.groupBy("pool", *cell, run).agg(F.min_by("method", _pilot_key(digits)).alias("chosen"))
 
 
 def cell_runs(facts: DataFrame, cell=CELL) -> DataFrame:
@@ -81,15 +84,15 @@ def cell_runs(facts: DataFrame, cell=CELL) -> DataFrame:
     return facts.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_runs"))
 
 
-def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None, cell=CELL, run=RUN) -> DataFrame:
-    """Per (pool, run as final): the member with the lowest median error over the
-    other runs among those valid on enough of them.  Leaving one value out moves
-    a median by at most one place, so three middle order statistics per (cell,
-    method) give every leave-one-out median."""
+def _with_others_key(rows: DataFrame, runs: DataFrame, min_valid: float, digits: int | None, cell) -> DataFrame:
+    """Rows with ``_others``, by which the other runs order the members.  Leaving one value out moves
+    a median by at most one place, so three middle order statistics per (cell, method) give every leave-one-out
+    median.  A method has the same rows in every pool, so one pool's rows are ordered."""
     half = lambda n: F.floor(n / 2)                                   # noqa: E731
-    mid = settled(order_statistics(rows, ["pool", *cell, "method"], "err", {
+    once = rows.join(F.broadcast(rows.groupBy("method").agg(F.min("pool").alias("pool"))), ["method", "pool"], "left_semi")
+    mid = settled(order_statistics(once, [*cell, "method"], "err", {
         "x0": lambda n: half(n) - 1, "x1": half, "x2": lambda n: half(n) + 1}), "middles")
-    r = rows.join(mid, ["pool", *cell, "method"], "left").join(runs, list(cell))
+    r = rows.join(mid, [*cell, "method"], "left").join(runs, list(cell))
     e, k = F.col("err"), F.floor(F.col("n") / 2)
     even = (F.col("n") % 2) == 0
     full = F.when(even, (F.col("x0") + F.col("x1")) / 2.0).otherwise(F.col("x1"))
@@ -100,40 +103,58 @@ def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK
     loo = F.when(e.isNull(), full).when(F.col("n") == 1, F.lit(None)).when(even, left_even).otherwise(left_odd)
     others = F.coalesce(F.col("n"), F.lit(0)) - F.when(e.isNull(), 0).otherwise(1)
     ok = F.coalesce((F.col("n_runs") > 1) & (others / F.greatest(F.col("n_runs") - 1, F.lit(1)) >= min_valid) & loo.isNotNull(), F.lit(False))
-    key = F.when(ok, F.struct((loo if digits is None else F.round(loo, digits)).alias("m"), F.col("registry_index")))
-    return r.groupBy("pool", *cell, run).agg(F.min_by("method", key).alias("chosen"))
-
-
-def one_pilot_trials(rows: DataFrame, choices: DataFrame, cell=CELL, run=RUN) -> DataFrame:
-    """(run, method) rows with the number of trials they stand for."""
-    counts = choices.groupBy("pool", *cell, "chosen").agg(F.count(F.lit(1)).alias("c"))
-    own = choices.withColumnRenamed("chosen", "own")
-    picked = (rows.join(counts.filter("chosen IS NOT NULL").withColumnRenamed("chosen", "method"), ["pool", *cell, "method"])
-              .join(own, ["pool", *cell, run])
-              .select("pool", *cell, run, "method", "err", "cat",
-                      (F.col("c") - F.coalesce(F.col("own") == F.col("method"), F.lit(False)).cast("int")).alias("w")))
-    none = (own.join(counts.filter("chosen IS NULL").drop("chosen"), ["pool", *cell])
-            .select("pool", *cell, run, F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("err"),
-                    F.lit(1).alias("cat"), (F.col("c") - F.col("own").isNull().cast("int")).alias("w")))
-    return picked.unionByName(none).filter("w > 0")
-
-
-def many_pilot_trials(rows: DataFrame, choices: DataFrame, cell=CELL, run=RUN) -> DataFrame:
-    """One trial per final run: the chosen method's record on that run."""
-    multi = choices.groupBy("pool", *cell).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
-    c = choices.join(multi, ["pool", *cell], "left_semi").withColumnRenamed("chosen", "method")
-    return c.join(rows.select("pool", *cell, run, "method", "err", "cat"), ["pool", *cell, run, "method"], "left").select(
-        "pool", *cell, run, "method", "err", F.coalesce("cat", F.lit(1)).alias("cat"), F.lit(1).cast("long").alias("w"))
-
-
-def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL, run=RUN) -> DataFrame:
-    """Statistics per design, pool and cell; ``trials`` has both designs in one table, which is written
-    once and aggregated in one pass."""
+    return r.withColumn("_others", F.when(ok, F.struct((loo if digits is None else F.round(loo, digits)).alias("m"), F.col("registry_index"))))
+
+
+def choose_many_pilots(rows: DataFrame, runs: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None, cell=CELL, run=RUN) -> DataFrame:
+    """Per (pool, run as final): the member with the lowest median error over the
+    other runs among those valid on enough of them."""
+    return _with_others_key(rows, runs, min_valid, digits, cell).groupBy("pool", *cell, run).agg(F.min_by("method", "_others").alias("chosen"))
+
+
+def choose_both(rows: DataFrame, runs: DataFrame, min_valid: float = RANK_MIN_VALID, digits: int | None = None, cell=CELL, run=RUN) -> DataFrame:
+    """Both choices of a run in one grouping: ``own`` as one pilot, ``final`` by the other runs."""
+    return _with_others_key(rows, runs, min_valid, digits, cell).groupBy("pool", *cell, run).agg(
+        F.min_by("method", _pilot_key(digits)).alias("own"), F.min_by("method", "_others").alias("final"))
+
+
+def trial_rows(rows: DataFrame, choices: DataFrame, cell=CELL, run=RUN) -> DataFrame:
+    """(design, run, method) rows with the number of trials they stand for; ``choices`` has both choices of each run and its facts.
+
+    One pilot: a method stands for the pilots that chose it, less the run itself.  Many pilots: one trial per final
+    run of a cell of two or more.  The records meet the choices once and give the rows of both designs."""
+    keys = ["pool", *cell]
+    facts = ["e_default", "e_last", "cat_default"]
+    counts = choices.filter("own IS NOT NULL").groupBy(*keys, F.col("own").alias("method")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = choices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("own").isNull(), 1)).alias("_none"))
+    many, one = F.lit(1).cast("long"), F.lit(0).cast("long")
+    is_own = F.coalesce(F.col("own") == F.col("method"), F.lit(False)).cast("int")
+    is_final = F.coalesce((F.col("_n") >= 2) & (F.col("final") == F.col("method")), F.lit(False))
+
+    def design(name, weight, cat):
+        return F.struct(F.lit(name).alias("design"), cat.cast("int").alias("cat"), weight.alias("w"))
+
+    def both(df, *designs):
+        return df.select(*keys, run, "method", "err", *facts, F.explode(F.filter(F.array(*designs), lambda d: d["w"] > 0)).alias("_d")).select(
+            "_d.design", *keys, run, "method", "err", "_d.cat", "_d.w", *facts)
+
+    met = rows.select(*keys, run, "method", "err", "cat").join(choices.join(sizes, keys), [*keys, run]).join(counts, [*keys, "method"], "left")
+    picked = both(met, design("one_pilot", F.coalesce("_c", one) - is_own, F.col("cat")),
+                  design("many_pilots", F.when(is_final, many).otherwise(one), F.coalesce("cat", F.lit(1))))
+    bare = choices.filter(F.col(run).isNotNull()).join(sizes, keys).withColumns({"method": F.lit(None).cast("string"), "err": F.lit(None).cast("double")})
+    none = both(bare, design("one_pilot", F.col("_none") - F.col("own").isNull().cast("int"), F.lit(1)),
+                design("many_pilots", F.when((F.col("_n") >= 2) & F.col("final").isNull(), many).otherwise(one), F.lit(1)))
+    return picked.unionByName(none)
+
+
+def cell_statistics(trials: DataFrame, facts: DataFrame, cell=CELL) -> DataFrame:
+    """Statistics per design, pool and cell; ``trials`` has both designs and the facts of the run in one table, which is
+    written once and aggregated in one pass."""
     e, d, last, w = F.col("err"), F.col("e_default"), F.col("e_last"), F.col("w")
     ok = e.isNotNull()
     order = F.element_at(F.create_map(*[x for m, i in REGISTRY_INDEX.items() for x in (F.lit(m), F.lit(i))]), F.col("method"))
     keys = ["design", "pool", *cell]
-    t = trials.join(facts, [*cell, run]).select(
+    t = trials.select(
         *keys, "method", "err", "cat", "w", "e_default", "e_last", "cat_default",
         F.when(ok & (d > RATIO_EPS), e / F.when(d > RATIO_EPS, d)).alias("_ratio"))
     t = settled(t, "trials")
@@ -165,13 +186,8 @@ def selection_cells(records: DataFrame, uncapped: DataFrame, pools: DataFrame, m
     tables so that the records are joined to the pools once."""
     rows = keep("rows", trial_records(records, uncapped, pools, cell, run))
     facts = keep("facts", run_facts(records, uncapped, cell, run))
-    first = choose_one_pilot(rows, digits, cell, run).withColumn("design", F.lit("one_pilot"))
-    others = choose_many_pilots(rows, cell_runs(facts, cell), min_valid, digits, cell, run).withColumn("design", F.lit("many_pilots"))
-    both = keep("choices", first.unionByName(others))
-    of = lambda design: both.filter(F.col("design") == design).drop("design")
-    trials = (one_pilot_trials(rows, of("one_pilot"), cell, run).withColumn("design", F.lit("one_pilot"))
-              .unionByName(many_pilot_trials(rows, of("many_pilots"), cell, run).withColumn("design", F.lit("many_pilots"))))
-    return cell_statistics(trials, facts, cell, run)
+    choices = keep("choices", choose_both(rows, cell_runs(facts, cell), min_valid, digits, cell, run).join(facts, [*cell, run], "left"))
+    return cell_statistics(trial_rows(rows, choices, cell, run), facts, cell)
 
 
 def pooled_selection(cells: DataFrame, classes) -> DataFrame:

@@ -309,3 +309,18 @@ def test_keyed_diff_descends_only_where_sides_differ(spark, monkeypatch):
     assert H.compare_tables(left, left, ["a", "k"], ["v", "c"]).first().asDict() == {"n_both": 2999, "only_left": 0, "only_right": 0, "diff_v": 0, "diff_c": 0}
     monkeypatch.setattr(H, "KNOWN_RANGES", 0)
     assert H.compare_tables(left, right, ["a", "k"], ["v", "c"]).first().asDict() == got
+
+
+def test_large_groups_settle_small_tables_first(spark, tmp_path, monkeypatch):
+    """Few groups of many rows: sizes and wanted buckets are small tables by the time the rows meet them, and the picked rows are few."""
+    from tailcast.functions import quantiles as Q
+    spark.range(200_000).selectExpr("cast(id % 2 as string) as g", "rand(1) as v", "rand(2) as u").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    want = {r.g: (r.a, r.b) for r in Q.grouped(df, ["g"], [], {"a": ("v", 0.5), "b": ("u", 0.25)}).collect()}
+    kept, settled = {}, Q.settled
+    monkeypatch.setattr(Q, "GROUP_ROWS", 1000)
+    monkeypatch.setattr(Q, "settled", lambda df, name: kept.setdefault(name, settled(df, name)))
+    got = Q.grouped(df, ["g"], [], {"a": ("v", 0.5), "b": ("u", 0.25)})
+    assert {r.g: (r.a, r.b) for r in got.collect()} == want
+    rows = {name: table.count() for name, table in kept.items()}
+    assert rows["groups"] == 2 and rows["buckets"] <= 8 and rows["picked"] < 40_000

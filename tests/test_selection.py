@@ -116,3 +116,17 @@ def test_medians_without_a_fold_equal_direct_ones(spark, within):
                     a, b = rest[(len(rest) - 1) // 2], rest[len(rest) // 2]
                     want[(*g, method, fold)] = a if a == b else a + (b - a) / 2
     assert got == want
+
+
+def test_both_choices_in_one_grouping(spark):
+    import random
+    rnd = random.Random(3)
+    names = ["richardson_1", "rational_fit", "shanks_1"]
+    rows = [("p", "f", 0, 30, 0.0, 0.5, f"r{i}", m, None if rnd.random() < 0.3 else round(rnd.random(), 2), 0, k) for i in range(12) for k, m in enumerate(names)]
+    rows += [("q", *r[1:]) for r in rows if r[7] != "shanks_1"]
+    df = spark.createDataFrame(rows, "pool string, family string, is_holdout int, depth int, noise double, target_g double, curve_id string, method string, err double, cat int, registry_index int").persist()
+    runs = L.cell_runs(df.select(*L.CELL, "curve_id").distinct())
+    key = lambda r: (r.pool, r.curve_id)
+    own, final = ({key(r): r.chosen for r in x.collect()} for x in (L.choose_one_pilot(df), L.choose_many_pilots(df, runs, 0.5)))
+    got = L.choose_both(df, runs, 0.5).collect()
+    assert {key(r): (r.own, r.final) for r in got} == {k: (own[k], final[k]) for k in own} and len(got) == 24
