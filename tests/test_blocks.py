@@ -1,7 +1,10 @@
 """Methods on blocks against their Column form, and the size of the plan."""
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tailcast.functions import blocks, fits
 from tailcast.operators import diagnostics as D
 from tailcast.operators import ladders
 from tailcast.operators.curves import summarise
@@ -82,3 +85,35 @@ def test_spreads_are_not_collected_for_a_broadcast(spark, tmp_path):
     want = {tuple(r[:-1]): r[-1] for r in D.shift_iqr(w, ST.DIAG_METHODS).collect()}
     rows = got.collect()
     assert len(rows) == records.count() and all(r.shift_iqr == want.get(tuple(r[k] for k in keys)) for r in rows)
+
+
+def test_windows_of_equal_steps_share_the_basis_of_grid_fits(monkeypatch):
+    """A block of windows over the same steps computes the first grid once, and every row is what it is when fitted alone."""
+    rng = np.random.default_rng(3)
+    x = np.tile(np.arange(1.0, 31.0), (40, 1))
+    x[30:] += np.cumsum(rng.integers(1, 4, (10, 30)), axis=1)
+    y = 0.1 + rng.random((40, 1)) / np.sqrt(x) + 0.01 * rng.standard_normal(x.shape)
+    y[3], y[4] = np.nan, 0.25
+    limits, made, basis = rng.random(40) * 0.1, [], fits._basis
+    monkeypatch.setattr(fits, "_basis", lambda kind, x, p: made.append(len(p)) or basis(kind, x, p))
+    for kind in fits.ONE_TERM:
+        for more in ((), (limits, (0.0, 5.0))):
+            made.clear()
+            together = fits.fit_one_term(kind, x, y, *more)
+            assert made[0] == 11 and max(made) <= 40
+            alone = [fits.fit_one_term(kind, x[i:i + 1], y[i:i + 1], *(more and (limits[i:i + 1], more[1]))) for i in range(40)]
+            assert np.array_equal(together, np.concatenate(alone), equal_nan=True)
+
+
+def test_the_whole_window_is_not_computed_again_for_its_shifts(spark, monkeypatch):
+    sizes, block = [], blocks.block
+    monkeypatch.setattr(blocks, "block", lambda names, x, y, limit, t: sizes.append(y.shape[1]) or block(names, x, y, limit, t))
+    series = [[1.0 / n + 0.01 for n in range(1, 13)], [0.5 + (-0.7) ** n for n in range(1, 13)]]
+    xs, limit, targets = pa.array([[float(n) for n in range(1, 13)]] * 2), pa.array([0.0, 0.0]), pa.array([[20], [30]])
+    names, moved = ["linear", "richardson_1", "shanks_1"], ["shanks_1", "richardson_1"]
+    got = blocks.estimates(names, moved, (0, 0, 0, 1, 2)).func(xs, pa.array(series), limit, targets).to_pylist()
+    assert sorted(sizes) == [10, 11, 12]
+    for y, t, row in zip(series, (20, 30), got):
+        x = np.arange(1.0, 13.0)
+        cut = [block(moved, x[None, s:], np.array([y])[:, s:], np.zeros(1), np.array([[float(t)]]))[0, 0] for s in (0, 0, 0, 1, 2)]
+        assert row[3:] == [float(v) for v in blocks.spread(np.stack(cut, axis=-1))]
