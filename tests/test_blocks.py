@@ -117,3 +117,17 @@ def test_the_whole_window_is_not_computed_again_for_its_shifts(spark, monkeypatc
         x = np.arange(1.0, 13.0)
         cut = [block(moved, x[None, s:], np.array([y])[:, s:], np.zeros(1), np.array([[float(t)]]))[0, 0] for s in (0, 0, 0, 1, 2)]
         assert row[3:] == [float(v) for v in blocks.spread(np.stack(cut, axis=-1))]
+
+
+def test_estimates_and_spreads_meet_without_a_join(spark):
+    """Packed rows hold, per window and target, what joining both spreads to the records gives; nothing is shuffled on the way."""
+    from tailcast.operators.forecast import packed, unpacked
+    keys = ("curve_id", "depth", "noise", "n_f", "method")
+    again = F.concat("targets", F.filter("targets", lambda t: t["n_f"] % 2 == 0))
+    w = _windows(spark).withColumns({"depth": F.size("ys"), "noise": F.lit(0.005), "targets": again}).persist()
+    rows = D.packed_with_spreads(w, ST.DIAG_METHODS, keys)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == packed(w, ST.DIAG_METHODS).count()
+    got = unpacked(rows, ST.DIAG_METHODS, D.SPREADS).select(*keys, "estimate_raw", *D.SPREADS).collect()
+    want = D.with_spreads(forecast(w, ST.DIAG_METHODS), w, ST.DIAG_METHODS, keys).select(*keys, "estimate_raw", *D.SPREADS).collect()
+    order = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(tuple, got), key=order) == sorted(map(tuple, want), key=order) and any(r.shift_iqr for r in got)
