@@ -131,3 +131,19 @@ def test_estimates_and_spreads_meet_without_a_join(spark):
     want = D.with_spreads(forecast(w, ST.DIAG_METHODS), w, ST.DIAG_METHODS, keys).select(*keys, "estimate_raw", *D.SPREADS).collect()
     order = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(map(tuple, got), key=order) == sorted(map(tuple, want), key=order) and any(r.shift_iqr for r in got)
+
+
+def test_features_of_blocks_equal_the_columns(spark):
+    """All features of a window, also of short ones, flat ones and ones at zero; no value passes through a lambda but the fit's."""
+    from tailcast.operators import features as FE
+    from tailcast.settings import FEATURES
+    w = _windows(spark)
+    for n in (1, 2, 3, 4, 6, None):
+        part = w if n is None else summarise(w.withColumns({c: F.slice(c, 1, n) for c in ("xs", "ys")}))
+        new, old = FE.features(part), FE.column_features(part)
+        assert new.columns == old.columns and "lambdafunction" not in new.select(*FEATURES)._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")[0]
+        a, b = ({r.curve_id: [r[f] for f in FEATURES] for r in x.collect()} for x in (new, old))
+        assert a.keys() == b.keys()
+        for k in a:
+            assert [v is None for v in a[k]] == [v is None for v in b[k]], (n, k, a[k], b[k])
+            assert all(x is None or x == pytest.approx(y, rel=1e-9, abs=1e-12) for x, y in zip(a[k], b[k])), (n, k, a[k], b[k])
