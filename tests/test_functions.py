@@ -88,6 +88,28 @@ def test_average_rank_and_spearman(spark):
     assert got["flat"].spearman_r is None                     # a constant has no rank correlation
 
 
+@pytest.mark.parametrize("heavy", [10_000, 5])
+def test_spearman_with_totals_moves_a_pair_twice(spark, monkeypatch, heavy):
+    """Groups and their total from one ranking each way, with ties, a value that fills a bucket, zeros of both signs, infinities and missing values."""
+    monkeypatch.setattr(K, "HEAVY", heavy)
+    rnd = random.Random(11)
+    rows = [(m, d, rnd.choice([0.0, -0.0, 0.0, rnd.random(), round(rnd.random(), 1), float("inf"), -rnd.random(), None]), rnd.choice([rnd.random(), 0.25, 1e-9 * rnd.random()]))
+            for m in ("a", "b", None) for d in ("p", "s") for _ in range(120)]
+    df = spark.createDataFrame(rows, "method string, d string, x double, y double")
+    got = {(r.method, r.d): (r.spearman_r, r.n) for r in K.spearman(df, ["method", "d"], "x", "y", 5, total="method").collect()}
+
+    def rank(v):
+        s = sorted(v)
+        return np.array([s.index(a) + (s.count(a) + 1) / 2 for a in v])
+    assert set(got) == {(m, d) for m in ("a", "b", "ALL") for d in "ps"}
+    for (m, d), (rho, n) in got.items():
+        pick = [(r[2], r[3]) for r in rows if r[1] == d and r[2] is not None and m in ("ALL", r[0])]
+        assert n == len(pick) and rho == pytest.approx(np.corrcoef(rank([p[0] for p in pick]), rank([p[1] for p in pick]))[0, 1], abs=1e-12)
+    rows = df.select(F.when(F.col("d") == "p", 1).otherwise(2).cast("long").alias("_g"), F.lit(1).cast("long").alias("_o"), "x", "y").na.drop()
+    plan = K._ranked(rows, rows, "x", ["y"], True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_p") == 1
+
+
 def test_auc(spark):
     rnd = random.Random(4)
     rows = [(float(rnd.randint(0, 8)), rnd.random() < 0.4) for _ in range(50)]
