@@ -367,8 +367,8 @@ def _(spark, sf):
     from tailcast.operators.ensembles import derive_excluded
     x = F.broadcast(derive_excluded(ST.cells(spark, sf)).select("method", "dangerous"))
     f = ST.gap_features(spark, sf).select("curve_id", "depth", "noise", F.col("log_log_slope").alias("casc_slope"), F.col("richardson_r2").alias("casc_r2"))
-    return (ST.diag_records(spark, sf).select(*REC, "error", "catastrophic").join(x, "method", "left")
-            .join(f, ["curve_id", "depth", "noise"]).withColumn("dangerous", F.coalesce("dangerous", F.lit(0))))
+    r = ST.diag_records(spark, sf, f).select(*REC, "error", "catastrophic", "casc_slope", "casc_r2").join(x, "method", "left")
+    return r.select("curve_id", "depth", "noise", "method", "target_g", "error", "catastrophic", F.coalesce("dangerous", F.lit(0)).alias("dangerous"), "casc_slope", "casc_r2")
 
 
 @query("e16_cascade_windows")

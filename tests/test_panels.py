@@ -50,3 +50,41 @@ def test_pooled_keeps_capped_only_method(spark):
     out = {r.method: r for r in P.pooled_table(spark.createDataFrame([row("a", "x", 0, 0.9), row("a", "y", 0, 1.0), row("b", "x", 1, 1.0)], cols)).collect()}
     assert out["a"].n_cells == 2 and out["a"].valid_rate == 0.95 and out["a"].n_families == 2
     assert out["b"].n_cells == 0 and out["b"].med_error is None and out["b"].n_capped_excluded == 1
+
+
+def test_packed_cells_equal_cells_of_records(spark, monkeypatch):
+    """Cells from packed estimates are those of the records: invalid and missing estimates, exact and missing references, equal rows, a missing truth."""
+    import random
+    from tailcast.operators.methods import method_table
+    from tailcast.plans import study as ST
+    rnd = random.Random(5)
+    methods = [m for m in ST.STUDY_METHODS][:11]
+    est = lambda: rnd.choice([None, rnd.random(), 0.25, 600.0, float("inf"), -0.6, rnd.random() / 100])
+    rows = [(f"c{i}", rnd.choice("ab"), 0, 30, 0.0, rnd.choice([0.5, 0.1]), rnd.choice([0, 1]), rnd.choice([40, 50, 61]), rnd.choice([None, 0.5, 0.4]), rnd.choice([None, 0.25, 0.25, rnd.random()]),
+             rnd.choice([None, 0.25, rnd.random()]), 0.25 if i % 3 else rnd.random(), rnd.random(), rnd.choice([0.25, 700.0]), 1.0, [est() for _ in methods]) for i in range(80)]
+    df = spark.createDataFrame(rows + rows[:3], "curve_id string, family string, is_holdout int, depth int, noise double, target_g double, capped int, n_f int, achieved_g double, "
+                               "true_val double, L_hat double, last_v double, mean_v double, min_v double, max_v double, ests array<double>")
+    dim = method_table(spark)
+    records = ST.scored(spark, df, methods)
+    want = P.cell_table(records)
+    got = P.packed_cell_table(df, methods, dim, lambda: records)
+    assert got.dtypes == want.dtypes
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda r: (r.method, r.family, r.target_g)
+    a, b = ({key(r): r for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in got.columns:
+            assert a[k][c] == b[k][c] or a[k][c] == pytest.approx(b[k][c], rel=1e-9), (k, c)
+    monkeypatch.setattr(P, "CELL_ROWS", 3)                    # larger cells take the way without a bound
+    assert {key(r) for r in P.packed_cell_table(df, methods, dim, lambda: records).collect()} == a.keys()
+
+
+def test_choices_meet_records_in_place(spark):
+    """A left join of choices and records, with repeated choices and records and one choice without a record; the choices go to the records."""
+    choices = spark.createDataFrame([("A", "x", "s1"), ("A", "x", "s2"), ("B", "y", "s1"), ("C", "x", "s1"), ("A", "x", "s2")], "cell string, method string, selector string")
+    records = spark.createDataFrame([("A", "x", 1, 0.1), ("A", "x", 1, 0.1), ("A", "y", 2, 0.2), ("B", "y", 3, None)], "cell string, method string, run int, error double")
+    from tailcast.operators import pairing as H
+    got, want = H.chosen_records(choices, records, ["cell"]), choices.join(records, ["cell", "method"], "left")
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 1
