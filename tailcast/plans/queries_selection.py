@@ -15,6 +15,7 @@ from tailcast.operators import selection as L
 from tailcast.operators import stats as K
 from tailcast.operators import sweeps as W
 from tailcast.operators.features import features
+from tailcast.operators.forecast import packed
 from tailcast.operators.methods import classical_methods
 from tailcast.operators.scoring import score
 from tailcast.plans import study as ST
@@ -231,8 +232,12 @@ CONSUMERS = ("richardson_1", "single_exp_fit", "rational_fit", "log_fit", "log_l
 SWEPT = CONSUMERS + ("last_value", "window_mean", "window_min")
 
 
+def _mode_base(spark, sf):
+    return ST.gap_windows(spark, ST.curves(spark, sf), ST.horizons(spark, sf), true_limit=F.lit(0.01))
+
+
 def _mode_windows(spark, sf):
-    return W.across_modes(ST.gap_windows(spark, ST.curves(spark, sf), ST.horizons(spark, sf), true_limit=F.lit(0.01)), MODES)
+    return W.across_modes(_mode_base(spark, sf), MODES)
 
 
 def _mode_records(spark, sf):
@@ -265,8 +270,10 @@ def _(spark, sf):
 
 @query("w2_multi_term_consumers")
 def _(spark, sf):
-    """The sums of terms under every assumed limit: the other three of the eleven."""
-    recs = settled(ST.records_of(spark, _mode_windows(spark, sf), ST.MULTI_TERM_METHODS), "term-records")
+    """The sums of terms under every assumed limit: the other three of the eleven.  Their fits read the window alone, so a window
+    is fitted once and its estimates meet every mode, whose limits they are scored against."""
+    fitted = settled(packed(_mode_base(spark, sf), ST.MULTI_TERM_METHODS), "term-estimates")
+    recs = ST.scored(spark, W.across_modes(fitted, MODES), ST.MULTI_TERM_METHODS)
     return W.consumer_table(recs).select("assumed_mode", "method", "target_g", "noise_level", "regime_set", "n", "valid_rate", "cat_rate",
                                          "med_error", "med_skill", "win_rate_vs_last")
 

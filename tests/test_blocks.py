@@ -147,3 +147,21 @@ def test_features_of_blocks_equal_the_columns(spark):
         for k in a:
             assert [v is None for v in a[k]] == [v is None for v in b[k]], (n, k, a[k], b[k])
             assert all(x is None or x == pytest.approx(y, rel=1e-9, abs=1e-12) for x, y in zip(a[k], b[k])), (n, k, a[k], b[k])
+
+
+def test_sums_of_terms_are_fitted_once_for_all_modes(spark, monkeypatch):
+    """The table of estimates has one row per window and target, and every mode gets the records that fitting its windows gives."""
+    from tailcast.operators import sweeps
+    from tailcast.plans import queries_selection as QS
+    from tailcast.plans.catalog import QUERIES
+    w = _windows(spark).withColumns({"family": F.lit("f"), "is_holdout": F.lit(0), "depth": F.size("ys"), "noise": F.lit(0.0), "targets": F.transform("targets", lambda t: F.struct(
+        F.lit(0.5).alias("target_g"), t["n_f"].alias("n_f"), F.lit(0.5).alias("achieved_g"), F.lit(0).alias("capped"), t["true_val"].alias("true_val")))}).persist()
+    seen = []
+    monkeypatch.setattr(QS, "_mode_base", lambda s, sf: w)
+    monkeypatch.setattr(QS, "settled", lambda df, name: seen.append(df.persist()) or seen[-1])
+    got = QUERIES["w2_multi_term_consumers"](spark, "")
+    want = sweeps.consumer_table(ST.records_of(spark, sweeps.across_modes(w, QS.MODES), ST.MULTI_TERM_METHODS)).select(got.columns)
+    key = lambda r: tuple(map(str, r[:5]))
+    a, b = ({key(r): r[5:] for r in x.collect()} for x in (got, want))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+    assert seen[0].count() == w.select(F.explode("targets")).count()
