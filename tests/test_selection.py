@@ -130,3 +130,33 @@ def test_both_choices_in_one_grouping(spark):
     own, final = ({key(r): r.chosen for r in x.collect()} for x in (L.choose_one_pilot(df), L.choose_many_pilots(df, runs, 0.5)))
     got = L.choose_both(df, runs, 0.5).collect()
     assert {key(r): (r.own, r.final) for r in got} == {k: (own[k], final[k]) for k in own} and len(got) == 24
+
+
+def test_selectors_of_packed_rows_equal_those_of_records(spark):
+    """Ensembles and oracles of a row of arrays are those of its records, with invalid estimates, missing spreads and truths, an excluded method; rows that share a group too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tailcast.operators import diagnostics as D
+    from tailcast.plans import study as ST
+    rnd = random.Random(6)
+    methods = [m for m in ST.DIAG_METHODS if m in EN.SMALL_POOL or m in EN.TRIVIALS or m in ("linear", "neville_2")]
+    est = lambda: rnd.choice([None, rnd.random(), 0.25, 600.0, rnd.random()])
+    rows = [("f", 0, f"c{i}", 30, 0.0, 0.5, i % 2, 40, 0.5, rnd.choice([None, 0.25, rnd.random()]), 0.2, 0.25, rnd.random(), 0.2, 1.0, [None if i == 7 else est() for _ in methods],
+             [rnd.choice([None, 0.0, 0.3, 2.0 * rnd.random()]) for _ in methods], [0.0 for _ in methods]) for i in range(60)]
+    df = spark.createDataFrame(rows, "family string, is_holdout int, curve_id string, depth int, noise double, target_g double, capped int, n_f int, achieved_g double, "
+                               "true_val double, L_hat double, last_v double, mean_v double, min_v double, max_v double, ests array<double>, perturb_iqr array<double>, shift_iqr array<double>")
+    feats = spark.createDataFrame([("f", 30, 0.0, -0.05, 0.9)], "family string, depth int, noise double, log_log_slope double, richardson_r2 double")
+    bad = spark.createDataFrame([("linear", 1), ("pade_22", 0)], "method string, dangerous int")
+    pool = [m for m in methods if m not in EN.TRIVIALS]
+    for table in (df, df.unionByName(df.limit(5).withColumn("ests", F.reverse("ests")))):
+        records = ST.scored(spark, table, methods, D.SPREADS)
+        want = EN.selector_errors(records, feats, pool, bad)
+        got = EN.packed_selector_errors(table, methods, feats, pool, bad, lambda: records)
+        assert got.columns == want.columns and ("Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()) == (table is not df)
+        a, b = ({r.curve_id: r for r in x.collect()} for x in (got, want))
+        assert a.keys() == b.keys()
+        for k in a:
+            for c in got.columns:
+                assert a[k][c] == b[k][c] or a[k][c] == pytest.approx(b[k][c], rel=1e-9, abs=1e-12), (k, c, a[k][c], b[k][c])
