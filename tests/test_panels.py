@@ -88,3 +88,18 @@ def test_choices_meet_records_in_place(spark):
     got, want = H.chosen_records(choices, records, ["cell"]), choices.join(records, ["cell", "method"], "left")
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 1
+
+
+def test_rule_panels_never_copy_records(spark, monkeypatch):
+    """Few routed cells go to the records, many meet them by shuffling; a small file of packed records is no small table."""
+    cells = spark.createDataFrame([("A", 0.2), ("B", 0.9)], "cell string, richardson_r2 double")
+    flags = RU.threshold_rule(cells, "richardson_r2", "<", 0.5).select("cell", F.lit(0).alias("rule"), F.lit("alt").alias("alternative"), "fired")
+    records = spark.createDataFrame([(c, i, m, 0.1 * i, 1, 0, 1.0) for c in "AB" for i in range(4) for m in ("richardson_1", "alt", "other")],
+                                    "cell string, run int, method string, error double, valid int, catastrophic int, E_last double")
+    plans, kept = [], RU.settled
+    monkeypatch.setattr(RU, "settled", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    found = []
+    for most in (RU.FEW_SIDES, 0):
+        monkeypatch.setattr(RU, "FEW_SIDES", most)
+        found.append(RU.rule_panels(flags, records, keys=("cell",), run="run", by=("rule", "alternative")).collect())
+    assert found[0] == found[1] and "BuildRight" in plans[0] and "SortMergeJoin" in plans[2]
